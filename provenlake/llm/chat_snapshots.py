@@ -5,7 +5,7 @@ Every turn gets a rolling hash of the conversation up to it; a conversation whos
 hash inside a longer one is a prefix of it and is dropped by an anti-join; of equal conversations
 the smallest id stays. What remains is rendered with a template.
 
-Defined results: turns are taken in order of (turn, role, text), nulls first; null role or text is
+Defined results: turns are taken in order of (turn, role, digest of the text), nulls first; null role or text is
 rendered as an empty string but differs from one when prefixes are compared; rows repeated in a
 conversation are turns of their own; a null conv_id is a conversation of its own; an empty table
 gives an empty result; extra columns are ignored.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_snapshots, virtual_slots, weak_rules
+from . import chat_snapshots, suffix_decontam, virtual_slots, weak_rules
 from ._base import table
 
 
@@ -14,6 +14,10 @@ def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slots.shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op5_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge_documents(table(spark, sf_dir, "documents"))
 
@@ -24,8 +28,11 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_virtual_slots": op4_virtual_slots,
+    "op5_suffix_automaton": op5_suffix_automaton,
     "op8_weak_rules": op8_weak_rules,
     "op10_chat_snapshots": op10_chat_snapshots,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_suffix_automaton": suffix_decontam.ORACLE,
+}

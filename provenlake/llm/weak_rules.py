@@ -27,6 +27,8 @@ RULES = (
     ("stutter", "stutter_share", 0.02, 0.20, 5),
     ("lines", "dup_line_share", 0.10, 0.30, 5),
     ("length", "shortness", 0.0, 0.5, 1),
+    ("plain_words", "odd_word_share", 0.15, 0.35, 3),
+    ("sentences", "odd_sentences", 0.0, 0.5, 30),
     ("word_size", "odd_word_size", 0.0, 0.5, 1),
 )
 ROUNDS = 25
@@ -66,6 +68,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").alias("n_lines"), stutter.alias("n_stutter"),
         F.regexp_count("text", F.lit(r"!")).alias("n_bangs"),
+        F.regexp_count("text", F.lit(r"(?<![^\s])\p{L}+[.,;:?]?(?![^\s])")).alias("n_plain"),
+        F.regexp_count("text", F.lit(r"[.?!](?![^\s])")).alias("n_ends"),
         F.regexp_count("text", F.lit(r"\p{Lu}")).alias("n_upper"), F.regexp_count("text", F.lit(r"\p{L}")).alias("n_letters"),
     )
     return df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
@@ -82,6 +86,8 @@ def votes(counts: DataFrame) -> DataFrame:
         "repeat_share": F.col("n_repeat_words") / n,
         "stutter_share": F.col("n_stutter") / n,
         "dup_line_share": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
+        "odd_word_share": 1 - F.col("n_plain") / n,
+        "odd_sentences": F.when((F.col("n_ends") / n).between(0.02, 0.4), 0.0).when((F.col("n_ends") / n).between(0.005, 0.6), 0.25).otherwise(1.0),
         "shortness": F.when(F.col("n_words") >= 25, 0.0).when(F.col("n_words") >= 10, 0.25).otherwise(1.0),
         "odd_word_size": F.when(mean.between(2.5, 9.5), 0.0).when(mean.between(1.5, 14.0), 0.25).otherwise(1.0),
     }
@@ -93,8 +99,9 @@ def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Posterior probability of good for each vote pattern: votes, posterior.
 
     ``patterns``: votes, n (rows with that pattern); at most 3^rules rows. Class-conditional vote
-    rates and the prior are re-estimated ``rounds`` times. At first a pattern counts as bad where any
-    rule says so. Each rate has one good vote, one bad vote and one abstention added to it.
+    rates and the prior are re-estimated ``rounds`` times; an abstention tells nothing about the
+    class. At first a pattern counts as bad where any rule says so. One good and one bad vote are
+    added to the votes that each rate is taken from.
     """
     m = len(RULES)
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n")))).alias("p"))
@@ -106,15 +113,14 @@ def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         bad = F.zip_with(p, post, lambda x, q: x["n"] * (1 - q))
 
         def rates(weight: Column) -> Column:
-            of_all = total(weight) + 3.0
-            rate = lambda j, v: F.log((total(F.zip_with(p, weight, lambda x, k: F.when(x["votes"][j] == v, k).otherwise(0.0))) + 1.0) / of_all)
-            return F.array(*[F.array(*[rate(j, v) for v in (-1, 0, 1)]) for j in range(m)])
+            n = lambda j, v: total(F.zip_with(p, weight, lambda x, k: F.when(x["votes"][j] == v, k).otherwise(0.0))) + 1.0
+            return F.array(*[F.transform(F.array(F.struct(n(j, -1).alias("bad"), n(j, 1).alias("good"))), lambda c: F.array(F.log(c["bad"] / (c["bad"] + c["good"])), F.lit(0.0), F.log(c["good"] / (c["bad"] + c["good"]))))[0] for j in range(m)])
 
         model = F.struct(rates(good).alias("g"), rates(bad).alias("b"), F.log((total(good) + 1.0) / (total(bad) + 1.0)).alias("prior"))
         odds = lambda x, s: s["prior"] + sum((s["g"][j][x["votes"][j] + 1] - s["b"][j][x["votes"][j] + 1] for j in range(m)), F.lit(0.0))
         return F.transform(F.array(model), lambda s: F.transform(p, lambda x: 1.0 / (1.0 + F.exp(-odds(x, s)))))[0]
 
-    start = F.transform(p, lambda x: F.when(F.array_contains(x["votes"], -1), 0.1).otherwise(0.9))
+    start = F.transform(p, lambda x: F.when(F.array_contains(x["votes"], -1), 0.001).otherwise(0.999))
     fitted = one.select("p", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, again).alias("post"))
     return fitted.select(F.explode(F.arrays_zip("p", "post")).alias("z")).select(F.col("z.p.votes").alias("votes"), F.col("z.post").alias("posterior"))
 
