@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_snapshots, suffix_decontam, virtual_slots, weak_rules
+from . import chat_snapshots, fragment_join, suffix_decontam, virtual_slots, weak_rules
 from ._base import table
 
 
@@ -22,6 +22,10 @@ def op8_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_vertical_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragment_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_snapshots.render_chats(table(spark, sf_dir, "conversations"))
 
@@ -30,9 +34,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_virtual_slots": op4_virtual_slots,
     "op5_suffix_automaton": op5_suffix_automaton,
     "op8_weak_rules": op8_weak_rules,
+    "op9_vertical_fragments": op9_vertical_fragments,
     "op10_chat_snapshots": op10_chat_snapshots,
 }
 
 ORACLES: dict[str, str] = {
     "op5_suffix_automaton": suffix_decontam.ORACLE,
+    "op9_vertical_fragments": fragment_join.ORACLE,
 }
