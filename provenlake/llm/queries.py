@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_snapshots, fragment_join, suffix_decontam, virtual_slots, weak_rules
+from . import chat_snapshots, fragment_join, sentence_spans, suffix_decontam, virtual_slots, weak_rules
 from ._base import table
 
 
@@ -18,6 +18,11 @@ def op5_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = sentence_spans.dedup_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return clean.select("rec.doc_id", "n_sentences", "n_removed", "text")
+
+
 def op8_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge_documents(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_virtual_slots": op4_virtual_slots,
     "op5_suffix_automaton": op5_suffix_automaton,
+    "op7_sentence_spans": op7_sentence_spans,
     "op8_weak_rules": op8_weak_rules,
     "op9_vertical_fragments": op9_vertical_fragments,
     "op10_chat_snapshots": op10_chat_snapshots,
