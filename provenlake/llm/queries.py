@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_snapshots, fragment_join, sentence_spans, suffix_decontam, virtual_slots, weak_rules
-from ._base import table
+from . import byte_cnn, chat_snapshots, fragment_join, quality_knn, sentence_spans, suffix_decontam, virtual_slots, weak_rules
+from ._base import held_out, table
+
+
+def op1_nearest_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_knn.score_quality(docs, quality_knn.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("rec.doc_id", held_out(F.col("rec.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +25,12 @@ def op5_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = byte_cnn.identify(docs, byte_cnn.train(docs), keep=["doc_id"])
+    return found.select("rec.doc_id", held_out(F.col("rec.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = sentence_spans.dedup_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return clean.select("rec.doc_id", "n_sentences", "n_removed", "text")
@@ -36,8 +49,10 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_votes": op1_nearest_votes,
     "op4_virtual_slots": op4_virtual_slots,
     "op5_suffix_automaton": op5_suffix_automaton,
+    "op6_byte_cnn": op6_byte_cnn,
     "op7_sentence_spans": op7_sentence_spans,
     "op8_weak_rules": op8_weak_rules,
     "op9_vertical_fragments": op9_vertical_fragments,
