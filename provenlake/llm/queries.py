@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, chat_snapshots, fragment_join, quality_knn, sentence_spans, suffix_decontam, virtual_slots, weak_rules
+from . import byte_cnn, chat_snapshots, fragment_join, link_trust, mixture, quality_knn, sentence_spans, suffix_decontam, virtual_slots, weak_rules
 from ._base import held_out, table
 
 
@@ -17,6 +17,15 @@ def op1_nearest_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("rec.doc_id", held_out(F.col("rec.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_tree_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixture.mixed(table(spark, sf_dir, "documents"), keep=["doc_id"], **mixture.PRODUCTION)
+    return rows.select("rec.doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slots.shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
 
@@ -50,6 +59,8 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_votes": op1_nearest_votes,
+    "op2_link_trust": op2_link_trust,
+    "op3_tree_budget": op3_tree_budget,
     "op4_virtual_slots": op4_virtual_slots,
     "op5_suffix_automaton": op5_suffix_automaton,
     "op6_byte_cnn": op6_byte_cnn,
@@ -60,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_tree_budget": mixture.ORACLE,
     "op5_suffix_automaton": suffix_decontam.ORACLE,
     "op9_vertical_fragments": fragment_join.ORACLE,
 }
