@@ -393,14 +393,15 @@ def propose_payment(spark, d):
 # lifecycle
 
 
-_NOW = F.lit("2024-01-20 00:00:00").cast("timestamp")
+def _now():
+    return F.lit("2024-01-20 00:00:00").cast("timestamp")
 
 
 @query("""WITH r AS (SELECT event_type AS channel, count(*) AS n, CAST(sum(event_id % 100) AS BIGINT) AS input_tokens, CAST(sum(event_id % 10) AS BIGINT) AS output_tokens, CAST(sum(greatest(CAST(round(value * 1000000) AS BIGINT), 0)) AS BIGINT) AS cost_micros FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 24 HOURS GROUP BY 1)
     SELECT *, CAST(sum(cost_micros) OVER () AS BIGINT) AS total_micros, sum(cost_micros) OVER () >= 5000000 AS alert FROM r""")
 def spend_by_channel(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("channel"), (F.col("event_id") % 100).alias("input_tokens"), (F.col("event_id") % 10).alias("output_tokens"), ft.money_micros(F.col("value")).alias("cost_usd_micros"), F.col("ts").alias("created_at"))
-    return lifecycle.spend_report(e, _NOW)
+    return lifecycle.spend_report(e, _now())
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS in_hour FROM events")
@@ -412,7 +413,7 @@ def hourly_rate(spark, d):
 def expire_due(spark, d):
     e = table(spark, d, "events")
     b = e.select(F.col("event_id").alias("belief_id"), F.lit("active").alias("status"), F.when(F.col("event_type") != "purchase", F.col("ts") + F.expr("INTERVAL 5 DAYS")).alias("expires_at"))
-    return lifecycle.expire_beliefs(b, _NOW)
+    return lifecycle.expire_beliefs(b, _now())
 
 
 _MEMORY = """m AS (SELECT event_id AS memory_id, CASE event_id % 4 WHEN 0 THEN 'working' WHEN 1 THEN 'episodic' WHEN 2 THEN 'semantic' ELSE 'skill_note' END AS layer, (event_id % 100) / 100.0 AS salience, ts,
@@ -428,7 +429,7 @@ def _memory(spark, d):
 
 @query(f"WITH {_MEMORY} SELECT memory_id, CASE WHEN expires_at <= TIMESTAMP '2024-01-20' THEN CASE WHEN layer NOT IN ('semantic', 'skill_note') AND salience < 0.3 THEN 'forgotten' ELSE 'decayed' END ELSE 'active' END AS status FROM m")
 def memory_decay(spark, d):
-    return lifecycle.decay(_memory(spark, d), _NOW)
+    return lifecycle.decay(_memory(spark, d), _now())
 
 
 @query(f"WITH {_MEMORY}, a AS (SELECT user_id AS memory_id, count(*) AS n FROM events GROUP BY 1) SELECT memory_id, coalesce(n, 0) AS access_count, round(CASE WHEN n > 0 THEN least(1.0, salience + 0.05 * n) ELSE salience END, 6) AS salience FROM m LEFT JOIN a USING (memory_id)")
@@ -442,7 +443,7 @@ def memory_touch(spark, d):
     UNION ALL (SELECT memory_id, 'forget' FROM s WHERE layer = 'working' AND status = 'decayed' AND salience < 0.2 ORDER BY memory_id LIMIT 10)""")
 def dream_candidates(spark, d):
     items = _memory(spark, d)
-    due = F.coalesce(F.col("expires_at") <= _NOW, F.lit(False))
+    due = F.coalesce(F.col("expires_at") <= _now(), F.lit(False))
     low = ~F.col("layer").isin("semantic", "skill_note") & (F.col("salience") < 0.1)
     return lifecycle.dream(items.withColumn("status", F.when(due & low, "forgotten").when(due, "decayed").otherwise("active")))
 
@@ -450,7 +451,7 @@ def dream_candidates(spark, d):
 @query("SELECT event_id AS job_id, CASE WHEN event_id % 7 >= 5 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN event_id % 7 >= 5 THEN ts ELSE TIMESTAMP '2024-01-20' + CAST(least(60, pow(2, least(event_id % 7, 5))) AS INTEGER) * INTERVAL 1 SECOND END AS run_after FROM events")
 def job_backoff(spark, d):
     jobs = table(spark, d, "events").select(F.col("event_id").alias("job_id"), (F.col("event_id") % 7).alias("attempts"), F.lit(5).alias("max_attempts"), F.col("ts").alias("run_after"))
-    return lifecycle.after_failure(jobs, _NOW)
+    return lifecycle.after_failure(jobs, _now())
 
 
 @query("""SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN 60 * (event_id % 9 + 1) WHEN 1 THEN 3600 * (event_id % 9 + 1) WHEN 2 THEN 86400 * (event_id % 9 + 1) ELSE 3600 END AS BIGINT) AS seconds FROM events""")
@@ -463,7 +464,7 @@ def cron_interval(spark, d):
 @query("WITH j AS (SELECT event_type AS kind, ts AS run_after, event_id AS job_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events WHERE event_id % 2 = 0 AND ts <= TIMESTAMP '2024-01-20') SELECT kind, job_id, run_after FROM j WHERE n = 1")
 def next_jobs(spark, d):
     jobs = table(spark, d, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("job_id"), F.col("ts").alias("run_after"), F.when(F.col("event_id") % 2 == 0, "pending").otherwise("done").alias("status"))
-    return lifecycle.next_jobs(jobs, _NOW)
+    return lifecycle.next_jobs(jobs, _now())
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_type = 'click' AND user_id % 2 = 0 AND ts >= TIMESTAMP '2024-01-05' ORDER BY event_id DESC LIMIT 100")
@@ -517,7 +518,7 @@ def workflow_decisions(spark, d):
 @query("SELECT event_id AS write_id, CASE WHEN ts + INTERVAL 72 HOURS < TIMESTAMP '2024-01-20' THEN 'expired' ELSE 'pending' END AS status FROM events")
 def pending_expiry(spark, d):
     w = table(spark, d, "events").select(F.col("event_id").alias("write_id"), F.lit("pending").alias("status"), (F.col("ts") + F.expr("INTERVAL 72 HOURS")).alias("expires_at"))
-    return approvals.expire_pending(w, _NOW)
+    return approvals.expire_pending(w, _now())
 
 
 @query("""WITH c AS (SELECT event_id AS case_id, (['routine', 'elevated', 'consequential'])[event_id % 3 + 1] AS stakes, event_id % 11 = 0 AS debts, event_id % 4 <> 0 AS has_sources, event_id % 2 = 0 AS belief, event_id % 13 = 0 AS harm, event_id % 17 = 0 AS shell, event_id % 5 = 0 AS skill, event_id % 19 = 0 AS short, event_id % 2 = 1 AS timed_out FROM events),

@@ -11,7 +11,7 @@ MANIFEST = "name string, tools array<struct<name:string,description:string,runti
 
 def scan_anchors(spark: SparkSession, path: str) -> DataFrame:
     """line, raw, entry (null where the line is no JSON object): one row a non-blank line; malformed lines stay in sight."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\n")).alias("n", "raw")).where(F.trim("raw") != "")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "raw")).where(F.trim("raw") != "")
     fits = F.trim("raw").startswith("{") & F.expr("try_parse_json(raw) IS NOT NULL")
     return lines.select((F.col("n") + 1).alias("line"), "raw", F.when(fits, F.from_json("raw", ANCHOR)).alias("entry"))
 
@@ -28,7 +28,7 @@ def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_skills(spark: SparkSession, path: str) -> DataFrame:
     """name, description, trigger, body: one row a skill file with front matter."""
-    raw = spark.read.option("wholetext", "true").text(path).withColumnRenamed("value", "raw")
+    raw = spark.read.text(path, wholetext=True).withColumnRenamed("value", "raw")
     front = F.regexp_extract("raw", r"(?s)^---\r?\n(.*?)\r?\n---", 1)
     field = lambda n: F.nullif(F.regexp_replace(F.trim(F.regexp_extract("front", rf"(?m)^{n}:\s*(.+)$", 1)), "^[\"']|[\"']$", ""), F.lit(""))
     body = F.regexp_replace("raw", r"(?s)^---\r?\n.*?\r?\n---(?:\r?\n)?", "")

@@ -14,12 +14,17 @@ from ..operators.chunking import split_passages
 EXTENSIONS = (".md", ".markdown", ".mdx")
 
 
-def scan_notes(spark: SparkSession, root: str, dotted: bool = False) -> DataFrame:
-    """path (relative to the root), raw: every note below a root, read as whole texts by Spark."""
+def scan_notes(spark: SparkSession, root: str, dotted: bool = False, listed: DataFrame | None = None) -> DataFrame:
+    """path (relative to the root), raw: every note below a root, read as whole texts by Spark.
+
+    Spark follows links, cycles too; a ``listing`` of the tree restricts the scan to the files it doesn't skip.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dDaA]*").load(root)
-    base = F.lit(os.path.abspath(root).rstrip("/") + "/") if "://" not in root else F.lit(root.rstrip("/") + "/")
+    base = (root if "://" in root else os.path.abspath(root)).rstrip("/") + "/"
     path = F.substring_index(F.col("path"), base, -1)
     notes = files.select(path.alias("path"), F.decode("content", "UTF-8").alias("raw")).where(F.lower("path").rlike(r"\.(md|markdown|mdx)$"))
+    if listed is not None:
+        notes = notes.join(listed.where("skip IS NULL").select("path"), "path", "left_semi")
     return notes if dotted else notes.where(~F.concat(F.lit("/"), F.col("path")).contains("/."))
 
 
