@@ -190,3 +190,30 @@ def verify_anchors(anchors: DataFrame) -> DataFrame:
     """line, ok: each anchor names the one before it. anchors: line, entry (see the anchor source)."""
     order = Window.orderBy("line")
     return anchors.withColumn("before", F.lag("entry.anchorHash").over(order)).select("line", F.coalesce(F.col("entry.prevAnchorHash").eqNullSafe(F.col("before")) & F.col("entry").isNotNull(), F.lit(False)).alias("ok"))
+
+
+def prove_in_mountains(leaves: DataFrame, wanted: DataFrame) -> DataFrame:
+    """chain, idx, hash, siblings, was_right, peak, peaks: a path inside the leaf's peak, and all peaks from the lowest."""
+    peaks = mountain_peaks(leaves)
+    spans = peaks.select("chain", "height", "from_idx", "to_idx", F.col("hash").alias("peak"))
+    inside = lambda df: df.join(spans, "chain").where((F.col("idx") >= F.col("from_idx")) & (F.col("idx") <= F.col("to_idx")))
+    trees = inside(leaves).select(F.struct("chain", "from_idx").alias("chain"), (F.col("idx") - F.col("from_idx")).alias("idx"), "hash")
+    asked = inside(wanted.select("chain", "idx")).select(F.struct("chain", "from_idx").alias("chain"), (F.col("idx") - F.col("from_idx")).alias("idx"))
+    paths = prove_inclusion(trees, asked).select("chain.chain", "chain.from_idx", (F.col("idx") + F.col("chain.from_idx")).alias("idx"), "hash", "siblings", "was_right")
+    every = peaks.groupBy("chain").agg(F.transform(F.array_sort(F.collect_list(F.struct("height", "hash"))), lambda p: p["hash"]).alias("peaks"))
+    return paths.join(spans.select("chain", "from_idx", "peak"), ["chain", "from_idx"]).join(every, "chain").drop("from_idx")
+
+
+def verify_in_mountains(leaf: Column, siblings: Column, was_right: Column, peak: Column, peaks: Column, root: Column) -> Column:
+    """The path gives the peak, the peak is one of the peaks, and the peaks bag to the root."""
+    bagged = F.aggregate(F.slice(peaks, 2, F.size(peaks)), F.get(peaks, F.lit(0)), lambda acc, p: merkle_parent(acc, p))
+    return verify_inclusion(leaf, siblings, was_right, peak) & F.array_contains(peaks, peak) & (bagged == root)
+
+
+def file_roots(chunks: DataFrame) -> DataFrame:
+    """path, root: a Merkle root for each code file, over its named parts by their first line, or over all if it has none. chunks: path, kind, start_line, snapshot_hash."""
+    named = chunks.withColumn("named", F.max((F.col("kind") != "file").cast("int")).over(Window.partitionBy("path")))
+    used = named.where((F.col("kind") != "file") | (F.col("named") == 0))
+    order = Window.partitionBy("path").orderBy("start_line", "snapshot_hash")
+    leaves = used.select(F.col("path").alias("chain"), (F.row_number().over(order) - 1).cast("long").alias("idx"), F.col("snapshot_hash").alias("hash"))
+    return merkle_roots(leaves).select(F.col("chain").alias("path"), "root")

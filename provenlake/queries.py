@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import claims as fc
 from .functions import text as ft
 from .functions.hashing import claim_hash, passage_path, pin_hash
-from .operators import approvals, chains, claims, corpus, evals, graph, lifecycle, pins, search
+from .operators import approvals, chains, claims, corpus, evals, graph, lifecycle, monitoring, pins, search, sessions
 from .operators.chunking import split_passages
 from .plans import derive
 from .plans.derive import PASSAGES_SQL, table
@@ -564,6 +564,76 @@ def symbol_find(spark, d):
     return graph.find_symbols(table(spark, d, "nation").select(F.col("n_name").alias("symbol"), F.col("n_name").alias("display_name")), "ION_1")
 
 
+# monitoring
+
+
+def _debt_rows(spark, d):
+    e = table(spark, d, "events")
+    return e.select(F.concat(F.lit("h"), (F.col("user_id") % 40).cast("string")).alias("claim_hash"), F.when(F.col("event_id") % 3 == 0, "waived").when(F.col("event_id") % 3 == 1, "paid").otherwise("pending").alias("status"),
+                    F.col("ts").alias("created_at"), (F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 100)).alias("decided_at"), (F.col("event_id") % 7 == 0).alias("lapsed"))
+
+
+@query("""WITH b AS (SELECT count(*) AS blocks FROM events WHERE event_type = 'refund' AND ts >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAYS), t AS (SELECT count(*) AS turns FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAYS)
+    SELECT blocks, turns, CASE WHEN blocks = 0 THEN 'dead' WHEN blocks * 100 > 30 * turns THEN 'inflated' END AS alert FROM b, t""")
+def monitor_debt_blocks(spark, d):
+    e = table(spark, d, "events").select(F.when(F.col("event_type") == "refund", "commit:blocked").otherwise("commit:passed").alias("action"), F.col("ts").alias("created_at"))
+    return monitoring.debt_blocks(e, e, _now())
+
+
+@query("SELECT round(avg((event_id % 3 = 0)::INT), 6) AS waiver_rate, round(median(event_id % 100), 6) AS median_seconds, round(avg((event_id % 7 = 0)::INT), 6) AS lapse_rate, avg((event_id % 3 = 0)::INT) > 0.6 OR median(event_id % 100) < 30 OR avg((event_id % 7 = 0)::INT) > 0.2 AS alert FROM events WHERE event_id % 3 < 2")
+def monitor_waivers(spark, d):
+    return monitoring.waivers(_debt_rows(spark, d)).withColumns({c: F.round(c, 6) for c in ("waiver_rate", "median_seconds", "lapse_rate")})
+
+
+@query("SELECT event_id AS belief_id FROM events WHERE ts + INTERVAL 5 DAYS <= TIMESTAMP '2024-01-20' AND event_id NOT IN (SELECT event_id FROM events WHERE event_id % 10 <> 0)")
+def monitor_overdue(spark, d):
+    e = table(spark, d, "events")
+    beliefs = e.select(F.col("event_id").alias("belief_id"), F.lit("active").alias("status"), (F.col("ts") + F.expr("INTERVAL 5 DAYS")).alias("expires_at"))
+    return monitoring.overdue(beliefs, e.where("event_id % 10 <> 0").select(F.col("event_id").alias("belief_id"), F.lit("open").alias("status")), _now())
+
+
+@query("SELECT CAST(coalesce(sum((event_id % 1000 = 1)::INT), 0) AS BIGINT) AS breaches, CAST(sum((event_id % 1000 BETWEEN 2 AND 99)::INT) AS BIGINT) AS blocked FROM events")
+def monitor_hold_breaches(spark, d):
+    k = F.col("event_id") % 1000
+    return monitoring.hold_breaches(table(spark, d, "events").select(F.when(k == 1, "hold:breach").when(k.between(2, 99), "hold:blocked").otherwise("other").alias("action")))
+
+
+@query("""WITH s AS (SELECT user_id AS skill_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+    c AS (SELECT skill_id, CAST(sum((before IS NOT NULL AND before <> event_type)::INT) AS BIGINT) AS changes FROM s GROUP BY 1), g AS (SELECT user_id AS skill_id, count(*) AS events FROM events WHERE event_id % 2 = 0 GROUP BY 1)
+    SELECT skill_id, coalesce(changes, 0) AS changes, coalesce(events, 0) AS events FROM c FULL OUTER JOIN g USING (skill_id) WHERE coalesce(changes, 0) <> coalesce(events, 0)""")
+def monitor_silent_mutations(spark, d):
+    e = table(spark, d, "events")
+    snaps = e.select(F.col("user_id").alias("skill_id"), F.col("event_type").alias("hash"), F.struct("ts", "event_id").alias("created_at"))
+    return monitoring.silent_mutations(snaps, e.where("event_id % 2 = 0").select(F.col("user_id").alias("skill_id"), F.lit("mutation").alias("action")))
+
+
+@query("SELECT event_id AS belief_id FROM events WHERE event_type = 'click' AND event_id % 50 = 0")
+def monitor_fast_beliefs(spark, d):
+    e = table(spark, d, "events")
+    return monitoring.fast_beliefs(e.select(F.col("event_id").alias("belief_id"), F.when(F.col("event_type") == "click", "belief").otherwise("unknown").alias("epistemic_type"), F.when(F.col("event_id") % 50 == 0, "fast").otherwise("gate").alias("committed_path")))
+
+
+@query("SELECT 'h' || (user_id % 40) AS claim_hash, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 30 DAYS GROUP BY 1 HAVING count(*) >= 3")
+def monitor_repeated_debts(spark, d):
+    return monitoring.repeated_debts(_debt_rows(spark, d), _now())
+
+
+@query()
+def session_search(spark, d):
+    """The first line of every 50th conversation's first turn, searched in all turns."""
+    c = table(spark, d, "conversations").withColumn("message_id", F.col("conv_id") * 1000 + F.col("turn"))
+    asked = c.where("conv_id % 50 = 0 AND turn = 0").select(F.col("conv_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("text"))
+    return sessions.session_search(c.select("message_id", "text"), asked).select("query_id", "message_id", F.round("bm25", 6).alias("bm25"), "rank", "snippet")
+
+
+@query(f"WITH {_LEAVES} SELECT chain, idx, true AS ok FROM leaves WHERE idx % 25 = 0")
+def mountain_proof_verify(spark, d):
+    leaves = _leaves(spark, d)
+    proofs = chains.prove_in_mountains(leaves, leaves.where("idx % 25 = 0").select("chain", "idx")).join(chains.mountain_roots(leaves), "chain")
+    ok = chains.verify_in_mountains(F.col("hash"), F.col("siblings"), F.col("was_right"), F.col("peak"), F.col("peaks"), F.col("root"))
+    return proofs.select("chain", "idx", ok.alias("ok"))
+
+
 # passages
 
 
