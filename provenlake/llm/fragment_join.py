@@ -10,11 +10,12 @@ its own number of fragments; a document takes part in its own level and, if it c
 of a pair, in the level below. A few fragments more than D + 1 leave room for empty segments: these
 are no keys, unless a document has more of them than that room.
 
-Links. Overlaps are counted fragment by fragment and summed per pair. Each document of a group with an
-equal segment is first compared with the group's smallest member; then, only where a group still holds
-several components, members of different components are compared. Pairs inside one component need no
-comparison, so a large group of near copies costs as many comparisons as it has members. Groups that
-are still large are split by the equal segments of a second, independent cut.
+Links. Overlaps are counted fragment by fragment and summed per pair. Where at most ``SMALL_GROUP``
+documents share a segment, their pairs are joined with the segments. Larger groups are merged into
+clusters, a cluster is dealt into blocks of bounded size, and each pair of blocks is one small task
+that counts all overlaps of its documents as products of incidence matrices, fragment by fragment, and
+returns a spanning forest of the links. So no task holds a whole group, and the pairs of a large group
+are never rows.
 
 Copies (equal sets) are one node throughout.
 """
@@ -37,7 +38,9 @@ SHINGLE = 3
 THRESHOLD = Fraction(90, 100)
 LEVEL_GROWTH = 1.5
 COUNT_FRAGMENTS = 8
-SMALL_GROUP = 32
+SMALL_GROUP = 8
+BLOCK_NODES = 128
+BLOCK_SHINGLES = 150_000
 BITMAP_BITS = 1 << 24
 _U = np.uint64
 
@@ -74,12 +77,8 @@ class Levels:
         return np.where((level >= 1) & (largest_small * t.denominator >= n * t.numerator), level - 1, -1)
 
 
-def segment_keys(g: np.ndarray, sizes: np.ndarray, level: np.ndarray, levels: Levels, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def segment_keys(g: np.ndarray, sizes: np.ndarray, level: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the segments of each set at the given level, and how many each set has."""
-    if seed:  # another global order
-        which = np.repeat(np.arange(len(sizes)), sizes)
-        g = mix(g + _U(seed) * _U(0xA0761D6478BD642F))
-        g = g[np.lexsort((g, which))]
     fragments = np.array(levels.fragments + [0], dtype=np.uint64)[level]
     room = np.array(levels.room + [0], dtype=np.int64)[level]
     which = np.repeat(np.arange(len(sizes)), sizes)
@@ -91,14 +90,14 @@ def segment_keys(g: np.ndarray, sizes: np.ndarray, level: np.ndarray, levels: Le
     new = np.ones(len(g), dtype=bool)
     new[1:] = (part[1:] != part[:-1]) | (which[1:] != which[:-1])
     at = np.flatnonzero(new)
-    label = (level[which[at]].astype(np.uint64) << _U(40)) + part[at] + _U(1) + (_U(seed) << _U(56))
+    label = (level[which[at]].astype(np.uint64) << _U(40)) + part[at] + _U(1)
     keys = mix(np.add.reduceat(mix(g), at) + mix(label))
     owner = which[at]
     full = np.bincount(owner, minlength=len(sizes))
     extra_keys, extra_owner = [], []
     for d in np.flatnonzero(fragments.astype(np.int64) - full > room):  # more empty segments than there is room for: they are keys too
         empty = np.setdiff1d(np.arange(int(fragments[d]), dtype=np.uint64), part[at][owner == d])
-        extra_keys.append(mix(~((_U(level[d]) << _U(40)) + empty + (_U(seed) << _U(56)))))
+        extra_keys.append(mix(~((_U(level[d]) << _U(40)) + empty)))
         extra_owner.append(np.full(len(empty), d))
     if extra_keys:
         keys, owner = np.concatenate([keys, *extra_keys]), np.concatenate([owner, *extra_owner])
@@ -128,8 +127,8 @@ def _sign(levels: Levels, k: int):
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in chunks(texts):
                 g, sizes = shingle_sets(texts[a:b], k)
-                own, n_own = segment_keys(g, sizes, levels.of(sizes), levels, 0)
-                low, n_low = segment_keys(g, sizes, levels.below(sizes), levels, 0)
+                own, n_own = segment_keys(g, sizes, levels.of(sizes), levels)
+                low, n_low = segment_keys(g, sizes, levels.below(sizes), levels)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(node_ids(g, sizes).view(np.int64)), _lists(own, n_own), _lists(low, n_low)],
                     names=["doc_id", "n_shingles", "node", "own", "low"],
@@ -191,6 +190,48 @@ def _pairs_that_link(pairs: DataFrame, sets: DataFrame, threshold: Fraction) ->
     return summed.where(t.denominator * F.col("both") >= t.numerator * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
+def _links_in_blocks(hot: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """a, b: links that connect what is connected within the clusters of large groups. hot: key, node, leader."""
+    clusters = connected(hot.select(F.col("leader").alias("u"), F.col("node").alias("v")))
+    rows = durable(sets.join(clusters, "node").select(F.col("root").alias("cluster"), "node", "shingles"))
+    sizes = rows.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    met = met.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "shingles")
+    return met.groupBy("cluster", "i", "j").applyInArrow(_block_links(threshold), "a long, b long")
+
+
+def _block_links(threshold: Fraction):
+    t = threshold
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        nodes = table.column("node").to_numpy()
+        lists = table.column("shingles").combine_chunks() if table.num_rows else None
+        n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        g = lists.flatten().to_numpy().astype(np.int64).view(np.uint64)
+        owner = np.repeat(np.arange(len(nodes)), n)
+        fragment = (g >> _U(61)).astype(np.int64) % COUNT_FRAGMENTS
+        both = np.zeros((len(nodes), len(nodes)), dtype=np.float32)
+        for f in range(COUNT_FRAGMENTS):  # the partial overlaps of each fragment, summed per pair
+            mine = fragment == f
+            _, column, times = np.unique(g[mine], return_inverse=True, return_counts=True)
+            seat = np.cumsum(times > 1) - 1
+            again = times[column] > 1
+            part = np.zeros((len(nodes), int(seat[-1]) + 1 if len(seat) else 0), dtype=np.float32)
+            part[owner[mine][again], seat[column[again]]] = 1
+            both += part @ part.T
+        linked = t.denominator * both >= t.numerator * (n[:, None] + n[None, :] - both)
+        np.fill_diagonal(linked, True)
+        label, before = np.arange(len(nodes)), None
+        while before is None or (label != before).any():
+            before, label = label, np.where(linked, label[None, :], len(nodes)).min(axis=1)
+        tied = label != np.arange(len(nodes))
+        return pa.table({"a": nodes[label[tied]], "b": nodes[tied]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return run
+
+
 def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, itself included).
 
@@ -199,32 +240,30 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int
     do; a null id is never a component's id unless the row stands alone; an empty table gives an
     empty result; extra columns are ignored.
     """
-    levels = Levels(Fraction(threshold))
+    t = Fraction(threshold)
+    levels = Levels(t)
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     signed = durable(rows.mapInArrow(_sign(levels, k), "doc_id long, n_shingles long, node long, own array<long>, low array<long>"))
     nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
 
     keys = signed.select("node", F.explode(F.concat("own", "low")).alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other").select("key", "leader")
-    members = durable(keys.join(shared, "key"))  # key, node, leader
+    members = durable(keys.join(shared, "key").distinct())  # key, node, leader
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    members = durable(members.join(counts, "key"))
 
-    stars = durable(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    wanted = durable(nodes.join(wanted, "node", "left_semi"))  # node, rep
+    wanted = durable(nodes.join(members.select("node").distinct(), "node", "left_semi"))  # node, rep
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("rep"), bitmap_bits))
     sets = rows.mapInArrow(_sets_of(bits, k), "doc_id long, node long, shingles array<long>")
     sets = durable(sets.join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "node"], "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
 
-    links = durable(_pairs_that_link(stars, sets, Fraction(threshold)))
-    roots = durable(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    again = _across(members, roots, sets, levels).join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = durable(_pairs_that_link(durable(again), sets, Fraction(threshold)))
-    if more.isEmpty():
-        final = roots
-    else:
-        final = durable(connected(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    small = members.where(F.col("n") <= SMALL_GROUP).select("key", "node")
+    left, right = small.alias("l"), small.alias("r")
+    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    links = _pairs_that_link(durable(pairs), sets, t).unionByName(_links_in_blocks(members.where(F.col("n") > SMALL_GROUP), sets, t))
+    roots = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    named = nodes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = durable(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     of_root = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_node = named.join(of_root, "root").select("node", "component_id")
     return signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select(
@@ -232,42 +271,6 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int
     )
 
 
-def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, levels: Levels) -> DataFrame:
-    """a, b: nodes with an equal segment that are not in one component yet."""
-    rooted = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = durable(rooted)
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    still = rooted.join(open_keys, "key", "left_semi").distinct()
-    counts = still.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    still = durable(still.join(counts, "key"))
-    small = still.where(F.col("n") <= SMALL_GROUP).select("key", "node", "root")
-    large = still.where(F.col("n") > SMALL_GROUP).select("key", "node", "root")
-    if not large.isEmpty():
-        # The second cut: a key for each segment of the node in another order, within the first key.
-        nodes = large.select("node").distinct()
-        second = sets.join(nodes, "node", "left_semi").mapInArrow(_second_keys(levels), "node long, key2 long")
-        split = large.join(second, "node").select(F.xxhash64("key", "key2").alias("key"), "node", "root")
-        lone = split.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        small = small.unionByName(split.join(lone, "key", "left_semi"))
-    left, right = small.alias("l"), small.alias("r")
-    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")))
-    return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-
-
-def _second_keys(levels: Levels):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            g = lists.flatten().to_numpy().astype(np.int64).view(np.uint64)
-            nodes = batch.column(0).to_numpy()
-            for level in (levels.of(sizes), levels.below(sizes)):
-                keys, counts = segment_keys(g, sizes, level, levels, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, counts)), pa.array(keys.view(np.int64))], names=["node", "key2"])
-
-    return run
-
-
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The documents, in their own columns, with one of each component: the row with the smallest id."""
     found = jaccard_components(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
