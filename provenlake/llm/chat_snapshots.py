@@ -53,3 +53,12 @@ def render_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     texts = plain.alias("t").join(kept.alias("k"), same).select("k.conv_id", "k.n_turns", "k.n_copies", "t.turn", "t.role", "t.text")
     gathered = texts.groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.sha2("text", 256).alias("tie"), "text"))).alias("turns"))
     return gathered.select("conv_id", "n_turns", "n_copies", F.array_join(F.transform("turns", piece), "").alias("chat"))
+
+
+ORACLE = """
+    WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, sha256(text) NULLS FIRST) AS idx FROM conversations),
+    s AS (SELECT *, string_agg(coalesce(role, chr(1)) || chr(2) || coalesce(text, chr(1)) || chr(3), '') OVER (PARTITION BY conv_id ORDER BY idx) AS prefix, max(idx) OVER (PARTITION BY conv_id) AS n FROM t),
+    whole AS (SELECT prefix, n, min(conv_id) AS conv_id, count(*) AS n_copies FROM s WHERE idx = n GROUP BY prefix, n),
+    kept AS (SELECT * FROM whole WHERE prefix NOT IN (SELECT prefix FROM s WHERE idx < n))
+    SELECT k.conv_id, k.n AS n_turns, k.n_copies, string_agg('<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10), '' ORDER BY t.idx) AS chat
+    FROM kept k JOIN t USING (conv_id) GROUP BY ALL"""

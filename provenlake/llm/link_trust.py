@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import ascii_lower, durable, quoted
+from ._base import LOWER, UPPER, ascii_lower, durable, quoted
 
 #: Verdict, host suffix and path prefix of each rule; the longest rule that fits a url decides.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -113,3 +113,34 @@ def judge_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     scored = durable(scored.select("host", F.round(F.coalesce("trust", F.lit(0.0)) - F.coalesce("distrust", F.lit(0.0)), 9).alias("host_score")))
     verdict = F.when(F.col("host_score") >= threshold, "allow").otherwise("block")
     return urls.join(scored, "host", "left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", verdict).alias("verdict"), "host_score")
+
+
+def _sql(rounds: int = ROUNDS, damping: float = DAMPING, threshold: float = THRESHOLD) -> str:
+    """The production query in DuckDB, a CTE for each round."""
+    low = f"translate({{}}, '{UPPER}', '{LOWER}')"
+    host = low.format("coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")
+    fits = []
+    for verdict, rule in sorted(RULES, key=lambda r: (-len(r[1]), r[1])):
+        at, slash, start = rule.partition("/")
+        fits.append((f"(host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '{slash + start}')", rule, verdict))
+    case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
+    link = _LINK.replace("'", "''")
+    parts = [f"""u AS (SELECT page_id, html, {host.format("url")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+    j AS (SELECT *, {case(1)} AS rule, {case(2)} AS fit FROM u),
+    hosts AS (SELECT host, avg(coalesce(fit = 'allow', false)::INT) AS allow, avg(coalesce(fit = 'block', false)::INT) AS block FROM j WHERE host <> '' GROUP BY host),
+    links AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM u),
+    raw AS (SELECT src, {host.format("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst, 1.0 AS weight FROM links
+            UNION ALL SELECT host, regexp_extract(host, '^[^.]*\\.(.*)$', 1), 1.0 FROM hosts WHERE host LIKE '%.%.%'
+            UNION ALL SELECT regexp_extract(host, '^[^.]*\\.(.*)$', 1), host, 1.0 FROM hosts WHERE host LIKE '%.%.%'),
+    edges AS (SELECT src, dst, sum(weight)::DOUBLE AS weight FROM raw WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL)"""]
+    for name, seed, src, dst in (("t", "allow", "src", "dst"), ("d", "block", "dst", "src")):
+        parts.append(f"{name}_e AS (SELECT {src} AS a, {dst} AS b, weight / sum(weight) OVER (PARTITION BY {src}) AS share FROM edges)")
+        parts.append(f"{name}_s AS (SELECT host, {seed} / (SELECT sum({seed}) FROM hosts) AS seed FROM hosts WHERE {seed} > 0)")
+        parts.append(f"{name}0 AS (SELECT host, seed AS score FROM {name}_s)")
+        for k in range(1, rounds + 1):
+            parts.append(f"{name}{k} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT b AS host, score * share * {damping} AS score FROM {name}{k - 1} JOIN {name}_e ON host = a UNION ALL SELECT host, seed * {1 - damping} FROM {name}_s) GROUP BY host)")
+    parts.append(f"scored AS (SELECT h.host, round(coalesce(t.score, 0) - coalesce(d.score, 0), 9) AS host_score FROM hosts h LEFT JOIN t{rounds} t USING (host) LEFT JOIN d{rounds} d USING (host))")
+    return "WITH " + ",\n    ".join(parts) + f"\n    SELECT page_id, j.host, path, rule, coalesce(fit, CASE WHEN host_score >= {threshold} THEN 'allow' ELSE 'block' END) AS verdict, host_score FROM j LEFT JOIN scored s ON j.host = s.host"
+
+
+ORACLE = _sql()

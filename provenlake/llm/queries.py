@@ -71,7 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_link_trust": link_trust.ORACLE,
     "op3_tree_budget": mixture.ORACLE,
     "op5_suffix_automaton": suffix_decontam.ORACLE,
     "op9_vertical_fragments": fragment_join.ORACLE,
+    "op10_chat_snapshots": chat_snapshots.ORACLE,
 }
