@@ -46,7 +46,7 @@ def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weak_rules.judge_documents(table(spark, sf_dir, "documents"))
+    return weak_rules.judge_documents(table(spark, sf_dir, "documents")).drop("votes")
 
 
 def op9_vertical_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,7 @@ ORACLES: dict[str, str] = {
     "op2_link_trust": link_trust.ORACLE,
     "op3_tree_budget": mixture.ORACLE,
     "op5_suffix_automaton": suffix_decontam.ORACLE,
+    "op8_weak_rules": weak_rules.ORACLE,
     "op9_vertical_fragments": fragment_join.ORACLE,
     "op10_chat_snapshots": chat_snapshots.ORACLE,
 }

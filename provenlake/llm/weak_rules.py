@@ -134,3 +134,37 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("posterior") >= threshold)).alias("kept"), F.round("posterior", 6).alias("posterior"), "votes",
     )
+
+
+def _sql(rounds: int = ROUNDS, threshold: float = 0.5) -> str:
+    """The production query in DuckDB, a CTE for each round of the estimation."""
+    features = {
+        "per_word_symbols": "n_symbols / k", "per_word_bangs": "n_bangs / k", "upper_share": "n_upper / greatest(n_letters, 1)", "repeat_share": "n_repeat_words / k",
+        "stutter_share": "n_stutter / k", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)", "odd_word_share": "1 - n_plain / k",
+        "odd_sentences": "CASE WHEN n_ends / k BETWEEN 0.02 AND 0.4 THEN 0.0 WHEN n_ends / k BETWEEN 0.005 AND 0.6 THEN 0.25 ELSE 1.0 END",
+        "shortness": "CASE WHEN n_words >= 25 THEN 0.0 WHEN n_words >= 10 THEN 0.25 ELSE 1.0 END",
+        "odd_word_size": "CASE WHEN word_chars / k BETWEEN 2.5 AND 9.5 THEN 0.0 WHEN word_chars / k BETWEEN 1.5 AND 14.0 THEN 0.25 ELSE 1.0 END",
+    }
+    m = range(len(RULES))
+    vote = ", ".join(f"CASE WHEN n_words < {least} THEN 0 WHEN ({features[f]})::DOUBLE <= {good} THEN 1 WHEN ({features[f]})::DOUBLE > {bad} THEN -1 ELSE 0 END AS v{j}" for j, (_, f, good, bad, least) in enumerate(RULES))
+    names = ", ".join(f"v{j}" for j in m)
+    parts = [f"""d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+    g AS (SELECT r, i, list_slice(w, i, i + {WINDOW - 1}) AS g FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
+    twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+    hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS p FROM twice) GROUP BY r),
+    f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(hit.n, 0)::BIGINT AS n_repeat_words,
+                 len(l) AS n_lines, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_stutter, len(regexp_extract_all(text, '!')) AS n_bangs, len(list_filter(w, lambda x: regexp_full_match(x, '\\p{{L}}+[.,;:?]?'))) AS n_plain,
+                 len(list_filter(w, lambda x: regexp_matches(x, '[.?!]$'))) AS n_ends, len(regexp_extract_all(text, '\\p{{Lu}}')) AS n_upper, len(regexp_extract_all(text, '\\p{{L}}')) AS n_letters, greatest(len(w), 1)::DOUBLE AS k FROM d LEFT JOIN hit USING (r)),
+    x AS MATERIALIZED (SELECT *, {vote} FROM f),
+    p AS MATERIALIZED (SELECT {names}, count(*)::DOUBLE AS n FROM x GROUP BY {names}),
+    q0 AS MATERIALIZED (SELECT *, CASE WHEN {" OR ".join(f"v{j} = -1" for j in m)} THEN 0.001 ELSE 0.999 END::DOUBLE AS q FROM p)"""]
+    for k in range(1, rounds + 1):
+        counts = ", ".join(f"coalesce(sum({w}) FILTER (v{j} = {v}), 0) + 1 AS {c}{s}{j}" for j in m for c, w in (("g", "n * q"), ("b", "n * (1 - q)")) for s, v in (("b", -1), ("g", 1)))
+        parts.append(f"r{k} AS MATERIALIZED (SELECT ln((sum(n * q) + 1) / (sum(n * (1 - q)) + 1)) AS prior, {counts} FROM q{k - 1})")
+        odds = " + ".join(f"CASE v{j} WHEN -1 THEN ln(gb{j} / (gb{j} + gg{j})) - ln(bb{j} / (bb{j} + bg{j})) WHEN 1 THEN ln(gg{j} / (gb{j} + gg{j})) - ln(bg{j} / (bb{j} + bg{j})) ELSE 0 END" for j in m)
+        parts.append(f"q{k} AS MATERIALIZED (SELECT {names}, n, 1 / (1 + exp(-(prior + {odds}))) AS q FROM q{k - 1}, r{k})")
+    failed = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
+    return "WITH " + ",\n    ".join(parts) + f"\n    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND q >= {threshold} AS kept, round(q, 6) AS posterior FROM x JOIN q{rounds} USING ({names})"
+
+
+ORACLE = _sql()
