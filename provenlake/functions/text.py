@@ -58,8 +58,8 @@ def strip_markdown_extension(path: Column) -> Column:
 
 
 def strip_invisible(c: Column) -> Column:
-    """Zero-width characters, direction marks and the byte order mark."""
-    return F.regexp_replace(c, r"[\u200B-\u200F\u202A-\u202E\u2060-\u2064\u2066-\u2069\uFEFF]", "")
+    """Without zero-width characters, direction overrides and the byte order mark."""
+    return F.regexp_replace(c, r"[\u200B-\u200D\u202A-\u202E\u2060-\u2064\u2066-\u2069\uFEFF]", "")
 
 
 def cited_indices(c: Column) -> Column:

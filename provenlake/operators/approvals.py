@@ -131,3 +131,31 @@ def catalogue_diff(pinned: DataFrame, live: DataFrame) -> DataFrame:
     met = p.join(n, "name", "full_outer")
     change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(~F.col("s1").eqNullSafe(F.col("s2")), "schema").when(~F.col("d1").eqNullSafe(F.col("d2")), "description").otherwise("none")
     return met.select("name", change.alias("change"))
+
+
+def workspace(events: DataFrame) -> DataFrame:
+    """key, seq, ok, version, reason: puts, locks and unlocks of shared objects, in order.
+
+    events: key, seq, op (put, lock, unlock), by, expected (version, null: any). A put fails where another
+    holds the lock or the version is not the expected one. State is one version and one owner a key; keys
+    come sorted from the shuffle and pass through in a stream.
+    """
+    import pandas as pd
+
+    ordered = events.select("key", "seq", "op", "by", F.col("expected").cast("double")).repartition("key").sortWithinPartitions("key", "seq")
+
+    def fold(batches):
+        at, version, owner = object(), 0, None
+        for pdf in batches:
+            out = []
+            for key, seq, op, by, expected in pdf.itertuples(index=False, name=None):
+                if key != at:
+                    at, version, owner = key, 0, None
+                reason = "locked" if owner is not None and owner != by else "version" if op == "put" and expected == expected and expected is not None and expected != version else None
+                if reason is None:
+                    version += op == "put"
+                    owner = by if op == "lock" else None if op == "unlock" else owner
+                out.append((key, seq, reason is None, version, reason))
+            yield pd.DataFrame(out, columns=["key", "seq", "ok", "version", "reason"])
+
+    return ordered.mapInPandas(fold, "key string, seq long, ok boolean, version long, reason string")

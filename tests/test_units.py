@@ -233,3 +233,18 @@ def test_skills_graph_and_sample(spark):
     assert approvals.activation(skill).first().held_by == "capability" and approvals.activation(skill, teeth=False).first().outcome == "shadow"
     assert one(spark, text.has_credential(F.lit("key sk-abcdefghijklmnopqrstu")))
     assert corpus.oversized_files(spark.createDataFrame([("a", "x")] * 20 + [("b", "x"), ("c", "x")], "path string, body string")).first().path == "a"
+
+
+def test_surface_and_workspace(spark):
+    from provenlake.functions import surface
+
+    assert one(spark, surface.outbound(F.lit("hi @Everyone <@&12>"))) == "hi `@Everyone` [role-mention]"
+    assert surface.pieces("a" * 1500 + "\n" + "b" * 1500) == ["a" * 1500, "b" * 1500]
+    assert [len(p) for p in surface.pieces("x" * 20000)] == [1900] * 5 and surface.pieces("") == [""]
+    assert one(spark, surface.inline_safe(F.lit(" a`b\nc "))) == "a\\`b c"
+    assert one(spark, surface.framed(F.lit("t"), F.lit("cli"))) == "[UNTRUSTED source=cli]\nt\n[/UNTRUSTED]"
+    rows = [("k", 1, "put", "a", None), ("k", 2, "put", "b", 0), ("k", 3, "put", "b", 1), ("k", 4, "lock", "a", None), ("k", 5, "put", "b", None), ("k", 6, "unlock", "a", None), ("k", 7, "put", "b", 2)]
+    df = spark.createDataFrame(rows, "key string, seq long, op string, by string, expected long")
+    assert [(r.ok, r.version, r.reason) for r in approvals.workspace(df).orderBy("seq").collect()] == [(True, 1, None), (False, 1, "version"), (True, 2, None), (True, 2, None), (False, 2, "locked"), (True, 2, None), (True, 3, None)]
+    q = spark.createDataFrame([(1, "!!"), (2, "w " * 40), (3, "fine")], "query_id long, text string")
+    assert {(r.query_id, r.notice) for r in search.query_notices(q).collect()} == {(1, "no_terms"), (2, "truncated")}
