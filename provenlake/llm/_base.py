@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: What the contracts call white space between words: space and \t \n \v \f \r.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACE_RE = r"[\x20\x09-\x0D]+"
+BATCH_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,6 +34,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The frame, after its session's Arrow batches are bounded to BATCH_BYTES where they may be larger.
+
+    Texts differ in length by orders of magnitude, so a bound in rows doesn't bound a worker's memory.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(key))
+    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def quoted(name: str) -> Column:
     """A column by its exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -48,3 +63,19 @@ def ascii_lower(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no model may learn from: crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+
+def hash_sample(rows: DataFrame, label: str, id_col: str, k: int, most_labels: int) -> tuple[DataFrame, dict]:
+    """id, label, n (rank): up to k rows of each of the most frequent labels, in the order of a hash of the id; and the labels' counts.
+
+    Counts come first. Of each label only ids whose hash lies in the lowest 4k of its rows, as the count
+    says, are ranked at all, so that no task ranks the rows of a whole label.
+    """
+    counts = {r[0]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(most_labels).collect()}
+    if not counts:
+        return rows.select(id_col, label).limit(0).withColumn("n", F.lit(0)), counts
+    share = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), F.lit(4.0 * k / n))])
+    place = F.xxhash64(id_col).cast("double") / 2.0**64 + 0.5
+    low = rows.select(id_col, label).where(place <= F.try_element_at(share, F.col(label)))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(id_col), id_col))
+    return low.withColumn("n", rank).where(F.col("n") <= k), counts

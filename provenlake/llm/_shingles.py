@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))
@@ -32,17 +34,20 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return _POWERS[int(base)][:n]
 
 
-def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK_BYTES together; a longer text is alone."""
+def chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
+    """(number of the first, texts): stretches of a column of texts of about CHUNK_BYTES together; a longer text is alone.
+
+    Only one stretch at a time is turned into Python objects.
+    """
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
     start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) + 1 if t else 1
-        if size and size + n > CHUNK_BYTES:
-            yield start, i
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n + 1 > CHUNK_BYTES:
+            yield start, texts.slice(start, i - start).to_pylist()
             start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+        size += n + 1
+    if start < len(sizes):
+        yield start, texts.slice(start).to_pylist()
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:

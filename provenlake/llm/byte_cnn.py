@@ -20,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._base import held_out, quoted
+from ._base import bounded_batches, hash_sample, held_out, quoted
 
 SAMPLE_PER_LANG = 300
 MOST_LANGS = 400
@@ -33,6 +32,7 @@ FILTERS = 8
 EMBED = 6
 EPOCHS = 12
 BLOCK_WINDOWS = 512
+BLOCK_TEXTS = 256
 SYMBOLS = 96
 
 
@@ -204,13 +204,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A network learned from the rows that aren't held out; None if there are none.
 
     The driver gets at most MOST_LANGS x per_lang x WINDOWS_PER_TEXT windows of LENGTH bytes. The
-    sample is drawn by a hash of the id; its top rows are found per partition before any shuffle.
+    sample is drawn by a hash of the id.
     """
-    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"), quoted(lang_col).alias("lang"))
-    usable = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    order = F.xxhash64("doc_id"), "doc_id"
-    top = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= per_lang)
-    chosen = top.orderBy("n", "lang").limit(MOST_LANGS * per_lang).select("doc_id", "lang")
+    rows = bounded_batches(docs).select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"), quoted(lang_col).alias("lang"))
+    usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    chosen, _ = hash_sample(usable.select("doc_id", "lang"), "lang", "doc_id", per_lang, MOST_LANGS)
+    chosen = chosen.select("doc_id", "lang")
+    usable = usable.where(F.col("text").rlike(r"\p{L}"))
     texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # at most MOST_LANGS * per_lang ids
     got = texts.select("text", "lang").mapInArrow(_sampled(WINDOWS_PER_TEXT), "lang string, window binary").toArrow()
     if not got.num_rows:
@@ -227,24 +227,25 @@ def _apply(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            letters = batch.column("has_letter").to_pylist()
-            lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            known = [i for i, ok in enumerate(letters) if ok and net is not None]
-            if known:
-                for i, p, s in zip(known, *net.predict([texts[i] for i in known]), strict=True):
+            lang, score = ["und"] * batch.num_rows, [0.0] * batch.num_rows
+            known = np.flatnonzero(batch.column("has_letter").to_numpy(zero_copy_only=False)) if net is not None else []
+            texts = batch.column("text").cast(pa.binary())
+            for a in range(0, len(known), BLOCK_TEXTS):
+                some = known[a : a + BLOCK_TEXTS]
+                for i, p, s in zip(some, *net.predict(texts.take(pa.array(some)).to_pylist()), strict=True):
                     lang[i], score[i] = p, s
-            yield pa.RecordBatch.from_arrays([batch.column("rec"), pa.array(lang), pa.array(score, type=pa.float64())], names=["rec", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("rec"), batch.column("text"), pa.array(lang), pa.array(score, type=pa.float64())], names=["rec", "text", "lang_pred", "score"])
 
     return run
 
 
 def identify(docs: DataFrame, net: ByteCNN | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """rec (a struct of the kept columns), lang_pred, score."""
-    keep = docs.columns if keep is None else keep
+    """rec (a struct of the kept columns but the text), text, lang_pred, score."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != text_col]
     text = quoted(text_col).cast("string")
-    rows = docs.select(F.struct(*[quoted(c) for c in keep]).alias("rec"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
-    schema = rows.select("rec", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    rec = F.struct(*[quoted(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    rows = bounded_batches(docs).select(rec.alias("rec"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
+    schema = rows.select("rec", "text", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     return rows.mapInArrow(_apply(docs.sparkSession.sparkContext.broadcast(net)), schema)
 
 
@@ -254,4 +255,4 @@ def keep_identified(docs: DataFrame, net: ByteCNN | None, text_col: str = "text"
     wanted = (F.col("lang_pred") != "und") & (F.col("score") >= least_score)
     if langs is not None:
         wanted &= F.col("lang_pred").isin(langs)
-    return found.where(wanted).select(*[F.col("rec").getField(c).alias(c) for c in docs.columns])
+    return found.where(wanted).select(*[(F.col("text") if c == text_col else F.col("rec").getField(c)).alias(c) for c in docs.columns])

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._base import durable, quoted
+from ._base import bounded_batches, durable, quoted
 from ._shingles import chunks, mix, shingle_sets
 from .components import connected
 
@@ -124,13 +125,13 @@ def _sign(levels: Levels, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in chunks(texts):
-                g, sizes = shingle_sets(texts[a:b], k)
+            ids = batch.column(0)
+            for a, texts in chunks(batch.column(1).cast(pa.binary())):
+                g, sizes = shingle_sets(texts, k)
                 own, n_own = segment_keys(g, sizes, levels.of(sizes), levels)
                 low, n_low = segment_keys(g, sizes, levels.below(sizes), levels)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(node_ids(g, sizes).view(np.int64)), _lists(own, n_own), _lists(low, n_low)],
+                    [ids.slice(a, len(texts)), pa.array(sizes.astype(np.int64)), pa.array(node_ids(g, sizes).view(np.int64)), _lists(own, n_own), _lists(low, n_low)],
                     names=["doc_id", "n_shingles", "node", "own", "low"],
                 )
 
@@ -147,10 +148,9 @@ def _sets_of(wanted, k: int):
             spot = mix(ids.view(np.uint64)) % _U(len(bits) * 8)
             keep = (bits[(spot >> _U(3)).astype(np.int64)] >> (spot & _U(7)).astype(np.uint8)) & 1
             some = batch.filter(pa.array(keep.astype(bool)))
-            texts = some.column(1).cast(pa.binary()).to_pylist()
-            for a, b in chunks(texts):
-                g, sizes = shingle_sets(texts[a:b], k)
-                yield pa.RecordBatch.from_arrays([some.column(0).slice(a, b - a), pa.array(node_ids(g, sizes).view(np.int64)), _lists(g, sizes)], names=["doc_id", "node", "shingles"])
+            for a, texts in chunks(some.column(1).cast(pa.binary())):
+                g, sizes = shingle_sets(texts, k)
+                yield pa.RecordBatch.from_arrays([some.column(0).slice(a, len(texts)), pa.array(node_ids(g, sizes).view(np.int64)), _lists(g, sizes)], names=["doc_id", "node", "shingles"])
 
     return run
 
@@ -242,7 +242,7 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int
     """
     t = Fraction(threshold)
     levels = Levels(t)
-    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     signed = durable(rows.mapInArrow(_sign(levels, k), "doc_id long, n_shingles long, node long, own array<long>, low array<long>"))
     nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
 
@@ -271,11 +271,20 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int
     )
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents, in their own columns, with one of each component: the row with the smallest id."""
-    found = jaccard_components(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    id_col = options.get("id_col", "doc_id")
-    return docs.join(found.withColumnRenamed("doc_id", "__kept"), quoted(id_col).cast("long") == F.col("__kept"), "left_semi")
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, in their own columns, with one of each component: the row with the smallest id.
+
+    Of rows that are equal in id and text one stays; rows of one id with texts that don't link all stay.
+    Rows without an id can't be told apart; they stay together if one of them stands alone.
+    """
+    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options).where("doc_id <=> component_id")
+    found = durable(found.groupBy(F.col("doc_id").alias("__first")).agg(F.count(F.lit(1)).alias("__n")))
+    kept = docs.join(found, quoted(id_col).cast("long").eqNullSafe(F.col("__first")), "left_semi")
+    if found.where("__n > 1").isEmpty():
+        return kept
+    rec = kept.select(F.struct(*[quoted(c) for c in docs.columns]).alias("rec"), quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("digest"))
+    once = rec.withColumn("n", F.row_number().over(Window.partitionBy("id", "digest").orderBy("digest"))).where("n = 1")
+    return once.select(*[F.col("rec").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = """

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import LOWER, UPPER, durable, quoted
+from ._base import LOWER, UPPER, bounded_batches, durable, quoted
 
 WINDOW = 10
 PART_WORDS = 400_000
@@ -179,9 +179,10 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.St
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", part_words: int = PART_WORDS, keep: list[str] | None = None) -> DataFrame:
-    """rec (a struct of the kept columns of docs), text, n_words, spans (hit words, start to end), items (ids as strings)."""
-    keep = docs.columns if keep is None else keep
-    rows = docs.select(F.struct(*[quoted(c) for c in keep]).alias("rec"), quoted(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    """rec (a struct of the kept columns of docs but the text), text, n_words, spans (hit words, start to end), items (ids as strings)."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != text_col]
+    rec = F.struct(*[quoted(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    rows = bounded_batches(docs).select(rec.alias("rec"), quoted(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     schema = rows.schema
     sc = docs.sparkSession.sparkContext
     for k, automaton in enumerate(_parts(benchmark, item_id_col, item_text_col, window, part_words)):
