@@ -14,6 +14,7 @@ from ..functions.hashing import code_chunk_hash, code_doc_id
 LONGEST = 400_000
 #: Files longer than this are indexed by their parts only, where there are any.
 WHOLE_FILE_MOST = 2000
+#: Fixed: which files are code, and what opens a block in them.
 _SUFFIX = r"\.(ts|tsx|js|jsx|mjs|cjs|py)$"
 _PY = re.compile(r"(def|class)\s+([A-Za-z_]\w*)")
 _JS = [
