@@ -12,8 +12,9 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root: the smallest node of each node's component, for every node that has an edge.
 
     ``edges``: u, v. Each step groups by node with a partial minimum and joins back, so a node with
-    very many edges is never gathered in one task. Edges are written to the shared folder after each
-    round; rounds grow with the logarithm of the size of the largest component.
+    very many edges is never gathered in one task; the minima are written first, so that Spark can split
+    a large partition of the join. Edges are written to the shared folder after each round; rounds grow
+    with the logarithm of the size of the largest component.
     """
     now = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
@@ -23,9 +24,10 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         before = sign
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = durable(large)
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     else:
