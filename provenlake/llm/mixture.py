@@ -24,6 +24,9 @@ from pyspark.sql.window import Window
 from ._base import durable, quoted, words
 
 BUCKETS = 4096
+#: Up to so many leaves their rows are broadcast, and no text is shuffled. Beyond that, rows meet copies of their leaf's row, so that a leaf with very many rows is spread over tasks.
+BROADCAST_LEAVES = 20_000
+SALTS = 32
 #: The production tree: which sources make up which domain, and the weights. Sources not named are in the last domain.
 DOMAINS = {"crawl": ["src0"], "books": [f"src{i}" for i in range(1, 10)]}
 OTHER_DOMAIN = "forums"
@@ -85,7 +88,7 @@ def leaf_budgets(leaves: DataFrame, budget: float, max_epochs: int, domain_weigh
     return df.join(above, parent).select(*LEAF, "tokens", F.floor("given").cast("long").alias("budget"))
 
 
-def mixed(docs: DataFrame, budget: float = 0.5, max_epochs: int = 3, seed: int = 42, domain: Column | None = None, domain_weights=None, lang_weights=None, source_weights=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, budget: float = 0.5, max_epochs: int = 3, seed: int = 42, domain: Column | None = None, domain_weights=None, lang_weights=None, source_weights=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None, broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
     """rec (a struct of the kept columns), domain, lang, source, n_tokens, copies (times the document is taken)."""
     keep = docs.columns if keep is None else keep
     named = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
@@ -98,11 +101,16 @@ def mixed(docs: DataFrame, budget: float = 0.5, max_epochs: int = 3, seed: int =
         rows = durable(rows)  # slim rows: texts are read once
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
     leaves = durable(leaf_budgets(leaves, budget, max_epochs, domain_weights, lang_weights, source_weights))
+    few = leaves.count() <= broadcast_leaves
     leaves = leaves.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0).cast("int")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
 
     def placed(part: DataFrame, about: DataFrame) -> DataFrame:
         """Rows with what is known of their leaf, and their place in the epoch that is cut."""
-        met = part.join(about, list(LEAF))
+        if few:
+            met = part.join(F.broadcast(about), list(LEAF))  # at most BROADCAST_LEAVES rows, as counted
+        else:
+            salted = about.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            met = part.withColumn("salt", F.pmod(F.xxhash64("id", "n_tokens"), F.lit(SALTS)).cast("int")).join(salted, [*LEAF, "salt"])
         key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
         return met.withColumn("place", key).withColumn("bucket", F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))
 

@@ -135,6 +135,8 @@ def test_mixture_prefix_and_epochs(spark, hard, empty):
         run += sums[k]
         upto[k] = run
     assert all(c == 1 + (upto[key(i)] <= budget - total) for i, _, c in got)
+    salted = mixture.mixed(docs, budget=1.7, max_epochs=3, domain=F.lit("d"), broadcast_leaves=0).collect()
+    assert sorted((r.rec.doc_id, r.copies) for r in salted) == sorted((i, c) for i, _, c in got)
     assert mixture.mixed(hard, keep=["doc_id"]).count() == hard.count()
     assert mixture.mix_documents(hard, budget=3.0, max_epochs=3, domain_weights=None).columns == hard.columns
     assert mixture.mixed(empty).isEmpty()
