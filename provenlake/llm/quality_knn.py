@@ -16,15 +16,15 @@ each; an empty table gives an empty result; only id and text are read.
 from __future__ import annotations
 
 import operator
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._base import held_out, quoted
+from ._base import bounded_batches, hash_sample, held_out, quoted
 
 SAMPLE_PER_LABEL = 1500
 OVERSAMPLE = 2
@@ -75,6 +75,15 @@ def text_terms(data: bytes) -> np.ndarray:
     return out
 
 
+def _top_axes(gram: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """The AXES leading right singular vectors, by subspace iteration on the Gram matrix."""
+    basis = np.random.default_rng(11).normal(size=(len(gram), AXES + 16))
+    for _ in range(rounds):
+        basis, _ = np.linalg.qr(gram @ basis)
+    size, turn = np.linalg.eigh(basis.T @ gram @ basis)
+    return np.ascontiguousarray(basis @ turn[:, np.argsort(size)[::-1][:AXES]]).astype(np.float32)
+
+
 class LatentVoter:
     """The latent axes and the labelled vectors."""
 
@@ -84,8 +93,7 @@ class LatentVoter:
         at_all = (terms[:, :TERMS] > 0).sum(axis=0)
         self.idf = np.log((1 + len(terms)) / (1 + at_all)).astype(np.float32) + 0.1
         x = self.weighted(terms)
-        size, axes = np.linalg.eigh(x.T @ x)
-        self.axes = np.ascontiguousarray(axes[:, np.argsort(size)[::-1][:AXES]]).astype(np.float32)
+        self.axes = _top_axes(x.T @ x)
         self.vectors = self.unit(x @ self.axes)
         of = {v: (self.labels == v).mean() for v in share}
         self.weight = np.array([share[int(v)] / of[int(v)] for v in labels], dtype=np.float32)
@@ -110,7 +118,7 @@ class LatentVoter:
 
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        terms = [text_terms(t.as_py() or b"").tobytes() for t in batch.column("text").cast(pa.binary())]
+        terms = [zlib.compress(text_terms(t.as_py() or b"").tobytes(), 1) for t in batch.column("text").cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column("n"), batch.column("label"), pa.array(terms, type=pa.binary())], names=["n", "label", "terms"])
 
 
@@ -122,8 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """
     known = labels.select(quoted(id_col).alias("doc_id"), quoted(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
-    shares = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    top = known.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("n") <= per_label * OVERSAMPLE)
+    top, shares = hash_sample(known, "label", "doc_id", per_label * OVERSAMPLE, 2)
     texts = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text")).join(F.broadcast(top), "doc_id")  # at most 2 * per_label * OVERSAMPLE ids
     got = texts.select("n", "label", "text").mapInArrow(_terms_of, "n int, label int, terms binary").toArrow()
     rows = sorted(zip(got.column("label").to_pylist(), got.column("n").to_pylist(), got.column("terms").to_pylist(), strict=True))
@@ -134,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     if not kept:
         return None
     y = np.array([label for label, mine in kept.items() for _ in mine])
-    x = np.array([np.frombuffer(t, dtype=np.float32) for mine in kept.values() for t in mine])
+    x = np.array([np.frombuffer(zlib.decompress(t), dtype=np.float32) for mine in kept.values() for t in mine])
     total = sum(shares[v] for v in kept)
     return LatentVoter(x, y, {v: shares[v] / total for v in kept})
 
@@ -156,6 +163,6 @@ def _apply(shared):
 def score_quality(docs: DataFrame, voter: LatentVoter | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """rec (a struct of the kept columns), score (0 to 1; higher: label 1 likelier)."""
     keep = docs.columns if keep is None else keep
-    rows = docs.select(F.struct(*[quoted(c) for c in keep]).alias("rec"), quoted(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.struct(*[quoted(c) for c in keep]).alias("rec"), quoted(text_col).cast("string").alias("text"))
     schema = rows.select("rec", F.lit(0.0).alias("score")).schema
     return rows.mapInArrow(_apply(docs.sparkSession.sparkContext.broadcast(voter)), schema)
