@@ -13,9 +13,9 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))
 _OF_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_OF_BYTE[_IS_SPACE] = 0
+IS_SPACE = np.zeros(256, dtype=bool)
+IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_OF_BYTE[IS_SPACE] = 0
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -53,7 +53,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, ASCII letters lower-cased, and the number of the text it stands in."""
     data = np.frombuffer(b"\n".join(t or b"" for t in texts).lower() + b"\n", dtype=np.uint8)
-    space = _IS_SPACE[data]
+    space = IS_SPACE[data]
     edge = np.diff(np.concatenate(([1], space.view(np.int8))))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not space[0]:
@@ -64,6 +64,23 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(begins, start, side="right") - 1
 
 
+def word_sums(data: bytes, k: int) -> np.ndarray:
+    """Two hashes (rows) of each k words in a row of one text, letters as they are."""
+    octets = np.frombuffer(data + b"\n", dtype=np.uint8)
+    space = IS_SPACE[octets]
+    edge = np.diff(np.concatenate(([1], space.view(np.int8))))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_OF_BYTE[octets] * _powers(_BASE, len(octets)), dtype=np.uint64)))
+    words = mix((sums[end] - sums[start]) * _powers(_BASE_INV, len(octets))[start])
+    n = len(words) - k + 1
+    out = np.zeros((2, max(n, 0)), dtype=np.uint64)
+    for row, base, inverse in zip(out, (_BASE, _BASE_INV), (_BASE_INV, _BASE), strict=True):
+        if n > 0:
+            run = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(words ^ base) * _powers(base, len(words)), dtype=np.uint64)))
+            row[:] = mix((run[k:] - run[:n]) * _powers(inverse, len(words))[:n])
+    return out
+
+
 def shingle_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of the k-word shingles of each text, one text after the other, and the number of each text's.
 

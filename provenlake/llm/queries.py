@@ -41,7 +41,7 @@ def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = sentence_spans.dedup_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    clean = sentence_spans.dedup_spans(table(spark, sf_dir, "documents"), keep=["doc_id"], passage_words=sentence_spans.PASSAGE_WORDS)
     return clean.select("rec.doc_id", "n_sentences", "n_removed", "text")
 
 
