@@ -5,6 +5,8 @@ language id -> n-gram Jaccard join -> benchmark decontamination -> mixing to wei
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 
 from provenlake.llm import byte_cnn, fragment_join, mixture, suffix_decontam, virtual_slots
@@ -16,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    return fragment_join.deduplicate(docs)
+    """Of each group of documents linked by a Jaccard similarity of five-word shingles of 0.8 or more, the one with the smallest id stays."""
+    return fragment_join.deduplicate(docs, threshold=Fraction(80, 100), k=5)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
