@@ -237,7 +237,8 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int
 
     Defined results: null and word-less texts have no shingles and link with nothing; texts are read
     whole; repeated rows (equal ids or texts) are documents of their own, which link as their texts
-    do; a null id is never a component's id unless the row stands alone; an empty table gives an
+    do; rows without an id link as well, but a null id is never a component's id unless no row of it has
+    one; an empty table gives an
     empty result; extra columns are ignored.
     """
     t = Fraction(threshold)
@@ -255,7 +256,8 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int
     wanted = durable(nodes.join(members.select("node").distinct(), "node", "left_semi"))  # node, rep
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("rep"), bitmap_bits))
     sets = rows.mapInArrow(_sets_of(bits, k), "doc_id long, node long, shingles array<long>")
-    sets = durable(sets.join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "node"], "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    of_rep = (sets["node"] == wanted["node"]) & sets["doc_id"].eqNullSafe(wanted["rep"])  # a text may have rows without an id only
+    sets = durable(sets.join(wanted, of_rep, "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
 
     small = members.where(F.col("n") <= SMALL_GROUP).select("key", "node")
     left, right = small.alias("l"), small.alias("r")
