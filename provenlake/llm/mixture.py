@@ -10,7 +10,7 @@ No task ever orders a whole leaf: an epoch's order is cut into ``BUCKETS`` slots
 tokens are summed per leaf and slot, and only the slot in which a leaf's prefix ends is ordered.
 
 Defined results: null text has no tokens; null domain, language or source is a child of its own, named
-``(none)``; an empty text costs nothing and is taken with the prefix that reaches it; rows of one leaf
+``(none)``; a child without a named weight has the least named one above 0; an empty text costs nothing and is taken with the prefix that reaches it; rows of one leaf
 with equal ids share their place and are taken together or not at all; a weight of 0, or a budget of 0,
 gives no tokens; an empty table gives an empty result; further columns pass through unchanged.
 """
@@ -43,10 +43,10 @@ def domain_of(source: Column) -> Column:
 
 
 def _weight(of: Column, weights: dict[str, float] | None) -> Column:
-    """The weight of a child; 1 for all if there are no weights, 0 for those not named."""
+    """The weight of a child; 1 for all if there are no weights. One not named has the least weight above 0 that is named."""
     if weights is None:
         return F.lit(1.0)
-    out = F.lit(0.0)
+    out = F.lit(float(min((w for w in weights.values() if w > 0), default=1.0)))
     for name, w in weights.items():
         out = F.when(of == name, float(w)).otherwise(out)
     return out
@@ -74,8 +74,12 @@ def share_out(children: DataFrame, parent: list[str]) -> DataFrame:
 
 def leaf_budgets(leaves: DataFrame, budget: float, max_epochs: int, domain_weights=None, lang_weights=None, source_weights=None) -> DataFrame:
     """domain, lang, source, tokens, budget (whole tokens). leaves: domain, lang, source, tokens; budget: a share of all tokens."""
-    df = leaves.withColumn("capacity", F.col("tokens").cast("double") * max_epochs)
     ways = ((["domain"], domain_weights), (["domain", "lang"], lang_weights), (list(LEAF), source_weights))
+    open_path = F.lit(True)
+    for level, weights in ways:
+        open_path = open_path & (_weight(F.col(level[-1]), weights) > 0)
+    # A leaf below a weight of 0 can take nothing, so it is no room that its parents could be given tokens for.
+    df = leaves.withColumn("capacity", F.when(open_path, F.col("tokens").cast("double") * max_epochs).otherwise(0.0))
     total = df.agg((F.sum("tokens") * F.lit(float(budget))).alias("given")).withColumn("root", F.lit(1))
     above, parent = total, ["root"]
     df = df.withColumn("root", F.lit(1))
