@@ -1,15 +1,39 @@
-"""Cutting the lineage of iterative operators."""
+"""Cutting the lineage of iterative operators, and the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The session's checkpoint folder, as ``spark.checkpoint.dir`` names it.
+
+    Only where the driver and the executors are one process (``local[...]``, as in tests) a temporary folder
+    stands in for one that isn't named; on a cluster a missing folder is an error, because a folder of one
+    machine can't be read by the others.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of our own below the shared one."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A copy in the session's checkpoint folder, which all executors share; a folder of our own only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """Cut the lineage with a copy in the folder that all executors share.
+
+    The copy outlives any executor, and Spark's cleaner removes it where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)

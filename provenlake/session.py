@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import zipfile
@@ -13,8 +14,12 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
-def build_session(app: str = "provenlake", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the library is written for; ``conf`` adds to them (``_`` stands for ``.``)."""
+def build_session(app: str = "provenlake", master: str | None = None, shuffle_partitions: int | None = None, checkpoint_dir: str | None = None, **conf: str) -> SparkSession:
+    """A session with the settings the library is written for; ``conf`` adds to them (``_`` stands for ``.``).
+
+    ``checkpoint_dir`` is the folder that the driver and all executors share; a cluster needs one, here or in its own
+    settings. With a local master a temporary folder is taken where none is given.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -25,6 +30,10 @@ def build_session(app: str = "provenlake", master: str | None = None, shuffle_pa
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
+    if checkpoint_dir is None and master is not None and re.fullmatch(r"local(\[[^\]]*\])?", master):
+        checkpoint_dir = tempfile.mkdtemp(prefix="provenlake-checkpoint-")
+    if checkpoint_dir:
+        settings["spark.checkpoint.dir"] = checkpoint_dir
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings |= {k.replace("_", "."): v for k, v in conf.items()}
