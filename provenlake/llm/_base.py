@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..materialise import durable, shared_folder  # noqa: F401
+
 #: What the contracts call white space between words: space and \t \n \v \f \r.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 BATCH_BYTES = 4 << 20
+BITMAP_BITS = 1 << 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,20 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is set only where
-    the session names none (tests). The copy outlives any executor, and Spark's cleaner removes it
-    where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def bounded_batches(df: DataFrame) -> DataFrame:
     """The frame, after its session's Arrow batches are bounded to BATCH_BYTES where they may be larger.
 
@@ -46,6 +34,21 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def with_maybe(df: DataFrame, id: Column, ids: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    """Adds ``__maybe``: false only for rows whose id is not among ``ids`` (one column).
+
+    The ids' hashes set bits of a table of at most ``bits`` / 32 rows, which is broadcast. It spares shuffles rows
+    that no join would match; when the table is full, it costs speed, not rows.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    word = lambda c: F.shiftright(spot(c), 5).cast("int")
+    bit = lambda c: F.pow(F.lit(2.0), F.pmod(spot(c), F.lit(32))).cast("long")
+    at = F.col(ids.columns[0])
+    table = ids.select(word(at).alias("__word"), bit(at).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    met = df.withColumn("__word", word(id)).withColumn("__bit", bit(id)).join(F.broadcast(table), "__word", "left")  # at most bits / 32 rows
+    return met.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))).drop("__word", "__bit", "__bits")
+
+
 def quoted(name: str) -> Column:
     """A column by its exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -65,16 +68,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def hash_sample(rows: DataFrame, label: str, id_col: str, k: int, most_labels: int) -> tuple[DataFrame, dict]:
-    """id, label, n (rank): up to k rows of each of the most frequent labels, in the order of a hash of the id; and the labels' counts.
+def hash_sample(rows: DataFrame, label: str, id_col: str, k: int, total: int) -> tuple[DataFrame, dict]:
+    """id, label, n (rank): up to k rows of each label, in the order of a hash of the id; and the labels' counts.
 
-    Counts come first. Of each label only ids whose hash lies in the lowest 4k of its rows, as the count
-    says, are ranked at all, so that no task ranks the rows of a whole label.
+    Where there are so many labels that k rows of each would be more than ``total``, each gives an equal
+    smaller number, at least one. Counts come first (one row a label). Of each label only ids whose hash lies
+    in the lowest 4k of its rows, as the count says, are ranked at all, so that no task ranks the rows of a
+    whole label.
     """
-    counts = {r[0]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(most_labels).collect()}
+    counts = {r[0]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).collect()}
     if not counts:
         return rows.select(id_col, label).limit(0).withColumn("n", F.lit(0)), counts
-    share = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), F.lit(4.0 * k / n))])
+    k = max(min(k, total // len(counts)), 1)
+    share = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), F.lit(4.0 * (k + 4) / n))])
     place = F.xxhash64(id_col).cast("double") / 2.0**64 + 0.5
     low = rows.select(id_col, label).where(place <= F.try_element_at(share, F.col(label)))
     rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(id_col), id_col))

@@ -50,35 +50,41 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
         yield start, texts.slice(start).to_pylist()
 
 
-def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, ASCII letters lower-cased, and the number of the text it stands in."""
-    data = np.frombuffer(b"\n".join(t or b"" for t in texts).lower() + b"\n", dtype=np.uint8)
+def word_spans(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, a line end after each; where each word starts and ends in them; and the first byte of each text."""
+    joined = b"\n".join(t or b"" for t in texts) + b"\n"
+    data = np.frombuffer(joined.lower() if lower else joined, dtype=np.uint8)
     space = IS_SPACE[data]
     edge = np.diff(np.concatenate(([1], space.view(np.int8))))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not space[0]:
-        end = end[: len(start)]
-    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_OF_BYTE[data] * _powers(_BASE, len(data)), dtype=np.uint64)))
-    hashes = mix((sums[end] - sums[start]) * _powers(_BASE_INV, len(data))[start])
     begins = np.cumsum([0] + [(len(t) if t else 0) + 1 for t in texts[:-1]])
-    return hashes, np.searchsorted(begins, start, side="right") - 1
+    return data, start, end, begins
 
 
-def word_sums(data: bytes, k: int) -> np.ndarray:
-    """Two hashes (rows) of each k words in a row of one text, letters as they are."""
-    octets = np.frombuffer(data + b"\n", dtype=np.uint8)
-    space = IS_SPACE[octets]
-    edge = np.diff(np.concatenate(([1], space.view(np.int8))))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_OF_BYTE[octets] * _powers(_BASE, len(octets)), dtype=np.uint64)))
-    words = mix((sums[end] - sums[start]) * _powers(_BASE_INV, len(octets))[start])
-    n = len(words) - k + 1
-    out = np.zeros((2, max(n, 0)), dtype=np.uint64)
-    for row, base, inverse in zip(out, (_BASE, _BASE_INV), (_BASE_INV, _BASE), strict=True):
-        if n > 0:
-            run = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(words ^ base) * _powers(base, len(words)), dtype=np.uint64)))
-            row[:] = mix((run[k:] - run[:n]) * _powers(inverse, len(words))[:n])
-    return out
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each word."""
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_OF_BYTE[data] * _powers(_BASE, len(data)), dtype=np.uint64)))
+    return mix((sums[end] - sums[start]) * _powers(_BASE_INV, len(data))[start])
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, ASCII letters lower-cased, and the number of the text it stands in."""
+    data, start, end, begins = word_spans(texts, lower=True)
+    return span_hashes(data, start, end), np.searchsorted(begins, start, side="right") - 1
+
+
+class RunHashes:
+    """Two hashes of any stretch of words, from running sums over the words' hashes."""
+
+    def __init__(self, words: np.ndarray):
+        self.sums = []
+        for base, inverse in ((_BASE, _BASE_INV), (_BASE_INV, _BASE)):
+            power = _powers(base, max(len(words), 1))[: len(words)]
+            self.sums.append((np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(words ^ base) * power, dtype=np.uint64))), _powers(inverse, len(words) + 1)))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Rows: the two hashes of the words from each start to before each end."""
+        return np.stack([mix((sums[end] - sums[start]) * power[start] + (end - start).astype(np.uint64)) for sums, power in self.sums])
 
 
 def shingle_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,13 +2,14 @@
 
 Bytes are embedded, convolved with filters of several widths, max-pooled over fixed-length windows
 and classified by softmax. Training is plain numpy on windows of a bounded sample of labelled texts
-(``SAMPLE_PER_LANG`` texts of each language, ``WINDOWS_PER_TEXT`` windows of each); prediction takes
+(up to ``SAMPLE_PER_LANG`` texts of each language and ``SAMPLE_TEXTS`` of all, but one of every language at
+least; ``WINDOWS_PER_TEXT`` windows of each); prediction takes
 every window of every whole text, in batches, and averages the windows' probabilities by the letters
 they hold.
 
 Defined results: text that is null or has no letter is ``und`` with score 0; so is everything if no
-labelled row may be learned from; with one learned language that is the answer, with score 1; very
-long texts take more windows; repeated rows get equal results each (and count once each in the
+labelled row may be learned from; with one learned language that is the answer, with score 1; of equally likely languages the first by name is
+taken; very long texts take more windows; repeated rows get equal results each (and count once each in the
 sample); an empty table gives an empty result; further columns pass through ``identify`` unchanged.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from ._base import bounded_batches, hash_sample, held_out, quoted
 
 SAMPLE_PER_LANG = 300
-MOST_LANGS = 400
+SAMPLE_TEXTS = 120_000
 WINDOWS_PER_TEXT = 4
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -203,15 +204,15 @@ def _sampled(n: int):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG, epochs: int = EPOCHS) -> ByteCNN | None:
     """A network learned from the rows that aren't held out; None if there are none.
 
-    The driver gets at most MOST_LANGS x per_lang x WINDOWS_PER_TEXT windows of LENGTH bytes. The
-    sample is drawn by a hash of the id.
+    The driver gets at most SAMPLE_TEXTS x WINDOWS_PER_TEXT windows of LENGTH bytes. No language is left out:
+    the more there are, the fewer texts each gives. The sample is drawn by a hash of the id.
     """
     rows = bounded_batches(docs).select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"), quoted(lang_col).alias("lang"))
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen, _ = hash_sample(usable.select("doc_id", "lang"), "lang", "doc_id", per_lang, MOST_LANGS)
+    chosen, _ = hash_sample(usable.select("doc_id", "lang"), "lang", "doc_id", per_lang, SAMPLE_TEXTS)
     chosen = chosen.select("doc_id", "lang")
     usable = usable.where(F.col("text").rlike(r"\p{L}"))
-    texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # at most MOST_LANGS * per_lang ids
+    texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # at most SAMPLE_TEXTS ids
     got = texts.select("text", "lang").mapInArrow(_sampled(WINDOWS_PER_TEXT), "lang string, window binary").toArrow()
     if not got.num_rows:
         return None
@@ -223,7 +224,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return net.fit(x, y, epochs) if len(langs) > 1 else net
 
 
-def _apply(shared):
+def _apply(shared, out: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
@@ -234,25 +235,33 @@ def _apply(shared):
                 some = known[a : a + BLOCK_TEXTS]
                 for i, p, s in zip(some, *net.predict(texts.take(pa.array(some)).to_pylist()), strict=True):
                     lang[i], score[i] = p, s
-            yield pa.RecordBatch.from_arrays([batch.column("rec"), batch.column("text"), pa.array(lang), pa.array(score, type=pa.float64())], names=["rec", "text", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in out], pa.array(lang), pa.array(score, type=pa.float64())], names=[*out, "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, net: ByteCNN | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """rec (a struct of the kept columns but the text), text, lang_pred, score."""
+def identify(docs: DataFrame, net: ByteCNN | None, text_col: str = "text", keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
+    """rec (a struct of the kept columns but the text), text, lang_pred, score. Without ``with_text`` the text isn't handed back."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != text_col]
     text = quoted(text_col).cast("string")
     rec = F.struct(*[quoted(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     rows = bounded_batches(docs).select(rec.alias("rec"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
-    schema = rows.select("rec", "text", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(_apply(docs.sparkSession.sparkContext.broadcast(net)), schema)
+    out = ["rec", "text"] if with_text else ["rec"]
+    schema = rows.select(*out, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    return rows.mapInArrow(_apply(docs.sparkSession.sparkContext.broadcast(net), out), schema)
 
 
-def keep_identified(docs: DataFrame, net: ByteCNN | None, text_col: str = "text", langs: list[str] | None = None, least_score: float = 0.0) -> DataFrame:
-    """The documents, in their own columns, without those in no language, in none of ``langs``, or below ``least_score``."""
+def keep_identified(docs: DataFrame, net: ByteCNN | None, text_col: str = "text", langs: list[str] | None = None, least_score: float = 0.0, lang_col: str | None = None) -> DataFrame:
+    """The documents, in their own columns, without those in no language, in none of ``langs``, or below ``least_score``.
+
+    ``lang_col`` names a column that takes the language found. Without a network nothing is known of any
+    language: then all texts with a letter stay, with the language they had.
+    """
+    if net is None:
+        return docs.where(F.coalesce(quoted(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
     found = identify(docs, net, text_col)
     wanted = (F.col("lang_pred") != "und") & (F.col("score") >= least_score)
     if langs is not None:
         wanted &= F.col("lang_pred").isin(langs)
-    return found.where(wanted).select(*[(F.col("text") if c == text_col else F.col("rec").getField(c)).alias(c) for c in docs.columns])
+    column = lambda c: F.col("text") if c == text_col else F.col("lang_pred") if c == lang_col else F.col("rec").getField(c)
+    return found.where(wanted).select(*[column(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -3,19 +3,23 @@
 Every document becomes the set of its distinct shingles' hashes; the order of the hashes is the
 global n-gram order, and it is cut into fragments. A document's part in a fragment is its segment.
 
-Candidates. Two sets with Jaccard similarity of at least t differ in at most D = a(1-t)/t shingles,
-a being the smaller size. With D + 1 fragments at least one segment must be equal, so documents meet
-on equal segments, not on single (perhaps very common) shingles. Sizes are cut into levels, each with
-its own number of fragments; a document takes part in its own level and, if it can be the larger one
-of a pair, in the level below. A few fragments more than D + 1 leave room for empty segments: these
-are no keys, unless a document has more of them than that room.
-
-Links. Overlaps are counted fragment by fragment and summed per pair. Where at most ``SMALL_GROUP``
-documents share a segment, their pairs are joined with the segments. Larger groups are merged into
-clusters, a cluster is dealt into blocks of bounded size, and each pair of blocks is one small task
-that counts all overlaps of its documents as products of incidence matrices, fragment by fragment, and
-returns a spanning forest of the links. So no task holds a whole group, and the pairs of a large group
-are never rows.
+Which documents meet in a fragment. Two sets with Jaccard similarity of at least t differ in at most
+D = a(1-t)/t shingles, a being the smaller size. With D + 1 fragments at least one segment must be equal, so
+documents meet on equal segments, not on single (perhaps very common) shingles. Sizes are cut into levels,
+each with its own number of fragments; a document takes part in its own level and, if it can be the larger
+one of a pair, in the level below. A few fragments more than D + 1 leave room for empty segments: these
+are no keys, unless a document has more of them than that room. An order by frequency would gather the
+common shingles in a few fragments, in which documents that share nothing else would have equal segments;
+the hashes spread them over all.
+
+Counting. The segments of ``COUNT_FRAGMENTS`` equal stretches of the order are joined fragment by fragment; each
+fragment gives a partial overlap per pair, and the partial overlaps are summed per pair and held against the threshold.
+
+Large groups. Where at most ``SMALL_GROUP`` documents share a segment, their pairs are counted by that join. Larger groups
+are merged into clusters, a cluster is dealt into blocks of bounded size, and each pair of blocks is one small task
+that sums the partial overlaps of its documents as products of incidence matrices, fragment by fragment, and
+returns a spanning forest of the links. So no task holds a whole group, and the pairs of a large group are
+never rows.
 
 Copies (equal sets) are one node throughout.
 """
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._base import bounded_batches, durable, quoted
+from ._base import BITMAP_BITS, bounded_batches, durable, quoted, with_maybe
 from ._shingles import chunks, mix, shingle_sets
 from .components import connected
 
@@ -42,7 +46,6 @@ COUNT_FRAGMENTS = 8
 SMALL_GROUP = 8
 BLOCK_NODES = 128
 BLOCK_SHINGLES = 150_000
-BITMAP_BITS = 1 << 24
 _U = np.uint64
 
 
@@ -138,66 +141,43 @@ def _sign(levels: Levels, k: int):
     return run
 
 
-def _sets_of(wanted, k: int):
-    """doc_id, text -> doc_id, shingles (sorted), for the ids whose bit is set."""
+def _segments(k: int):
+    """doc_id, text -> doc_id, node, f, n (size of the whole set), part (its shingles in fragment f, sorted); fragments without any give no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            spot = mix(ids.view(np.uint64)) % _U(len(bits) * 8)
-            keep = (bits[(spot >> _U(3)).astype(np.int64)] >> (spot & _U(7)).astype(np.uint8)) & 1
-            some = batch.filter(pa.array(keep.astype(bool)))
-            for a, texts in chunks(some.column(1).cast(pa.binary())):
+            for a, texts in chunks(batch.column(1).cast(pa.binary())):
                 g, sizes = shingle_sets(texts, k)
-                yield pa.RecordBatch.from_arrays([some.column(0).slice(a, len(texts)), pa.array(node_ids(g, sizes).view(np.int64)), _lists(g, sizes)], names=["doc_id", "node", "shingles"])
+                nodes = node_ids(g, sizes).view(np.int64)
+                place = np.repeat(np.arange(len(texts)), sizes) * COUNT_FRAGMENTS + ((g >> _U(32)) * _U(COUNT_FRAGMENTS) >> _U(32)).astype(np.int64)
+                counts = np.bincount(place, minlength=len(texts) * COUNT_FRAGMENTS)
+                at = np.flatnonzero(counts)
+                which, f = at // COUNT_FRAGMENTS, (at % COUNT_FRAGMENTS).astype(np.int32)
+                ids = batch.column(0).take(pa.array(which + a))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(nodes[which]), pa.array(f), pa.array(sizes[which].astype(np.int64)), _lists(g, counts[at])], names=["doc_id", "node", "f", "n", "part"])
 
     return run
 
 
-def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
-    """Bits of the hashed ids in a table of fixed size (at most bits / 32 rows come to the driver).
-
-    It only spares the shuffle rows that no join would match; a full bitmap costs speed, not rows.
-    """
-
-    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            spot = mix(ids.view(np.uint64)) % _U(bits)
-            yield pa.RecordBatch.from_arrays([pa.array((spot >> _U(5)).astype(np.int32)), pa.array((_U(1) << (spot & _U(31))).astype(np.int64))], names=["word", "bit"])
-
-    got = ids.mapInArrow(spots, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(bits // 32, dtype=np.uint32)
-    out[got.column("word").to_numpy()] = got.column("bit").to_numpy().astype(np.uint32)
-    return out.view(np.uint8)
-
-
-def _pairs_that_link(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """a, b of the pairs whose sets reach the threshold. pairs: a, b (nodes); sets: node, shingles.
-
-    The order is cut into COUNT_FRAGMENTS fragments; each gives a partial overlap per pair, and the
-    partial overlaps are summed per pair.
-    """
-    fragment = lambda x: F.pmod(F.shiftrightunsigned(x, 60), F.lit(COUNT_FRAGMENTS))
-    cut = sets.select("node", F.size("shingles").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(COUNT_FRAGMENTS - 1))).alias("f"), "shingles")
-    cut = cut.select("node", "n", "f", F.filter("shingles", lambda x: fragment(x) == F.col("f")).alias("part"))
-    left = pairs.join(cut.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "f", F.col("part").alias("part_a")), "a")
-    met = left.join(cut.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "f", F.col("part").alias("part_b")), ["b", "f"])
+def _pairs_that_link(pairs: DataFrame, segments: DataFrame, threshold: Fraction) -> DataFrame:
+    """a, b of the pairs whose sets reach the threshold. pairs: a, b (nodes); segments: node, f, n, part."""
+    left = pairs.join(segments.select(F.col("node").alias("a"), "f", F.col("n").alias("n_a"), F.col("part").alias("part_a")), "a")
+    met = left.join(segments.select(F.col("node").alias("b"), "f", F.col("n").alias("n_b"), F.col("part").alias("part_b")), ["b", "f"])
     partial = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("both"))
     summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
     t = threshold
     return summed.where(t.denominator * F.col("both") >= t.numerator * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
-def _links_in_blocks(hot: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+def _links_in_blocks(hot: DataFrame, segments: DataFrame, threshold: Fraction) -> DataFrame:
     """a, b: links that connect what is connected within the clusters of large groups. hot: key, node, leader."""
     clusters = connected(hot.select(F.col("leader").alias("u"), F.col("node").alias("v")))
-    rows = durable(sets.join(clusters, "node").select(F.col("root").alias("cluster"), "node", "shingles"))
-    sizes = rows.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = durable(segments.join(clusters, "node").select(F.col("root").alias("cluster"), "node", "f", "n", "part"))
+    nodes = rows.groupBy("cluster", "node").agg(F.max("n").alias("n"))
+    sizes = nodes.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    met = met.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "shingles")
+    met = met.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "f", "n", "part")
     return met.groupBy("cluster", "i", "j").applyInArrow(_block_links(threshold), "a long, b long")
 
 
@@ -206,20 +186,21 @@ def _block_links(threshold: Fraction):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        nodes = table.column("node").to_numpy()
-        lists = table.column("shingles").combine_chunks() if table.num_rows else None
-        n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        g = lists.flatten().to_numpy().astype(np.int64).view(np.uint64)
-        owner = np.repeat(np.arange(len(nodes)), n)
-        fragment = (g >> _U(61)).astype(np.int64) % COUNT_FRAGMENTS
+        nodes, seat_of = np.unique(table.column("node").to_numpy(), return_inverse=True)
+        fragment, n = table.column("f").to_numpy(), np.zeros(len(nodes), dtype=np.int64)
+        n[seat_of] = table.column("n").to_numpy()
         both = np.zeros((len(nodes), len(nodes)), dtype=np.float32)
         for f in range(COUNT_FRAGMENTS):  # the partial overlaps of each fragment, summed per pair
-            mine = fragment == f
-            _, column, times = np.unique(g[mine], return_inverse=True, return_counts=True)
+            mine = np.flatnonzero(fragment == f)
+            if not len(mine):
+                continue
+            lists = table.column("part").take(pa.array(mine)).combine_chunks()
+            owner = np.repeat(seat_of[mine], np.diff(lists.offsets.to_numpy()))
+            _, column, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
             seat = np.cumsum(times > 1) - 1
             again = times[column] > 1
-            part = np.zeros((len(nodes), int(seat[-1]) + 1 if len(seat) else 0), dtype=np.float32)
-            part[owner[mine][again], seat[column[again]]] = 1
+            part = np.zeros((len(nodes), int(seat[-1]) + 1), dtype=np.float32)
+            part[owner[again], seat[column[again]]] = 1
             both += part @ part.T
         linked = t.denominator * both >= t.numerator * (n[:, None] + n[None, :] - both)
         np.fill_diagonal(linked, True)
@@ -254,15 +235,15 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int
     members = durable(members.join(counts, "key"))
 
     wanted = durable(nodes.join(members.select("node").distinct(), "node", "left_semi"))  # node, rep
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("rep"), bitmap_bits))
-    sets = rows.mapInArrow(_sets_of(bits, k), "doc_id long, node long, shingles array<long>")
-    of_rep = (sets["node"] == wanted["node"]) & sets["doc_id"].eqNullSafe(wanted["rep"])  # a text may have rows without an id only
-    sets = durable(sets.join(wanted, of_rep, "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    some = with_maybe(rows, F.col("doc_id"), wanted.select("rep"), bitmap_bits).where("__maybe").select("doc_id", "text")
+    segments = some.mapInArrow(_segments(k), "doc_id long, node long, f int, n long, part array<long>")
+    segments = segments.join(wanted, "node").where("doc_id <=> rep")  # a text may have rows without an id only
+    segments = durable(segments.groupBy("node", "f").agg(F.first("n").alias("n"), F.first("part").alias("part")))
 
     small = members.where(F.col("n") <= SMALL_GROUP).select("key", "node")
     left, right = small.alias("l"), small.alias("r")
     pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    links = _pairs_that_link(durable(pairs), sets, t).unionByName(_links_in_blocks(members.where(F.col("n") > SMALL_GROUP), sets, t))
+    links = _pairs_that_link(durable(pairs), segments, t).unionByName(_links_in_blocks(members.where(F.col("n") > SMALL_GROUP), segments, t))
     roots = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     named = durable(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))

@@ -1,17 +1,24 @@
 """URL filtering by trust that spreads over the host link graph.
 
 Personalised PageRank starts at trusted hosts and follows links forward; distrust starts at blocked
-hosts and follows links backward, since a host that links to a blocked one is suspect itself. A host
-is allowed where its trust, less its distrust, reaches a threshold. Rules on single urls come first.
+hosts and follows links backward, since a host that links to a blocked one is suspect itself. Rules on
+single urls come first; for all other pages the host decides.
+
+A host's score is (trust - distrust) / (trust + distrust), each weighted by the mass of its seeds, so it
+says which of the two prevails and not how large either is: however many hosts share the mass, and
+whatever seeds are added elsewhere, the score of a host stays the same. A host is allowed from
+``THRESHOLD`` on. Mass that comes to a host without links ends there; to return it to the seeds would
+multiply all scores of a kind by one factor.
 
 Host edges are the links between pages of different hosts, summed per pair of hosts, and an edge both
-ways between a host and its parent domain, which carries trust among the hosts of a site. Seeds are
+ways between a host and its parent domain, which carries trust among the hosts of a site. A parent that
+is a public suffix (``PUBLIC_SUFFIX``) is no site, and addresses of numbers have no parent. Seeds are
 hosts on which a rule fits: with the share of their pages that are allowed or blocked.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and
-takes the verdict ``block`` (there is no host to trust); null html has no links; repeated rows get
-equal results each; ties need no order, as every host's score is a sum; an empty table gives an empty
-result; extra columns are ignored.
+takes the verdict ``block`` (there is no host to trust); null html has no links; very long urls and pages
+are read whole; repeated rows get equal results each; ties need no order, as every host's score is a sum;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +33,14 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 DAMPING = 0.85
 ROUNDS = 12
 THRESHOLD = 0.0
+#: Scores are ratios of sums of doubles; equal ones may differ by that much.
+TOLERANCE = 1e-9
 CUT_EVERY = 4
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+#: Fixed: second-level labels under which country registries hand out names, and addresses of numbers.
+PUBLIC_SUFFIX = r"^(ac|co|com|edu|go|gob|gov|gouv|ltd|me|mil|ne|net|nhs|nom|or|org|plc|sch)\.[a-z]{2}$"
+_ADDRESS = r"^(\[.*\]|[0-9]+(\.[0-9]+){3})(:[0-9]*)?$"
+_PARENT = r"^[^.]*\.(.*)$"
 _LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 
 
@@ -62,7 +75,8 @@ def host_edges(pages: DataFrame, hosts: DataFrame, url_col: str = "url", html_co
     links = pages.select(host_of(quoted(url_col)).alias("src"), F.explode(F.regexp_extract_all(quoted(html_col), F.lit(_LINK), 1)).alias("link"))
     linked = links.select("src", host_of(F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))).alias("dst"))
     linked = linked.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    parent = hosts.where("host LIKE '%.%.%'").select("host", F.regexp_extract("host", r"^[^.]*\.(.*)$", 1).alias("parent"))
+    parent = hosts.where(F.col("host").like("%.%.%") & ~F.col("host").rlike(_ADDRESS)).select("host", F.regexp_extract("host", _PARENT, 1).alias("parent"))
+    parent = parent.where((F.col("parent") != "") & ~F.col("parent").rlike(PUBLIC_SUFFIX))
     up = parent.select(F.col("host").alias("src"), F.col("parent").alias("dst"), F.lit(1.0).alias("weight"))
     down = parent.select(F.col("parent").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("weight"))
     return linked.unionByName(up).unionByName(down).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
@@ -93,7 +107,7 @@ def judge_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """page_id, host, path, rule, verdict, host_score.
 
     ``trusted`` and ``blocked`` (host) add seeds of weight 1. A host that neither trust nor distrust
-    reaches has score 0.
+    reaches has score 0; one that only one of them reaches has 1 or -1.
     """
     urls = judged_urls(pages, id_col, url_col, rules)
     share = lambda v: F.sum(F.when(F.col("fit.verdict") == v, 1.0).otherwise(0.0)) / F.count(F.lit(1))
@@ -106,13 +120,18 @@ def judge_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             own = own.unionByName(more.select(ascii_lower(F.col("host")).alias("host"), F.lit(1.0).alias("seed")).distinct())
         return own.groupBy("host").agg(F.sum("seed").alias("seed"))
 
-    trust = propagate(seeds("allow", trusted), edges).withColumnRenamed("score", "trust")
     backward = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(seeds("block", blocked), backward).withColumnRenamed("score", "distrust")
-    scored = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left")
-    scored = durable(scored.select("host", F.round(F.coalesce("trust", F.lit(0.0)) - F.coalesce("distrust", F.lit(0.0)), 9).alias("host_score")))
-    verdict = F.when(F.col("host_score") >= threshold, "allow").otherwise("block")
-    return urls.join(scored, "host", "left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", verdict).alias("verdict"), "host_score")
+    scored = hosts.select("host")
+    for name, start, along in (("trust", seeds("allow", trusted), edges), ("distrust", seeds("block", blocked), backward)):
+        mass = start.agg(F.sum("seed").alias("mass"))
+        spread = propagate(start, along).crossJoin(F.broadcast(mass)).select("host", (F.col("score") * F.col("mass")).alias(name))  # mass: one row
+        scored = scored.join(spread, "host", "left")
+    trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
+    scored = durable(scored.select("host", F.when(trust + distrust > 0, (trust - distrust) / (trust + distrust)).otherwise(0.0).alias("host_score")))
+    verdict = F.when(F.col("host_score") >= threshold - TOLERANCE, "allow").otherwise("block")
+    return urls.join(scored, "host", "left").select(
+        "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", verdict).alias("verdict"), F.round("host_score", 9).alias("host_score")
+    )
 
 
 def _sql(rounds: int = ROUNDS, damping: float = DAMPING, threshold: float = THRESHOLD) -> str:
@@ -129,9 +148,9 @@ def _sql(rounds: int = ROUNDS, damping: float = DAMPING, threshold: float = THRE
     j AS (SELECT *, {case(1)} AS rule, {case(2)} AS fit FROM u),
     hosts AS (SELECT host, avg(coalesce(fit = 'allow', false)::INT) AS allow, avg(coalesce(fit = 'block', false)::INT) AS block FROM j WHERE host <> '' GROUP BY host),
     links AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM u),
+    parents AS (SELECT host, regexp_extract(host, '{_PARENT}', 1) AS parent FROM hosts WHERE host LIKE '%.%.%' AND NOT regexp_matches(host, '{_ADDRESS}') AND NOT regexp_matches(regexp_extract(host, '{_PARENT}', 1), '{PUBLIC_SUFFIX}')),
     raw AS (SELECT src, {host.format("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst, 1.0 AS weight FROM links
-            UNION ALL SELECT host, regexp_extract(host, '^[^.]*\\.(.*)$', 1), 1.0 FROM hosts WHERE host LIKE '%.%.%'
-            UNION ALL SELECT regexp_extract(host, '^[^.]*\\.(.*)$', 1), host, 1.0 FROM hosts WHERE host LIKE '%.%.%'),
+            UNION ALL SELECT host, parent, 1.0 FROM parents UNION ALL SELECT parent, host, 1.0 FROM parents),
     edges AS (SELECT src, dst, sum(weight)::DOUBLE AS weight FROM raw WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL)"""]
     for name, seed, src, dst in (("t", "allow", "src", "dst"), ("d", "block", "dst", "src")):
         parts.append(f"{name}_e AS (SELECT {src} AS a, {dst} AS b, weight / sum(weight) OVER (PARTITION BY {src}) AS share FROM edges)")
@@ -139,8 +158,9 @@ def _sql(rounds: int = ROUNDS, damping: float = DAMPING, threshold: float = THRE
         parts.append(f"{name}0 AS (SELECT host, seed AS score FROM {name}_s)")
         for k in range(1, rounds + 1):
             parts.append(f"{name}{k} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT b AS host, score * share * {damping} AS score FROM {name}{k - 1} JOIN {name}_e ON host = a UNION ALL SELECT host, seed * {1 - damping} FROM {name}_s) GROUP BY host)")
-    parts.append(f"scored AS (SELECT h.host, round(coalesce(t.score, 0) - coalesce(d.score, 0), 9) AS host_score FROM hosts h LEFT JOIN t{rounds} t USING (host) LEFT JOIN d{rounds} d USING (host))")
-    return "WITH " + ",\n    ".join(parts) + f"\n    SELECT page_id, j.host, path, rule, coalesce(fit, CASE WHEN host_score >= {threshold} THEN 'allow' ELSE 'block' END) AS verdict, host_score FROM j LEFT JOIN scored s ON j.host = s.host"
+    parts.append(f"both_ways AS (SELECT h.host, coalesce(t.score * (SELECT sum(allow) FROM hosts), 0) AS t, coalesce(d.score * (SELECT sum(block) FROM hosts), 0) AS d FROM hosts h LEFT JOIN t{rounds} t USING (host) LEFT JOIN d{rounds} d USING (host))")
+    parts.append("scored AS (SELECT host, CASE WHEN t + d > 0 THEN (t - d) / (t + d) ELSE 0.0 END AS host_score FROM both_ways)")
+    return "WITH " + ",\n    ".join(parts) + f"\n    SELECT page_id, j.host, path, rule, coalesce(fit, CASE WHEN host_score >= {threshold - TOLERANCE} THEN 'allow' ELSE 'block' END) AS verdict, round(host_score, 9) AS host_score FROM j LEFT JOIN scored s ON j.host = s.host"
 
 
 ORACLE = _sql()

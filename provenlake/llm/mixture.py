@@ -10,9 +10,9 @@ No task ever orders a whole leaf: an epoch's order is cut into ``BUCKETS`` slots
 tokens are summed per leaf and slot, and only the slot in which a leaf's prefix ends is ordered.
 
 Defined results: null text has no tokens; null domain, language or source is a child of its own, named
-``(none)``; a child without a named weight has the least named one above 0; an empty text costs nothing and is taken with the prefix that reaches it; rows of one leaf
-with equal ids share their place and are taken together or not at all; a weight of 0, or a budget of 0,
-gives no tokens; an empty table gives an empty result; further columns pass through unchanged.
+``(none)``; a child without a named weight has the least named one above 0; an empty text costs nothing and is
+taken with the prefix that reaches it; rows of one leaf with equal ids, or without an id and with equal texts,
+share their place and are taken together or not at all; a weight of 0, or a budget of 0, gives no tokens; an empty table gives an empty result; further columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql.window import Window
 from ._base import durable, quoted, words
 
 BUCKETS = 4096
+#: Budgets are whole tokens; so much may be lost by rounding before they are cut.
+NOISE = 1e-6
 #: Up to so many leaves their rows are broadcast, and no text is shuffled. Beyond that, rows meet copies of their leaf's row, so that a leaf with very many rows is spread over tasks.
 BROADCAST_LEAVES = 20_000
 SALTS = 32
@@ -89,7 +91,7 @@ def leaf_budgets(leaves: DataFrame, budget: float, max_epochs: int, domain_weigh
         nodes = nodes.withColumn("child", F.col(name)).withColumn("weight", F.when(F.col("capacity") > 0, _weight(F.col(name), weights)).otherwise(0.0))
         dealt = share_out(nodes.join(above.select(*parent, "given"), parent), parent)
         above, parent = dealt.select("root", *level, F.col("budget").alias("given")), ["root", *level]
-    return df.join(above, parent).select(*LEAF, "tokens", F.floor("given").cast("long").alias("budget"))
+    return df.join(above, parent).select(*LEAF, "tokens", F.floor(F.col("given") + NOISE).cast("long").alias("budget"))
 
 
 def mixed(docs: DataFrame, budget: float = 0.5, max_epochs: int = 3, seed: int = 42, domain: Column | None = None, domain_weights=None, lang_weights=None, source_weights=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None, broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
@@ -98,7 +100,7 @@ def mixed(docs: DataFrame, budget: float = 0.5, max_epochs: int = 3, seed: int =
     named = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
     domain = domain_of(quoted(source_col)) if domain is None else domain
     rows = docs.select(
-        F.struct(*[quoted(c) for c in keep]).alias("rec"), quoted(id_col).alias("id"), named(domain).alias("domain"), named(quoted(lang_col)).alias("lang"),
+        F.struct(*[quoted(c) for c in keep]).alias("rec"), F.coalesce(quoted(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64(quoted(text_col)).cast("string"))).alias("id"), named(domain).alias("domain"), named(quoted(lang_col)).alias("lang"),
         named(quoted(source_col)).alias("source"), F.size(words(quoted(text_col))).cast("long").alias("n_tokens"),
     )
     if set(keep) <= {id_col, lang_col, source_col}:
@@ -115,7 +117,7 @@ def mixed(docs: DataFrame, budget: float = 0.5, max_epochs: int = 3, seed: int =
         else:
             salted = about.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
             met = part.withColumn("salt", F.pmod(F.xxhash64("id", "n_tokens"), F.lit(SALTS)).cast("int")).join(salted, [*LEAF, "salt"])
-        key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+        key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.col("id")))
         return met.withColumn("place", key).withColumn("bucket", F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))
 
     sums = placed(rows.select("id", *LEAF, "n_tokens"), leaves.select(*LEAF, "epochs", "rest")).groupBy(*LEAF, "rest", "bucket").agg(F.sum("n_tokens").alias("tokens"))
@@ -138,30 +140,34 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def _sql(budget: float, max_epochs: int, seed: int) -> str:
-    """The production query in DuckDB."""
+    """The production query in DuckDB.
 
-    def level(name: str, above: str, parent: list[str], columns: list[str], weight: str) -> str:
-        by, mine = ", ".join(parent), ", ".join(columns)
-        on = " AND ".join(f"n.{c} = a.{c}" for c in parent)
+    Here a parent's tokens rise like water in vessels: at level r a child holds min(capacity, r x weight), and the level
+    is that at which all together hold what the parent was given.
+    """
+
+    def rise(name: str, above: str, parent: list[str], child: str, weight: str) -> str:
+        by, mine = ", ".join(parent), ", ".join([*parent, child])
         return f"""
-    {name}_n AS (SELECT {", ".join("n." + c for c in columns)}, n.capacity, CASE WHEN n.capacity > 0 THEN {weight} ELSE 0.0 END::DOUBLE AS weight, a.given FROM (SELECT {mine}, sum(capacity) AS capacity FROM cap GROUP BY {mine}) n JOIN {above} a ON {on}),
-    {name}_r AS (SELECT *, CASE WHEN weight > 0 THEN capacity / weight END AS ratio FROM {name}_n),
-    {name}_f AS (SELECT *, coalesce(given >= coalesce(sum(capacity) OVER (PARTITION BY {by} ORDER BY ratio ASC NULLS LAST, {columns[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + ratio * sum(weight) OVER (PARTITION BY {by} ORDER BY ratio ASC NULLS LAST, {columns[-1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), false) AS filled FROM {name}_r),
-    {name} AS (SELECT {mine}, least(capacity, CASE WHEN filled THEN capacity WHEN weight > 0 THEN greatest((given - coalesce(sum(CASE WHEN filled THEN capacity END) OVER (PARTITION BY {by}), 0)) * weight / sum(CASE WHEN NOT filled THEN weight END) OVER (PARTITION BY {by}), 0) ELSE 0 END) AS given FROM {name}_f),"""
+    {name}_n AS (SELECT {mine}, capacity, {weight} AS weight FROM (SELECT {mine}, sum(capacity)::DOUBLE AS capacity FROM cap GROUP BY {mine}) WHERE capacity > 0),
+    {name}_r AS (SELECT {by}, 0.0::DOUBLE AS r FROM {name}_n UNION SELECT {by}, capacity / weight FROM {name}_n),
+    {name}_h AS (SELECT {by}, r, sum(CASE WHEN capacity / weight <= r THEN capacity ELSE r * weight END) AS held, sum(CASE WHEN capacity / weight > r THEN weight ELSE 0 END) AS rising FROM {name}_r JOIN {name}_n USING ({by}) GROUP BY {by}, r),
+    {name}_l AS (SELECT {by}, max(CASE WHEN rising > 0 THEN r + (given - held) / rising ELSE r END) AS level FROM {name}_h JOIN {above} USING ({by}) WHERE held <= given GROUP BY {by}),
+    {name} AS (SELECT {mine}, CASE WHEN capacity / weight <= level THEN capacity ELSE level * weight END AS given FROM {name}_n JOIN {name}_l USING ({by})),"""
 
-    case = lambda c, names: f"CASE n.{c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in names.items()) + " ELSE 0.0 END"
+    case = lambda c, names: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in names.items()) + f" ELSE {min(names.values())} END::DOUBLE"
     domains = " ".join(f"WHEN source IN ({', '.join(repr(m) for m in ms)}) THEN '{d}'" for d, ms in DOMAINS.items())
     return f"""
     WITH docs AS (
         SELECT doc_id, CASE WHEN source IS NULL THEN '(none)' {domains} ELSE '{OTHER_DOMAIN}' END AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
                len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
     leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL),
-    cap AS (SELECT 1 AS root, *, tokens::DOUBLE * {max_epochs} AS capacity FROM leaves),
+    cap AS (SELECT 1 AS root, domain, lang, source, tokens * {max_epochs} AS capacity FROM leaves),
     top AS (SELECT 1 AS root, sum(tokens)::DOUBLE * {budget} AS given FROM leaves),
-    {level("d", "top", ["root"], ["root", "domain"], case("domain", DOMAIN_WEIGHTS))}
-    {level("l", "d", ["root", "domain"], ["root", "domain", "lang"], case("lang", LANG_WEIGHTS))}
-    {level("s", "l", ["root", "domain", "lang"], ["root", "domain", "lang", "source"], "1.0")}
-    plan AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN floor(given)::BIGINT // tokens ELSE 0 END AS epochs, floor(given)::BIGINT AS budget, tokens FROM s JOIN leaves USING (domain, lang, source)),
+    {rise("d", "top", ["root"], "domain", case("domain", DOMAIN_WEIGHTS))}
+    {rise("l", "d", ["root", "domain"], "lang", case("lang", LANG_WEIGHTS))}
+    {rise("s", "l", ["root", "domain", "lang"], "source", "1.0::DOUBLE")}
+    plan AS (SELECT domain, lang, source, tokens, floor(coalesce(given, 0) + {NOISE})::BIGINT AS budget, CASE WHEN tokens > 0 THEN floor(coalesce(given, 0) + {NOISE})::BIGINT // tokens ELSE 0 END AS epochs FROM leaves LEFT JOIN s USING (domain, lang, source)),
     runs AS (SELECT d.*, p.epochs, p.budget - p.epochs * p.tokens AS rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{seed}:' || p.epochs || ':' || doc_id)) AS upto FROM docs d JOIN plan p USING (domain, lang, source))
     SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS INTEGER) AS copies FROM runs"""
 

@@ -1,14 +1,15 @@
 """Quality classification by nearest-neighbour voting in a latent-semantic space.
 
-A text is a vector of hashed byte trigrams and a few marks of its build (repetition, capitals, line
-length). A truncated SVD of a bounded sample of labelled texts gives the latent axes; the sample's
+A text is a vector of hashed byte trigrams and a few marks of its build (repetition, capitals, word
+length), each as the level that the sample's quantiles put it in. A truncated SVD of a bounded sample of labelled texts gives the latent axes; the sample's
 own vectors are broadcast (at most 2 x ``SAMPLE_PER_LABEL`` x ``AXES`` floats). Every document is
 projected and compared with all of them, block by block, by exact cosine; its nearest neighbours vote
 with their labels, each weighted by its similarity and by how rare its label is in the sample against
 all labelled rows.
 
 Defined results: null text counts as empty text, which has marks of its own and so gets a score too;
-texts are read whole; rows with several different labels for one id are not learned from, equal texts
+texts are read whole; of labelled vectors with the same cosine the ones that come first in the sample (label 0
+first, then in the order of the id's hash) are nearer; rows with several different labels for one id are not learned from, equal texts
 in the sample count once; with no labelled row every score is 0.5; repeated rows get equal results
 each; an empty table gives an empty result; only id and text are read.
 """
@@ -32,19 +33,14 @@ TERMS = 1024
 AXES = 48
 NEIGHBOURS = 25
 BLOCK = 512
-#: Bounds between the levels of each mark: a text has one term for each mark, that of its level.
-MARKS = {
-    "words": (1, 10, 30),
-    "repeated_neighbours": (0.01, 0.05, 0.2),
-    "repeated_lines": (0.05, 0.2, 0.5),
-    "distinct_words": (0.05, 0.15, 0.3),
-    "capitals": (0.1, 0.35, 0.7),
-    "marks": (0.06, 0.12, 0.25),
-    "word_size": (2.5, 4.0, 9.5),
-}
-LEVELS = 4
-WIDTH = TERMS + LEVELS * len(MARKS)
+#: What tells of a text's build; each has one term for each of its levels.
+MARKS = ("words", "repeated_neighbours", "repeated_lines", "distinct_words", "capitals", "marks", "word_size")
+#: The levels are bounded by these quantiles of the labelled sample.
+QUANTILES = (0.1, 0.3, 0.5, 0.7, 0.9)
+LEVELS = len(QUANTILES) + 1
+WIDTH = TERMS + len(MARKS)
 MARK_WEIGHT = 0.35
+STRETCH = 50
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
 _ALPHA = np.array([65 <= b <= 90 or 97 <= b <= 122 or b > 127 for b in range(256)])
@@ -52,7 +48,7 @@ _SPACE = np.array([b in (9, 10, 11, 12, 13, 32) for b in range(256)])
 
 
 def text_terms(data: bytes) -> np.ndarray:
-    """Counts of the hashed trigrams, then the marks' terms (0 or 1)."""
+    """Counts of the hashed trigrams, then the values of the marks."""
     out = np.zeros(WIDTH, dtype=np.float32)
     b = np.frombuffer(data, dtype=np.uint8)
     if len(b) >= 3:
@@ -61,17 +57,16 @@ def text_terms(data: bytes) -> np.ndarray:
         out[:TERMS] = np.bincount(code, minlength=TERMS)
     words, lines = data.split(), [x for x in data.split(b"\n") if x.strip()]
     n, letters, spaces = len(words), int(_ALPHA[b].sum()), int(_SPACE[b].sum())
-    values = (
+    out[TERMS:] = (
         n,
         sum(map(operator.eq, words, words[1:])) / max(n, 1),
         1 - len(set(lines)) / max(len(lines), 1),
-        len(set(words)) / max(n, 1) if n < 200 else len(set(words)) / n + 0.15,
+        # Distinct words of each stretch, so that a long text doesn't count as a poor one.
+        sum(len(set(words[i : i + STRETCH])) for i in range(0, n, STRETCH)) / max(n, 1),
         int(_UPPER[b].sum()) / max(letters, 1),
         (len(b) - letters - spaces) / max(len(b) - spaces, 1),
         (len(b) - spaces) / max(n, 1),
     )
-    for k, (value, bounds) in enumerate(zip(values, MARKS.values(), strict=True)):
-        out[TERMS + LEVELS * k + sum(value >= x for x in bounds)] = 1
     return out
 
 
@@ -92,6 +87,7 @@ class LatentVoter:
         self.neighbours = min(neighbours, len(labels))
         at_all = (terms[:, :TERMS] > 0).sum(axis=0)
         self.idf = np.log((1 + len(terms)) / (1 + at_all)).astype(np.float32) + 0.1
+        self.bounds = np.quantile(terms[:, TERMS:], QUANTILES, axis=0)
         x = self.weighted(terms)
         self.axes = _top_axes(x.T @ x)
         self.vectors = self.unit(x @ self.axes)
@@ -101,7 +97,10 @@ class LatentVoter:
 
     def weighted(self, terms: np.ndarray) -> np.ndarray:
         tf = np.log1p(terms[:, :TERMS]) * self.idf
-        return np.concatenate((self.unit(tf), MARK_WEIGHT * terms[:, TERMS:]), axis=1)
+        level = (terms[:, None, TERMS:] >= self.bounds[None]).sum(axis=1)
+        marks = np.zeros((len(terms), len(MARKS) * LEVELS), dtype=np.float32)
+        np.put_along_axis(marks, level + LEVELS * np.arange(len(MARKS)), MARK_WEIGHT, axis=1)
+        return np.concatenate((self.unit(tf), marks), axis=1)
 
     @staticmethod
     def unit(x: np.ndarray) -> np.ndarray:
@@ -111,6 +110,9 @@ class LatentVoter:
         """Share of the weighted votes for label 1 among the nearest vectors; the cosines of a block with all labelled vectors are exact."""
         cosine = self.unit(self.weighted(terms) @ self.axes) @ self.vectors.T
         near = np.argpartition(-cosine, self.neighbours - 1, axis=1)[:, : self.neighbours]
+        least = np.take_along_axis(cosine, near, axis=1).min(axis=1)
+        for i in np.flatnonzero((cosine >= least[:, None]).sum(axis=1) > self.neighbours):  # equal ones on the edge
+            near[i] = np.argsort(-cosine[i], kind="stable")[: self.neighbours]
         w = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 4 * self.weight[near]
         total = w.sum(axis=1)
         return np.where(total > 0, (w * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12), self.prior).clip(0, 1)
@@ -130,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """
     known = labels.select(quoted(id_col).alias("doc_id"), quoted(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
-    top, shares = hash_sample(known, "label", "doc_id", per_label * OVERSAMPLE, 2)
+    top, shares = hash_sample(known, "label", "doc_id", per_label * OVERSAMPLE, 2 * per_label * OVERSAMPLE)
     texts = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text")).join(F.broadcast(top), "doc_id")  # at most 2 * per_label * OVERSAMPLE ids
     got = texts.select("n", "label", "text").mapInArrow(_terms_of, "n int, label int, terms binary").toArrow()
     rows = sorted(zip(got.column("label").to_pylist(), got.column("n").to_pylist(), got.column("terms").to_pylist(), strict=True))

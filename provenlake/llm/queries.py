@@ -36,7 +36,7 @@ def op5_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = byte_cnn.identify(docs, byte_cnn.train(docs), keep=["doc_id"])
+    found = byte_cnn.identify(docs, byte_cnn.train(docs), keep=["doc_id"], with_text=False)
     return found.select("rec.doc_id", held_out(F.col("rec.doc_id")).alias("held_out"), "lang_pred", "score")
 
 

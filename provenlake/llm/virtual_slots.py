@@ -1,22 +1,24 @@
 """Sharding by fixed virtual slots (DataFrame functions only).
 
-Records are hashed into a fixed number of virtual slots. Bytes are summed per slot, and a small
-versioned table maps slots to shards. Growing or rebalancing edits the table: only the slots that
-must move get a new shard; no record is ever hashed again.
+Records are hashed into a fixed number of virtual slots. Bytes are summed per slot, and a small stored
+table, with a version on each edition, maps slots to shards. Its first version deals the slots evenly,
+whatever they hold. Rebalancing, after new loads or for another number of shards, appends a version in
+which only the slots that must move have a new shard; no record is ever hashed again.
 
 Defined results: null text counts as empty text (size 1); rows repeated with one id and text are
-separate records of one slot; an empty table gives an empty result and an empty map; extra columns
-are ignored. Equal texts need not share a shard: under the byte law a group of copies that holds a
-third of all bytes could not be balanced otherwise.
+separate records of one slot; of slots with equal bytes the smaller number is dealt first, of shards with
+equal loads the smaller number takes it; an empty table gives an empty result; extra columns are ignored.
+Equal texts need not share a shard: under the byte law a group of copies that holds a third of all bytes
+could not be balanced otherwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._base import durable, quoted
+from ._base import durable, quoted, shared_folder
 
 N_SLOTS = 4096
 
@@ -48,43 +50,32 @@ def slot_loads(records: DataFrame) -> DataFrame:
     return records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def build_slot_map(loads: DataFrame, n_shards: int) -> DataFrame:
-    """Version 1 of the slot map: virtual_slot, shard, bytes, n_rows, version."""
-    slot = F.struct((-F.col("bytes")).alias("neg_bytes"), "virtual_slot", "n_rows")
-    one = loads.agg(F.sort_array(F.collect_list(slot)).alias("slots"))
-    dealt = one.select("slots", _lightest_first(F.col("slots"), F.expr(f"array_repeat(0L, {int(n_shards)})")).alias("chosen"))
-    return dealt.select(F.explode(F.arrays_zip("slots", "chosen")).alias("z")).select(
-        F.col("z.slots.virtual_slot").alias("virtual_slot"),
-        F.col("z.chosen").alias("shard"),
-        (-F.col("z.slots.neg_bytes")).alias("bytes"),
-        F.col("z.slots.n_rows").alias("n_rows"),
-        F.lit(1).alias("version"),
-    )
+def even_slot_map(spark: SparkSession, n_shards: int, n_slots: int = N_SLOTS) -> DataFrame:
+    """Version 1 of the slot map: virtual_slot, shard, bytes (0: no loads are known yet), version."""
+    slots = spark.range(n_slots).select(F.col("id").cast("int").alias("virtual_slot"))
+    return slots.select("virtual_slot", F.floor(F.col("virtual_slot") * n_shards / n_slots).cast("int").alias("shard"), F.lit(0).cast("long").alias("bytes"), F.lit(1).alias("version"))
 
 
 def rebalance_slot_map(slot_map: DataFrame, n_shards: int, loads: DataFrame | None = None) -> DataFrame:
     """The next version of a slot map, for more (or fewer) shards or for new loads.
 
     A shard keeps its slots, in slot order, while their bytes stay within the new mean; only the
-    rest, and the slots of shards that no longer exist, are dealt anew.
+    rest, and the slots of shards that no longer exist, are dealt anew, the largest first, each to the shard
+    with the least bytes. All of it works on one row a slot.
     """
-    old = slot_map.select("virtual_slot", "shard", "bytes", "n_rows", "version")
+    old = slot_map.select("virtual_slot", "shard", "bytes", "version")
     if loads is not None:
-        old = loads.join(old.select("virtual_slot", "shard", "version"), "virtual_slot", "left").select(
-            "virtual_slot", F.coalesce("shard", F.lit(n_shards)).alias("shard"), "bytes", "n_rows", F.coalesce("version", F.lit(0)).alias("version")
-        )
+        old = old.drop("bytes").join(loads.select("virtual_slot", "bytes"), "virtual_slot", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
     total = old.agg((F.sum("bytes") / F.lit(n_shards)).alias("mean"), F.max("version").alias("last"))
     so_far = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
     held = old.withColumn("upto", F.sum("bytes").over(so_far)).crossJoin(F.broadcast(total))  # one row
     held = held.withColumn("stays", (F.col("upto") <= F.col("mean")) & (F.col("shard") < n_shards))
-    slot = F.struct((-F.col("bytes")).alias("neg_bytes"), "virtual_slot", "n_rows")
+    slot = F.struct((-F.col("bytes")).alias("neg_bytes"), "virtual_slot")
     shard_bytes = F.array(*[F.coalesce(F.sum(F.when(F.col("stays") & (F.col("shard") == s), F.col("bytes"))), F.lit(0)) for s in range(n_shards)])
     moved = held.agg(F.sort_array(F.collect_list(F.when(~F.col("stays"), slot))).alias("slots"), shard_bytes.alias("loads"))
     moved = moved.select("slots", _lightest_first(F.col("slots"), F.col("loads")).alias("chosen"))
     moved = moved.select(F.explode(F.arrays_zip("slots", "chosen")).alias("z")).select(F.col("z.slots.virtual_slot").alias("virtual_slot"), F.col("z.chosen").alias("new_shard"))
-    return held.join(moved, "virtual_slot", "left").select(
-        "virtual_slot", F.coalesce("new_shard", "shard").alias("shard"), "bytes", "n_rows", (F.col("last") + 1).alias("version")
-    )
+    return held.join(moved, "virtual_slot", "left").select("virtual_slot", F.coalesce("new_shard", "shard").alias("shard"), "bytes", (F.col("last") + 1).alias("version"))
 
 
 def save_slot_map(slot_map: DataFrame, path: str) -> None:
@@ -92,7 +83,8 @@ def save_slot_map(slot_map: DataFrame, path: str) -> None:
     slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
-def load_slot_map(spark, path: str, version: int | None = None) -> DataFrame:
+def load_slot_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The stored map as of a version; the newest if none is named."""
     stored = spark.read.parquet(path)
     if version is None:
         return stored.join(F.broadcast(stored.agg(F.max("version").alias("version"))), "version", "left_semi")
@@ -106,19 +98,23 @@ def slot_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int"))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, slot_map: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (position in its shard, from 0), grown_shard, virtual_slot, map_version.
 
-    Texts are read once, for their size and checksum; the slim rows are kept and everything else
-    works on them. A record's place in its shard is its slot's offset plus its rank in the slot,
-    so no task ever orders a whole shard.
+    ``map_path`` is where the slot map is stored; the map there is edited for the loads of these documents and for
+    ``n_shards``, and records go by the new version. Without a path a new map is stored in the shared folder and
+    edited once. Texts are read once, for their size and checksum; the slim rows are kept and everything
+    else works on them. A record's place in its shard is its slot's offset plus its rank in the slot, so
+    no task ever orders a whole shard.
     """
+    spark = docs.sparkSession
     records = durable(slot_records(docs, id_col, text_col, n_slots))
     loads = slot_loads(records)
-    if slot_map is None:
-        slot_map = build_slot_map(loads, n_shards)
-    else:
-        slot_map = slot_map.select("virtual_slot", "shard", "version").join(loads, "virtual_slot")
+    if map_path is None:
+        map_path = shared_folder(spark, "slot-map")
+        save_slot_map(even_slot_map(spark, n_shards, n_slots), map_path)
+    save_slot_map(rebalance_slot_map(load_slot_map(spark, map_path), n_shards, loads), map_path)
+    slot_map = load_slot_map(spark, map_path).select("virtual_slot", "shard", "version").join(loads.select("virtual_slot", "n_rows"), "virtual_slot")
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = slot_map.select("virtual_slot", "shard", "version", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32"))

@@ -15,17 +15,3 @@ def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
 
 
-def test_pipeline(spark, sf_dir, tmp_path):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = docs.count()
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == docs.columns
-        out.write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-        if name == "near_copies":
-            assert docs.count() < before and docs.select("doc_id").distinct().count() == docs.count()
-    assert {r.shard for r in docs.select("shard").distinct().collect()} == set(range(8))
