@@ -37,15 +37,15 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 def with_maybe(df: DataFrame, id: Column, ids: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
     """Adds ``__maybe``: false only for rows whose id is not among ``ids`` (one column).
 
-    The ids' hashes set bits of a table of at most ``bits`` / 32 rows, which is broadcast. It spares shuffles rows
+    The ids' hashes set bits of a table of at most ``bits`` / 64 rows, which is broadcast. It spares shuffles rows
     that no join would match; when the table is full, it costs speed, not rows.
     """
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    word = lambda c: F.shiftright(spot(c), 5).cast("int")
-    bit = lambda c: F.pow(F.lit(2.0), F.pmod(spot(c), F.lit(32))).cast("long")
+    word = lambda c: F.shiftright(spot(c), 6).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot(c), F.lit(64)).cast("int"))
     at = F.col(ids.columns[0])
     table = ids.select(word(at).alias("__word"), bit(at).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    met = df.withColumn("__word", word(id)).withColumn("__bit", bit(id)).join(F.broadcast(table), "__word", "left")  # at most bits / 32 rows
+    met = df.withColumn("__word", word(id)).withColumn("__bit", bit(id)).join(F.broadcast(table), "__word", "left")  # at most bits / 64 rows
     return met.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))).drop("__word", "__bit", "__bits")
 
 

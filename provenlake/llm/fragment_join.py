@@ -15,11 +15,14 @@ the hashes spread them over all.
 Counting. The segments of ``COUNT_FRAGMENTS`` equal stretches of the order are joined fragment by fragment; each
 fragment gives a partial overlap per pair, and the partial overlaps are summed per pair and held against the threshold.
 
-Large groups. Where at most ``SMALL_GROUP`` documents share a segment, their pairs are counted by that join. Larger groups
-are merged into clusters, a cluster is dealt into blocks of bounded size, and each pair of blocks is one small task
-that sums the partial overlaps of its documents as products of incidence matrices, fragment by fragment, and
-returns a spanning forest of the links. So no task holds a whole group, and the pairs of a large group are
-never rows.
+Large groups. Where at most ``SMALL_GROUP`` documents share a segment, their pairs are counted by that join. Members
+of larger groups meet once more, now on single shingles in the order of their frequency among these members, the
+rarest first: sets that link share one of the first n - ceil(tn) + 1 of either. Copies that were each edited too much to
+link share none. Of a group that is still large, pairs with its leader come first; where these put all
+members into one component, nothing is left to compare. The members of any other such group are dealt into blocks of
+bounded size, and each pair of blocks is one small task that sums the partial overlaps of its documents as
+products of incidence matrices, fragment by fragment, and returns a spanning forest of the links. So no task holds
+a whole group, and the pairs of a large group are never rows.
 
 Copies (equal sets) are one node throughout.
 """
@@ -169,16 +172,48 @@ def _pairs_that_link(pairs: DataFrame, segments: DataFrame, threshold: Fraction)
     return summed.where(t.denominator * F.col("both") >= t.numerator * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
-def _links_in_blocks(hot: DataFrame, segments: DataFrame, threshold: Fraction) -> DataFrame:
-    """a, b: links that connect what is connected within the clusters of large groups. hot: key, node, leader."""
-    clusters = connected(hot.select(F.col("leader").alias("u"), F.col("node").alias("v")))
-    rows = durable(segments.join(clusters, "node").select(F.col("root").alias("cluster"), "node", "f", "n", "part"))
-    nodes = rows.groupBy("cluster", "node").agg(F.max("n").alias("n"))
-    sizes = nodes.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _prefixes(nodes: DataFrame, segments: DataFrame, threshold: Fraction) -> DataFrame:
+    """key, node: the rarest shingles of each of ``nodes``, counted among them, that any set it links with must share one of."""
+    mine = segments.join(nodes, "node", "left_semi").select("node", "n", F.explode("part").alias("key"))
+    known = mine.join(mine.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "key")
+    t = threshold
+    length = (F.col("n") - F.ceil(F.col("n") * t.numerator / t.denominator - 1e-9) + 1).cast("int")
+    rarest = known.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("order"))
+    return rarest.select("node", F.explode(F.slice("order", 1, length)).alias("x")).where("x.df > 1").select("x.key", "node")
+
+
+def _links_of_large(hot: DataFrame, segments: DataFrame, threshold: Fraction) -> DataFrame:
+    """a, b: links that connect what is connected among the members of large groups. hot: key, node."""
+    keys = durable(_prefixes(hot.select("node").distinct(), segments, threshold))
+    counted = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")), "key")
+    large = durable(counted.where(F.col("n") > SMALL_GROUP))
+    led = large.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    pairs = _pairs_of(counted.where(F.col("n") <= SMALL_GROUP)).unionByName(led)
+    links = durable(_pairs_that_link(durable(pairs.distinct()), segments, threshold))
+    if large.isEmpty():
+        return links
+    roots = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rooted = large.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    spread = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    still = durable(large.join(spread.select("key"), "key", "left_semi").select("key", "node", F.col("n").alias("members")))
+    return links if still.isEmpty() else links.unionByName(_links_in_blocks(still, segments, threshold))
+
+
+def _pairs_of(groups: DataFrame) -> DataFrame:
+    """a, b: the pairs within each small group. groups: key, node."""
+    left, right = groups.select("key", "node").alias("l"), groups.select("key", "node").alias("r")
+    return left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+
+
+def _links_in_blocks(groups: DataFrame, segments: DataFrame, threshold: Fraction) -> DataFrame:
+    """a, b: links that connect what is connected within each group. groups: key, node, members (how many nodes the key has)."""
+    whole = segments.groupBy("node", "n").agg(F.collect_list(F.struct("f", "part")).alias("parts"))
+    rows = durable(whole.join(groups, "node"))
+    sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.max("members") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    met = met.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "f", "n", "part")
-    return met.groupBy("cluster", "i", "j").applyInArrow(_block_links(threshold), "a long, b long")
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "n", "parts")
+    return met.groupBy("key", "i", "j").applyInArrow(_block_links(threshold), "a long, b long")
 
 
 def _block_links(threshold: Fraction):
@@ -186,15 +221,17 @@ def _block_links(threshold: Fraction):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        nodes, seat_of = np.unique(table.column("node").to_numpy(), return_inverse=True)
-        fragment, n = table.column("f").to_numpy(), np.zeros(len(nodes), dtype=np.int64)
-        n[seat_of] = table.column("n").to_numpy()
+        nodes, n = table.column("node").to_numpy(), table.column("n").to_numpy()
+        rows = table.column("parts").combine_chunks()
+        each = rows.flatten()
+        seat_of = np.repeat(np.arange(len(nodes)), np.diff(rows.offsets.to_numpy()))
+        fragment, parts = each.field("f").to_numpy(), each.field("part")
         both = np.zeros((len(nodes), len(nodes)), dtype=np.float32)
         for f in range(COUNT_FRAGMENTS):  # the partial overlaps of each fragment, summed per pair
             mine = np.flatnonzero(fragment == f)
             if not len(mine):
                 continue
-            lists = table.column("part").take(pa.array(mine)).combine_chunks()
+            lists = parts.take(pa.array(mine))
             owner = np.repeat(seat_of[mine], np.diff(lists.offsets.to_numpy()))
             _, column, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
             seat = np.cumsum(times > 1) - 1
@@ -240,10 +277,10 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int
     segments = segments.join(wanted, "node").where("doc_id <=> rep")  # a text may have rows without an id only
     segments = durable(segments.groupBy("node", "f").agg(F.first("n").alias("n"), F.first("part").alias("part")))
 
-    small = members.where(F.col("n") <= SMALL_GROUP).select("key", "node")
-    left, right = small.alias("l"), small.alias("r")
-    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    links = _pairs_that_link(durable(pairs), segments, t).unionByName(_links_in_blocks(members.where(F.col("n") > SMALL_GROUP), segments, t))
+    links = durable(_pairs_that_link(durable(_pairs_of(members.where(F.col("n") <= SMALL_GROUP)).distinct()), segments, t))
+    hot = members.where(F.col("n") > SMALL_GROUP)
+    if not hot.isEmpty():
+        links = links.unionByName(_links_of_large(hot, segments, t))
     roots = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     named = durable(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
