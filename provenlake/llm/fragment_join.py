@@ -1,28 +1,26 @@
 """Exact n-gram Jaccard self-join by vertical partitioning.
 
-Every document becomes the set of its distinct shingles' hashes; the order of the hashes is the
-global n-gram order, and it is cut into fragments. A document's part in a fragment is its segment.
-
-Which documents meet in a fragment. Two sets with Jaccard similarity of at least t differ in at most
-D = a(1-t)/t shingles, a being the smaller size. With D + 1 fragments at least one segment must be equal, so
-documents meet on equal segments, not on single (perhaps very common) shingles. Sizes are cut into levels,
-each with its own number of fragments; a document takes part in its own level and, if it can be the larger
-one of a pair, in the level below. A few fragments more than D + 1 leave room for empty segments: these
-are no keys, unless a document has more of them than that room. An order by frequency would gather the
-common shingles in a few fragments, in which documents that share nothing else would have equal segments;
-the hashes spread them over all.
-
-Counting. The segments of ``COUNT_FRAGMENTS`` equal stretches of the order are joined fragment by fragment; each
-fragment gives a partial overlap per pair, and the partial overlaps are summed per pair and held against the threshold.
-
-Large groups. Where at most ``SMALL_GROUP`` documents share a segment, their pairs are counted by that join. Members
-of larger groups meet once more, now on single shingles in the order of their frequency among these members, the
-rarest first: sets that link share one of the first n - ceil(tn) + 1 of either. Copies that were each edited too much to
-link share none. Of a group that is still large, pairs with its leader come first; where these put all
-members into one component, nothing is left to compare. The members of any other such group are dealt into blocks of
-bounded size, and each pair of blocks is one small task that sums the partial overlaps of its documents as
-products of incidence matrices, fragment by fragment, and returns a spanning forest of the links. So no task holds
-a whole group, and the pairs of a large group are never rows.
+Every document becomes the set of its distinct shingles' hashes. The global n-gram order puts rare shingles first:
+what is common in a bounded sample of documents comes last, the most frequent at the end, and all others stand in the
+order of their hashes. The order bears on speed only, never on results.
+
+Who meets. Sets that reach a Jaccard similarity of t share one of the first n - ceil(tn) + 1 shingles of the larger
+and of the first n - ceil(2tn / (1 + t)) + 1 of the smaller one (the prefix filter of Xiao et al. 2008). Of the pairs
+that meet, only those are counted whose sizes and parity signatures allow for a link: a signature has ``SIGNATURE_BITS``
+bits, each the parity of the shingles that fall on it, so two of them differ in at most as many bits as the sets
+differ in shingles.
+
+Counting. Sets are cut into ``COUNT_FRAGMENTS`` segments, by equal stretches of the hashes. The segments of pairs are
+joined fragment by fragment; each fragment gives a partial overlap per pair, and the partial overlaps are summed
+per pair and held against the threshold.
+
+Large groups. Where at most ``SMALL_GROUP`` documents meet on a shingle, their pairs are counted by that join. Members
+of larger groups meet once more, with the frequencies among these members as the order: copies that were each
+edited too much to link share no shingle so rare. Of a group that is still large, pairs with its leader come
+first; where these put all members into one component, nothing is left to compare. The members of any other
+such group are dealt into blocks of bounded size, and each pair of blocks is one small task that sums the partial
+overlaps of its documents as products of incidence matrices, fragment by fragment, and returns a spanning
+forest of the links. So no task holds a whole group, and the pairs of a large group are never rows.
 
 Copies (equal sets) are one node throughout.
 """
@@ -44,7 +42,9 @@ from .components import connected
 
 SHINGLE = 3
 THRESHOLD = Fraction(90, 100)
-LEVEL_GROWTH = 1.5
+#: The sample that tells common shingles: documents, the least of them to hold a common one, and the most common ones kept.
+SAMPLE_DOCS, SAMPLE_LEAST, MOST_COMMON = 4000, 3, 200_000
+SIGNATURE_BITS = 512
 COUNT_FRAGMENTS = 8
 SMALL_GROUP = 8
 BLOCK_NODES = 128
@@ -52,65 +52,19 @@ BLOCK_SHINGLES = 150_000
 _U = np.uint64
 
 
-class Levels:
-    """Size levels and their numbers of fragments for a threshold."""
-
-    def __init__(self, threshold: Fraction):
-        t = self.threshold = Fraction(threshold)
-        smallest = 1
-        while smallest * (1 - t) / t < 1:  # below that, only equal sets can link
-            smallest += 1
-        self.start = [smallest]
-        self.fragments, self.room = [], []
-        while self.start[-1] < 1 << 40:
-            low, high = self.start[-1], int(self.start[-1] * LEVEL_GROWTH) + 1
-            need = int((high - 1) * (1 - t) / t) + 1
-            empty = need * float(np.exp(-low / need))
-            room = 1 if need < 100 else int(empty + 5 * empty**0.5) + 1
-            self.start.append(high)
-            self.fragments.append(need + room)
-            self.room.append(room)
-        self.start_at = np.array(self.start, dtype=np.int64)
-
-    def of(self, n: np.ndarray) -> np.ndarray:
-        """The level of each size; -1 where only equal sets can link."""
-        return np.searchsorted(self.start_at, n, side="right") - 1
-
-    def below(self, n: np.ndarray) -> np.ndarray:
-        """The level below, for sizes that can be the larger one of a pair there; else -1."""
-        level = self.of(n)
-        largest_small = self.start_at[np.maximum(level, 0)] - 1
-        t = self.threshold
-        return np.where((level >= 1) & (largest_small * t.denominator >= n * t.numerator), level - 1, -1)
-
-
-def segment_keys(g: np.ndarray, sizes: np.ndarray, level: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the segments of each set at the given level, and how many each set has."""
-    fragments = np.array(levels.fragments + [0], dtype=np.uint64)[level]
-    room = np.array(levels.room + [0], dtype=np.int64)[level]
-    which = np.repeat(np.arange(len(sizes)), sizes)
-    take = fragments[which] > 0
-    which, g = which[take], g[take]
-    if not len(g):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(sizes), dtype=np.int64)
-    part = ((g >> _U(32)) * fragments[which]) >> _U(32)
-    new = np.ones(len(g), dtype=bool)
-    new[1:] = (part[1:] != part[:-1]) | (which[1:] != which[:-1])
-    at = np.flatnonzero(new)
-    label = (level[which[at]].astype(np.uint64) << _U(40)) + part[at] + _U(1)
-    keys = mix(np.add.reduceat(mix(g), at) + mix(label))
-    owner = which[at]
-    full = np.bincount(owner, minlength=len(sizes))
-    extra_keys, extra_owner = [], []
-    for d in np.flatnonzero(fragments.astype(np.int64) - full > room):  # more empty segments than there is room for: they are keys too
-        empty = np.setdiff1d(np.arange(int(fragments[d]), dtype=np.uint64), part[at][owner == d])
-        extra_keys.append(mix(~((_U(level[d]) << _U(40)) + empty)))
-        extra_owner.append(np.full(len(empty), d))
-    if extra_keys:
-        keys, owner = np.concatenate([keys, *extra_keys]), np.concatenate([owner, *extra_owner])
-        order = np.argsort(owner, kind="stable")
-        keys, owner = keys[order], owner[order]
-    return keys, np.bincount(owner, minlength=len(sizes))
+def prefix_lengths(n: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """How many of its first shingles a set of each size shows as the larger one of a pair, and as the smaller one."""
+    p, q = threshold.numerator, threshold.denominator
+    return n + (-n * p) // q + 1, n + (-2 * n * p) // (p + q) + 1
+
+
+def signatures(g: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row for each set: SIGNATURE_BITS parities in numbers of 64 bits."""
+    words = SIGNATURE_BITS // 64
+    spot = mix(g ^ _U(0xA24BAED4963EE407)) % _U(SIGNATURE_BITS)
+    out = np.zeros(len(sizes) * words, dtype=np.uint64)
+    np.bitwise_xor.at(out, np.repeat(np.arange(len(sizes)), sizes) * words + (spot >> _U(6)).astype(np.int64), _U(1) << (spot & _U(63)))
+    return out.reshape(len(sizes), words)
 
 
 def node_ids(g: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -126,19 +80,58 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _sign(levels: Levels, k: int):
-    """doc_id, text -> doc_id, n_shingles, node, keys."""
+def _shingles(k: int):
+    """text -> shingle: each distinct one of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            for _, texts in chunks(batch.column(0).cast(pa.binary())):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(texts, k)[0].view(np.int64))], names=["shingle"])
+
+    return run
+
+
+def _common(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles of a sample, sorted, and how many of its documents hold each. rows: doc_id, text."""
+    n = rows.count()
+    place = F.xxhash64("doc_id", F.xxhash64(F.col("doc_id").cast("string"))).cast("double") / 2.0**64 + 0.5
+    sample = rows.where((place <= SAMPLE_DOCS / n) | F.col("doc_id").isNull()).select("text").limit(2 * SAMPLE_DOCS) if n > SAMPLE_DOCS else rows.select("text")
+    counts = sample.mapInArrow(_shingles(k), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLE_LEAST)
+    got = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
+    shingles, n = got.column("shingle").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
+def first_shingles(g: np.ndarray, sizes: np.ndarray, common: tuple[np.ndarray, np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each set in the global order, as many as ``lengths`` says, and the place of each in its set."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    shingles, n = common
+    weight = np.zeros(len(g), dtype=np.int64)
+    if len(shingles):
+        at = np.minimum(np.searchsorted(shingles, g), len(shingles) - 1)
+        weight = np.where(shingles[at] == g, n[at], 0)
+    order = np.argsort(which * (int(weight.max(initial=0)) + 1) + weight, kind="stable")  # g is sorted within each set
+    place = np.arange(len(g)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    taken = place < lengths[which]
+    return g[order][taken], place[taken]
+
+
+def _sign(threshold: Fraction, k: int, shared):
+    """doc_id, text -> doc_id, n_shingles, node, signature, keys (the prefix of a larger set), n_index (how many of them are that of a smaller one)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        for batch in batches:
             for a, texts in chunks(batch.column(1).cast(pa.binary())):
                 g, sizes = shingle_sets(texts, k)
-                own, n_own = segment_keys(g, sizes, levels.of(sizes), levels)
-                low, n_low = segment_keys(g, sizes, levels.below(sizes), levels)
+                long, short = prefix_lengths(sizes, threshold)
+                long = np.where(sizes > 0, long, 0)
+                keys, _ = first_shingles(g, sizes, common, long)
+                signs = signatures(g, sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, len(texts)), pa.array(sizes.astype(np.int64)), pa.array(node_ids(g, sizes).view(np.int64)), _lists(own, n_own), _lists(low, n_low)],
-                    names=["doc_id", "n_shingles", "node", "own", "low"],
+                    [batch.column(0).slice(a, len(texts)), pa.array(sizes.astype(np.int64)), pa.array(node_ids(g, sizes).view(np.int64)), _lists(signs.ravel(), np.full(len(sizes), signs.shape[1])), _lists(keys, long), pa.array(short.astype(np.int32))],
+                    names=["doc_id", "n_shingles", "node", "signature", "keys", "n_index"],
                 )
 
     return run
@@ -162,6 +155,21 @@ def _segments(k: int):
     return run
 
 
+def _may_link(n_a, n_b, threshold: Fraction):
+    """Whether the sizes alone allow for a link."""
+    t = threshold
+    return t.denominator * F.least(n_a, n_b) >= t.numerator * F.greatest(n_a, n_b)
+
+
+def _not_too_different(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sizes and signatures allow for a link. nodes: node, n, signature."""
+    about = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
+    met = pairs.join(about("a"), "a").join(about("b"), "b")
+    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    t = threshold
+    return met.where(_may_link(F.col("n_a"), F.col("n_b"), t) & ((t.numerator + t.denominator) * differ <= (t.denominator - t.numerator) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+
+
 def _pairs_that_link(pairs: DataFrame, segments: DataFrame, threshold: Fraction) -> DataFrame:
     """a, b of the pairs whose sets reach the threshold. pairs: a, b (nodes); segments: node, f, n, part."""
     left = pairs.join(segments.select(F.col("node").alias("a"), "f", F.col("n").alias("n_a"), F.col("part").alias("part_a")), "a")
@@ -172,39 +180,42 @@ def _pairs_that_link(pairs: DataFrame, segments: DataFrame, threshold: Fraction)
     return summed.where(t.denominator * F.col("both") >= t.numerator * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
-def _prefixes(nodes: DataFrame, segments: DataFrame, threshold: Fraction) -> DataFrame:
-    """key, node: the rarest shingles of each of ``nodes``, counted among them, that any set it links with must share one of."""
-    mine = segments.join(nodes, "node", "left_semi").select("node", "n", F.explode("part").alias("key"))
+def _pairs_in_groups(members: DataFrame, threshold: Fraction) -> DataFrame:
+    """a, b: the pairs that meet on a shingle which at most SMALL_GROUP documents show. members: key, node, n, indexed."""
+    groups = members.groupBy("key").agg(F.collect_set(F.struct("node", "n", "indexed")).alias("m"))
+    meets = lambda x, y: (x["node"] < y["node"]) & _may_link(x["n"], y["n"], threshold) & (((x["n"] <= y["n"]) & x["indexed"]) | ((y["n"] <= x["n"]) & y["indexed"]))
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: meets(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    return groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+
+
+def _prefixes(segments: DataFrame, threshold: Fraction) -> DataFrame:
+    """key, node, n, indexed: the prefix of each set of ``segments``, in the order of the frequencies among these sets."""
+    mine = segments.select("node", "n", F.explode("part").alias("key"))
     known = mine.join(mine.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "key")
     t = threshold
-    length = (F.col("n") - F.ceil(F.col("n") * t.numerator / t.denominator - 1e-9) + 1).cast("int")
+    length = lambda p, q: (F.col("n") - F.ceil(F.col("n") * p / q - 1e-9) + 1).cast("int")
     rarest = known.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("order"))
-    return rarest.select("node", F.explode(F.slice("order", 1, length)).alias("x")).where("x.df > 1").select("x.key", "node")
+    shown = rarest.select("node", "n", F.posexplode(F.slice("order", 1, length(t.numerator, t.denominator))).alias("at", "x"))
+    return shown.where("x.df > 1").select("x.key", "node", "n", (F.col("at") < length(2 * t.numerator, t.numerator + t.denominator)).alias("indexed"))
 
 
-def _links_of_large(hot: DataFrame, segments: DataFrame, threshold: Fraction) -> DataFrame:
-    """a, b: links that connect what is connected among the members of large groups. hot: key, node."""
-    keys = durable(_prefixes(hot.select("node").distinct(), segments, threshold))
-    counted = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")), "key")
-    large = durable(counted.where(F.col("n") > SMALL_GROUP))
+def _links_of_large(segments: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
+    """a, b: links that connect what is connected among the members of large groups. segments, nodes: theirs."""
+    keys = durable(_prefixes(segments, threshold))
+    counted = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")), "key")
+    large = durable(counted.where(F.col("members") > SMALL_GROUP).select("key", "node", "members", "leader"))
     led = large.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    pairs = _pairs_of(counted.where(F.col("n") <= SMALL_GROUP)).unionByName(led)
-    links = durable(_pairs_that_link(durable(pairs.distinct()), segments, threshold))
+    pairs = _pairs_in_groups(counted.where(F.col("members") <= SMALL_GROUP), threshold).unionByName(led).distinct()
+    links = durable(_pairs_that_link(durable(_not_too_different(pairs, nodes, threshold)), segments, threshold))
     if large.isEmpty():
         return links
     roots = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rooted = large.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    rooted = large.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     spread = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    still = durable(large.join(spread.select("key"), "key", "left_semi").select("key", "node", F.col("n").alias("members")))
+    still = durable(large.join(spread.select("key"), "key", "left_semi").select("key", "node", "members"))
     return links if still.isEmpty() else links.unionByName(_links_in_blocks(still, segments, threshold))
 
 
-def _pairs_of(groups: DataFrame) -> DataFrame:
-    """a, b: the pairs within each small group. groups: key, node."""
-    left, right = groups.select("key", "node").alias("l"), groups.select("key", "node").alias("r")
-    return left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-
-
 def _links_in_blocks(groups: DataFrame, segments: DataFrame, threshold: Fraction) -> DataFrame:
     """a, b: links that connect what is connected within each group. groups: key, node, members (how many nodes the key has)."""
     whole = segments.groupBy("node", "n").agg(F.collect_list(F.struct("f", "part")).alias("parts"))
@@ -260,27 +271,31 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int
     empty result; extra columns are ignored.
     """
     t = Fraction(threshold)
-    levels = Levels(t)
     rows = bounded_batches(docs).select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
-    signed = durable(rows.mapInArrow(_sign(levels, k), "doc_id long, n_shingles long, node long, own array<long>, low array<long>"))
-    nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
-
-    keys = signed.select("node", F.explode(F.concat("own", "low")).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other").select("key", "leader")
-    members = durable(keys.join(shared, "key").distinct())  # key, node, leader
-    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    members = durable(members.join(counts, "key"))
-
-    wanted = durable(nodes.join(members.select("node").distinct(), "node", "left_semi"))  # node, rep
+    common = docs.sparkSession.sparkContext.broadcast(_common(rows, k))  # at most MOST_COMMON shingles
+    signed = durable(rows.mapInArrow(_sign(t, k, common), "doc_id long, n_shingles long, node long, signature array<long>, keys array<long>, n_index int"))
+    nodes = durable(signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
+
+    keys = signed.select("node", F.col("n_shingles").alias("n"), "n_index", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", (F.col("at") < F.col("n_index")).alias("indexed"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("indexed").alias("any"), F.count(F.lit(1)).alias("shown"))
+    shared = durable(shared.where("low <> high AND any").select("key", "shown"))
+    members = keys.join(shared, "key")
+    pairs = _pairs_in_groups(members.where(F.col("shown") <= SMALL_GROUP), t)
+    hot = members.where(F.col("shown") > SMALL_GROUP).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    found = durable(pairs.unionByName(hot).distinct())  # a pair; or a member of a large group, twice
+
+    pairs = durable(_not_too_different(found.where("a <> b"), nodes, t))
+    hot = found.where("a = b").select(F.col("a").alias("node"))
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot).distinct()
+    wanted = durable(nodes.select("node", "rep").join(named, "node", "left_semi"))
     some = with_maybe(rows, F.col("doc_id"), wanted.select("rep"), bitmap_bits).where("__maybe").select("doc_id", "text")
     segments = some.mapInArrow(_segments(k), "doc_id long, node long, f int, n long, part array<long>")
     segments = segments.join(wanted, "node").where("doc_id <=> rep")  # a text may have rows without an id only
     segments = durable(segments.groupBy("node", "f").agg(F.first("n").alias("n"), F.first("part").alias("part")))
 
-    links = durable(_pairs_that_link(durable(_pairs_of(members.where(F.col("n") <= SMALL_GROUP)).distinct()), segments, t))
-    hot = members.where(F.col("n") > SMALL_GROUP)
+    links = durable(_pairs_that_link(pairs, segments, t))
     if not hot.isEmpty():
-        links = links.unionByName(_links_of_large(hot, segments, t))
+        links = links.unionByName(_links_of_large(segments.join(hot, "node", "left_semi"), nodes, t))
     roots = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     named = durable(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))

@@ -599,16 +599,29 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "a b c d"), (0, "no id here"), (1, "a b c d"), (1, "other words than those"), (3, "")]
 
 
-def test_levels_leave_a_segment_for_every_pair():
+def test_prefixes_meet_and_signatures_allow_every_link():
+    rng = np.random.default_rng(91)
+    common = (np.sort(rng.integers(0, 2**63, 50, dtype=np.uint64)), np.arange(50))
     for t in (Fraction(9, 10), Fraction(8, 10)):
-        levels = fragment_join.Levels(t)
-        for a in list(range(1, 400)) + [1000, 5000, 20000]:
-            for b in {a, int(a / t)}:
-                shared = {int(levels.of(np.array([a]))[0])} & {int(levels.of(np.array([b]))[0]), int(levels.below(np.array([b]))[0])} - {-1}
-                differ = int(a * (1 - t) / t)
-                if differ:
-                    level = shared.pop()
-                    assert levels.fragments[level] - levels.room[level] > differ
+        for _ in range(400):
+            both = int(rng.integers(1, 120))
+            only_a, only_b = (int(x) for x in rng.integers(0, max(2, both // 6), 2))
+            pool = rng.permutation(np.unique(np.concatenate((rng.integers(0, 2**63, both + only_a + only_b + 5, dtype=np.uint64), common[0]))))
+            a = np.sort(pool[: both + only_a])
+            b = np.sort(np.concatenate((pool[:both], pool[both + only_a : both + only_a + only_b])))
+            if len(a) > len(b):
+                a, b = b, a
+            g, sizes = np.concatenate((a, b)), np.array([len(a), len(b)])
+            overlap = len(np.intersect1d(a, b))
+            if overlap < t * (len(a) + len(b) - overlap):
+                continue
+            long, short = fragment_join.prefix_lengths(sizes, t)
+            keys, place = fragment_join.first_shingles(g, sizes, common, long)
+            first, second = keys[: long[0]], keys[long[0] :]
+            assert len(second) == long[1] and (place[: long[0]] == np.arange(long[0])).all()
+            assert set(first[: short[0]].tolist()) & set(second.tolist())
+            sign = fragment_join.signatures(g, sizes)
+            assert sum(int(x).bit_count() for x in sign[0] ^ sign[1]) <= len(a) + len(b) - 2 * overlap
 
 
 def test_connected(spark):
