@@ -1,8 +1,9 @@
 """Exact n-gram Jaccard self-join by vertical partitioning.
 
 Every document becomes the set of its distinct shingles' hashes. The global n-gram order puts rare shingles first:
-what is common in a bounded sample of documents comes last, the most frequent at the end, and all others stand in the
-order of their hashes. The order bears on speed only, never on results.
+what is common comes last, the most frequent at the end, and all others stand in the order of their hashes. Common is
+what many documents of a bounded sample hold, and what then still heads the order of more than ``SMALL_GROUP``
+documents of all, up to ``MOST_COMMON`` shingles. The order bears on speed only, never on results.
 
 Who meets. Sets that reach a Jaccard similarity of t share one of the first n - ceil(tn) + 1 shingles of the larger
 and of the first n - ceil(2tn / (1 + t)) + 1 of the smaller one (the prefix filter of Xiao et al. 2008). Of the pairs
@@ -42,11 +43,11 @@ from .components import connected
 
 SHINGLE = 3
 THRESHOLD = Fraction(90, 100)
-#: The sample that tells common shingles: documents, the least of them to hold a common one, and the most common ones kept.
+#: The sample that tells common shingles: documents, the least of them to hold a common one; and the most common ones kept.
 SAMPLE_DOCS, SAMPLE_LEAST, MOST_COMMON = 4000, 3, 200_000
 SIGNATURE_BITS = 512
 COUNT_FRAGMENTS = 8
-SMALL_GROUP = 8
+SMALL_GROUP = 64
 BLOCK_NODES = 128
 BLOCK_SHINGLES = 150_000
 _U = np.uint64
@@ -80,27 +81,37 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _shingles(k: int):
-    """text -> shingle: each distinct one of each text."""
+def _shingles(k: int, first=None):
+    """text -> shingle: each distinct one of each text; with ``first`` (a threshold and common shingles) those of its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in chunks(batch.column(0).cast(pa.binary())):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(texts, k)[0].view(np.int64))], names=["shingle"])
+                g, sizes = shingle_sets(texts, k)
+                if first is not None:
+                    g, _ = first_shingles(g, sizes, first[1].value, np.where(sizes > 0, prefix_lengths(sizes, first[0])[0], 0))
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64))], names=["shingle"])
 
     return run
 
 
-def _common(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The common shingles of a sample, sorted, and how many of its documents hold each. rows: doc_id, text."""
-    n = rows.count()
+def _common(rows: DataFrame, threshold: Fraction, k: int):
+    """The common shingles, sorted, and about how many documents hold each, as a broadcast of at most 2 x MOST_COMMON. rows: doc_id, text."""
+    sc, n = rows.sparkSession.sparkContext, rows.count()
+
+    def most(texts: DataFrame, least: int, first=None) -> tuple[np.ndarray, np.ndarray]:
+        counts = texts.mapInArrow(_shingles(k, first), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        got = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
+        return got.column("shingle").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy().astype(np.int64)
+
     place = F.xxhash64("doc_id", F.xxhash64(F.col("doc_id").cast("string"))).cast("double") / 2.0**64 + 0.5
     sample = rows.where((place <= SAMPLE_DOCS / n) | F.col("doc_id").isNull()).select("text").limit(2 * SAMPLE_DOCS) if n > SAMPLE_DOCS else rows.select("text")
-    counts = sample.mapInArrow(_shingles(k), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLE_LEAST)
-    got = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
-    shingles, n = got.column("shingle").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(shingles)
-    return shingles[order], n[order]
+    of_sample, held = most(sample, SAMPLE_LEAST)
+    held = held * max(n // SAMPLE_DOCS, 1)
+    order = np.argsort(of_sample)
+    more, shown = most(rows.select("text"), SMALL_GROUP + 1, (threshold, sc.broadcast((of_sample[order], held[order]))))
+    shingles, at = np.unique(np.concatenate((of_sample, more)), return_index=True)
+    return sc.broadcast((shingles, np.concatenate((held, shown))[at]))
 
 
 def first_shingles(g: np.ndarray, sizes: np.ndarray, common: tuple[np.ndarray, np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,8 +283,7 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int
     """
     t = Fraction(threshold)
     rows = bounded_batches(docs).select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(_common(rows, k))  # at most MOST_COMMON shingles
-    signed = durable(rows.mapInArrow(_sign(t, k, common), "doc_id long, n_shingles long, node long, signature array<long>, keys array<long>, n_index int"))
+    signed = durable(rows.mapInArrow(_sign(t, k, _common(rows, t, k)), "doc_id long, n_shingles long, node long, signature array<long>, keys array<long>, n_index int"))
     nodes = durable(signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
 
     keys = signed.select("node", F.col("n_shingles").alias("n"), "n_index", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", (F.col("at") < F.col("n_index")).alias("indexed"))
