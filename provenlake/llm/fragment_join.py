@@ -45,7 +45,7 @@ SHINGLE = 3
 THRESHOLD = Fraction(90, 100)
 #: The sample that tells common shingles: documents, the least of them to hold a common one; and the most common ones kept.
 SAMPLE_DOCS, SAMPLE_LEAST, MOST_COMMON = 4000, 3, 200_000
-SIGNATURE_BITS = 512
+SIGNATURE_BITS = 2048
 COUNT_FRAGMENTS = 8
 SMALL_GROUP = 64
 BLOCK_NODES = 128
@@ -128,22 +128,33 @@ def first_shingles(g: np.ndarray, sizes: np.ndarray, common: tuple[np.ndarray, n
     return g[order][taken], place[taken]
 
 
-def _sign(threshold: Fraction, k: int, shared):
-    """doc_id, text -> doc_id, n_shingles, node, signature, keys (the prefix of a larger set), n_index (how many of them are that of a smaller one)."""
+def _sign(k: int):
+    """doc_id, text -> doc_id, n_shingles, node, signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
         for batch in batches:
             for a, texts in chunks(batch.column(1).cast(pa.binary())):
+                g, sizes = shingle_sets(texts, k)
+                signs = signatures(g, sizes)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array(sizes.astype(np.int64)), pa.array(node_ids(g, sizes).view(np.int64)), _lists(signs.ravel(), np.full(len(sizes), signs.shape[1]))], names=["doc_id", "n_shingles", "node", "signature"])
+
+    return run
+
+
+def _keys(threshold: Fraction, k: int, shared):
+    """text -> key, node, role: the prefix of each set as the larger one of a pair; role is twice its size, and one more where the shingle is in its prefix as the smaller one, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        for batch in batches:
+            for _, texts in chunks(batch.column(0).cast(pa.binary())):
                 g, sizes = shingle_sets(texts, k)
                 long, short = prefix_lengths(sizes, threshold)
                 long = np.where(sizes > 0, long, 0)
-                keys, _ = first_shingles(g, sizes, common, long)
-                signs = signatures(g, sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(texts)), pa.array(sizes.astype(np.int64)), pa.array(node_ids(g, sizes).view(np.int64)), _lists(signs.ravel(), np.full(len(sizes), signs.shape[1])), _lists(keys, long), pa.array(short.astype(np.int32))],
-                    names=["doc_id", "n_shingles", "node", "signature", "keys", "n_index"],
-                )
+                keys, place = first_shingles(g, sizes, common, long)
+                which = np.repeat(np.arange(len(sizes)), long)
+                role = 2 * sizes[which] + (place < short[which])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node_ids(g, sizes).view(np.int64)[which]), pa.array(role.astype(np.int64))], names=["key", "node", "role"])
 
     return run
 
@@ -192,22 +203,23 @@ def _pairs_that_link(pairs: DataFrame, segments: DataFrame, threshold: Fraction)
 
 
 def _pairs_in_groups(members: DataFrame, threshold: Fraction) -> DataFrame:
-    """a, b: the pairs that meet on a shingle which at most SMALL_GROUP documents show. members: key, node, n, indexed."""
-    groups = members.groupBy("key").agg(F.collect_set(F.struct("node", "n", "indexed")).alias("m"))
-    meets = lambda x, y: (x["node"] < y["node"]) & _may_link(x["n"], y["n"], threshold) & (((x["n"] <= y["n"]) & x["indexed"]) | ((y["n"] <= x["n"]) & y["indexed"]))
+    """a, b: the pairs that meet on a shingle which at most SMALL_GROUP documents show. members: key, node, role."""
+    groups = members.groupBy("key").agg(F.collect_set(F.struct("node", "role")).alias("m"))
+    size, indexed = lambda x: F.shiftright(x["role"], 1), lambda x: x["role"] % 2 == 1
+    meets = lambda x, y: (x["node"] < y["node"]) & _may_link(size(x), size(y), threshold) & (((size(x) <= size(y)) & indexed(x)) | ((size(y) <= size(x)) & indexed(y)))
     pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: meets(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     return groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
 def _prefixes(segments: DataFrame, threshold: Fraction) -> DataFrame:
-    """key, node, n, indexed: the prefix of each set of ``segments``, in the order of the frequencies among these sets."""
+    """key, node, role: the prefix of each set of ``segments``, in the order of the frequencies among these sets."""
     mine = segments.select("node", "n", F.explode("part").alias("key"))
     known = mine.join(mine.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "key")
     t = threshold
     length = lambda p, q: (F.col("n") - F.ceil(F.col("n") * p / q - 1e-9) + 1).cast("int")
     rarest = known.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("order"))
     shown = rarest.select("node", "n", F.posexplode(F.slice("order", 1, length(t.numerator, t.denominator))).alias("at", "x"))
-    return shown.where("x.df > 1").select("x.key", "node", "n", (F.col("at") < length(2 * t.numerator, t.numerator + t.denominator)).alias("indexed"))
+    return shown.where("x.df > 1").select("x.key", "node", (2 * F.col("n") + (F.col("at") < length(2 * t.numerator, t.numerator + t.denominator)).cast("long")).alias("role"))
 
 
 def _links_of_large(segments: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
@@ -283,12 +295,11 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int
     """
     t = Fraction(threshold)
     rows = bounded_batches(docs).select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
-    signed = durable(rows.mapInArrow(_sign(t, k, _common(rows, t, k)), "doc_id long, n_shingles long, node long, signature array<long>, keys array<long>, n_index int"))
+    signed = durable(rows.mapInArrow(_sign(k), "doc_id long, n_shingles long, node long, signature array<long>"))
     nodes = durable(signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
 
-    keys = signed.select("node", F.col("n_shingles").alias("n"), "n_index", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", (F.col("at") < F.col("n_index")).alias("indexed"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("indexed").alias("any"), F.count(F.lit(1)).alias("shown"))
-    shared = durable(shared.where("low <> high AND any").select("key", "shown"))
+    keys = rows.select("text").mapInArrow(_keys(t, k, _common(rows, t, k)), "key long, node long, role long")
+    shared = durable(keys.groupBy("key").agg(F.count(F.lit(1)).alias("shown")).where("shown > 1"))
     members = keys.join(shared, "key")
     pairs = _pairs_in_groups(members.where(F.col("shown") <= SMALL_GROUP), t)
     hot = members.where(F.col("shown") > SMALL_GROUP).select(F.col("node").alias("a"), F.col("node").alias("b"))
