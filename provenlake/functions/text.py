@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,13 +25,17 @@ def query_terms(c: Column, most: int = 32) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without diacritics, for the Latin letters that carry them."""
-    return F.translate(F.lower(c), _ACCENTED, _PLAIN)
+    """Lower case without diacritics: combining marks go, and letters that are composed with one become their base."""
+    return F.regexp_replace(F.translate(F.lower(c), _ACCENTED, _PLAIN), r"\p{Mn}+", "")
+
+
+def _base(letter: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", letter) if unicodedata.category(x) != "Mn")
 
 
-#: Fixed: accented Latin letters and what index folding makes of them, in order.
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Lower-case letters of the alphabets that compose letters with marks (Latin, Greek, Cyrillic, and their extensions), and their bases.
+_ACCENTED = "".join(x for x in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]) if x == x.lower() and len(_base(x)) == 1 and _base(x) != x)
+_PLAIN = "".join(map(_base, _ACCENTED))
 
 
 def index_terms(c: Column) -> Column:

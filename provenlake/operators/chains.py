@@ -1,21 +1,24 @@
 """Hash chains, Merkle trees and mountain ranges over many chains at once.
 
-Appending is serial within a chain and parallel across chains. Verifying is parallel throughout: each
-entry is hashed again and compared with its neighbour. Trees are built level by level with one group-by a
+Appending and verifying go along a chain in one task and are parallel across chains; an entry is verified by hashing
+it again and comparing it with its neighbour, so a task keeps one entry. Trees are built level by level with one group-by a
 level, so no task holds a whole tree.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.hashing import chain_hash, checkpoint_link, merkle_parent
 from ..materialise import durable
+from ..sources.sinks import anchor
 
 GENESIS = "GENESIS"
 AUTO_CHECKPOINT = 64
@@ -187,9 +190,23 @@ def compare_checkpoints(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def verify_anchors(anchors: DataFrame) -> DataFrame:
-    """line, ok: each anchor names the one before it. anchors: line, entry (see the anchor source)."""
-    order = Window.orderBy("line")
-    return anchors.withColumn("before", F.lag("entry.anchorHash").over(order)).select("line", F.coalesce(F.col("entry.prevAnchorHash").eqNullSafe(F.col("before")) & F.col("entry").isNotNull(), F.lit(False)).alias("ok"))
+    """line, ok, reason (malformed, link, hash): each anchor's hash is taken again over the rest of its line, and it names the one before it.
+
+    anchors: line, raw, entry (see the anchor source).
+    """
+    order = Window.orderBy("line")  # a log of checkpoints: one line for each, of one writer
+    linked = anchors.withColumn("before", F.lag("entry.anchorHash").over(order)).withColumn("fresh", _anchor_hash("raw"))
+    reason = F.when(F.col("entry").isNull(), "malformed").when(~F.col("entry.prevAnchorHash").eqNullSafe(F.col("before")), "link").when(~F.col("entry.anchorHash").eqNullSafe(F.col("fresh")), "hash")
+    return linked.select("line", reason.isNull().alias("ok"), reason.alias("reason"))
+
+
+@F.udf(T.StringType(), useArrow=True)
+def _anchor_hash(raw: str) -> str | None:
+    try:
+        entry = json.loads(raw)
+    except ValueError:
+        return None
+    return anchor(entry)["anchorHash"] if isinstance(entry, dict) else None
 
 
 def prove_in_mountains(leaves: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -100,15 +100,19 @@ def paraphrase_debts(claims: DataFrame, debts: DataFrame, threshold: float | Non
     """claim_id, debt_id, score, suppressed_by: open debts that a claim restates.
 
     claims: claim_id, claim_hash, text, vector; debts: debt_id, claim_hash, text, vector, created_at. The newest
-    ``candidates`` debts of other claims take part — that is the operator's own bound — so the smaller side
-    is broadcast and has at most candidates + 1 rows a hash. Without a threshold nothing is compared.
+    ``candidates`` debts of other claims take part; that is the operator's own bound. With at most ``candidates``
+    of each claim, the newest 2 x ``candidates`` of all hold those of every claim, and they are broadcast. Without a
+    threshold nothing is compared.
     """
     if threshold is None:
         return claims.sparkSession.createDataFrame([], "claim_id long, debt_id long, score double, suppressed_by string")
-    newest = debts.where(F.length("text") <= PARAPHRASE_MOST_CHARS).orderBy(F.desc("created_at"), F.desc("debt_id")).limit(candidates)
-    d = F.broadcast(newest.select("debt_id", F.col("claim_hash").alias("d_hash"), F.col("text").alias("d_text"), F.col("vector").alias("d_vector")))
+    age = [F.desc("created_at"), F.desc("debt_id")]
+    each = debts.where(F.length("text") <= PARAPHRASE_MOST_CHARS).withColumn("rn", F.row_number().over(Window.partitionBy("claim_hash").orderBy(*age))).where(F.col("rn") <= candidates)
+    newest = each.orderBy(*age).limit(2 * candidates)
+    d = F.broadcast(newest.select("debt_id", "created_at", F.col("claim_hash").alias("d_hash"), F.col("text").alias("d_text"), F.col("vector").alias("d_vector")))
     c = claims.where(F.length("text") <= PARAPHRASE_MOST_CHARS)
-    met = c.join(d, F.col("claim_hash") != F.col("d_hash")).withColumn("score", cosine(F.col("vector"), F.col("d_vector"))).where(F.col("score") >= threshold)
+    met = c.join(d, F.col("claim_hash") != F.col("d_hash")).withColumn("rn", F.row_number().over(Window.partitionBy("claim_id").orderBy(*age))).where(F.col("rn") <= candidates)
+    met = met.withColumn("score", cosine(F.col("vector"), F.col("d_vector"))).where(F.col("score") >= threshold)
     return met.select("claim_id", "debt_id", "score", claims_differ(F.col("text"), F.col("d_text")).alias("suppressed_by"))
 
 

@@ -61,9 +61,9 @@ def remember(items: DataFrame, now: Column) -> DataFrame:
 
 
 def touch(items: DataFrame, accesses: DataFrame) -> DataFrame:
-    """memory_id, access_count, salience after accesses (memory_id): each adds 0.05, up to 1."""
+    """memory_id, access_count, salience after accesses (memory_id): each adds 0.05, up to 1; items that aren't active any more stay as they are."""
     n = accesses.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n"))
-    met = items.join(n, "memory_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    met = items.join(n, "memory_id", "left").withColumn("n", F.when(F.col("status") == "active", F.coalesce("n", F.lit(0))).otherwise(0))
     return met.select("memory_id", (F.col("access_count") + F.col("n")).alias("access_count"), F.when(F.col("n") > 0, F.least(F.lit(1.0), F.col("salience") + 0.05 * F.col("n"))).otherwise(F.col("salience")).alias("salience"))
 
 

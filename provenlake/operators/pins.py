@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import passage_path, pin_hash
+from ..materialise import durable
 
 CITABLE = ("vault_page",)
 
@@ -95,7 +96,8 @@ def strided_sample(rows: DataFrame, changed, key: str, budget: int) -> DataFrame
 
 def number_rows(rows: DataFrame, key: str) -> DataFrame:
     """Adds ``row``, from 1 in key order."""
-    spread = rows.repartitionByRange(F.col(key)).withColumn("range", F.spark_partition_id())
+    # Written once: a second computation might cut the ranges elsewhere.
+    spread = durable(rows.repartitionByRange(F.col(key)).withColumn("range", F.spark_partition_id()))
     sizes = spread.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("range", "before")
     numbered = spread.withColumn("at", F.row_number().over(Window.partitionBy("range").orderBy(key)))

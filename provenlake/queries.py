@@ -81,7 +81,7 @@ def term_df(spark, d):
 
 def _benchmark_terms(spark, d) -> DataFrame:
     b = table(spark, d, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.explode(F.slice(ft.index_terms(F.col("text")), 1, 8)).alias("term"))
+    return b.select(F.col("item_id").alias("query_id"), F.explode(F.slice(ft.index_terms(F.col("text")), 1, search.MOST_TERMS)).alias("term"))
 
 
 _BM25 = f"""
@@ -101,7 +101,7 @@ _LEX = """
             FROM pool p JOIN about USING (query_id) WHERE lex_rank <= 200)"""
 
 
-@query(f"""WITH qt AS (SELECT item_id AS query_id, unnest(list_slice({_TERMS.format('text')}, 1, 8)) AS term FROM benchmark), {_BM25}
+@query(f"""WITH qt AS (SELECT item_id AS query_id, unnest(list_slice({_TERMS.format('text')}, 1, {search.MOST_TERMS})) AS term FROM benchmark), {_BM25}
     allowed AS (SELECT * FROM scored), {_LEX}
     SELECT query_id, doc_id, round(bm25, 6) AS bm25, lex_rank, round(lexical, 6) AS lexical FROM lex""")
 def bm25_topk(spark, d):
@@ -111,7 +111,7 @@ def bm25_topk(spark, d):
 
 @query(f"""WITH emb AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings),
     q AS (SELECT doc_id AS query_id, v FROM emb WHERE doc_id % 50 = 0),
-    qt AS (SELECT doc_id AS query_id, unnest(list_slice({_TERMS.format('text')}, 1, 8)) AS term FROM documents WHERE doc_id % 50 = 0 AND doc_id IN (SELECT doc_id FROM emb)), {_BM25}
+    qt AS (SELECT doc_id AS query_id, unnest(list_slice({_TERMS.format('text')}, 1, {search.MOST_TERMS})) AS term FROM documents WHERE doc_id % 50 = 0 AND doc_id IN (SELECT doc_id FROM emb)), {_BM25}
     allowed AS (SELECT * FROM scored WHERE doc_id IN (SELECT doc_id FROM emb)), {_LEX},
     cosines AS (SELECT query_id, doc_id, list_cosine_similarity(q.v, emb.v) AS score FROM q, emb WHERE query_id <> doc_id),
     sem AS (SELECT * FROM cosines WHERE score >= 0.05),
@@ -127,12 +127,12 @@ def hybrid_search(spark, d):
     q = e.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "vector")
     docs = table(spark, d, "documents")
     terms = docs.where("doc_id % 50 = 0").join(q.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi")
-    terms = terms.select(F.col("doc_id").alias("query_id"), F.explode(F.slice(ft.index_terms(F.col("text")), 1, 8)).alias("term"))
+    terms = terms.select(F.col("doc_id").alias("query_id"), F.explode(F.slice(ft.index_terms(F.col("text")), 1, search.MOST_TERMS)).alias("term"))
     hits = search.hybrid_search(q, terms, docs, e, ["text"], exclude_self=True)
     return hits.select("query_id", "doc_id", *[F.round(c, 6).alias(c) for c in ("score", "lexical", "fused")], "retrieved_by", "rank")
 
 
-@query(f"""WITH qt AS (SELECT item_id AS query_id, unnest(list_slice({_TERMS.format('text')}, 1, 8)) AS term FROM benchmark),
+@query(f"""WITH qt AS (SELECT item_id AS query_id, unnest(list_slice({_TERMS.format('text')}, 1, {search.MOST_TERMS})) AS term FROM benchmark),
     post AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents)),
     dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
     m AS (SELECT q.query_id, q.term, d.df, min(p.doc_id) AS doc_id FROM (SELECT DISTINCT * FROM qt) q JOIN dfs d USING (term) JOIN post p USING (term) WHERE d.df <= 3 AND p.doc_id % 2 = 1 GROUP BY ALL),
@@ -141,16 +141,16 @@ def hybrid_search(spark, d):
 def missed_matches(spark, d):
     """Every document of an even number counts as shown."""
     docs, terms = table(spark, d, "documents"), _benchmark_terms(spark, d)
-    index = search.postings(docs, "doc_id", "text").join(terms.select("term").distinct(), "term")
+    index = search.asked_postings(docs, terms, "doc_id", "text")
     shown = terms.join(index.where("doc_id % 2 = 0"), "term").select("query_id", "doc_id").distinct()
     return search.missed_matches(terms, docs, "doc_id", "text", shown)
 
 
-@query(f"""WITH p AS (SELECT item_id AS query_id, list_slice({_TERMS.format('text')}, 1, 3) AS phrase FROM benchmark WHERE len({_TERMS.format('text')}) > 0),
+@query(f"""WITH p AS (SELECT item_id AS query_id, {_TERMS.format('text')} AS phrase FROM benchmark WHERE len({_TERMS.format('text')}) > 0),
     d AS (SELECT doc_id, ' ' || array_to_string({_TERMS.format('text')}, ' ') || ' ' AS t FROM documents)
     SELECT query_id, doc_id FROM p, d WHERE contains(t, ' ' || array_to_string(phrase, ' ') || ' ')""")
 def phrase_search(spark, d):
-    phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(ft.index_terms(F.col("text")), 1, 3).alias("terms"))
+    phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), ft.index_terms(F.col("text")).alias("terms"))
     return search.phrase_hits(phrases, table(spark, d, "documents"), "doc_id", "text")
 
 
@@ -303,10 +303,10 @@ def mountain_root_by_user(spark, d):
     return chains.mountain_roots(_leaves(spark, d))
 
 
-@query(f"WITH {_LEAVES} SELECT chain, idx, true AS ok, CAST(CASE WHEN n = 1 THEN 0 ELSE ceil(log2(n)) END AS INTEGER) AS steps FROM leaves JOIN sizes USING (chain) WHERE idx % 25 = 0")
+@query(f"WITH {_LEAVES} SELECT chain, idx, true AS ok, CAST(CASE WHEN n = 1 THEN 0 ELSE ceil(log2(n)) END AS INTEGER) AS steps FROM leaves JOIN sizes USING (chain)")
 def merkle_proof_verify(spark, d):
     leaves = _leaves(spark, d)
-    proofs = chains.prove_inclusion(leaves, leaves.where("idx % 25 = 0").select("chain", "idx")).join(chains.merkle_roots(leaves), "chain")
+    proofs = chains.prove_inclusion(leaves, leaves.select("chain", "idx")).join(chains.merkle_roots(leaves), "chain")
     return proofs.select("chain", "idx", chains.verify_inclusion(F.col("hash"), F.col("siblings"), F.col("was_right"), F.col("root")).alias("ok"), F.size("siblings").alias("steps"))
 
 
@@ -337,10 +337,10 @@ def classify_claims(spark, d):
 
 def _commits(spark, d):
     c = table(spark, d, "conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.substring(claim_hash(F.lit("belief"), F.substring("text", 1, 4)), 1, 12).alias("claim_hash"), F.when(F.col("role") == "system", "unknown").otherwise("belief").alias("epistemic_type"), (F.length("text") % 3 != 0).alias("supported"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.substring(claim_hash(F.lit("belief"), F.col("text")), 1, 12).alias("claim_hash"), F.when(F.col("role") == "system", "unknown").otherwise("belief").alias("epistemic_type"), (F.length("text") % 3 != 0).alias("supported"))
 
 
-@query(f"""WITH c AS (SELECT conv_id * 1000 + turn AS seq, substr(sha256('belief' || chr(10) || regexp_replace(regexp_replace(substr(text, 1, 4), '^{_SPACE}+|{_SPACE}+$', '', 'g'), '{_SPACE}+', ' ', 'g')), 1, 12) AS claim_hash, role <> 'system' AS bound, length(text) % 3 <> 0 AS supported FROM conversations),
+@query(f"""WITH c AS (SELECT conv_id * 1000 + turn AS seq, substr(sha256('belief' || chr(10) || regexp_replace(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '{_SPACE}+', ' ', 'g')), 1, 12) AS claim_hash, role <> 'system' AS bound, length(text) % 3 <> 0 AS supported FROM conversations),
     o AS (SELECT *, coalesce(sum((bound AND NOT supported)::INT) OVER (PARTITION BY claim_hash ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS blocked FROM c)
     SELECT seq, claim_hash, CASE WHEN bound AND blocked THEN 'refused' WHEN bound AND NOT supported THEN 'committed_with_debt' ELSE 'committed' END AS outcome FROM o""")
 def commit_gate(spark, d):
@@ -620,16 +620,16 @@ def monitor_repeated_debts(spark, d):
 
 @query()
 def session_search(spark, d):
-    """The first line of every 50th conversation's first turn, searched in all turns."""
+    """Every turn of every 50th conversation, searched in all turns."""
     c = table(spark, d, "conversations").withColumn("message_id", F.col("conv_id") * 1000 + F.col("turn"))
-    asked = c.where("conv_id % 50 = 0 AND turn = 0").select(F.col("conv_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("text"))
+    asked = c.where("conv_id % 50 = 0").select(F.col("message_id").alias("query_id"), "text")
     return sessions.session_search(c.select("message_id", "text"), asked).select("query_id", "message_id", F.round("bm25", 6).alias("bm25"), "rank", "snippet")
 
 
-@query(f"WITH {_LEAVES} SELECT chain, idx, true AS ok FROM leaves WHERE idx % 25 = 0")
+@query(f"WITH {_LEAVES} SELECT chain, idx, true AS ok FROM leaves")
 def mountain_proof_verify(spark, d):
     leaves = _leaves(spark, d)
-    proofs = chains.prove_in_mountains(leaves, leaves.where("idx % 25 = 0").select("chain", "idx")).join(chains.mountain_roots(leaves), "chain")
+    proofs = chains.prove_in_mountains(leaves, leaves.select("chain", "idx")).join(chains.mountain_roots(leaves), "chain")
     ok = chains.verify_in_mountains(F.col("hash"), F.col("siblings"), F.col("was_right"), F.col("peak"), F.col("peaks"), F.col("root"))
     return proofs.select("chain", "idx", ok.alias("ok"))
 

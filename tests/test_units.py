@@ -11,7 +11,7 @@ from provenlake.functions import claims as fc
 from provenlake.functions import hashing, text, vectors
 from provenlake.operators import approvals, chains, claims, corpus, graph, lifecycle, pins, search
 from provenlake.operators.chunking import passages, tokens_in
-from provenlake.sources import code, files, graphs, notes
+from provenlake.sources import code, files, graphs, notes, sinks
 
 
 def one(spark, column):
@@ -129,7 +129,14 @@ def test_small_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"seq":1,"anchorHash":"h1"}\nnot json\n\n{"seq":2,"prevAnchorHash":"h1","anchorHash":"h2"}\n')
     anchors = files.scan_anchors(spark, str(tmp_path / "a.jsonl"))
     assert [(r.line, r.entry is None) for r in anchors.orderBy("line").collect()] == [(1, False), (2, True), (4, False)]
-    assert [r.ok for r in chains.verify_anchors(anchors.where("entry IS NOT NULL")).orderBy("line").collect()] == [True, True]
+    first = sinks.anchor({"seq": 1, "rootHash": "r1", "receipt": {"b": 1, "a": [2]}, "prevAnchorHash": None})
+    second = sinks.anchor({"seq": 2, "rootHash": "r2", "anchoredAt": "now", "prevAnchorHash": first["anchorHash"]})
+    edited, unlinked = second | {"rootHash": "r3"}, sinks.anchor({"seq": 3, "prevAnchorHash": "other"})
+    (tmp_path / "b.jsonl").write_text("\n".join([json.dumps(first), json.dumps(second, indent=None), "{broken"]) + "\n")
+    (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, [first, edited, unlinked])) + "\n")
+    judged = lambda name: [(r.ok, r.reason) for r in chains.verify_anchors(files.scan_anchors(spark, str(tmp_path / name))).orderBy("line").collect()]
+    assert judged("b.jsonl") == [(True, None), (True, None), (False, "malformed")]
+    assert judged("c.jsonl") == [(True, None), (False, "hash"), (False, "link")]
     (tmp_path / "m.json").write_text(json.dumps({"name": "c", "tools": [{"name": "safe", "risk": []}, {"name": "sh", "risk": ["shell"]}]}))
     tools = approvals.risky_tools(files.scan_manifest(spark, str(tmp_path / "m.json")))
     assert {r.name: r.blocked for r in tools.collect()} == {"safe": False, "sh": True}
@@ -204,6 +211,41 @@ def test_paraphrase_and_settling(spark):
     got = [(r.claim_id, r.debt_id, r.suppressed_by) for r in claims.paraphrase_debts(c, d, 0.8).collect()]
     assert got == [(1, 9, "number_conflict")]
     assert claims.paraphrase_debts(c, d, None).isEmpty()
+    from datetime import datetime, timedelta
+
+    begin = datetime(2024, 1, 1)
+    many = [(100 + i, "mine", "text", [1.0], begin + timedelta(days=50 + i)) for i in range(40)] + [(i, "other", "text", [1.0], begin + timedelta(days=i)) for i in range(40)]
+    debts = spark.createDataFrame(many, "debt_id long, claim_hash string, text string, vector array<double>, created_at timestamp")
+    asked = spark.createDataFrame([(1, "mine", "text", [1.0])], "claim_id long, claim_hash string, text string, vector array<double>")
+    assert sorted(r.debt_id for r in claims.paraphrase_debts(asked, debts, 0.5).collect()) == list(range(8, 40))  # debts of the claim itself take no place
+
+
+def test_touch_leaves_items_that_are_not_active(spark):
+    items = spark.createDataFrame([(1, "active", 0, 0.5), (2, "forgotten", 3, 0.2)], "memory_id long, status string, access_count long, salience double")
+    got = {r.memory_id: (r.access_count, r.salience) for r in lifecycle.touch(items, spark.createDataFrame([(1,), (1,), (2,)], "memory_id long")).collect()}
+    assert got == {1: (2, 0.6), 2: (3, 0.2)}
+
+
+def test_fold_knows_all_marks(spark):
+    from provenlake.functions.text import index_terms
+
+    assert one(spark, index_terms(F.lit("Čeština őrült ΆΛΦΑ e\u0301te\u0301 şehir Ñu"))) == ["cestina", "orult", "αλφα", "ete", "sehir", "nu"]
+
+
+def test_passages_lose_nothing(spark):
+    import random
+
+    rng = random.Random(3)
+    line = lambda: rng.choice(["", "# H", "## Sub heading " + "w" * rng.randint(1, 900), "```", "~~~~", "    # code", "word " * rng.randint(1, 300), "One. Two! Three? " * rng.randint(1, 40), "x" * rng.randint(1, 3000), "é§ñ" * rng.randint(1, 200)])
+    dense = lambda t: "".join(t.split())
+    for _ in range(150):
+        body = "\n".join(line() for _ in range(rng.randint(0, 12)))
+        got = passages(body)
+        assert all(tokens_in(b) <= 220 for _, b in got)
+        joined = dense("".join(b for _, b in got))
+        for word in body.split():
+            assert word in joined or len(word) > 200
+        assert len(joined) >= len(dense(body)) and bool(got) == bool(body.strip())
     debts = spark.createDataFrame([(1, "pending"), (2, "proposed_paid"), (3, "paid"), (4, "pending")], "debt_id long, status string")
     said = spark.createDataFrame([(1, "waive", "ok"), (2, "confirm", None), (3, "waive", "x"), (4, "waive", " ")], "debt_id long, decision string, reason string")
     assert {r.debt_id: r.status for r in claims.settle_debts(debts, said).collect()} == {1: "waived", 2: "paid", 3: "paid", 4: "pending"}
