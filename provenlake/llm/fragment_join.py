@@ -302,7 +302,8 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int
     shared = durable(keys.groupBy("key").agg(F.count(F.lit(1)).alias("shown")).where("shown > 1"))
     members = keys.join(shared, "key")
     pairs = _pairs_in_groups(members.where(F.col("shown") <= SMALL_GROUP), t)
-    hot = members.where(F.col("shown") > SMALL_GROUP).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    node = F.when(F.col("role") > 0, F.col("node"))  # always; with the same columns, both halves read the same shuffled keys
+    hot = members.where(F.col("shown") > SMALL_GROUP).select(node.alias("a"), node.alias("b"))
     found = durable(pairs.unionByName(hot).distinct())  # a pair; or a member of a large group, twice
 
     pairs = durable(_not_too_different(found.where("a <> b"), nodes, t))
