@@ -177,6 +177,16 @@ def _segments(k: int):
     return run
 
 
+def _sets_of(wanted: DataFrame, rows: DataFrame, k: int, bitmap_bits: int) -> DataFrame:
+    """node, f, n, part of the nodes ``wanted`` (node, rep), and of few others; one row for each node and fragment.
+
+    Not written: the joins that count overlaps read the exchange by node and f, both sides the same one.
+    """
+    some = with_maybe(rows, F.col("doc_id"), wanted.select("rep"), bitmap_bits).where("__maybe").select("doc_id", "text")
+    segments = some.mapInArrow(_segments(k), "doc_id long, node long, f int, n long, part array<long>")
+    return segments.groupBy("node", "f").agg(F.first("n").alias("n"), F.first("part").alias("part"))
+
+
 def _may_link(n_a, n_b, threshold: Fraction):
     """Whether the sizes alone allow for a link."""
     t = threshold
@@ -193,8 +203,9 @@ def _not_too_different(pairs: DataFrame, nodes: DataFrame, threshold: Fraction)
 
 
 def _pairs_that_link(pairs: DataFrame, segments: DataFrame, threshold: Fraction) -> DataFrame:
-    """a, b of the pairs whose sets reach the threshold. pairs: a, b (nodes); segments: node, f, n, part."""
-    left = pairs.join(segments.select(F.col("node").alias("a"), "f", F.col("n").alias("n_a"), F.col("part").alias("part_a")), "a")
+    """a, b of the pairs whose sets reach the threshold. pairs: a, b (nodes); segments: node, f, n, part, dealt by node and f."""
+    each = pairs.withColumn("f", F.explode(F.expr(f"sequence(0, {COUNT_FRAGMENTS - 1})")))
+    left = each.join(segments.select(F.col("node").alias("a"), "f", F.col("n").alias("n_a"), F.col("part").alias("part_a")), ["a", "f"])
     met = left.join(segments.select(F.col("node").alias("b"), "f", F.col("n").alias("n_b"), F.col("part").alias("part_b")), ["b", "f"])
     partial = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("both"))
     summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
@@ -308,19 +319,16 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int
 
     pairs = durable(_not_too_different(found.where("a <> b"), nodes, t))
     hot = found.where("a = b").select(F.col("a").alias("node"))
-    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot).distinct()
-    wanted = durable(nodes.select("node", "rep").join(named, "node", "left_semi"))
-    some = with_maybe(rows, F.col("doc_id"), wanted.select("rep"), bitmap_bits).where("__maybe").select("doc_id", "text")
-    segments = some.mapInArrow(_segments(k), "doc_id long, node long, f int, n long, part array<long>")
-    segments = segments.join(wanted, "node").where("doc_id <=> rep")  # a text may have rows without an id only
-    segments = durable(segments.groupBy("node", "f").agg(F.first("n").alias("n"), F.first("part").alias("part")))
-
-    links = durable(_pairs_that_link(pairs, segments, t))
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = lambda some: durable(nodes.select("node", "rep").join(some, "node", "left_semi"))
+    links = durable(_pairs_that_link(pairs, _sets_of(wanted(named), rows, k, bitmap_bits), t))
     if not hot.isEmpty():
-        links = links.unionByName(_links_of_large(segments.join(hot, "node", "left_semi"), nodes, t))
+        of_hot = wanted(hot)
+        segments = durable(_sets_of(of_hot, rows, k, bitmap_bits).join(of_hot, "node", "left_semi"))
+        links = links.unionByName(_links_of_large(segments, nodes, t))
     roots = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    named = durable(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    named = durable(nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     of_root = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_node = named.join(of_root, "root").select("node", "component_id")
     return signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select(
