@@ -13,7 +13,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 
 from provenlake.llm import byte_cnn, fragment_join, mixture, suffix_decontam, virtual_slots
-from provenlake.materialise import shared_folder
+from provenlake.materialise import released_shuffles, shared_folder
 
 #: Below it no language is nearly likely enough: such a text is a word or two that several languages have.
 LEAST_SCORE = 0.4
@@ -73,6 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     folder = shared_folder(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with released_shuffles(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

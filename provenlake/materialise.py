@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +31,31 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid4().hex}"
 
 
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, each query's shuffle files go when the query ends, not when the driver's memory is next cleaned.
+
+    For steps whose result is written: nothing reads their shuffles again, so the disk in use is that of the largest
+    step instead of the sum of all.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the folder that all executors share.
+    """Cut the lineage with a copy in the folder that all executors share; the shuffles it was made from are released.
 
     The copy outlives any executor, and Spark's cleaner removes it where
     ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
     shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with released_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
