@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def released_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within it, each query's shuffle files go when the query ends, not when the driver's memory is next cleaned.
+    """The shuffle files of each query made within it go when the query ends, not when the driver's memory is next cleaned.
 
     For steps whose result is written: nothing reads their shuffles again, so the disk in use is that of the largest
     step instead of the sum of all.
@@ -58,4 +58,4 @@ def durable(df: DataFrame) -> DataFrame:
     """
     shared_root(df.sparkSession)
     with released_shuffles(df.sparkSession):
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # a query of its own, planned under that setting
