@@ -14,7 +14,8 @@ from ..materialise import durable, shared_folder  # noqa: F401
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 BATCH_BYTES = 4 << 20
-BITMAP_BITS = 1 << 24
+#: Bits of a table of maybes: a million rows of 64.
+MOST_BITS = 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,12 +35,13 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def with_maybe(df: DataFrame, id: Column, ids: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
-    """Adds ``__maybe``: false only for rows whose id is not among ``ids`` (one column).
+def with_maybe(df: DataFrame, id: Column, ids: DataFrame) -> DataFrame:
+    """Adds ``__maybe``: false only for rows whose id is not among ``ids`` (one column, written rows).
 
-    The ids' hashes set bits of a table of at most ``bits`` / 64 rows, which is broadcast. It spares shuffles rows
-    that no join would match; when the table is full, it costs speed, not rows.
+    The ids' hashes set bits of a table of 16 bits an id, which is broadcast: at most MOST_BITS / 64 rows. It spares shuffles
+    rows that no join would match. Beyond MOST_BITS / 16 ids more rows pass than are asked for, which costs speed, not rows.
     """
+    bits = min(max(1 << (16 * ids.count() + 1).bit_length(), 1 << 12), MOST_BITS)
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     word = lambda c: F.shiftright(spot(c), 6).cast("int")
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot(c), F.lit(64)).cast("int"))

@@ -11,13 +11,14 @@ that meet, only those are counted whose sizes and parity signatures allow for a
 bits, each the parity of the shingles that fall on it, so two of them differ in at most as many bits as the sets
 differ in shingles.
 
-Counting. Sets are cut into ``COUNT_FRAGMENTS`` segments, by equal stretches of the hashes. The segments of pairs are
-joined fragment by fragment; each fragment gives a partial overlap per pair, and the partial overlaps are summed
-per pair and held against the threshold.
-
-Large groups. Where at most ``SMALL_GROUP`` documents meet on a shingle, their pairs are counted by that join. Members
-of larger groups meet once more, with the frequencies among these members as the order: copies that were each
-edited too much to link share no shingle so rare. Of a group that is still large, pairs with its leader come
+Counting. The global order is cut into ``COUNT_FRAGMENTS`` stretches: the common shingles at its end are one, the others
+equal stretches of the hashes. The segments of pairs are joined fragment by fragment; each fragment gives a partial overlap per
+pair, and the partial overlaps are summed per pair and held against the threshold.
+
+Large groups. Where at most ``SMALL_GROUP`` documents meet on a shingle, their pairs are counted by that join. In larger
+groups each member is counted with the first one; where these put all members into one component, nothing is
+left to compare. Members of any other group meet once more, with the frequencies among these members as the order: copies
+that were each edited too much to link share no shingle so rare. Of a group that is still large, pairs with its leader come
 first; where these put all members into one component, nothing is left to compare. The members of any other
 such group are dealt into blocks of bounded size, and each pair of blocks is one small task that sums the partial
 overlaps of its documents as products of incidence matrices, fragment by fragment, and returns a spanning
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._base import BITMAP_BITS, bounded_batches, durable, quoted, with_maybe
+from ._base import bounded_batches, durable, quoted, with_maybe
 from ._shingles import chunks, mix, shingle_sets
 from .components import connected
 
@@ -77,7 +78,7 @@ def node_ids(g: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(out + sizes.astype(np.uint64))
 
 
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+def lists_of(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
@@ -129,14 +130,14 @@ def first_shingles(g: np.ndarray, sizes: np.ndarray, common: tuple[np.ndarray, n
 
 
 def _sign(k: int):
-    """doc_id, text -> doc_id, n_shingles, node, signature."""
+    """doc_id, digest, text -> doc_id, digest, n_shingles, node, signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, texts in chunks(batch.column(1).cast(pa.binary())):
+            for a, texts in chunks(batch.column(2).cast(pa.binary())):
                 g, sizes = shingle_sets(texts, k)
                 signs = signatures(g, sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array(sizes.astype(np.int64)), pa.array(node_ids(g, sizes).view(np.int64)), _lists(signs.ravel(), np.full(len(sizes), signs.shape[1]))], names=["doc_id", "n_shingles", "node", "signature"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, len(texts)) for c in (0, 1)), pa.array(sizes.astype(np.int64)), pa.array(node_ids(g, sizes).view(np.int64)), lists_of(signs.ravel(), np.full(len(sizes), signs.shape[1]))], names=["doc_id", "digest", "n_shingles", "node", "signature"])
 
     return run
 
@@ -159,35 +160,54 @@ def _keys(threshold: Fraction, k: int, shared):
     return run
 
 
-def _segments(k: int):
-    """doc_id, text -> doc_id, node, f, n (size of the whole set), part (its shingles in fragment f, sorted); fragments without any give no row."""
+def fragment_of(g: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The stretch of the global order that each shingle lies in; the sorted ``common`` ones, which end the order, lie in the last."""
+    f = ((g >> _U(32)) * _U(COUNT_FRAGMENTS - 1) >> _U(32)).astype(np.int64)
+    if len(common):
+        f[common[np.minimum(np.searchsorted(common, g), len(common) - 1)] == g] = COUNT_FRAGMENTS - 1
+    return f
+
+
+def _segments(k: int, shared=None):
+    """doc_id, text -> node, f, n (size of the whole set), part (its shingles in fragment f, sorted); fragments without any give no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value[0] if shared is not None else np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            for a, texts in chunks(batch.column(1).cast(pa.binary())):
+            for _, texts in chunks(batch.column(0).cast(pa.binary())):
                 g, sizes = shingle_sets(texts, k)
                 nodes = node_ids(g, sizes).view(np.int64)
-                place = np.repeat(np.arange(len(texts)), sizes) * COUNT_FRAGMENTS + ((g >> _U(32)) * _U(COUNT_FRAGMENTS) >> _U(32)).astype(np.int64)
+                place = np.repeat(np.arange(len(texts)), sizes) * COUNT_FRAGMENTS + fragment_of(g, common)
+                order = np.argsort(place, kind="stable")
+                g = g[order]
                 counts = np.bincount(place, minlength=len(texts) * COUNT_FRAGMENTS)
                 at = np.flatnonzero(counts)
                 which, f = at // COUNT_FRAGMENTS, (at % COUNT_FRAGMENTS).astype(np.int32)
-                ids = batch.column(0).take(pa.array(which + a))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(nodes[which]), pa.array(f), pa.array(sizes[which].astype(np.int64)), _lists(g, counts[at])], names=["doc_id", "node", "f", "n", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[which]), pa.array(f), pa.array(sizes[which].astype(np.int64)), lists_of(g, counts[at])], names=["node", "f", "n", "part"])
 
     return run
 
 
-def _sets_of(wanted: DataFrame, rows: DataFrame, k: int, bitmap_bits: int) -> DataFrame:
-    """node, f, n, part of the nodes ``wanted`` (node, rep), and of few others; one row for each node and fragment.
+def pair_sets(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, shared=None) -> DataFrame:
+    """``sets_of`` the nodes that pairs (a, b) name."""
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return sets_of(named, nodes, rows, k, shared)
+
+
+def sets_of(some: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, shared=None) -> DataFrame:
+    """node, f, n, part of the nodes ``some`` (node), and of few others; one row for each node and fragment.
 
-    Not written: the joins that count overlaps read the exchange by node and f, both sides the same one.
+    Not written: the joins that count overlaps read the exchange by node and f, both sides the same one. nodes: node, rep
+    (id of a row that has the set), digest (of that row's text); rows: doc_id, digest, text. Rows of a repeated id
+    and other texts are told apart by the digest.
     """
-    some = with_maybe(rows, F.col("doc_id"), wanted.select("rep"), bitmap_bits).where("__maybe").select("doc_id", "text")
-    segments = some.mapInArrow(_segments(k), "doc_id long, node long, f int, n long, part array<long>")
+    wanted = durable(nodes.join(some, "node", "left_semi").select(F.xxhash64("rep", "digest").alias("row")))
+    near = with_maybe(rows, F.xxhash64("doc_id", "digest"), wanted).where("__maybe").select("text")
+    segments = near.mapInArrow(_segments(k, shared), "node long, f int, n long, part array<long>")
     return segments.groupBy("node", "f").agg(F.first("n").alias("n"), F.first("part").alias("part"))
 
 
-def _may_link(n_a, n_b, threshold: Fraction):
+def may_link(n_a, n_b, threshold: Fraction):
     """Whether the sizes alone allow for a link."""
     t = threshold
     return t.denominator * F.least(n_a, n_b) >= t.numerator * F.greatest(n_a, n_b)
@@ -199,10 +219,10 @@ def _not_too_different(pairs: DataFrame, nodes: DataFrame, threshold: Fraction)
     met = pairs.join(about("a"), "a").join(about("b"), "b")
     differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     t = threshold
-    return met.where(_may_link(F.col("n_a"), F.col("n_b"), t) & ((t.numerator + t.denominator) * differ <= (t.denominator - t.numerator) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+    return met.where(may_link(F.col("n_a"), F.col("n_b"), t) & ((t.numerator + t.denominator) * differ <= (t.denominator - t.numerator) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
 
 
-def _pairs_that_link(pairs: DataFrame, segments: DataFrame, threshold: Fraction) -> DataFrame:
+def pairs_that_link(pairs: DataFrame, segments: DataFrame, threshold: Fraction) -> DataFrame:
     """a, b of the pairs whose sets reach the threshold. pairs: a, b (nodes); segments: node, f, n, part, dealt by node and f."""
     each = pairs.withColumn("f", F.explode(F.expr(f"sequence(0, {COUNT_FRAGMENTS - 1})")))
     left = each.join(segments.select(F.col("node").alias("a"), "f", F.col("n").alias("n_a"), F.col("part").alias("part_a")), ["a", "f"])
@@ -217,7 +237,7 @@ def _pairs_in_groups(members: DataFrame, threshold: Fraction) -> DataFrame:
     """a, b: the pairs that meet on a shingle which at most SMALL_GROUP documents show. members: key, node, role."""
     groups = members.groupBy("key").agg(F.collect_set(F.struct("node", "role")).alias("m"))
     size, indexed = lambda x: F.shiftright(x["role"], 1), lambda x: x["role"] % 2 == 1
-    meets = lambda x, y: (x["node"] < y["node"]) & _may_link(size(x), size(y), threshold) & (((size(x) <= size(y)) & indexed(x)) | ((size(y) <= size(x)) & indexed(y)))
+    meets = lambda x, y: (x["node"] < y["node"]) & may_link(size(x), size(y), threshold) & (((size(x) <= size(y)) & indexed(x)) | ((size(y) <= size(x)) & indexed(y)))
     pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: meets(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     return groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
@@ -233,23 +253,34 @@ def _prefixes(segments: DataFrame, threshold: Fraction) -> DataFrame:
     return shown.where("x.df > 1").select("x.key", "node", (2 * F.col("n") + (F.col("at") < length(2 * t.numerator, t.numerator + t.denominator)).cast("long")).alias("role"))
 
 
-def _links_of_large(segments: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
+def links_of_large(segments: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
     """a, b: links that connect what is connected among the members of large groups. segments, nodes: theirs."""
     keys = durable(_prefixes(segments, threshold))
     counted = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")), "key")
     large = durable(counted.where(F.col("members") > SMALL_GROUP).select("key", "node", "members", "leader"))
     led = large.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     pairs = _pairs_in_groups(counted.where(F.col("members") <= SMALL_GROUP), threshold).unionByName(led).distinct()
-    links = durable(_pairs_that_link(durable(_not_too_different(pairs, nodes, threshold)), segments, threshold))
+    links = durable(pairs_that_link(durable(_not_too_different(pairs, nodes, threshold)), segments, threshold))
     if large.isEmpty():
         return links
-    roots = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rooted = large.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    spread = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    still = durable(large.join(spread.select("key"), "key", "left_semi").select("key", "node", "members"))
+    still = durable(still_mixed(large, links))
     return links if still.isEmpty() else links.unionByName(_links_in_blocks(still, segments, threshold))
 
 
+def parity_signatures(segments: DataFrame) -> DataFrame:
+    """node, n, signature of the sets whose segments these are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            signs = signatures(batch.column(2).flatten().to_numpy().view(np.uint64), sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists_of(signs.ravel(), np.full(len(sizes), signs.shape[1]))], names=["node", "n", "signature"])
+
+    each = segments.select("node", "n", "part").mapInArrow(run, "node long, n long, signature array<long>").groupBy("node", "n").agg(F.collect_list("signature").alias("all"))
+    none = F.array_repeat(F.lit(0).cast("long"), SIGNATURE_BITS // 64)
+    return each.select("node", "n", F.aggregate("all", none, lambda x, y: F.zip_with(x, y, lambda i, j: i.bitwiseXOR(j))).alias("signature"))  # one for each fragment
+
+
 def _links_in_blocks(groups: DataFrame, segments: DataFrame, threshold: Fraction) -> DataFrame:
     """a, b: links that connect what is connected within each group. groups: key, node, members (how many nodes the key has)."""
     whole = segments.groupBy("node", "n").agg(F.collect_list(F.struct("f", "part")).alias("parts"))
@@ -295,61 +326,95 @@ def _block_links(threshold: Fraction):
     return run
 
 
-def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+def with_component(signed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, digest, n_shingles, component_id. signed: doc_id, digest, n_shingles, node; nodes: node, rep; roots: node, root of the linked nodes."""
+    named = durable(nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    of_root = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    of_node = named.join(of_root, "root").select("node", "component_id")
+    return signed.select("doc_id", "digest", "n_shingles", "node").join(of_node, "node", "left").select(
+        "doc_id", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+    )
+
+
+def still_mixed(large: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``large`` (key, node) whose group has members of several components of the links."""
+    roots = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rooted = large.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    spread = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return large.join(spread.select("key"), "key", "left_semi")
+
+
+def signed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (of any type), digest of the text, text."""
+    text = quoted(text_col).cast("string")
+    return bounded_batches(docs).select(quoted(id_col).alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+
+
+def nodes_of(signed: DataFrame) -> DataFrame:
+    """node, rep (the smallest id that has the set), digest (of one of its rows of that id), n, signature."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest"))
+    found = signed.where("n_shingles > 0").groupBy("node").agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    return durable(found.select("node", "first.doc_id", "first.digest", "n", "signature").withColumnRenamed("doc_id", "rep"))
+
+
+def jaccard_components(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, itself included).
 
     Defined results: null and word-less texts have no shingles and link with nothing; texts are read
     whole; repeated rows (equal ids or texts) are documents of their own, which link as their texts
     do; rows without an id link as well, but a null id is never a component's id unless no row of it has
-    one; an empty table gives an
-    empty result; extra columns are ignored.
+    one; ids may be of any type that has an order; an empty table gives an empty result; extra columns are ignored.
     """
-    t = Fraction(threshold)
-    rows = bounded_batches(docs).select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
-    signed = durable(rows.mapInArrow(_sign(k), "doc_id long, n_shingles long, node long, signature array<long>"))
-    nodes = durable(signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
-
-    keys = rows.select("text").mapInArrow(_keys(t, k, _common(rows, t, k)), "key long, node long, role long")
-    shared = durable(keys.groupBy("key").agg(F.count(F.lit(1)).alias("shown")).where("shown > 1"))
-    members = keys.join(shared, "key")
-    pairs = _pairs_in_groups(members.where(F.col("shown") <= SMALL_GROUP), t)
-    node = F.when(F.col("role") > 0, F.col("node"))  # always; with the same columns, both halves read the same shuffled keys
-    hot = members.where(F.col("shown") > SMALL_GROUP).select(node.alias("a"), node.alias("b"))
-    found = durable(pairs.unionByName(hot).distinct())  # a pair; or a member of a large group, twice
+    return linked_rows(docs, threshold, k, id_col, text_col).drop("digest")
 
-    pairs = durable(_not_too_different(found.where("a <> b"), nodes, t))
-    hot = found.where("a = b").select(F.col("a").alias("node"))
-    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = lambda some: durable(nodes.select("node", "rep").join(some, "node", "left_semi"))
-    links = durable(_pairs_that_link(pairs, _sets_of(wanted(named), rows, k, bitmap_bits), t))
-    if not hot.isEmpty():
-        of_hot = wanted(hot)
-        segments = durable(_sets_of(of_hot, rows, k, bitmap_bits).join(of_hot, "node", "left_semi"))
-        links = links.unionByName(_links_of_large(segments, nodes, t))
-    roots = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    named = durable(nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    of_root = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_node = named.join(of_root, "root").select("node", "component_id")
-    return signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+def linked_rows(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``jaccard_components``, with the digest of each row's text."""
+    t = Fraction(threshold)
+    rows = signed_rows(docs, id_col, text_col)
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    signed = durable(rows.mapInArrow(_sign(k), f"doc_id {id_type}, digest long, n_shingles long, node long, signature array<long>"))
+    nodes = nodes_of(signed)
+
+    shared = _common(rows, t, k)
+    keys = rows.select("text").mapInArrow(_keys(t, k, shared), "key long, node long, role long")
+    met = durable(keys.groupBy("key").agg(F.count(F.lit(1)).alias("shown")).where("shown > 1"))
+    members = keys.join(met, "key")
+    pairs = _pairs_in_groups(members.where(F.col("shown") <= SMALL_GROUP), t).select("a", "b", F.lit(None).cast("long").alias("key"))
+    node = F.when(F.col("role") > 0, F.col("node"))  # always; with the same columns, both halves read the same shuffled keys
+    hot = members.where(F.col("shown") > SMALL_GROUP).select(node.alias("a"), node.alias("b"), "key")
+    found = durable(pairs.unionByName(hot).distinct())  # a pair; or a member of a large group, twice, and the group's key
+
+    large = found.where("a = b").select("key", F.col("a").alias("node"))
+    led = large.join(large.groupBy("key").agg(F.min("node").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b"))
+    pairs = durable(_not_too_different(found.where("a <> b").select("a", "b").unionByName(led).distinct(), nodes, t))
+    links = durable(pairs_that_link(pairs, pair_sets(pairs, nodes, rows, k, shared), t))
+    if not large.isEmpty():
+        still = durable(still_mixed(large, links).select("node").distinct())
+        if not still.isEmpty():
+            segments = durable(sets_of(still, nodes, rows, k, shared).join(still, "node", "left_semi"))
+            links = durable(links.unionByName(links_of_large(segments, nodes, t)))
+    return with_component(signed, nodes, connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents whose own id is their component's; of rows equal in id and text one. found: doc_id, digest, component_id."""
+    first = durable(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__first"), F.col("digest").alias("__digest")).agg(F.count(F.lit(1)).alias("__n")))
+    digest = F.xxhash64(quoted(text_col).cast("string"))
+    kept = docs.join(first, quoted(id_col).eqNullSafe(F.col("__first")) & (digest == F.col("__digest")), "left_semi")
+    if first.where("__n > 1").isEmpty():
+        return kept
+    rec = kept.select(F.struct(*[quoted(c) for c in docs.columns]).alias("rec"), quoted(id_col).alias("id"), digest.alias("digest"))
+    once = rec.withColumn("n", F.row_number().over(Window.partitionBy("id", "digest").orderBy("digest"))).where("n = 1")
+    return once.select(*[F.col("rec").getField(c).alias(c) for c in docs.columns])
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, in their own columns, with one of each component: the row with the smallest id.
+    """The documents, in their own columns, with one of each component: a row with the smallest id.
 
-    Of rows that are equal in id and text one stays; rows of one id with texts that don't link all stay.
-    Rows without an id can't be told apart; they stay together if one of them stands alone.
+    Of rows that are equal in id and text one stays; a row without an id stays only where its component has no row with one.
     """
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options).where("doc_id <=> component_id")
-    found = durable(found.groupBy(F.col("doc_id").alias("__first")).agg(F.count(F.lit(1)).alias("__n")))
-    kept = docs.join(found, quoted(id_col).cast("long").eqNullSafe(F.col("__first")), "left_semi")
-    if found.where("__n > 1").isEmpty():
-        return kept
-    rec = kept.select(F.struct(*[quoted(c) for c in docs.columns]).alias("rec"), quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("digest"))
-    once = rec.withColumn("n", F.row_number().over(Window.partitionBy("id", "digest").orderBy("digest"))).where("n = 1")
-    return once.select(*[F.col("rec").getField(c).alias(c) for c in docs.columns])
+    return first_of_each(docs, linked_rows(docs, id_col=id_col, text_col=text_col, **options), id_col, text_col)
 
 
 ORACLE = """

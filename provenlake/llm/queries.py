@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, chat_snapshots, fragment_join, link_trust, mixture, quality_knn, sentence_spans, suffix_decontam, virtual_slots, weak_rules
+from . import byte_cnn, chat_snapshots, fragment_join, hamming_join, hard_negatives, link_trust, mixture, quality_knn, sentence_spans, suffix_decontam, token_windows, virtual_slots, weak_rules
 from ._base import held_out, table
 
 
@@ -57,6 +57,19 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_snapshots.render_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hamming_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_windows.link_statistics(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_votes": op1_nearest_votes,
     "op2_link_trust": op2_link_trust,
@@ -68,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weak_rules": op8_weak_rules,
     "op9_vertical_fragments": op9_vertical_fragments,
     "op10_chat_snapshots": op10_chat_snapshots,
+    "op11_hamming_join": op11_hamming_join,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_token_windows": op13_token_windows,
 }
 
 ORACLES: dict[str, str] = {
@@ -77,4 +93,6 @@ ORACLES: dict[str, str] = {
     "op8_weak_rules": weak_rules.ORACLE,
     "op9_vertical_fragments": fragment_join.ORACLE,
     "op10_chat_snapshots": chat_snapshots.ORACLE,
+    "op11_hamming_join": hamming_join.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
