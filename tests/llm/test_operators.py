@@ -596,7 +596,7 @@ def test_other_thresholds_and_hard_rows(spark, hard, empty):
 def test_one_row_of_each_group_stays(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (1, "other words than those"), (2, "a b c d"), (3, None), (3, None), (None, "no id here"), (None, "a b c d")]
     kept = fragment_join.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").withColumn("__n", F.lit("clash"))).collect()
-    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "a b c d"), (0, "no id here"), (1, "a b c d"), (1, "other words than those"), (3, "")]
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "no id here"), (1, "a b c d"), (1, "other words than those"), (3, "")]
 
 
 def test_prefixes_meet_and_signatures_allow_every_link():
