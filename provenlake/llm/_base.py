@@ -14,6 +14,8 @@ from ..materialise import durable, shared_folder  # noqa: F401
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 BATCH_BYTES = 4 << 20
+#: Labels that a model tells apart at most.
+MOST_LABELS = 2000
 #: Bits of a table of maybes: a million rows of 64.
 MOST_BITS = 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,19 +73,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def hash_sample(rows: DataFrame, label: str, id_col: str, k: int, total: int) -> tuple[DataFrame, dict]:
-    """id, label, n (rank): up to k rows of each label, in the order of a hash of the id; and the labels' counts.
+    """id, label, n (rank): up to k ids of each label, in the order of a hash of the id; and the labels' counts.
 
-    Where there are so many labels that k rows of each would be more than ``total``, each gives an equal
-    smaller number, at least one. Counts come first (one row a label). Of each label only ids whose hash lies
-    in the lowest 4k of its rows, as the count says, are ranked at all, so that no task ranks the rows of a
-    whole label.
+    At most MOST_LABELS labels take part, the most frequent ones. Where there are so many that k ids of each would be more
+    than ``total``, each gives an equal smaller number, at least one. Counts come first (one row a label). Of each label only
+    ids whose hash lies in the lowest 4k of its rows, as the count says, are ranked at all, so that no task ranks the rows of
+    a whole label. An id that stands on several rows of a label is one.
     """
-    counts = {r[0]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).collect()}
+    ordered = rows.groupBy(label).agg(F.count_distinct(id_col).alias("n")).orderBy(F.desc("n"), label).limit(MOST_LABELS)
+    counts = {r[0]: r["n"] for r in ordered.collect()}
     if not counts:
         return rows.select(id_col, label).limit(0).withColumn("n", F.lit(0)), counts
     k = max(min(k, total // len(counts)), 1)
-    share = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), F.lit(4.0 * (k + 4) / n))])
+    of_label = rows.sparkSession.createDataFrame(list(counts.items()), rows.select(label, F.lit(0).cast("long").alias("n_of")).schema)
     place = F.xxhash64(id_col).cast("double") / 2.0**64 + 0.5
-    low = rows.select(id_col, label).where(place <= F.try_element_at(share, F.col(label)))
+    met = rows.select(id_col, label).join(F.broadcast(of_label), label)  # at most MOST_LABELS rows
+    low = met.where(place <= 4.0 * (k + 4) / F.col("n_of")).select(id_col, label).distinct()
     rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(id_col), id_col))
     return low.withColumn("n", rank).where(F.col("n") <= k), counts

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import bounded_batches, hash_sample, held_out, quoted
+from ._base import bounded_batches, durable, hash_sample, held_out, quoted
 
 SAMPLE_PER_LANG = 300
 SAMPLE_TEXTS = 120_000
@@ -204,15 +204,16 @@ def _sampled(n: int):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG, epochs: int = EPOCHS) -> ByteCNN | None:
     """A network learned from the rows that aren't held out; None if there are none.
 
-    The driver gets at most SAMPLE_TEXTS x WINDOWS_PER_TEXT windows of LENGTH bytes. No language is left out:
-    the more there are, the fewer texts each gives. The sample is drawn by a hash of the id.
+    The driver gets at most SAMPLE_TEXTS x WINDOWS_PER_TEXT windows of LENGTH bytes, those of one text of each id in the sample.
+    Of up to MOST_LABELS languages none is left out: the more there are, the fewer texts each gives. The sample is drawn by
+    a hash of the id, among the texts that have a letter.
     """
     rows = bounded_batches(docs).select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"), quoted(lang_col).alias("lang"))
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen, _ = hash_sample(usable.select("doc_id", "lang"), "lang", "doc_id", per_lang, SAMPLE_TEXTS)
-    chosen = chosen.select("doc_id", "lang")
     usable = usable.where(F.col("text").rlike(r"\p{L}"))
-    texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # at most SAMPLE_TEXTS ids
+    chosen, _ = hash_sample(durable(usable.select("doc_id", "lang")), "lang", "doc_id", per_lang, SAMPLE_TEXTS)
+    texts = usable.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])  # at most SAMPLE_TEXTS ids
+    texts = texts.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = texts.select("text", "lang").mapInArrow(_sampled(WINDOWS_PER_TEXT), "lang string, window binary").toArrow()
     if not got.num_rows:
         return None

@@ -65,13 +65,15 @@ def share_out(children: DataFrame, parent: list[str]) -> DataFrame:
     df = children.withColumn("ratio", ratio)
     by = Window.partitionBy(*parent)
     order = by.orderBy(F.col("ratio").asc_nulls_last(), "child")
-    used = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # As decimals, weights have exact running sums: what follows is the total less what came before.
+    df = df.withColumn("exact", F.col("weight").cast("decimal(28,18)"))
+    used, left = before("capacity"), (F.sum("exact").over(by) - before("exact")).cast("double")
     df = df.withColumn("full", F.coalesce(F.col("given") >= used + F.col("ratio") * left, F.lit(False)))
     spent = F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))).over(by), F.lit(0.0))
     open_weight = F.sum(F.when(~F.col("full"), F.col("weight"))).over(by)
     dealt = F.when(F.col("full"), F.col("capacity")).when(F.col("weight") > 0, F.greatest((F.col("given") - spent) * F.col("weight") / open_weight, F.lit(0.0))).otherwise(0.0)
-    return df.withColumn("budget", F.least(dealt, F.col("capacity"))).drop("ratio", "full")
+    return df.withColumn("budget", F.least(dealt, F.col("capacity"))).drop("ratio", "full", "exact")
 
 
 def leaf_budgets(leaves: DataFrame, budget: float, max_epochs: int, domain_weights=None, lang_weights=None, source_weights=None) -> DataFrame:

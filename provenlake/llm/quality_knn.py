@@ -134,6 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     top, shares = hash_sample(known, "label", "doc_id", per_label * OVERSAMPLE, 2 * per_label * OVERSAMPLE)
     texts = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text")).join(F.broadcast(top), "doc_id")  # at most 2 * per_label * OVERSAMPLE ids
+    texts = texts.groupBy("n", "label", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one of each, on however many rows it stands
     got = texts.select("n", "label", "text").mapInArrow(_terms_of, "n int, label int, terms binary").toArrow()
     rows = sorted(zip(got.column("label").to_pylist(), got.column("n").to_pylist(), got.column("terms").to_pylist(), strict=True))
     kept: dict[int, dict[bytes, None]] = {}

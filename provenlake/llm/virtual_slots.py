@@ -78,17 +78,49 @@ def rebalance_slot_map(slot_map: DataFrame, n_shards: int, loads: DataFrame | No
     return held.join(moved, "virtual_slot", "left").select("virtual_slot", F.coalesce("new_shard", "shard").alias("shard"), "bytes", (F.col("last") + 1).alias("version"))
 
 
+class SlotMapConflict(RuntimeError):
+    """A version was taken by another writer, or a stored version lists a slot twice."""
+
+
+def _claim(spark: SparkSession, path: str, version: int) -> None:
+    """Take the name of a version. The file system lets one writer only create the file, whoever else tries."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    name = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_claims/{version}")
+    try:
+        name.getFileSystem(conf).create(name, False).close()
+    except Exception as taken:
+        raise SlotMapConflict(f"version {version} of {path} is another writer's") from taken
+
+
+def release_claim(spark: SparkSession, path: str, version: int) -> None:
+    """Give back the name of a version whose writer died before the version was complete."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_claims/{version}")
+    name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, False)
+
+
 def save_slot_map(slot_map: DataFrame, path: str) -> None:
-    """Append a version to the stored map; older versions stay readable."""
-    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Publish a version of the stored map; older versions stay readable.
+
+    A version's name is claimed before it is written, so of two writers that edit the same version one fails with
+    SlotMapConflict and can load the other's version and try again.
+    """
+    spark, slot_map = slot_map.sparkSession, durable(slot_map)
+    version = slot_map.agg(F.max("version")).first()[0]
+    _claim(spark, path, version)
+    slot_map.drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path.rstrip('/')}/version={version}")
 
 
 def load_slot_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """The stored map as of a version; the newest if none is named."""
+    """The stored map as of a version; the newest complete one if none is named."""
     stored = spark.read.parquet(path)
     if version is None:
-        return stored.join(F.broadcast(stored.agg(F.max("version").alias("version"))), "version", "left_semi")
-    return stored.where(F.col("version") == version)
+        stored = stored.join(F.broadcast(stored.agg(F.max("version").alias("version"))), "version", "left_semi")
+    else:
+        stored = stored.where(F.col("version") == version)
+    sizes = stored.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("virtual_slot").alias("slots")).first()
+    if sizes["n"] != sizes["slots"]:
+        raise SlotMapConflict(f"{path} lists a slot twice")
+    return stored
 
 
 def slot_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
