@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 
 from ._base import bounded_batches, durable, quoted, with_maybe
 from ._shingles import chunks, mix, shingle_sets
-from .components import connected
+from .components import connected_further, rooted
 
 SHINGLE = 3
 THRESHOLD = Fraction(90, 100)
@@ -263,7 +263,7 @@ def links_of_large(segments: DataFrame, nodes: DataFrame, threshold: Fraction) -
     links = durable(pairs_that_link(durable(_not_too_different(pairs, nodes, threshold)), segments, threshold))
     if large.isEmpty():
         return links
-    still = durable(still_mixed(large, links))
+    still = durable(still_mixed(large, connected_further([], links)))
     return links if still.isEmpty() else links.unionByName(_links_in_blocks(still, segments, threshold))
 
 
@@ -326,9 +326,9 @@ def _block_links(threshold: Fraction):
     return run
 
 
-def with_component(signed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """doc_id, digest, n_shingles, component_id. signed: doc_id, digest, n_shingles, node; nodes: node, rep; roots: node, root of the linked nodes."""
-    named = durable(nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+def with_component(signed: DataFrame, nodes: DataFrame, maps: list[DataFrame]) -> DataFrame:
+    """doc_id, digest, n_shingles, component_id. signed: doc_id, digest, n_shingles, node; nodes: node, rep; maps: of the linked nodes to their roots."""
+    named = durable(rooted(nodes.select("node", "rep"), maps))
     of_root = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_node = named.join(of_root, "root").select("node", "component_id")
     return signed.select("doc_id", "digest", "n_shingles", "node").join(of_node, "node", "left").select(
@@ -336,11 +336,9 @@ def with_component(signed: DataFrame, nodes: DataFrame, roots: DataFrame) -> Dat
     )
 
 
-def still_mixed(large: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of ``large`` (key, node) whose group has members of several components of the links."""
-    roots = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rooted = large.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    spread = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+def still_mixed(large: DataFrame, maps: list[DataFrame]) -> DataFrame:
+    """The rows of ``large`` (key, node) whose group has members of several components."""
+    spread = rooted(large.select("key", "node"), maps).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     return large.join(spread.select("key"), "key", "left_semi")
 
 
@@ -388,13 +386,13 @@ def linked_rows(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int = SHING
     large = found.where("a = b").select("key", F.col("a").alias("node"))
     led = large.join(large.groupBy("key").agg(F.min("node").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b"))
     pairs = durable(_not_too_different(found.where("a <> b").select("a", "b").unionByName(led).distinct(), nodes, t))
-    links = durable(pairs_that_link(pairs, pair_sets(pairs, nodes, rows, k, shared), t))
+    maps = connected_further([], durable(pairs_that_link(pairs, pair_sets(pairs, nodes, rows, k, shared), t)))
     if not large.isEmpty():
-        still = durable(still_mixed(large, links).select("node").distinct())
+        still = durable(still_mixed(large, maps).select("node").distinct())
         if not still.isEmpty():
             segments = durable(sets_of(still, nodes, rows, k, shared).join(still, "node", "left_semi"))
-            links = durable(links.unionByName(links_of_large(segments, nodes, t)))
-    return with_component(signed, nodes, connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+            maps = connected_further(maps, durable(links_of_large(segments, nodes, t)))
+    return with_component(signed, nodes, maps)
 
 
 def first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:

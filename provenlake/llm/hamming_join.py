@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import fragment_join
 from ._base import durable
 from ._shingles import chunks, mix, shingle_sets
-from .components import connected
+from .components import connected_further
 
 SHINGLE = 5
 THRESHOLD = Fraction(85, 100)
@@ -135,16 +135,16 @@ def linked_rows(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int = SHING
     small = _pairs_in_groups(members.where(F.col("members") <= SMALL_GROUP).select("key", "node"))
     led = members.where((F.col("members") > SMALL_GROUP) & (F.col("leader") != F.col("node"))).select(F.col("leader").alias("a"), F.col("node").alias("b"))
     pairs = durable(_near(durable(small.unionByName(led).distinct()), nodes, t))
-    links = durable(fragment_join.pairs_that_link(pairs, fragment_join.pair_sets(pairs, nodes, rows, k), t))
+    maps = connected_further([], durable(fragment_join.pairs_that_link(pairs, fragment_join.pair_sets(pairs, nodes, rows, k), t)))
 
     large = met.where(F.col("members") > SMALL_GROUP).select("key")
     if not large.isEmpty():
-        still = durable(fragment_join.still_mixed(durable(keys.join(large, "key")), links).select("node").distinct())
+        still = durable(fragment_join.still_mixed(keys.join(large, "key"), maps).select("node").distinct())
         if not still.isEmpty():
             segments = durable(fragment_join.sets_of(still, nodes, rows, k).join(still, "node", "left_semi"))
             mine = durable(fragment_join.parity_signatures(segments))
-            links = durable(links.unionByName(fragment_join.links_of_large(segments, mine, t)))
-    return fragment_join.with_component(signed, nodes, connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+            maps = connected_further(maps, durable(fragment_join.links_of_large(segments, mine, t)))
+    return fragment_join.with_component(signed, nodes, maps)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
