@@ -303,10 +303,22 @@ def mountain_root_by_user(spark, d):
     return chains.mountain_roots(_leaves(spark, d))
 
 
-@query(f"WITH {_LEAVES} SELECT chain, idx, true AS ok, CAST(CASE WHEN n = 1 THEN 0 ELSE ceil(log2(n)) END AS INTEGER) AS steps FROM leaves JOIN sizes USING (chain)")
+def _tampered(proofs):
+    """Every fifth leaf is exchanged, every seventh path loses a side, every eleventh root is that of something else."""
+    hash = F.when(F.col("idx") % 5 == 0, F.sha2(F.concat(F.lit("x"), "hash"), 256)).otherwise(F.col("hash"))
+    sides = F.when(F.col("idx") % 7 == 3, F.transform("was_right", lambda r, i: F.when(i == 0, ~r).otherwise(r))).otherwise(F.col("was_right"))
+    root = F.when(F.col("idx") % 11 == 2, F.sha2(F.col("root"), 256)).otherwise(F.col("root"))
+    return proofs.withColumns({"hash": hash, "was_right": sides, "root": root})
+
+
+# A leaf that is paired with itself gives the same parent from either side.
+_UNTOUCHED = "idx % 5 <> 0 AND idx % 11 <> 2 AND ({alone} OR idx % 7 <> 3)"
+
+
+@query(f"""WITH {_LEAVES} SELECT chain, idx, {_UNTOUCHED.format(alone="n = 1 OR (idx = n - 1 AND idx % 2 = 0)")} AS ok, CAST(CASE WHEN n = 1 THEN 0 ELSE ceil(log2(n)) END AS INTEGER) AS steps FROM leaves JOIN sizes USING (chain)""")
 def merkle_proof_verify(spark, d):
     leaves = _leaves(spark, d)
-    proofs = chains.prove_inclusion(leaves, leaves.select("chain", "idx")).join(chains.merkle_roots(leaves), "chain")
+    proofs = _tampered(chains.prove_inclusion(leaves, leaves.select("chain", "idx")).join(chains.merkle_roots(leaves), "chain"))
     return proofs.select("chain", "idx", chains.verify_inclusion(F.col("hash"), F.col("siblings"), F.col("was_right"), F.col("root")).alias("ok"), F.size("siblings").alias("steps"))
 
 
@@ -626,10 +638,10 @@ def session_search(spark, d):
     return sessions.session_search(c.select("message_id", "text"), asked).select("query_id", "message_id", F.round("bm25", 6).alias("bm25"), "rank", "snippet")
 
 
-@query(f"WITH {_LEAVES} SELECT chain, idx, true AS ok FROM leaves")
+@query(f"WITH {_LEAVES} SELECT chain, idx, {_UNTOUCHED.format(alone='n % 2 = 1 AND idx = n - 1')} AS ok FROM leaves JOIN sizes USING (chain)")
 def mountain_proof_verify(spark, d):
     leaves = _leaves(spark, d)
-    proofs = chains.prove_in_mountains(leaves, leaves.select("chain", "idx")).join(chains.mountain_roots(leaves), "chain")
+    proofs = _tampered(chains.prove_in_mountains(leaves, leaves.select("chain", "idx")).join(chains.mountain_roots(leaves), "chain"))
     ok = chains.verify_in_mountains(F.col("hash"), F.col("siblings"), F.col("was_right"), F.col("peak"), F.col("peaks"), F.col("root"))
     return proofs.select("chain", "idx", ok.alias("ok"))
 
@@ -651,3 +663,6 @@ def passage_bounds(spark, d):
 @query()
 def passages(spark, d):
     return split_passages(table(spark, d, "documents"), ["doc_id"], "text").select("doc_id", "ordinal", "body", "est_tokens")
+
+
+from . import queries_ledger  # noqa: E402, F401  (registers its own)
