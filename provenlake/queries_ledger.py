@@ -112,7 +112,7 @@ _THRESHOLD = 0.25
 _GATE_ROWS = """n_rows AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations),
     raw AS (SELECT n AS seq, (n * 7919) % 61 AS k, CASE WHEN n % 7 = 2 THEN 'pay' WHEN n % 23 = 9 THEN 'waive' ELSE 'commit' END AS event,
         CASE WHEN n % 11 = 3 THEN 'defeater' WHEN n % 13 = 5 THEN 'observation' WHEN n % 17 = 4 THEN 'commitment' ELSE 'belief' END AS epistemic_type,
-        CASE WHEN n % 19 = 6 THEN 'fast' ELSE 'slow' END AS path, CASE WHEN n % 5 = 1 THEN n - n % 29 - 1 END AS revision_of, n % 6 = 0 AS strict FROM n_rows),
+        CASE WHEN n % 19 = 6 THEN 'fast' ELSE 'slow' END AS path, CASE WHEN n % 5 = 1 THEN n - n % 29 - 1 END AS revision_of, n % 5 = 0 AS strict FROM n_rows),
     events_in AS (SELECT *, CASE WHEN k % 9 = 0 THEN 'not ' ELSE '' END || 'a claim about ' || chr((97 + k % 26)::INTEGER) || chr((97 + k // 26)::INTEGER) AS text FROM raw),
     hashed AS (SELECT *, sha256(epistemic_type || chr(10) || text) AS claim_hash FROM events_in),
     srcs AS (SELECT seq, 0 AS no, 'vault_page' AS kind, NULL AS ref, true AS pinned, seq % 4 <> 1 AS verified, CASE WHEN seq % 4 = 1 THEN 'hash_mismatch' END AS reason FROM raw WHERE seq % 3 <> 0 AND event = 'commit'
@@ -161,7 +161,7 @@ def full_commit_gate(spark, d):
     rows = numbered(c, ["all"], "at").select(n.alias("seq"), (n * 7919 % 61).alias("k")).withColumns({
         "event": F.when(F.col("seq") % 7 == 2, "pay").when(F.col("seq") % 23 == 9, "waive").otherwise("commit"),
         "epistemic_type": F.when(F.col("seq") % 11 == 3, "defeater").when(F.col("seq") % 13 == 5, "observation").when(F.col("seq") % 17 == 4, "commitment").otherwise("belief"),
-        "path": F.when(F.col("seq") % 19 == 6, "fast").otherwise("slow"), "revision_of": F.when(F.col("seq") % 5 == 1, F.col("seq") - F.col("seq") % 29 - 1), "strict": F.col("seq") % 6 == 0,
+        "path": F.when(F.col("seq") % 19 == 6, "fast").otherwise("slow"), "revision_of": F.when(F.col("seq") % 5 == 1, F.col("seq") - F.col("seq") % 29 - 1), "strict": F.col("seq") % 5 == 0,
         "text": F.concat(F.when(F.col("k") % 9 == 0, "not ").otherwise(""), F.lit("a claim about "), F.char(97 + F.col("k") % 26), F.char(97 + F.expr("k div 26"))),
     })
     events = rows.withColumn("claim_hash", F.sha2(F.concat("epistemic_type", F.lit("\n"), "text"), 256))
@@ -183,3 +183,78 @@ def full_commit_gate(spark, d):
     alike = side("a").join(side("b"), F.col("a") != F.col("b")).where((cosine(F.col("v_a"), F.col("v_b")) >= _THRESHOLD) & claims_differ(F.col("t_a"), F.col("t_b")).isNull())
     out = gate.full_commit_gate(events, corpus.unionByName(beliefs).unionByName(bare), alike.select("a", "b"))
     return out.select("seq", "outcome", "reason", F.array_join("debt_ids", ",").alias("debt_ids"), "n_verified", F.array_join("rejected", ",").alias("rejected"), "paraphrase")
+
+
+# Pending writes: every event is a proposal, a decision or an application of one of the writes of its user.
+
+_LIFE = """ev AS (SELECT user_id * 20 + event_id % 20 AS write_id, event_id AS seq, ts AS moment, CASE (event_id * 7919 // 13) % 10 WHEN 0 THEN 'apply' WHEN 1 THEN 'reject' WHEN 2 THEN 'approve' WHEN 3 THEN 'approve' WHEN 4 THEN 'apply' WHEN 5 THEN 'apply' ELSE 'propose' END AS kind,
+        CASE event_id % 5 WHEN 0 THEN 'skill' WHEN 1 THEN 'memory' WHEN 2 THEN 'belief' WHEN 3 THEN 'constitution' ELSE 'user_profile' END AS target, CASE event_id % 4 WHEN 0 THEN 'dream' ELSE 'foreground' END AS origin, CASE WHEN event_id % 2 = 0 THEN 24 + event_id % 3 * 48 END AS ttl_hours FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY write_id ORDER BY moment, seq) AS n FROM ev)"""
+_LIFE_NOW = "2024-01-25"
+
+
+@query(f"""WITH RECURSIVE {_LIFE},
+    f AS (SELECT DISTINCT write_id, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS kind, NULL::VARCHAR AS code, NULL::VARCHAR AS status, NULL::TIMESTAMP AS expires FROM ev
+        UNION ALL
+        SELECT write_id, n, seq, kind, code, CASE WHEN code IN ('queued') THEN 'pending' WHEN code = 'applied_immediate' THEN 'approved' WHEN code = 'rejected_by_policy' THEN 'refused' WHEN code = 'ok' THEN CASE kind WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE 'applied' END ELSE st END,
+            CASE WHEN code IN ('queued', 'applied_immediate') THEN moment + to_hours(coalesce(ttl_hours, 72)::INTEGER) ELSE expires END
+        FROM (SELECT *, CASE WHEN kind = 'propose' THEN CASE WHEN st IS NOT NULL THEN 'duplicate' WHEN target = 'skill' AND origin = 'dream' THEN 'rejected_by_policy' WHEN target IN ('memory', 'user_profile') THEN 'applied_immediate' ELSE 'queued' END
+                WHEN st IS NULL OR st = 'refused' THEN 'not_found'
+                WHEN kind = 'apply' THEN CASE st WHEN 'approved' THEN 'ok' WHEN 'applied' THEN 'idempotent' WHEN 'rejected' THEN 'already_rejected' WHEN 'expired' THEN 'expired' ELSE 'cannot_apply' END
+                WHEN st = 'pending' THEN 'ok' WHEN st = 'expired' THEN 'expired'
+                WHEN (kind = 'approve') = (st IN ('approved', 'applied')) THEN 'idempotent' WHEN st = 'applied' THEN 'already_applied' ELSE 'conflict_opposite' END AS code
+              FROM (SELECT o.*, f.expires, CASE WHEN f.status = 'pending' AND o.moment > f.expires THEN 'expired' ELSE f.status END AS st FROM f JOIN o ON o.write_id = f.write_id AND o.n = f.n + 1))),
+    swept AS (SELECT write_id, max_by(status, n) AS status, bool_or(code = 'queued') AS waited, max(expires) AS expires, bool_or(code = 'ok' AND kind IN ('approve', 'reject')) AS decided FROM f GROUP BY write_id)
+    SELECT write_id, seq, kind, code, nullif(status, 'refused') AS status FROM f WHERE n > 0
+    UNION ALL SELECT write_id, NULL, 'expire', 'expired', 'expired' FROM swept WHERE waited AND NOT coalesce(decided, false) AND expires < TIMESTAMP '{_LIFE_NOW}'""")
+def write_lifecycle(spark, d):
+    from .operators import writes
+
+    return writes.write_lifecycle(life_events(spark, d), writes.Policy(memory=False, auto_skill_improve="off"), F.lit(f"{_LIFE_NOW} 00:00:00").cast("timestamp"))
+
+
+def life_events(spark, d):
+    i = F.col("event_id")
+    pick = F.expr("event_id * 7919 div 13 % 10")
+    kind = F.when(pick.isin(0, 4, 5), "apply").when(pick == 1, "reject").when(pick.isin(2, 3), "approve").otherwise("propose")
+    target = F.element_at(F.array(*map(F.lit, ("skill", "memory", "belief", "constitution", "user_profile"))), (i % 5 + 1).cast("int"))
+    return table(spark, d, "events").select((F.col("user_id") * 20 + i % 20).alias("write_id"), i.alias("seq"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), target.alias("target"), F.when(i % 4 == 0, "dream").otherwise("foreground").alias("origin"), F.when(i % 2 == 0, 24 + i % 3 * 48).alias("ttl_hours"))
+
+
+@query("""WITH holds AS (SELECT event_id AS hold_id, CASE event_id % 3 WHEN 0 THEN 'belief_stale' ELSE 'mutation_pending' END AS kind, event_id % 11 = 0 AS released FROM events WHERE event_type = 'purchase'),
+    rel AS (SELECT event_id AS release_id, event_id - event_id % 8 + event_id % 3 AS hold_id, CASE event_id % 2 WHEN 0 THEN 'belief_stale' ELSE 'mutation_pending' END AS expected_kind FROM events WHERE event_type <> 'purchase')
+    SELECT release_id, hold_id, CASE WHEN h.kind IS NULL THEN 'not_found' WHEN h.released OR EXISTS (SELECT 1 FROM rel e WHERE e.hold_id = r.hold_id AND e.release_id < r.release_id AND e.expected_kind = h.kind) THEN 'already_released' WHEN h.kind <> expected_kind THEN 'kind_mismatch' ELSE 'released' END AS code
+    FROM rel r LEFT JOIN holds h USING (hold_id)""")
+def hold_releases(spark, d):
+    from .operators import writes
+
+    e, i = table(spark, d, "events"), F.col("event_id")
+    holds = e.where("event_type = 'purchase'").select(i.alias("hold_id"), F.when(i % 3 == 0, "belief_stale").otherwise("mutation_pending").alias("kind"), (i % 11 == 0).alias("released"))
+    asked = e.where("event_type <> 'purchase'").select(i.alias("release_id"), (i - i % 8 + i % 3).alias("hold_id"), F.when(i % 2 == 0, "belief_stale").otherwise("mutation_pending").alias("expected_kind"))
+    return writes.release_holds(holds, asked)
+
+
+@query("""WITH r AS (SELECT event_id AS request_id, user_id AS skill_id, ts AS moment, 'h' || event_id % 3 AS content_hash, CASE WHEN event_id % 4 = 0 THEN ['read', 'net'] ELSE ['read'] END AS requested, event_id % 97 = 0 AS has_secret, CASE WHEN event_id % 15 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'passed' ELSE 'parked' END END AS faculty FROM events WHERE event_id % 5 = 0),
+    s AS (SELECT user_id AS skill_id, ts AS created_at, 'h' || event_id % 3 AS cleared_hash, CASE WHEN event_id % 3 <> 0 THEN ['read'] END AS manifest FROM events WHERE event_id % 7 = 1 AND event_id % 2 = 0 AND event_id % 13 <> 0),
+    h AS (SELECT user_id AS skill_id, ts AS opened_at, CASE WHEN event_id % 3 <> 0 THEN ts + INTERVAL 6 HOURS END AS released_at FROM events WHERE event_id % 211 = 2),
+    dep AS (SELECT user_id AS skill_id, 'b' || event_id AS belief_id, ts AS stale_at FROM events WHERE event_id % 131 = 3 AND event_id % 2 = 0 AND event_id % 5 <> 0),
+    m AS (SELECT r.*, (SELECT max_by({'h': cleared_hash, 'm': manifest}, created_at) FROM s WHERE s.skill_id = r.skill_id AND created_at <= moment) AS snap,
+            (SELECT count(*) FROM h WHERE h.skill_id = r.skill_id AND opened_at <= moment AND (released_at IS NULL OR released_at > moment)) AS held, coalesce((SELECT list_sort(list(DISTINCT belief_id)) FROM dep WHERE dep.skill_id = r.skill_id AND stale_at <= moment), []) AS stale, moment >= TIMESTAMP '2024-01-15' AS teeth FROM r),
+    c AS (SELECT *, CASE WHEN snap IS NULL THEN 'no_cleared_snapshot' WHEN snap.h <> content_hash THEN 'mutation_delta' END AS mutation, CASE WHEN snap.m IS NOT NULL THEN list_filter(requested, lambda x: NOT list_contains(snap.m, x)) ELSE [] END AS over FROM m),
+    w AS (SELECT *, CASE WHEN held > 0 THEN 'open_holds' WHEN has_secret THEN 'secret' WHEN teeth AND len(stale) > 0 THEN 'stale:' || stale[1] WHEN teeth AND mutation IS NOT NULL THEN mutation WHEN len(over) > 0 THEN 'capabilities:' || array_to_string(over, ',') WHEN faculty <> 'passed' THEN 'faculty:' || faculty END AS reason FROM c),
+    n AS (SELECT *, CASE WHEN reason IS NULL AND NOT teeth THEN list_concat(list_transform(stale, lambda b: 'stale:' || b), CASE WHEN mutation IS NULL THEN [] ELSE [mutation] END) ELSE [] END AS noted FROM w)
+    SELECT request_id, reason IS NULL AS ok, CASE WHEN reason IS NOT NULL THEN 'refused' WHEN len(noted) > 0 THEN 'shadow_activated' ELSE 'activated' END AS outcome, reason, array_to_string(noted, ',') AS would_refuse FROM n""")
+def skill_activations(spark, d):
+    """Requests against holds, dependencies and snapshots as tables, each as of its time; refusals have teeth from a flip time on."""
+    from .operators import writes
+
+    e, i = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), F.col("event_id")
+    text = lambda head, c: F.concat(F.lit(head), c.cast("string"))
+    words = lambda *w: F.array(*map(F.lit, w))
+    requests = e.where("event_id % 5 = 0").select(i.alias("request_id"), F.col("user_id").alias("skill_id"), F.col("ts").alias("at"), text("h", i % 3).alias("content_hash"), F.when(i % 4 == 0, words("read", "net")).otherwise(words("read")).alias("requested"), (i % 97 == 0).alias("has_secret"))
+    faculty = e.where("event_id % 15 = 0").select(i.alias("request_id"), F.when(i % 2 == 0, "passed").otherwise("parked").alias("status"))
+    snapshots = e.where("event_id % 7 = 1").select(F.col("user_id").alias("skill_id"), F.col("ts").alias("created_at"), F.when(i % 2 == 0, "passed").otherwise("failed").alias("clearance"), F.when(i % 13 != 0, text("h", i % 3)).alias("cleared_hash"), F.when(i % 3 != 0, words("read")).alias("manifest"))
+    holds = e.where("event_id % 211 = 2").select(F.col("user_id").alias("skill_id"), F.col("ts").alias("opened_at"), F.when(i % 3 != 0, F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("released_at"))
+    deps = e.where("event_id % 131 = 3").select(F.col("user_id").alias("skill_id"), text("b", i).alias("belief_id"), (i % 2 == 0).alias("load_bearing"), F.when(i % 5 != 0, F.col("ts")).alias("stale_at"))
+    out = writes.activations(requests, holds, deps, snapshots, F.lit("2024-01-15 00:00:00").cast("timestamp"), faculty=faculty)
+    return out.withColumn("would_refuse", F.array_join("would_refuse", ","))
