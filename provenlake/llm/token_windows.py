@@ -17,6 +17,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -31,8 +32,8 @@ from ._shingles import chunks
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how the byte-level tokenizer splits texts before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Windows that a worker remembers; longer ones than MEMO_TOKENS of A or B are aligned anew each time.
-MEMO_WINDOWS, MEMO_TOKENS = 1 << 16, 64
+#: Tokens of the windows that a worker remembers; beyond that it begins anew.
+MEMO_TOKENS = 1 << 21
 #: Pairs of a part of the counts.
 PART_PAIRS = 1 << 20
 SPACE = b" "
@@ -78,7 +79,7 @@ def byte_ranks(file: bytes) -> dict[bytes, int]:
 class Aligner:
     """Both tokenizers, and the memory of window alignments, of one worker."""
 
-    def __init__(self, files: Vocabularies, memo_windows: int = MEMO_WINDOWS):
+    def __init__(self, files: Vocabularies, memo_tokens: int = MEMO_TOKENS):
         import sentencepiece
         import tiktoken
 
@@ -91,7 +92,10 @@ class Aligner:
         self.b_bytes = [self._piece(n) for n in range(self.b.get_piece_size())]
         self.a_length, self.b_length = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
         self.a_marked = np.array([t.startswith(SPACE) for t in self.a_bytes])
-        self.memo_windows = memo_windows
+        self.b_bits = (len(self.b_bytes) - 1).bit_length()
+        # What is written for a token: its number and what follows it. A: "," "|"; B: "," ";" and a line's end after a window's last.
+        self.written = [b"%d%s" % (n, after) for size, marks in ((len(self.a_bytes), (b",", b"|")), (len(self.b_bytes), (b",", b";", b"\n"))) for after in marks for n in range(size)]
+        self.memo_tokens = memo_tokens
         self.forget()
 
     def _piece(self, n: int) -> bytes:
@@ -100,45 +104,34 @@ class Aligner:
 
     def forget(self) -> None:
         self.memo: dict[tuple[bytes, bytes], int] = {}
-        self.groups: list[str] = []
-        self.n_groups: list[int] = []
-        self.links: list[list[int]] = []  # numbers of linked pairs, in order
-        self.pair_number: dict[int, int] = {}
-
-    def align(self, a: list[int], b: list[int]) -> tuple[str, int, list[tuple[int, int]]]:
-        """Groups as text, their number, and the links of two token lists that cover the same bytes."""
-        i = j = 0
-        groups, links, a_from, b_from = [], [], 0, 0
-        a_end, b_end = (len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])) if a else (0, 0)
-        while i < len(a):
-            links.append((a[i], b[j]))
-            step_a, step_b = a_end <= b_end, b_end <= a_end
-            if step_a:
-                i += 1
-                if i < len(a):
-                    a_end += len(self.a_bytes[a[i]])
-            if step_b:
-                j += 1
-                if j < len(b):
-                    b_end += len(self.b_bytes[b[j]])
-            if step_a and step_b:
-                groups.append(f"{','.join(map(str, a[a_from:i]))}|{','.join(map(str, b[b_from:j]))}")
-                a_from, b_from = i, j
-        return ";".join(groups), len(groups), links
-
-    def window(self, key: tuple[bytes, bytes]) -> int:
-        """Number of a window, aligned where it isn't known."""
-        n = self.memo.get(key)
-        if n is None:
-            groups, n_groups, links = self.align(*(np.frombuffer(x, dtype=np.int32).tolist() for x in key))
-            n = len(self.groups)
-            self.groups.append(groups)
-            self.n_groups.append(n_groups)
-            number = self.pair_number
-            self.links.append([number.setdefault(x << 32 | y, len(number)) for x, y in links])
-            if max(map(len, key)) <= 4 * MEMO_TOKENS:
-                self.memo[key] = n
-        return n
+        self.held = 0
+        self.groups: list[bytes] = []
+        self.n_groups, self.n_links = (np.zeros(0, dtype=np.int64) for _ in range(2))
+        self.links = np.zeros(0, dtype=np.int64)  # linked pairs of all windows, packed, one window after the other
+
+    def align(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> None:
+        """Remember the alignments of new windows: ids of A and of B, and how many each window has. Both sides of a window cover the same bytes.
+
+        Between two neighbouring ends of either side lies one token of each, so the ends of both sides give the links.
+        """
+        a_end, b_end = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        in_a, in_b = (np.zeros(int(a_end[-1]) + 1, dtype=bool) for _ in range(2))
+        in_a[a_end], in_b[b_end] = True, True
+        ends, both = np.flatnonzero(in_a | in_b), in_a & in_b
+        upto_a, upto_b, groups = np.cumsum(in_a), np.cumsum(in_b), np.cumsum(both)
+        of_a = upto_a[ends] - in_a[ends]  # the token that covers what lies before each end
+        of_b = upto_b[ends] - in_b[ends]
+        window = np.repeat(np.arange(len(n_a)), n_a)
+        self.links = np.concatenate((self.links, a[of_a].astype(np.int64) << self.b_bits | b[of_b]))
+        self.n_links = np.concatenate((self.n_links, np.bincount(window[of_a], minlength=len(n_a))))
+        self.n_groups = np.concatenate((self.n_groups, np.bincount(window[both[a_end]], minlength=len(n_a))))
+        place = np.argsort(np.concatenate((2 * (groups[a_end] - both[a_end]), 2 * (groups[b_end] - both[b_end]) + 1)), kind="stable")
+        size_a, size_b = len(self.a_bytes), len(self.b_bytes)
+        after_b = both[b_end].astype(np.int64)
+        after_b[np.cumsum(n_b) - 1] = 2
+        written = np.concatenate((a + size_a * both[a_end], 2 * size_a + b + size_b * after_b))[place]
+        self.groups += b"".join(map(self.written.__getitem__, written.tolist())).split(b"\n")[:-1]
+        self.held += len(a) + len(b)
 
     def tokens(self, texts: list[bytes | None]) -> tuple[list[list[int]], list[list[int]]]:
         """A's and B's ids of each text; both empty where a text is, or where their bytes aren't those of space and text."""
@@ -153,11 +146,11 @@ class Aligner:
 
     def documents(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, list[int]]]:
         """n_a, n_b and the windows' numbers of each text."""
-        if len(self.groups) > self.memo_windows:
+        if self.held > self.memo_tokens:
             self.forget()
         a_ids, b_ids = self.tokens(texts)
         n_a, n_b = np.array([len(x) for x in a_ids]), np.array([len(x) for x in b_ids])
-        a, b = (np.fromiter((n for x in ids for n in x), dtype=np.int32, count=int(total)) for ids, total in ((a_ids, n_a.sum()), (b_ids, n_b.sum())))
+        a, b = (np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(total)) for ids, total in ((a_ids, n_a.sum()), (b_ids, n_b.sum())))
         a_end, b_end = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])  # both run over the same bytes
         size = int(a_end[-1]) + 1 if len(a) else 1
         in_a, in_b, last = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
@@ -170,20 +163,31 @@ class Aligner:
         anchor = in_a & in_b & (marked | last)
         a_to, b_to = np.flatnonzero(anchor[a_end]) + 1, np.flatnonzero(anchor[b_end]) + 1
         per_text = np.diff(np.searchsorted(a_to, np.concatenate(([0], np.cumsum(n_a))), side="right"))
-        a_raw, b_raw, window, memo = a.tobytes(), b.tobytes(), self.window, self.memo
-        found, a_at, b_at = [], 0, 0
-        for a_next, b_next in zip((4 * a_to).tolist(), (4 * b_to).tolist(), strict=True):
+        a_raw, b_raw, memo = a.tobytes(), b.tobytes(), self.memo
+        found, new, a_at, b_at = [], [], 0, 0
+        for i, (a_next, b_next) in enumerate(zip((4 * a_to).tolist(), (4 * b_to).tolist(), strict=True)):
             key = (a_raw[a_at:a_next], b_raw[b_at:b_next])
             n = memo.get(key)
-            found.append(window(key) if n is None else n)
+            if n is None:
+                n = memo[key] = len(memo)
+                new.append(i)
+            found.append(n)
             a_at, b_at = a_next, b_next
+        if new:
+            self.align(*_stretches(a, a_to, new), *_stretches(b, b_to, new))
         start = 0
         for x, y, count in zip(n_a.tolist(), n_b.tolist(), per_text.tolist(), strict=True):
             yield x, y, found[start : start + count]
             start += count
 
 
-_ALIGNERS: dict[int, Aligner] = {}
+def _stretches(ids: np.ndarray, ends: np.ndarray, chosen: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the chosen windows, one after the other, and the number of each one's."""
+    starts, counts = np.concatenate(([0], ends[:-1]))[chosen], np.diff(ends, prepend=0)[chosen]
+    return ids[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))], counts
+
+
+_ALIGNERS: dict[str, Aligner] = {}
 
 
 def _aligner(files) -> Aligner:
@@ -206,24 +210,22 @@ class _Files:
 
 
 def _linked(aligner: Aligner, windows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, pair, times): the distinct linked pairs of each text, sorted by text."""
+    """(text, pair, times): the distinct linked pairs of each text, sorted by text; a pair is A's id x 2^32 + B's."""
     counts = np.array([len(w) for w in windows], dtype=np.int64)
-    flat = np.fromiter((n for w in windows for n in w), dtype=np.int64, count=int(counts.sum()))
+    flat = np.fromiter(chain.from_iterable(windows), dtype=np.int64, count=int(counts.sum()))
     if not len(flat):
         return (np.zeros(0, dtype=np.int64),) * 3
-    each, times = np.unique(np.repeat(np.arange(len(windows)), counts) * len(aligner.groups) + flat, return_counts=True)
-    text, window = each // len(aligner.groups), each % len(aligner.groups)
-    known, place = np.unique(window, return_inverse=True)
-    links = [aligner.links[n] for n in known.tolist()]
-    sizes = np.array([len(x) for x in links], dtype=np.int64)
-    pairs = np.fromiter((p for x in links for p in x), dtype=np.int64, count=int(sizes.sum()))
-    n = sizes[place]
-    at = np.repeat((np.cumsum(sizes) - sizes)[place] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    spread, where = np.unique(np.repeat(text, n) * len(aligner.pair_number) + pairs[at], return_inverse=True)
-    total = np.zeros(len(spread), dtype=np.int64)
-    np.add.at(total, where, np.repeat(times, n))
-    value = np.fromiter(aligner.pair_number, dtype=np.int64, count=len(aligner.pair_number))
-    return spread // len(aligner.pair_number), value[spread % len(aligner.pair_number)], total
+    total = len(aligner.groups)
+    each, times = np.unique(np.repeat(np.arange(len(windows)), counts) * total + flat, return_counts=True)
+    text, window = each // total, each % total
+    n = aligner.n_links[window]
+    at = np.repeat((np.cumsum(aligner.n_links) - aligner.n_links)[window] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    bits, mask = aligner.b_bits, (1 << aligner.b_bits) - 1
+    pair_bits = bits + (len(aligner.a_bytes) - 1).bit_length()
+    spread, where = np.unique(np.repeat(text, n) << pair_bits | aligner.links[at], return_inverse=True)
+    summed = np.bincount(where, weights=np.repeat(times, n)).astype(np.int64)  # far below 2^53
+    pair = spread & ((1 << pair_bits) - 1)
+    return spread >> pair_bits, (pair >> bits) << 32 | (pair & mask), summed
 
 
 def _align(files: _Files, with_groups: bool):
@@ -235,9 +237,10 @@ def _align(files: _Files, with_groups: bool):
             for at, texts in chunks(batch.column(batch.num_columns - 1).cast(pa.binary())):
                 n_a, n_b, windows = (list(x) for x in zip(*aligner.documents(texts), strict=True))
                 text, pair, times = _linked(aligner, windows)
-                groups = [";".join([aligner.groups[n] for n in w]) for w in windows]
-                digest = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-                n_groups = [sum([aligner.n_groups[n] for n in w]) for w in windows]
+                groups = [b";".join(map(aligner.groups.__getitem__, w)) for w in windows]
+                digest = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
+                of_windows = np.concatenate(([0], np.cumsum(aligner.n_groups[np.fromiter(chain.from_iterable(windows), dtype=np.int64)])))
+                n_groups = np.diff(of_windows[np.cumsum([0] + [len(w) for w in windows])])
                 ends = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
                 sums = np.concatenate(([0], np.cumsum(times)))
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (pair, times.astype(np.int32))]
@@ -245,7 +248,7 @@ def _align(files: _Files, with_groups: bool):
                 out += [pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(n_groups, pa.int64()), pa.array(np.diff(sums[ends])), pa.array(digest, pa.string()), *lists]
                 names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
                 if with_groups:
-                    out, names = [*out, pa.array(groups, pa.string())], [*names, "groups"]
+                    out, names = [*out, pa.array(groups, pa.binary()).cast(pa.string())], [*names, "groups"]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     return run

@@ -101,11 +101,11 @@ def test_query_tables_against_brute_force(spark, sf_dir, tokenizers):
 
 def test_groups_cover_the_text(spark):
     files = token_windows.Vocabularies.read()
-    aligner = token_windows.Aligner(files, memo_windows=3)  # forgets all the time
+    aligner = token_windows.Aligner(files, memo_tokens=30)  # forgets all the time
     text = "some words, once more some words, and Unglaublichkeiten." * 5
     for _ in range(3):
         [(n_a, n_b, windows)] = aligner.documents([text.encode()])
-        groups = ";".join(aligner.groups[n] for n in windows).split(";")
+        groups = b";".join(aligner.groups[n] for n in windows).decode().split(";")
         a = [int(n) for g in groups for n in g.split("|")[0].split(",")]
         b = [int(n) for g in groups for n in g.split("|")[1].split(",")]
         assert len(a) == n_a and len(b) == n_b
