@@ -39,8 +39,22 @@ _PLAIN = "".join(map(_base, _ACCENTED))
 
 
 def index_terms(c: Column) -> Column:
-    """Terms of the inverted index: letters and digits, case-folded, diacritics removed; an underscore splits."""
-    return F.regexp_extract_all(fold(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    """Terms of the inverted index: letters and digits, case-folded, diacritics removed; an underscore splits.
+
+    Terms are taken with their combining marks and folded one by one, and only those that aren't ASCII.
+    """
+    raw = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(\p{Mn}*[\p{L}\p{N}][\p{L}\p{N}\p{Mn}]*)"), 1)
+    return F.transform(raw, lambda x: F.when(F.octet_length(x) == F.char_length(x), x).otherwise(F.regexp_replace(F.translate(x, _ACCENTED, _PLAIN), r"\p{Mn}+", "")))
+
+
+def term_counts(terms: Column) -> Column:
+    """An array of (term, tf), by term: the runs of the sorted terms."""
+
+    def runs(s: Column) -> Column:
+        starts = F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.get(s, i - 2)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.array(starts), lambda at: F.transform(at, lambda i, k: F.struct(F.element_at(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i).alias("tf"))))[0]
+
+    return F.transform(F.array(F.sort_array(terms)), runs)[0]
 
 
 def estimate_tokens(c: Column) -> Column:

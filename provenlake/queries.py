@@ -76,7 +76,7 @@ def knn_cosine(spark, d):
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, least(count(DISTINCT doc_id), 10000) AS df_capped FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY term")
 def term_df(spark, d):
-    return search.term_df(search.postings(table(spark, d, "documents"), "doc_id", "text"))
+    return search.term_df(search.held_terms(table(spark, d, "documents"), "doc_id", "text"))
 
 
 def _benchmark_terms(spark, d) -> DataFrame:
