@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ordered import counted_within
 
 #: Fixed: the default rules, in order of priority: id, name, priority, target, action, origin, stakes, outcome, most automatic approvals an hour. None fits anything.
 DEFAULT_RULES = [
@@ -19,6 +20,7 @@ DEFAULT_RULES = [
     ("wf_default_human", "default_require_human", 1000, None, None, None, None, "require_human", None),
 ]
 RULE_SCHEMA = "rule_id string, name string, priority int, target string, action string, origin string, stakes string, outcome string, max_auto_per_hour int"
+MOST_RULES = 1000
 EMPTY_REASON_RULE = "wf_reject_empty_reason"
 QUORUM = {"consequential": 4, "elevated": 3}
 FACULTIES = ("epistemology", "applied_ethics", "language_logic", "philosophy_of_tech", "mind_consciousness")
@@ -31,17 +33,22 @@ def default_rules(spark: SparkSession) -> DataFrame:
 def match_rules(pending: DataFrame, rules: DataFrame) -> DataFrame:
     """write_id, rule_id, outcome, max_auto_per_hour: the first rule, by priority and name, that fits each write.
 
-    pending: write_id, target, action, origin, stakes (null: routine), reason. Rules are a configuration table;
-    it is broadcast only while it is small, which Spark checks by its size.
+    pending: write_id, target, action, origin, stakes (null: routine), reason. Rules are a configuration table of at most MOST_RULES
+    rows, an error beyond it; they come as one array to every write, and the first that fits is found in the row.
     """
-    fits = lambda c, value: F.col(f"r.{c}").isNull() | (F.col(f"r.{c}") == value)
-    p, r = pending.alias("p"), rules.alias("r")
-    ok = fits("target", F.col("p.target")) & fits("action", F.col("p.action")) & fits("origin", F.col("p.origin")) & fits("stakes", F.coalesce("p.stakes", F.lit("routine")))
-    has_reason = F.trim(F.coalesce("p.reason", F.lit(""))) != ""
-    ok &= ~((F.col("r.rule_id") == EMPTY_REASON_RULE) & (F.col("p.origin") == "background_review") & has_reason)
-    met = p.join(r, ok, "left").select("p.write_id", F.struct("r.priority", "r.name", "r.rule_id", "r.outcome", "r.max_auto_per_hour").alias("rule"))
-    first = met.groupBy("write_id").agg(F.min(F.when(F.col("rule.rule_id").isNotNull(), F.col("rule"))).alias("rule"))
-    return first.select("write_id", "rule.rule_id", "rule.outcome", "rule.max_auto_per_hour")
+    ordered = F.sort_array(F.collect_list(F.struct("priority", "name", "rule_id", "target", "action", "origin", "stakes", "outcome", "max_auto_per_hour")))
+    one = rules.agg(F.count(F.lit(1)).alias("n"), ordered.alias("rules"))
+    one = one.select(F.when(F.col("n") <= MOST_RULES, F.col("rules")).otherwise(F.raise_error(F.lit(f"more than {MOST_RULES} rules"))).alias("rules"))
+    fits = lambda rule, c, value: rule[c].isNull() | (rule[c] == value)
+    has_reason = F.trim(F.coalesce("reason", F.lit(""))) != ""
+
+    def fit(r: Column) -> Column:
+        ok = fits(r, "target", F.col("target")) & fits(r, "action", F.col("action")) & fits(r, "origin", F.col("origin")) & fits(r, "stakes", F.coalesce("stakes", F.lit("routine")))
+        return ok & ~((r["rule_id"] == EMPTY_REASON_RULE) & (F.col("origin") == "background_review") & has_reason)
+
+    p = pending.select("write_id", "target", "action", "origin", "stakes", "reason")
+    met = p.crossJoin(F.broadcast(one)).withColumn("rule", F.get(F.filter("rules", fit), F.lit(0)))  # one row
+    return met.select("write_id", "rule.rule_id", "rule.outcome", "rule.max_auto_per_hour")
 
 
 def decide(pending: DataFrame, rules: DataFrame, auto_enabled: bool = True) -> DataFrame:
@@ -52,8 +59,7 @@ def decide(pending: DataFrame, rules: DataFrame, auto_enabled: bool = True) -> D
     """
     met = pending.join(match_rules(pending, rules), "write_id")
     auto = F.col("outcome") == "auto_approve"
-    hour = Window.partitionBy("rule_id", "outcome").orderBy(F.unix_micros("created_at")).rangeBetween(-3_600_000_000, 0)
-    met = met.withColumn("n", F.count(F.lit(1)).over(hour))
+    met = counted_within(met, ["rule_id", "outcome"], F.unix_micros("created_at"), 3_600_000_000, "n")
     allowed = auto & F.lit(auto_enabled) & (F.col("target") != "constitution") & (F.col("max_auto_per_hour").isNull() | (F.col("n") <= F.col("max_auto_per_hour")))
     return met.select("write_id", "rule_id", F.when(auto & ~allowed, "require_human").otherwise(F.coalesce("outcome", F.lit("require_human"))).alias("decision"))
 

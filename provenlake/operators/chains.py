@@ -1,7 +1,7 @@
 """Hash chains, Merkle trees and mountain ranges over many chains at once.
 
-Appending and verifying go along a chain in one task and are parallel across chains; an entry is verified by hashing
-it again and comparing it with its neighbour, so a task keeps one entry. Trees are built level by level with one group-by a
+Appending goes along a chain in one task and is parallel across chains. An entry is verified by hashing it again and comparing
+it with its neighbour, in buckets of the order, so that one long chain is many tasks. Trees are built level by level with one group-by a
 level, so no task holds a whole tree.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from ..functions.hashing import chain_hash, checkpoint_link, merkle_parent
 from ..materialise import durable
 from ..sources.sinks import anchor
+from .ordered import numbered, with_previous
 
 GENESIS = "GENESIS"
 AUTO_CHECKPOINT = 64
@@ -63,8 +64,7 @@ def append_chain(rows: DataFrame, chain: str, seq: str, payload: str, tips: Data
 
 def verify_chain(entries: DataFrame, tips: DataFrame | None = None) -> DataFrame:
     """chain, ok, checked, broken_at, reason: the first entry whose link or hash is wrong; then the stored tip."""
-    order = Window.partitionBy("chain").orderBy("seq")
-    linked = entries.withColumn("want", F.lag("entry_hash", 1, GENESIS).over(order)).withColumn("n", F.row_number().over(order))
+    linked = with_previous(numbered(entries, ["chain"], "seq", "n"), ["chain"], "seq", "entry_hash", "want", F.lit(GENESIS)).withColumn("n", F.col("n") + 1)
     why = F.when(F.col("prev_hash") != F.col("want"), "prev_hash").when(chain_hash(F.col("prev_hash"), F.col("payload")) != F.col("entry_hash"), "entry_hash")
     out = linked.withColumn("why", why).groupBy("chain").agg(
         F.count(F.lit(1)).alias("total"), F.min(F.when(F.col("why").isNotNull(), F.struct("seq", "n", "why"))).alias("bad"), F.max_by("entry_hash", "seq").alias("last")
@@ -84,7 +84,7 @@ def assert_chain(entries: DataFrame, tips: DataFrame | None = None) -> None:
 
 def leaves_of(entries: DataFrame) -> DataFrame:
     """chain, idx (from 0), hash: the entry hashes of each chain in order."""
-    return entries.select("chain", (F.row_number().over(Window.partitionBy("chain").orderBy("seq")) - 1).cast("long").alias("idx"), F.col("entry_hash").alias("hash"))
+    return numbered(entries.select("chain", "seq", F.col("entry_hash").alias("hash")), ["chain"], "seq").select("chain", "idx", "hash")
 
 
 def merkle_levels(leaves: DataFrame) -> list[DataFrame]:

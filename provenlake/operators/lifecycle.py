@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ordered import counted_within
 
 ALERT_MICROS = 5_000_000
 #: Fixed: half-lives of memory layers in seconds (none: never), and the layers that need approval.
@@ -35,8 +36,7 @@ def within_cap(total_micros: Column, cap_usd: str | None) -> Column:
 
 def rate_last_hour(events: DataFrame, key: str, time: str, order: str) -> DataFrame:
     """Adds ``in_hour``: events of the same key in the hour up to each one, itself included."""
-    secs = F.unix_micros(F.col(time))
-    return events.withColumn("in_hour", F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(secs).rangeBetween(-3_600_000_000, 0)))
+    return counted_within(events, [key], F.unix_micros(F.col(time)), 3_600_000_000, "in_hour")
 
 
 def expire_beliefs(beliefs: DataFrame, now: Column) -> DataFrame:

@@ -63,6 +63,19 @@ def counted_upto(rows: DataFrame, keys: list[str], order: str, asked: DataFrame,
     return met.withColumn(name, F.coalesce("__earlier", F.lit(0)) + F.coalesce("__inside", F.lit(0))).drop("__ask", "__at", "__earlier", "__inside")
 
 
+def counted_within(rows: DataFrame, keys: list[str], time: Column, span: int, name: str) -> DataFrame:
+    """Adds how many rows of the key lie within ``span`` before each row's time, both ends included, itself too. time: a whole number.
+
+    A row is counted in its own stretch of that span and, as context, in the next one, so a key is as many tasks as it has stretches.
+    """
+    df = rows.withColumn("__time", time)
+    of = lambda stretch, own: F.struct(stretch.cast("long").alias("n"), F.lit(own).alias("own"))
+    stretch = F.floor(F.col("__time") / F.lit(span))
+    both = df.withColumn("__in", F.explode(F.when(F.col("__time").isNull(), F.array(of(stretch, True))).otherwise(F.array(of(stretch, True), of(stretch + 1, False)))))
+    within = Window.partitionBy(*keys, "__in.n").orderBy("__time").rangeBetween(-span, 0)
+    return both.withColumn(name, F.count(F.lit(1)).over(within)).where("__in.own").drop("__time", "__in")
+
+
 def running_before(rows: DataFrame, order: str, value: str, name: str, width: int = WIDTH) -> DataFrame:
     """Adds the sum of the values of all rows before each one; only the sums of the buckets, one row each, are ever in one task."""
     df = rows.withColumn("__bucket", bucket_of(F.col(order), width))
