@@ -58,6 +58,14 @@ def legacy_snapshot(*parts: Column) -> Column:
     return sha256(F.concat_ws("\n", *head, trim_space(body)))
 
 
+def canonical_json(c: Column) -> Column:
+    """JSON text with the keys of all objects in order and without spaces; null where it isn't JSON.
+
+    A VARIANT keeps an object's fields sorted by their names at every depth, so parsing and writing it is all there is to do.
+    """
+    return F.to_json(F.try_parse_json(c))
+
+
 def chain_hash(prev: Column, payload: Column) -> Column:
     return sha256(F.concat(prev, F.lit("\n"), payload))
 
@@ -72,6 +80,6 @@ def checkpoint_link(prev_root: Column, root: Column) -> Column:
 
 
 def tool_schema_hash(name: Column, description: Column, schema_json: Column) -> Column:
-    """Name, description and input schema; the schema is JSON text and goes in as it is."""
+    """Name, description and input schema; the schema is JSON text and goes in canonically, as it is where it can't be parsed."""
     text = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1), F.lit("null"))
-    return sha256(F.concat(F.lit('{"name":'), text(name), F.lit(',"description":'), text(description), F.lit(',"inputSchema":'), F.coalesce(schema_json, F.lit("null")), F.lit("}")))
+    return sha256(F.concat(F.lit('{"name":'), text(name), F.lit(',"description":'), text(description), F.lit(',"inputSchema":'), F.coalesce(canonical_json(schema_json), schema_json, F.lit("null")), F.lit("}")))

@@ -71,22 +71,25 @@ def commit_gate_with_payments(events: DataFrame) -> DataFrame:
     return events.withColumn("outcome", outcome).where("event = 'commit'").select("seq", "claim_hash", "outcome")
 
 
-def revision_roots(beliefs: DataFrame, most_depth: int = 64) -> DataFrame:
-    """belief_id, ancestor, depth: every claim that a belief revises, directly or not. Steps are joins; a depth limit ends cycles.
+def revision_roots(beliefs: DataFrame, most_depth: int = 1 << 20) -> DataFrame:
+    """belief_id, ancestor, depth: every claim that a belief revises, directly or not, and the fewest steps to it.
 
-    beliefs: belief_id, revision_of.
+    beliefs: belief_id, revision_of (one at most). Pointers are doubled: after k rounds each belief points 2^k steps up and knows all
+    ancestors within them, so rounds grow with the logarithm of the depth. A cycle ends where a round finds nothing new; a belief is no
+    ancestor of its own.
     """
     from ..materialise import durable
 
-    up = beliefs.where("revision_of IS NOT NULL AND revision_of <> belief_id").select(F.col("belief_id").alias("child"), F.col("revision_of").alias("parent"))
-    found = up.select(F.col("child").alias("belief_id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    edge = found
-    for depth in range(2, most_depth + 1):
-        edge = edge.join(up, edge["ancestor"] == up["child"]).where(F.col("parent") != F.col("belief_id")).select("belief_id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"))
-        edge = durable(edge.join(found.select("belief_id", "ancestor"), ["belief_id", "ancestor"], "left_anti"))
-        if edge.isEmpty():
+    up = beliefs.where("revision_of IS NOT NULL AND revision_of <> belief_id").select("belief_id", F.col("revision_of").alias("ancestor"), F.lit(1).alias("depth"))
+    found, jump, far = durable(up), durable(up.select("belief_id", F.col("ancestor").alias("mid"))), 1
+    known = found.count()
+    while far < most_depth and not jump.isEmpty():
+        beyond = jump.join(found.select(F.col("belief_id").alias("mid"), "ancestor", (F.col("depth") + far).alias("depth")), "mid").where((F.col("ancestor") != F.col("belief_id")) & (F.col("depth") <= most_depth))
+        found = durable(found.unionByName(beyond.select("belief_id", "ancestor", "depth")).groupBy("belief_id", "ancestor").agg(F.min("depth").alias("depth")))
+        jump = durable(jump.join(jump.select(F.col("belief_id").alias("mid"), F.col("mid").alias("further")), "mid").select("belief_id", F.col("further").alias("mid")))
+        far, before, known = 2 * far, known, found.count()
+        if known == before:
             break
-        found = durable(found.unionByName(edge))
     return found
 
 

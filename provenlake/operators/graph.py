@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_PARSER = re._parser
+#: Triggers that go out to the tasks at a time.
+TRIGGER_BLOCK = 20_000
 CALLS = ("calls", "references")
 
 
@@ -44,23 +51,67 @@ def by_prefix(rows: DataFrame, id_col: str, prefix: str) -> DataFrame:
     return exact.unionByName(near.crossJoin(one).drop("n").crossJoin(exact.agg(F.count(F.lit(1)).alias("n")).where("n = 0")).drop("n"))  # two rows at most
 
 
-def match_triggers(skills: DataFrame, utterances: DataFrame) -> DataFrame:
-    """skill_id, utterance_id: triggers that fit as a pattern, or as plain text where they are no pattern.
+def match_triggers(skills: DataFrame, utterances: DataFrame, block: int = TRIGGER_BLOCK) -> DataFrame:
+    """skill_id, utterance_id: triggers that fit as a pattern, without regard to case, or as plain text where they are no pattern.
 
-    skills is a registry of bounded size; utterances stay where they are.
+    skills: skill_id, trigger; utterances: utterance_id, text. Each trigger has a literal that any match must hold, where it has one at
+    all. The literals of a block of triggers make one automaton, which finds in one pass over an utterance the few triggers worth
+    trying; triggers without a literal are tried everywhere. Both tables may grow: triggers go out in blocks of ``block``, one scan of the utterances each.
     """
-    import re
-
-    known = []
-    for row in skills.select("skill_id", "trigger").collect():  # the registry
-        try:
-            re.compile(row.trigger)
-            known.append((row.skill_id, row.trigger, True))
-        except re.error:
-            known.append((row.skill_id, row.trigger, False))
-    out = None
-    for skill, trigger, pattern in known:
-        fit = F.col("text").rlike("(?i)" + trigger) if pattern else F.lower("text").contains(trigger.lower())
-        one = utterances.where(fit).select(F.lit(skill).alias("skill_id"), "utterance_id")
+    rows = skills.where("trigger IS NOT NULL").select("skill_id", "trigger").distinct()
+    n = -(-rows.count() // block)
+    schema = rows.select("skill_id").crossJoin(utterances.select("utterance_id").limit(0)).schema
+    sc, texts, out = rows.sparkSession.sparkContext, utterances.where("text IS NOT NULL").select("utterance_id", "text"), None
+    for b in range(n):
+        part = rows.where(F.pmod(F.xxhash64("trigger"), F.lit(n)) == b).toArrow()
+        one = texts.mapInArrow(_try_triggers(sc.broadcast((part.column("skill_id"), part.column("trigger").to_pylist()))), schema)
         out = one if out is None else out.unionByName(one)
-    return out if out is not None else utterances.sparkSession.createDataFrame([], "skill_id string, utterance_id long")
+    return out if out is not None else rows.sparkSession.createDataFrame([], schema)
+
+
+#: Letters outside ASCII that match an ASCII letter without regard to case.
+_ALIKE = str.maketrans({"\u017f": "s", "\u212a": "k", "\u0130": "i", "\u0131": "i"})
+
+
+def required_literal(pattern: str) -> str:
+    """The longest run of ASCII characters, in lower case, that every match of a pattern holds; empty if there is none."""
+    best = run = ""
+    for op, what in _PARSER.parse(pattern, re.IGNORECASE):
+        run = run + chr(what).lower() if op is _PARSER.LITERAL and what < 128 else ""
+        best = max(best, run, key=len)
+    return best
+
+
+def _try_triggers(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        skills, triggers = shared.value
+        tried, everywhere, by_literal = [], [], {}
+        for k, trigger in enumerate(triggers):
+            try:
+                tried.append(re.compile(trigger, re.IGNORECASE))
+                literal = required_literal(trigger)
+            except re.error:
+                tried.append(None)
+                literal = trigger.lower()
+            if literal:
+                by_literal.setdefault(literal, []).append(k)
+            else:
+                everywhere.append(k)
+        automaton = ahocorasick.Automaton()
+        for literal, which in by_literal.items():
+            automaton.add_word(literal, which)
+        automaton.make_automaton()
+        for batch in batches:
+            hit, of = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                low = text.lower()
+                near = {k for _, which in automaton.iter(text.translate(_ALIKE).lower()) for k in which} if by_literal else set()
+                for k in sorted(near.union(everywhere)):
+                    if tried[k].search(text) if tried[k] is not None else triggers[k].lower() in low:
+                        hit.append(k)
+                        of.append(i)
+            yield pa.RecordBatch.from_arrays([skills.take(pa.array(hit, pa.int64())).combine_chunks(), batch.column(0).take(pa.array(of, pa.int64()))], names=["skill_id", "utterance_id"])
+
+    return run

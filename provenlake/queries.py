@@ -665,4 +665,4 @@ def passages(spark, d):
     return split_passages(table(spark, d, "documents"), ["doc_id"], "text").select("doc_id", "ordinal", "body", "est_tokens")
 
 
-from . import queries_ledger  # noqa: E402, F401  (registers its own)
+from . import queries_ledger, queries_more  # noqa: E402, F401  (they register their own)
