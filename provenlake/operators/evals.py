@@ -34,6 +34,13 @@ def threshold_sweep(pairs: DataFrame, low: float = 0.50, high: float = 0.99, ste
     return out.select(F.round(low + F.col("t") * step, 2).alias("threshold"), "fn", "fp", (F.col("fn") + F.col("lost")).alias("fn_net"), (F.col("fp") - F.col("saved")).alias("fp_net"))
 
 
+def threshold_extremes(pairs: DataFrame, low: float = 0.50, high: float = 0.99, step: float = 0.01) -> DataFrame:
+    """min_same, max_diff, first_free (the first threshold without a false positive, net of what is suppressed; null if none is): one row."""
+    ends = pairs.agg(F.min(F.when(F.col("same"), F.col("score"))).alias("min_same"), F.max(F.when(~F.col("same"), F.col("score"))).alias("max_diff"))
+    free = threshold_sweep(pairs, low, high, step).agg(F.min(F.when(F.col("fp_net") == 0, F.col("threshold"))).alias("first_free"))
+    return ends.crossJoin(free)  # one row each
+
+
 def confusion(rows: DataFrame, flagged: Column, changed: Column, stratum: str | None = None) -> DataFrame:
     """(stratum,) tp, fp, fn, tn, recall, precision."""
     n = lambda c: F.sum(c.cast("int"))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,11 +86,48 @@ def stem_all(terms: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def session_search(messages: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, message_id, bm25, rank, snippet. messages: message_id, text; queries: query_id, text."""
-    stems = messages.select("message_id", "text", F.array_join(stem_all(index_terms(F.col("text"))), " ").alias("stems"))
-    asked = queries.select("query_id", F.explode(stem_all(index_terms(F.col("text")))).alias("term"))
-    hits = search.lexical_hits(asked, stems.select("message_id", "stems"), "message_id", "stems", pool=k)
-    first = F.substring_index(F.col("text"), " ", SNIPPET_TOKENS)
-    return hits.join(stems.select(F.col("message_id").alias("doc_id"), first.alias("snippet")), "doc_id").select("query_id", F.col("doc_id").alias("message_id"), "bm25", F.col("lex_rank").alias("rank"), "snippet")
+    stems = messages.select("message_id", F.array_join(stem_all(index_terms(F.col("text"))), " ").alias("stems"))
+    wanted = queries.select("query_id", stem_all(index_terms(F.col("text"))).alias("wanted"))
+    hits = search.lexical_hits(wanted.select("query_id", F.explode("wanted").alias("term")), stems, "message_id", "stems", pool=k)
+    found = hits.select("query_id", F.col("doc_id").alias("message_id"), "bm25", F.col("lex_rank").alias("rank"))
+    met = found.join(messages.select("message_id", "text"), "message_id").join(wanted, "query_id").withColumn("stems", stem_all(index_terms(F.col("text"))))
+    return met.select("query_id", "message_id", "bm25", "rank", snippet(F.col("text"), F.col("stems"), F.col("wanted")).alias("snippet"))
+
+
+#: A token with its combining marks, as ``index_terms`` takes it.
+_TOKEN = r"\p{Mn}*[\p{L}\p{N}][\p{L}\p{N}\p{Mn}]*"
+
+
+def snippet(text: Column, stems: Column, wanted: Column, size: int = SNIPPET_TOKENS) -> Column:
+    """The ``size`` tokens of a text that hold most of the wanted stems, hits in brackets, dots where the text goes on.
+
+    Windows begin at a hit, or as far before the end as they are long. The one with the most different wanted stems is taken, of those the one with
+    the most hits, of those the first. stems: of each token, in order.
+    """
+    hits = F.transform(stems, lambda s: F.array_contains(wanted, s))
+    whole = F.struct(F.regexp_extract_all(text, F.lit(f"({_TOKEN})"), 1).alias("tokens"), F.split(text, _TOKEN, -1).alias("gaps"), hits.alias("hits"), stems.alias("stems"))
+
+    def best_start(w: Column) -> Column:
+        last = F.greatest(F.size(w["tokens"]) - size, F.lit(0))
+        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w["hits"]) - 1, F.lit(0))), lambda i: F.coalesce(F.get(w["hits"], i), F.lit(False)))
+        starts = F.array_distinct(F.transform(at, lambda i: F.least(i, last)))
+
+        def score(i: Column) -> Column:
+            own = F.filter(F.slice(w["stems"], i + 1, F.lit(size)), lambda s: F.array_contains(wanted, s))
+            return F.struct(F.size(F.array_distinct(own)).alias("different"), F.size(own).alias("n"), (-i).alias("place"))
+
+        return -F.coalesce(F.array_max(F.transform(starts, score))["place"], F.lit(0))
+
+    def render(w: Column) -> Column:
+        def cut(start: Column) -> Column:
+            n = F.least(F.lit(size), F.size(w["tokens"]) - start)
+            word = lambda i: F.when(F.get(w["hits"], i), F.concat(F.lit("["), F.get(w["tokens"], i), F.lit("]"))).otherwise(F.get(w["tokens"], i))
+            words = F.transform(F.sequence(start, start + n - 1), lambda i: F.concat(F.when(i > start, F.get(w["gaps"], i)).otherwise(""), word(i)))
+            return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(words, ""), F.when(start + n < F.size(w["tokens"]), "…").otherwise(""))
+
+        return F.when(F.size(w["tokens"]) == 0, "").otherwise(F.transform(F.array(best_start(w)), cut)[0])
+
+    return F.transform(F.array(whole), render)[0]
 
 
 def plain_search(messages: DataFrame, part: str, most: int = 10) -> DataFrame:

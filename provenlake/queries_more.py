@@ -176,3 +176,16 @@ def normalised_vectors(spark, d):
 
     e = table(spark, d, "embeddings").select("vec_id", l2_normalize(F.col("embedding").cast("array<double>")).alias("v"))
     return e.select("vec_id", F.posexplode("v").alias("at", "x")).select("vec_id", F.col("at").cast("long").alias("at"), F.round("x", 6).alias("x"))
+
+
+@query("""WITH pr AS (SELECT vec_id % 2 = 0 AS same, (1 + list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[]))) / 2 AS score, vec_id % 5 = 0 AS suppressed FROM embeddings),
+    pl AS (SELECT *, greatest(least(CAST(floor((score - 0.5) / 0.01 + 1e-9) AS INTEGER), 49), -1) AS place FROM pr), st AS (SELECT unnest(range(50)) AS t)
+    SELECT (SELECT round(min(score), 6) FROM pr WHERE same) AS min_same, (SELECT round(max(score), 6) FROM pr WHERE NOT same) AS max_diff,
+        (SELECT min(round(0.5 + t * 0.01, 2)) FROM st WHERE NOT EXISTS (SELECT 1 FROM pl WHERE NOT same AND NOT suppressed AND place >= t)) AS first_free""")
+def threshold_extremes(spark, d):
+    from .functions.vectors import cosine
+    from .operators import evals
+
+    e = table(spark, d, "embeddings")
+    pairs = e.select((F.col("vec_id") % 2 == 0).alias("same"), ((1 + cosine(F.col("embedding"), F.reverse("embedding"))) / 2).alias("score"), (F.col("vec_id") % 5 == 0).alias("suppressed"))
+    return evals.threshold_extremes(pairs).select(F.round("min_same", 6).alias("min_same"), F.round("max_diff", 6).alias("max_diff"), "first_free")

@@ -61,9 +61,31 @@ def anchor(entry: dict) -> dict:
     return entry | {"anchorHash": sha256(canonical_json({k: v for k, v in entry.items() if k != "anchorHash"}).encode()).hexdigest()}
 
 
-def export_checkpoint(checkpoint: dict, receipt_path: str, anchor_path: str, prev_anchor: str | None) -> dict:
-    """Appends the anchor first and writes the receipt after it, so that no receipt is without an anchor."""
-    made = anchor(checkpoint | {"prevAnchorHash": prev_anchor})
+class DamagedLog(ValueError):
+    """A line of an anchor log isn't an anchor, or doesn't follow the one before it."""
+
+
+def last_anchor(anchor_path: str) -> str | None:
+    """The hash of a log's last anchor, null for none. Every line is checked: nothing is appended over damage."""
+    prev = None
+    try:
+        with open(anchor_path, encoding="utf-8") as f:
+            for n, line in enumerate(filter(str.strip, f), 1):
+                try:
+                    entry = json.loads(line)
+                except ValueError:
+                    entry = None
+                if not isinstance(entry, dict) or anchor(entry)["anchorHash"] != entry.get("anchorHash") or entry.get("prevAnchorHash") != prev:
+                    raise DamagedLog(f"{anchor_path}, line {n}: inspect and repair the log first")
+                prev = entry["anchorHash"]
+    except FileNotFoundError:
+        return None
+    return prev
+
+
+def export_checkpoint(checkpoint: dict, receipt_path: str, anchor_path: str) -> dict:
+    """Appends the anchor first and writes the receipt after it, so that no receipt is without an anchor. It follows the log's last anchor."""
+    made = anchor(checkpoint | {"prevAnchorHash": last_anchor(anchor_path)})
     with open(anchor_path, "a", encoding="utf-8") as f:
         f.write(canonical_json(made) + "\n")
     with open(receipt_path, "w", encoding="utf-8") as f:

@@ -33,8 +33,8 @@ def test_versioned_table(spark, tmp_path):
 
 
 def test_anchor_names_its_predecessor(tmp_path):
-    one = sinks.export_checkpoint({"seq": 1, "b": {"z": 1, "a": 2}}, str(tmp_path / "r1"), str(tmp_path / "log"), None)
-    two = sinks.export_checkpoint({"seq": 2}, str(tmp_path / "r2"), str(tmp_path / "log"), one["anchorHash"])
+    one = sinks.export_checkpoint({"seq": 1, "b": {"z": 1, "a": 2}}, str(tmp_path / "r1"), str(tmp_path / "log"))
+    two = sinks.export_checkpoint({"seq": 2}, str(tmp_path / "r2"), str(tmp_path / "log"))
     assert two["prevAnchorHash"] == one["anchorHash"] and sinks.anchor(two) == two
     assert len((tmp_path / "log").read_text().splitlines()) == 2
 
