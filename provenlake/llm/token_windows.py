@@ -164,15 +164,14 @@ class Aligner:
         a_to, b_to = np.flatnonzero(anchor[a_end]) + 1, np.flatnonzero(anchor[b_end]) + 1
         per_text = np.diff(np.searchsorted(a_to, np.concatenate(([0], np.cumsum(n_a))), side="right"))
         a_raw, b_raw, memo = a.tobytes(), b.tobytes(), self.memo
-        found, new, a_at, b_at = [], [], 0, 0
-        for i, (a_next, b_next) in enumerate(zip((4 * a_to).tolist(), (4 * b_to).tolist(), strict=True)):
-            key = (a_raw[a_at:a_next], b_raw[b_at:b_next])
-            n = memo.get(key)
-            if n is None:
-                n = memo[key] = len(memo)
+        a_ends, b_ends = (4 * a_to).tolist(), (4 * b_to).tolist()
+        keys = [(a_raw[i:j], b_raw[k:l]) for i, j, k, l in zip([0, *a_ends], a_ends, [0, *b_ends], b_ends, strict=False)]
+        found, new = list(map(memo.get, keys)), []
+        for i in [i for i, n in enumerate(found) if n is None]:
+            n = memo.setdefault(keys[i], len(memo))
+            if n == len(memo) - 1 and n >= len(self.groups) + len(new):
                 new.append(i)
-            found.append(n)
-            a_at, b_at = a_next, b_next
+            found[i] = n
         if new:
             self.align(*_stretches(a, a_to, new), *_stretches(b, b_to, new))
         start = 0
