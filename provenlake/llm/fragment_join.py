@@ -2,7 +2,7 @@
 
 Every document becomes the set of its distinct shingles' hashes. The global n-gram order puts rare shingles first:
 what is common comes last, the most frequent at the end, and all others stand in the order of their hashes. Common is
-what many documents of a bounded sample hold, and what then still heads the order of more than ``SMALL_GROUP``
+what many documents of a bounded sample hold, and what then still heads the order of more than ``DIRECT_GROUP``
 documents of all, up to ``MOST_COMMON`` shingles. The order bears on speed only, never on results.
 
 Who meets. Sets that reach a Jaccard similarity of t share one of the first n - ceil(tn) + 1 shingles of the larger
@@ -15,10 +15,10 @@ Counting. The global order is cut into ``COUNT_FRAGMENTS`` stretches: the common
 equal stretches of the hashes. The segments of pairs are joined fragment by fragment; each fragment gives a partial overlap per
 pair, and the partial overlaps are summed per pair and held against the threshold.
 
-Large groups. Where at most ``SMALL_GROUP`` documents meet on a shingle, their pairs are counted by that join. In larger
+Large groups. Where at most ``DIRECT_GROUP`` documents meet on a shingle, their pairs are counted by that join. In larger
 groups each member is counted with the first one; where these put all members into one component, nothing is
 left to compare. Members of any other group meet once more, with the frequencies among these members as the order: copies
-that were each edited too much to link share no shingle so rare. Of a group that is still large, pairs with its leader come
+that were each edited too much to link share no shingle so rare. There up to ``SMALL_GROUP`` are paired. Of a group that is still large, pairs with its leader come
 first; where these put all members into one component, nothing is left to compare. The members of any other
 such group are dealt into blocks of bounded size, and each pair of blocks is one small task that sums the partial
 overlaps of its documents as products of incidence matrices, fragment by fragment, and returns a spanning
@@ -48,7 +48,8 @@ THRESHOLD = Fraction(90, 100)
 SAMPLE_DOCS, SAMPLE_LEAST, MOST_COMMON = 4000, 3, 200_000
 SIGNATURE_BITS = 2048
 COUNT_FRAGMENTS = 8
-SMALL_GROUP = 64
+#: Documents that meet on a shingle in the first round and are paired at once; in the second round, among members of larger groups.
+DIRECT_GROUP, SMALL_GROUP = 16, 64
 BLOCK_NODES = 128
 BLOCK_SHINGLES = 150_000
 _U = np.uint64
@@ -110,7 +111,7 @@ def _common(rows: DataFrame, threshold: Fraction, k: int):
     of_sample, held = most(sample, SAMPLE_LEAST)
     held = held * max(n // SAMPLE_DOCS, 1)
     order = np.argsort(of_sample)
-    more, shown = most(rows.select("text"), SMALL_GROUP + 1, (threshold, sc.broadcast((of_sample[order], held[order]))))
+    more, shown = most(rows.select("text"), DIRECT_GROUP + 1, (threshold, sc.broadcast((of_sample[order], held[order]))))
     shingles, at = np.unique(np.concatenate((of_sample, more)), return_index=True)
     return sc.broadcast((shingles, np.concatenate((held, shown))[at]))
 
@@ -234,7 +235,7 @@ def pairs_that_link(pairs: DataFrame, segments: DataFrame, threshold: Fraction)
 
 
 def _pairs_in_groups(members: DataFrame, threshold: Fraction) -> DataFrame:
-    """a, b: the pairs that meet on a shingle which at most SMALL_GROUP documents show. members: key, node, role."""
+    """a, b: the pairs that meet on a shingle which few documents show. members: key, node, role."""
     groups = members.groupBy("key").agg(F.collect_set(F.struct("node", "role")).alias("m"))
     size, indexed = lambda x: F.shiftright(x["role"], 1), lambda x: x["role"] % 2 == 1
     meets = lambda x, y: (x["node"] < y["node"]) & may_link(size(x), size(y), threshold) & (((size(x) <= size(y)) & indexed(x)) | ((size(y) <= size(x)) & indexed(y)))
@@ -378,9 +379,9 @@ def linked_rows(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int = SHING
     keys = rows.select("text").mapInArrow(_keys(t, k, shared), "key long, node long, role long")
     met = durable(keys.groupBy("key").agg(F.count(F.lit(1)).alias("shown")).where("shown > 1"))
     members = keys.join(met, "key")
-    pairs = _pairs_in_groups(members.where(F.col("shown") <= SMALL_GROUP), t).select("a", "b", F.lit(None).cast("long").alias("key"))
+    pairs = _pairs_in_groups(members.where(F.col("shown") <= DIRECT_GROUP), t).select("a", "b", F.lit(None).cast("long").alias("key"))
     node = F.when(F.col("role") > 0, F.col("node"))  # always; with the same columns, both halves read the same shuffled keys
-    hot = members.where(F.col("shown") > SMALL_GROUP).select(node.alias("a"), node.alias("b"), "key")
+    hot = members.where(F.col("shown") > DIRECT_GROUP).select(node.alias("a"), node.alias("b"), "key")
     found = durable(pairs.unionByName(hot).distinct())  # a pair; or a member of a large group, twice, and the group's key
 
     large = found.where("a = b").select("key", F.col("a").alias("node"))
