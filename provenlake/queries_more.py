@@ -189,3 +189,63 @@ def threshold_extremes(spark, d):
     e = table(spark, d, "embeddings")
     pairs = e.select((F.col("vec_id") % 2 == 0).alias("same"), ((1 + cosine(F.col("embedding"), F.reverse("embedding"))) / 2).alias("score"), (F.col("vec_id") % 5 == 0).alias("suppressed"))
     return evals.threshold_extremes(pairs).select(F.round("min_same", 6).alias("min_same"), F.round("max_diff", 6).alias("max_diff"), "first_free")
+
+
+@query("""WITH d AS (SELECT event_id AS debt_id, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'proposed_paid' WHEN 2 THEN 'paid' ELSE 'waived' END AS status, CASE event_id % 3 WHEN 0 THEN 'waive' WHEN 1 THEN 'confirm' END AS decision, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE 'why' END AS reason FROM events)
+    SELECT debt_id, CASE WHEN status IN ('pending', 'proposed_paid') AND decision = 'waive' AND trim(coalesce(reason, '')) <> '' THEN 'waived' WHEN status = 'proposed_paid' AND decision = 'confirm' THEN 'paid' ELSE status END AS status FROM d""")
+def settled_debts(spark, d):
+    i = F.col("event_id")
+    rows = table(spark, d, "events").select(i.alias("debt_id"), F.element_at(F.array(*map(F.lit, ("pending", "proposed_paid", "paid", "waived"))), (i % 4 + 1).cast("int")).alias("status"))
+    said = rows.where("debt_id % 3 <> 2").select("debt_id", F.when(F.col("debt_id") % 3 == 0, "waive").otherwise("confirm").alias("decision"), F.when(F.col("debt_id") % 5 == 1, "  ").when(F.col("debt_id") % 5 != 0, "why").alias("reason"))
+    return claims.settle_debts(rows, said)
+
+
+@query("""WITH RECURSIVE b AS (SELECT event_id AS belief_id, CASE WHEN event_id % 6 <> 0 THEN event_id - event_id % 3 - 1 END AS revision_of FROM events), owing AS (SELECT event_id AS belief_id FROM events WHERE event_id % 37 = 5 AND event_id % 4 < 2),
+    up AS (SELECT belief_id, revision_of AS anc FROM b WHERE revision_of IS NOT NULL UNION SELECT up.belief_id, b.revision_of FROM up JOIN b ON b.belief_id = up.anc WHERE b.revision_of IS NOT NULL)
+    SELECT DISTINCT up.belief_id FROM up JOIN owing o ON o.belief_id = up.anc""")
+def inherited_debts(spark, d):
+    i = F.col("event_id")
+    e = table(spark, d, "events")
+    beliefs = e.select(i.alias("belief_id"), F.when(i % 6 != 0, i - i % 3 - 1).alias("revision_of"))
+    debts = e.where("event_id % 37 = 5").select(i.alias("belief_id"), F.lit(True).alias("blocking"), F.when(i % 4 == 0, "pending").when(i % 4 == 1, "proposed_paid").otherwise("paid").alias("status"))
+    return claims.inherited_debts(beliefs.select("belief_id"), beliefs, debts)
+
+
+@query("""WITH t AS (SELECT vec_id AS query_id, unnest([0, 1, 2, 3]) AS k FROM embeddings), x AS (SELECT query_id, query_id * 10 + k AS doc_id, (query_id * 7 + k * 13) % 50 / 50.0 AS score FROM t), c AS (SELECT query_id, query_id * 10 + k * 2 AS doc_id, (query_id * 3 + k * 17) % 50 / 50.0 AS score FROM t),
+    least_of AS (SELECT query_id, min(score) AS low FROM x GROUP BY 1), extra AS (SELECT c.* FROM c JOIN least_of USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.query_id = c.query_id AND x.doc_id = c.doc_id) AND score >= 0.8 * low),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM x UNION ALL SELECT * FROM extra)) SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
+def text_and_code_hits(spark, d):
+    t = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
+    q, k = F.col("query_id"), F.col("k")
+    text = t.select("query_id", (q * 10 + k).alias("doc_id"), ((q * 7 + k * 13) % 50 / 50.0).alias("score"))
+    code = t.select("query_id", (q * 10 + k * 2).alias("doc_id"), ((q * 3 + k * 17) % 50 / 50.0).alias("score"))
+    return search.merge_code_hits(text, code, 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT event_id AS belief_id, event_id * 3 AS pin_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND event_id % 3 <> 0")
+def recent_pins(spark, d):
+    i = F.col("event_id")
+    e = table(spark, d, "events")
+    beliefs = e.select(i.alias("belief_id"), F.col("ts").alias("created_at"))
+    p = e.where("event_id % 3 <> 0").select(i.alias("belief_id"), (i * 3).alias("pin_id"))
+    return pins.newest_first(p, beliefs, F.lit("2024-01-10 00:00:00").cast("timestamp")).select("belief_id", "pin_id")
+
+
+@query("""SELECT event_id AS name, user_id % 3 = 0 OR event_type = 'click' AND event_id % 2 = 0 AS blocked FROM events""")
+def risky_tools(spark, d):
+    from .operators import approvals
+
+    i = F.col("event_id")
+    risk = F.when(F.col("user_id") % 3 == 0, F.array(F.lit("read"), F.lit("shell"))).otherwise(F.array(F.lit("read")))
+    source = F.when((F.col("event_type") == "click") & (i % 2 == 0), F.lit("see ```sh```")).when(i % 5 == 0, F.lit("plain"))
+    return approvals.risky_tools(table(spark, d, "events").select(i.alias("name"), risk.alias("risk"), source.alias("source"))).select("name", "blocked")
+
+
+@query("""SELECT model, n FROM (SELECT 'm' || label AS model, count(*) AS n FROM embeddings GROUP BY 1 ORDER BY n DESC, model LIMIT 1) WHERE model <> 'other'""")
+def other_model(spark, d):
+    return search.model_mismatch(table(spark, d, "embeddings").select(F.concat(F.lit("m"), F.col("label").cast("string")).alias("model")), "other")
+
+
+@query("""SELECT query_id, notice, n_terms FROM (SELECT doc_id AS query_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'))::INTEGER AS n_terms, CASE WHEN n_terms = 0 THEN 'no_terms' WHEN n_terms > 32 THEN 'truncated' END AS notice FROM documents) WHERE notice IS NOT NULL""")
+def query_notices(spark, d):
+    return search.query_notices(table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "text"))

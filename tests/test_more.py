@@ -173,3 +173,25 @@ def test_nothing_is_appended_over_a_damaged_log(tmp_path):
         with pytest.raises(sinks.DamagedLog):
             sinks.export_checkpoint({"seq": 3}, receipt, str(log))
         assert log.read_text() == damaged
+
+
+def test_nearest_against_plain_loops(spark, monkeypatch):
+    """Ties, zero and null vectors, unequal lengths, several blocks of queries."""
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "BLOCKS_A_SCAN", 2)
+    rng = random.Random(4)
+    rows = [(i, rng.choice([[float(rng.randint(-1, 1)) for _ in range(3)], [1.0, 0.0, 0.0], [0.0, 0.0, 0.0], [2.0, 1.0]])) for i in range(90)] + [(95, None), (96, [])]
+    asked = rows[::4] + [(96, [])]
+    got = {(r.query_id, r.rank): (r.doc_id, round(r.score, 9)) for r in search.knn(spark.createDataFrame(asked, "query_id long, vector array<double>"), spark.createDataFrame(rows, "doc_id long, vector array<float>"), 5, -0.5, True).collect()}
+    want = {}
+    for q, v in asked:
+        scored = []
+        for d, x in rows:
+            if v is None or x is None or len(x) != len(v) or d == q:
+                continue
+            size = (sum(a * a for a in v) * sum(a * a for a in x)) ** 0.5
+            score = sum(a * b for a, b in zip(v, x, strict=True)) / size if size else 0.0
+            if score >= -0.5:
+                scored.append((-round(score, 9), d))
+        want |= {(q, n): (d, -s) for n, (s, d) in enumerate(sorted(scored)[:5], 1)}
+    assert got == want
