@@ -249,3 +249,37 @@ def other_model(spark, d):
 @query("""SELECT query_id, notice, n_terms FROM (SELECT doc_id AS query_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'))::INTEGER AS n_terms, CASE WHEN n_terms = 0 THEN 'no_terms' WHEN n_terms > 32 THEN 'truncated' END AS notice FROM documents) WHERE notice IS NOT NULL""")
 def query_notices(spark, d):
     return search.query_notices(table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "text"))
+
+
+@query("""SELECT event_id AS skill_id, sha256('body ' || event_id) AS content_hash, CASE WHEN event_id % 4 < 2 OR event_id % 3 = 0 THEN 'pending' ELSE 'draft' END AS status, CASE WHEN NOT (event_id % 4 < 2 OR event_id % 3 = 0) THEN NULL WHEN event_id % 4 = 0 THEN 'rejected_by_policy' ELSE 'queued' END AS write FROM events""")
+def skill_registrations(spark, d):
+    from .operators import registry, writes
+
+    i = F.col("event_id")
+    source = F.when(i % 4 == 0, "learned").when(i % 4 == 1, "synth").when(i % 4 == 2, "imported")
+    skills = table(spark, d, "events").select(i.alias("skill_id"), F.concat(F.lit("body "), i.cast("string")).alias("body"), source.alias("source"), (i % 3 == 0).alias("activate"))
+    return registry.register_skills(skills, writes.Policy(auto_skill_improve="off"))
+
+
+@query("""WITH p AS (SELECT DISTINCT user_id AS profile_id, CASE user_id % 4 WHEN 0 THEN 'soul' WHEN 1 THEN 'note' WHEN 2 THEN 'user' ELSE 'memory' END AS kind, CASE WHEN user_id % 3 = 0 THEN 9 END AS max_chars, user_id % 5 AS version FROM events WHERE user_id % 7 <> 0),
+    u AS (SELECT event_id AS update_id, user_id AS profile_id, 'update number ' || event_id AS body, event_id % 3 = 0 AS direct FROM events),
+    m AS (SELECT update_id, profile_id, CASE WHEN kind IS NULL THEN 'missing' WHEN kind <> 'note' AND NOT direct THEN 'queued' ELSE 'active' END AS status, CASE WHEN max_chars > 0 THEN substr(body, 1, max_chars) ELSE body END AS cut, version FROM u LEFT JOIN p USING (profile_id))
+    SELECT update_id, profile_id, status, CASE WHEN status <> 'missing' THEN cut END AS body, CASE WHEN status <> 'missing' THEN sha256(cut) END AS content_hash, CASE WHEN status = 'active' THEN version + count(*) FILTER (status = 'active') OVER (PARTITION BY profile_id ORDER BY update_id) END AS version FROM m""")
+def profile_updates(spark, d):
+    from .operators import registry
+
+    i, u = F.col("event_id"), F.col("user_id")
+    e = table(spark, d, "events")
+    kind = F.element_at(F.array(*map(F.lit, ("soul", "note", "user", "memory"))), (u % 4 + 1).cast("int"))
+    profiles = e.where("user_id % 7 <> 0").select(u.alias("profile_id"), kind.alias("kind"), F.when(u % 3 == 0, 9).alias("max_chars"), (u % 5).alias("version")).distinct()
+    updates = e.select(i.alias("update_id"), u.alias("profile_id"), F.concat(F.lit("update number "), i.cast("string")).alias("body"), (i % 3 == 0).alias("direct"))
+    return registry.profile_updates(profiles, updates)
+
+
+@query("SELECT event_id, user_id AS scope_id, CASE WHEN user_id % 3 = 0 THEN 'strict' ELSE 'auto' END AS policy FROM events")
+def scope_policies(spark, d):
+    from .operators import registry
+
+    e = table(spark, d, "events")
+    scopes = e.where("user_id % 2 = 0 OR user_id % 3 = 0").select(F.col("user_id").alias("scope_id"), F.when(F.col("user_id") % 3 == 0, "strict").otherwise("auto").alias("policy")).distinct()
+    return registry.scope_policies(e.select("event_id", F.col("user_id").alias("scope_id")), scopes)

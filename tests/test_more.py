@@ -195,3 +195,13 @@ def test_nearest_against_plain_loops(spark, monkeypatch):
                 scored.append((-round(score, 9), d))
         want |= {(q, n): (d, -s) for n, (s, d) in enumerate(sorted(scored)[:5], 1)}
     assert got == want
+
+
+def test_skills_become_active_once(spark):
+    from provenlake.operators import registry
+
+    skills = spark.createDataFrame([("a", "pending", "ship it", 1), ("b", "archived", "ship it", 2), ("c", "draft", None, 3), ("d", "active", "NOW", 4)], "skill_id string, status string, trigger string, more int")
+    now = registry.activate_skills(skills, spark.createDataFrame([("a",), ("b",), ("c",), ("x",), ("a",)], "skill_id string"))
+    assert now.columns == skills.columns and {r.skill_id: r.status for r in now.collect()} == {"a": "active", "b": "archived", "c": "active", "d": "active"}
+    said = spark.createDataFrame([(1, "please ship it now"), (2, "nothing")], "utterance_id long, text string")
+    assert {tuple(r) for r in registry.match_active(now, said).collect()} == {("a", 1), ("d", 1)}
