@@ -6,8 +6,9 @@ what many documents of a bounded sample hold, and what then still heads the orde
 documents of all, up to ``MOST_COMMON`` shingles. The order bears on speed only, never on results.
 
 Who meets. Sets that reach a Jaccard similarity of t share one of the first n - ceil(tn) + 1 shingles of the larger
-and of the first n - ceil(2tn / (1 + t)) + 1 of the smaller one (the prefix filter of Xiao et al. 2008). Of the pairs
-that meet, only those are counted whose sizes and parity signatures allow for a link: a signature has ``SIGNATURE_BITS``
+and of the first n - ceil(2tn / (1 + t)) + 1 of the smaller one (the prefix filter of Xiao et al. 2008). Their sizes differ by a
+factor of t at most, so a key is a shingle and a class of sizes, each class that factor wide: a set shows its first shingles in its
+own class, and those for a larger partner in the next one. So a shingle that many documents hold is many keys. Of the pairs that meet, only those are counted whose sizes and parity signatures allow for a link: a signature has ``SIGNATURE_BITS``
 bits, each the parity of the shingles that fall on it, so two of them differ in at most as many bits as the sets
 differ in shingles.
 
@@ -49,7 +50,7 @@ SAMPLE_DOCS, SAMPLE_LEAST, MOST_COMMON = 4000, 3, 200_000
 SIGNATURE_BITS = 2048
 COUNT_FRAGMENTS = 8
 #: Documents that meet on a shingle in the first round and are paired at once; in the second round, among members of larger groups.
-DIRECT_GROUP, SMALL_GROUP = 16, 64
+DIRECT_GROUP, SMALL_GROUP = 64, 64
 BLOCK_NODES = 128
 BLOCK_SHINGLES = 150_000
 _U = np.uint64
@@ -143,19 +144,32 @@ def _sign(k: int):
     return run
 
 
+def size_class(n: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """Classes of set sizes: two sets that may link are in one class or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / (np.log(float(1 / threshold)) * (1 + 1e-9))).astype(np.int64)
+
+
+def keys_of(g: np.ndarray, sizes: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, key, role) of all sets: role is four times the size, two more in the set's own class, one more where the shingle is in its prefix as the smaller one."""
+    long, short = prefix_lengths(sizes, threshold)
+    long, of = np.where(sizes > 0, long, 0), size_class(sizes, threshold)
+    shingles, place = first_shingles(g, sizes, common, long)
+    which = np.repeat(np.arange(len(sizes)), long)
+    small = place < short[which]
+    own = mix(shingles + of[which].astype(np.uint64) * _U(0x9E6C63D0876A9A35))
+    above = mix(shingles + (of[which] + 1).astype(np.uint64) * _U(0x9E6C63D0876A9A35))[small]
+    return np.concatenate((which, which[small])), np.concatenate((own, above)), np.concatenate((4 * sizes[which] + 2 + small, 4 * sizes[which][small] + 1))
+
+
 def _keys(threshold: Fraction, k: int, shared):
-    """text -> key, node, role: the prefix of each set as the larger one of a pair; role is twice its size, and one more where the shingle is in its prefix as the smaller one, too."""
+    """text -> key, node, role (see ``keys_of``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         for batch in batches:
             for _, texts in chunks(batch.column(0).cast(pa.binary())):
                 g, sizes = shingle_sets(texts, k)
-                long, short = prefix_lengths(sizes, threshold)
-                long = np.where(sizes > 0, long, 0)
-                keys, place = first_shingles(g, sizes, common, long)
-                which = np.repeat(np.arange(len(sizes)), long)
-                role = 2 * sizes[which] + (place < short[which])
+                which, keys, role = keys_of(g, sizes, common, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node_ids(g, sizes).view(np.int64)[which]), pa.array(role.astype(np.int64))], names=["key", "node", "role"])
 
     return run
@@ -237,8 +251,8 @@ def pairs_that_link(pairs: DataFrame, segments: DataFrame, threshold: Fraction)
 def _pairs_in_groups(members: DataFrame, threshold: Fraction) -> DataFrame:
     """a, b: the pairs that meet on a shingle which few documents show. members: key, node, role."""
     groups = members.groupBy("key").agg(F.collect_set(F.struct("node", "role")).alias("m"))
-    size, indexed = lambda x: F.shiftright(x["role"], 1), lambda x: x["role"] % 2 == 1
-    meets = lambda x, y: (x["node"] < y["node"]) & may_link(size(x), size(y), threshold) & (((size(x) <= size(y)) & indexed(x)) | ((size(y) <= size(x)) & indexed(y)))
+    size, indexed, own = lambda x: F.shiftright(x["role"], 2), lambda x: x["role"] % 2 == 1, lambda x: x["role"] % 4 > 1
+    meets = lambda x, y: (x["node"] < y["node"]) & (own(x) | own(y)) & may_link(size(x), size(y), threshold) & (((size(x) <= size(y)) & indexed(x)) | ((size(y) <= size(x)) & indexed(y)))
     pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: meets(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     return groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
@@ -251,7 +265,7 @@ def _prefixes(segments: DataFrame, threshold: Fraction) -> DataFrame:
     length = lambda p, q: (F.col("n") - F.ceil(F.col("n") * p / q - 1e-9) + 1).cast("int")
     rarest = known.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("order"))
     shown = rarest.select("node", "n", F.posexplode(F.slice("order", 1, length(t.numerator, t.denominator))).alias("at", "x"))
-    return shown.where("x.df > 1").select("x.key", "node", (2 * F.col("n") + (F.col("at") < length(2 * t.numerator, t.numerator + t.denominator)).cast("long")).alias("role"))
+    return shown.where("x.df > 1").select("x.key", "node", (4 * F.col("n") + 2 + (F.col("at") < length(2 * t.numerator, t.numerator + t.denominator)).cast("long")).alias("role"))
 
 
 def links_of_large(segments: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:

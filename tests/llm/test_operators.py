@@ -641,6 +641,9 @@ def test_prefixes_meet_and_signatures_allow_every_link():
             first, second = keys[: long[0]], keys[long[0] :]
             assert len(second) == long[1] and (place[: long[0]] == np.arange(long[0])).all()
             assert set(first[: short[0]].tolist()) & set(second.tolist())
+            which, keys, role = fragment_join.keys_of(g, sizes, common, t)
+            shown = [dict(zip(keys[which == i].tolist(), role[which == i].tolist(), strict=True)) for i in (0, 1)]
+            assert any(x % 2 and shown[1][key] // 4 == sizes[1] and (x % 4 > 1 or shown[1][key] % 4 > 1) for key, x in shown[0].items() if key in shown[1])
             sign = fragment_join.signatures(g, sizes)
             assert sum(int(x).bit_count() for x in sign[0] ^ sign[1]) <= len(a) + len(b) - 2 * overlap
 
