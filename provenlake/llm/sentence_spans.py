@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from ._base import bounded_batches, durable, quoted, with_maybe
 from ._shingles import RunHashes, chunks, span_hashes, word_spans
 
-#: Sentences in a run.
-RUN = 3
+#: Sentences in a run: fewer are common lines of clean documents.
+RUN = 5
 ANCHOR_WORDS = 36
 #: Passages of over 50 words go.
 PASSAGE_WORDS = 51

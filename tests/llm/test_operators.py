@@ -487,7 +487,7 @@ def test_spans_against_brute_force(spark, hard, empty):
 def test_texts_of_one_id_and_without_id_are_documents_of_their_own(spark):
     passage = " ".join(f"w{k}" for k in range(30)) + ". " + " ".join(f"v{k}" for k in range(30)) + ". And a third."
     rows = [(1, passage + " One."), (1, passage + " Two."), (None, passage + " Three."), (None, passage + " Three."), (2, passage + " Four.")]
-    got = sentence_spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sentence_spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), size=3).collect()
     whole = {r.text for r in got if r.n_removed == 0}
     assert whole == {passage + " Three."} and sum(r.n_removed > 0 for r in got) == 3  # nulls come first; equal rows are one document
 
@@ -495,14 +495,14 @@ def test_texts_of_one_id_and_without_id_are_documents_of_their_own(spark):
 def test_repeats_within_a_document_and_short_sentences_go(spark):
     passage, own = "Three short ones. Stand here together. Twice at least.", "Something of its own. And more of it."
     rows = [("a", f"{passage} {own} {passage}"), ("b", f"{passage} Nothing else."), ("c", own)]
-    got = {r.rec.doc_id: r.text for r in sentence_spans.dedup_spans(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    got = {r.rec.doc_id: r.text for r in sentence_spans.dedup_spans(spark.createDataFrame(rows, "doc_id string, text string"), size=3).collect()}
     assert got == {"a": f"{passage} {own} ", "b": "Nothing else.", "c": own}
 
 
 def test_long_passage_goes_from_all_but_the_first(spark):
     passage = "This is the first long sentence of a passage that many documents share without any change at all. " "Here comes the second one with a good many words to make it long enough for the test. And a third, which ends the passage after some more words."
     docs = spark.createDataFrame([(i, f"Document number {i} says something of its own. {passage} Then it goes on as number {i}.") for i in range(6)], "doc_id long, text string")
-    got = {r.rec.doc_id: r.text for r in sentence_spans.dedup_spans(docs).collect()}
+    got = {r.rec.doc_id: r.text for r in sentence_spans.dedup_spans(docs, size=3).collect()}
     assert passage in got[0] and all("passage" not in got[i] and f"number {i}" in got[i] for i in range(1, 6))
 
 
