@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,10 +95,66 @@ def revision_roots(beliefs: DataFrame, most_depth: int = 1 << 20) -> DataFrame:
     return found
 
 
+def _climbed(start: DataFrame, merged: dict[str, Column], done: Column) -> tuple[DataFrame, DataFrame]:
+    """(finished, unfinished) rows of ``start`` after doubling their pointers, one row a belief throughout.
+
+    start: belief_id, mid (the claim that it points to; null once there is none further up) and columns on the claims up to mid. A round gives
+    each row the pointer and, by ``merged`` (of its own columns and of those of mid, which begin with __), the columns of its mid. Rows with ``done``
+    or without a pointer rest; only the others are written again. What is unfinished after a logarithm of all rows stands on a cycle or below one,
+    and its columns cover all that is above it.
+    """
+    from ..materialise import durable
+
+    rows = durable(start)
+    n, far, rests = rows.count(), 1, F.col("mid").isNull() | done
+    finished, moving = [rows.where(rests)], rows.where(~rests)
+    while far <= n and not moving.isEmpty():
+        above = reduce(DataFrame.unionByName, [*finished, moving])
+        above = above.select(F.col("belief_id").alias("mid"), F.col("mid").alias("__mid"), *[F.col(c).alias(f"__{c}") for c in merged], F.lit(True).alias("__met"))
+        met = moving.join(above, "mid", "left")
+        moved = durable(met.select("belief_id", F.col("__mid").alias("mid"), *[F.when(F.col("__met"), x).otherwise(F.col(c)).alias(c) for c, x in merged.items()]))
+        finished, moving, far = [*finished, moved.where(rests)], moved.where(~rests), 2 * far
+    return reduce(DataFrame.unionByName, finished), moving
+
+
+def revision_summaries(beliefs: DataFrame) -> DataFrame:
+    """belief_id, n, deepest, first: how many claims each belief revises, directly or not, the most steps to one, and the smallest.
+
+    As ``revision_roots`` counted by belief, in one row a belief: pairs grow with the square of a chain's length, and are never made.
+    """
+    from ..materialise import durable
+
+    up = durable(beliefs.where("revision_of IS NOT NULL AND revision_of <> belief_id").select("belief_id", F.col("revision_of").alias("mid")).distinct())
+
+    def climb(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        start = edges.select("belief_id", "mid", F.lit(1).cast("long").alias("n"), F.col("mid").alias("first"), F.col("mid").alias("last"))
+        return _climbed(start, {"n": F.col("n") + F.col("__n"), "first": F.least("first", "__first"), "last": F.col("__last")}, F.lit(False))
+
+    finished, round_about = climb(up)
+    out = finished.select("belief_id", "n", "first")
+    if not round_about.isEmpty():
+        ring = durable(round_about.select(F.col("mid").alias("belief_id")).distinct().join(round_about.select("belief_id", F.col("first").alias("ring")), "belief_id"))
+        of = durable(ring.groupBy("ring").agg(F.count(F.lit(1)).alias("size"), F.min(F.when(F.col("belief_id") != F.col("ring"), F.col("belief_id"))).alias("second")))
+        on = ring.join(of, "ring")
+        out = out.unionByName(on.select("belief_id", (F.col("size") - 1).alias("n"), F.when(F.col("belief_id") == F.col("ring"), F.col("second")).otherwise(F.col("ring")).alias("first")))
+        below = up.join(round_about.select("belief_id"), "belief_id", "left_semi").join(ring.select("belief_id"), "belief_id", "left_anti")
+        led = climb(below)[0].join(on.select(F.col("belief_id").alias("last"), "ring", "size"), "last")
+        out = out.unionByName(led.select("belief_id", (F.col("n") - 1 + F.col("size")).alias("n"), F.least("first", "ring").alias("first")))
+    return out.select("belief_id", "n", F.col("n").cast("int").alias("deepest"), "first")
+
+
 def inherited_debts(commits: DataFrame, beliefs: DataFrame, debts: DataFrame) -> DataFrame:
-    """Commits (belief_id) with an open blocking debt on a claim they revise. debts: belief_id, blocking, status."""
-    open_debts = debts.where("blocking AND status IN ('pending', 'proposed_paid')").select(F.col("belief_id").alias("ancestor"))
-    return commits.join(revision_roots(beliefs).join(open_debts, "ancestor").select("belief_id").distinct(), "belief_id", "left_semi")
+    """Commits (belief_id) with an open blocking debt on a claim they revise. debts: belief_id, blocking, status.
+
+    Beliefs carry the smallest and the largest claim with such a debt above them, so that one on a cycle isn't its own; who has found
+    another one rests.
+    """
+    owing = debts.where("blocking AND status IN ('pending', 'proposed_paid')").select(F.col("belief_id").alias("mid"), F.col("belief_id").alias("owes")).distinct()
+    up = beliefs.where("revision_of IS NOT NULL AND revision_of <> belief_id").select("belief_id", F.col("revision_of").alias("mid")).distinct()
+    start = up.join(owing, "mid", "left").select("belief_id", "mid", F.col("owes").alias("low"), F.col("owes").alias("high"))
+    found = (F.col("low") != F.col("belief_id")) | (F.col("high") != F.col("belief_id"))
+    finished, rest = _climbed(start, {"low": F.least("low", "__low"), "high": F.greatest("high", "__high")}, F.coalesce(found, F.lit(False)))
+    return commits.join(finished.unionByName(rest).where(found).select("belief_id").distinct(), "belief_id", "left_semi")
 
 
 def paraphrase_debts(claims: DataFrame, debts: DataFrame, threshold: float | None, candidates: int = PARAPHRASE_CANDIDATES) -> DataFrame:
