@@ -90,7 +90,9 @@ def session_search(messages: DataFrame, queries: DataFrame, k: int = 10) -> Data
     wanted = queries.select("query_id", stem_all(index_terms(F.col("text"))).alias("wanted"))
     hits = search.lexical_hits(wanted.select("query_id", F.explode("wanted").alias("term")), stems, "message_id", "stems", pool=k)
     found = hits.select("query_id", F.col("doc_id").alias("message_id"), "bm25", F.col("lex_rank").alias("rank"))
-    met = found.join(messages.select("message_id", "text"), "message_id").join(wanted, "query_id").withColumn("stems", stem_all(index_terms(F.col("text"))))
+    met = found.join(messages.select("message_id", "text"), "message_id").join(wanted, "query_id")
+    # A snippet costs far more than its row: as many tasks as a shuffle has, however small the rows are.
+    met = met.repartition(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("stems", stem_all(index_terms(F.col("text"))))
     return met.select("query_id", "message_id", "bm25", "rank", snippet(F.col("text"), F.col("stems"), F.col("wanted")).alias("snippet"))
 
 
@@ -104,8 +106,9 @@ def snippet(text: Column, stems: Column, wanted: Column, size: int = SNIPPET_TOK
     Windows begin at a hit, or as far before the end as they are long. The one with the most different wanted stems is taken, of those the one with
     the most hits, of those the first. stems: of each token, in order.
     """
-    hits = F.transform(stems, lambda s: F.array_contains(wanted, s))
-    whole = F.struct(F.regexp_extract_all(text, F.lit(f"({_TOKEN})"), 1).alias("tokens"), F.split(text, _TOKEN, -1).alias("gaps"), hits.alias("hits"), stems.alias("stems"))
+    # Each token meets the wanted stems once: its place among them, 0 for none.
+    places = F.transform(stems, lambda s: F.array_position(wanted, s))
+    whole = F.struct(F.regexp_extract_all(text, F.lit(f"({_TOKEN})"), 1).alias("tokens"), F.split(text, _TOKEN, -1).alias("gaps"), F.transform(places, lambda x: x > 0).alias("hits"), places.alias("places"))
 
     def best_start(w: Column) -> Column:
         last = F.greatest(F.size(w["tokens"]) - size, F.lit(0))
@@ -113,7 +116,7 @@ def snippet(text: Column, stems: Column, wanted: Column, size: int = SNIPPET_TOK
         starts = F.array_distinct(F.transform(at, lambda i: F.least(i, last)))
 
         def score(i: Column) -> Column:
-            own = F.filter(F.slice(w["stems"], i + 1, F.lit(size)), lambda s: F.array_contains(wanted, s))
+            own = F.filter(F.slice(w["places"], i + 1, F.lit(size)), lambda x: x > 0)
             return F.struct(F.size(F.array_distinct(own)).alias("different"), F.size(own).alias("n"), (-i).alias("place"))
 
         return -F.coalesce(F.array_max(F.transform(starts, score))["place"], F.lit(0))
