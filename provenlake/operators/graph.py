@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..materialise import durable
+
 _PARSER = re._parser
 #: Triggers that go out to the tasks at a time.
 TRIGGER_BLOCK = 20_000
@@ -54,17 +56,21 @@ def by_prefix(rows: DataFrame, id_col: str, prefix: str) -> DataFrame:
 def match_triggers(skills: DataFrame, utterances: DataFrame, block: int = TRIGGER_BLOCK) -> DataFrame:
     """skill_id, utterance_id: triggers that fit as a pattern, without regard to case, or as plain text where they are no pattern.
 
-    skills: skill_id, trigger; utterances: utterance_id, text. Each trigger has a literal that any match must hold, where it has one at
-    all. The literals of a block of triggers make one automaton, which finds in one pass over an utterance the few triggers worth
-    trying; triggers without a literal are tried everywhere. Both tables may grow: triggers go out in blocks of ``block``, one scan of the utterances each.
+    skills: skill_id, trigger; utterances: utterance_id, text. Each trigger has literals that any match must hold, where it has any at
+    all; they are read once. The literals of a block of triggers make one automaton, which finds in one pass over an utterance the few triggers worth
+    trying, those with all their literals in it; only these are compiled. Triggers without a literal are tried everywhere. Both tables may grow: triggers go out in
+    blocks of ``block``, one scan of the utterances each.
     """
     rows = skills.where("trigger IS NOT NULL").select("skill_id", "trigger").distinct()
+    read = rows.select("skill_id", "trigger", F.lit(True).alias("pattern"), F.array(F.lit("")).alias("literals"))
+    # Reading costs far more than a row's size tells: as many tasks as a shuffle has.
+    rows = durable(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_read_triggers, read.schema))
     n = -(-rows.count() // block)
     schema = rows.select("skill_id").crossJoin(utterances.select("utterance_id").limit(0)).schema
     sc, texts, out = rows.sparkSession.sparkContext, utterances.where("text IS NOT NULL").select("utterance_id", "text"), None
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("trigger"), F.lit(n)) == b).toArrow()
-        one = texts.mapInArrow(_try_triggers(sc.broadcast((part.column("skill_id"), part.column("trigger").to_pylist()))), schema)
+        one = texts.mapInArrow(_try_triggers(sc.broadcast((part.column("skill_id"), *(part.column(c).to_pylist() for c in ("trigger", "pattern", "literals"))))), schema)
         out = one if out is None else out.unionByName(one)
     return out if out is not None else rows.sparkSession.createDataFrame([], schema)
 
@@ -73,43 +79,74 @@ def match_triggers(skills: DataFrame, utterances: DataFrame, block: int = TRIGGE
 _ALIKE = str.maketrans({"\u017f": "s", "\u212a": "k", "\u0130": "i", "\u0131": "i"})
 
 
-def required_literal(pattern: str) -> str:
-    """The longest run of ASCII characters, in lower case, that every match of a pattern holds; empty if there is none."""
-    best = run = ""
+def required_literals(pattern: str) -> list[str]:
+    """The runs of ASCII characters, in lower case, that every match of a pattern holds, in order; white space of any length and kind is one space in them."""
+    runs = [""]
     for op, what in _PARSER.parse(pattern, re.IGNORECASE):
-        run = run + chr(what).lower() if op is _PARSER.LITERAL and what < 128 else ""
-        best = max(best, run, key=len)
-    return best
+        if op is _PARSER.LITERAL and what < 128:
+            runs[-1] += chr(what).lower()
+        elif (op, what) == _SPACE or (op is _PARSER.MAX_REPEAT and what[0] > 0 and list(what[2]) == [_SPACE]):
+            runs[-1] += " "
+        else:
+            runs.append("")
+    return [one_space(run) for run in runs if run]
+
+
+#: A white-space class, as the parser reads it.
+_SPACE = _PARSER.parse(r"\s")[0]
+
+
+def one_space(text: str) -> str:
+    return re.sub(r"\s+", " ", text)
+
+
+def required_literal(pattern: str) -> str:
+    """The longest of the required literals; empty if there is none."""
+    return max(required_literals(pattern), key=len, default="")
+
+
+def _read_triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """skill_id, trigger -> skill_id, trigger, pattern (whether it is one), literals."""
+    for batch in batches:
+        pattern, literals = [], []
+        for trigger in batch.column(1).to_pylist():
+            try:
+                held = required_literals(trigger)
+                if "(?<" in trigger:  # what the parser alone doesn't refuse
+                    re.compile(trigger, re.IGNORECASE)
+                pattern.append(True)
+                literals.append(held)
+            except re.error:
+                pattern.append(False)
+                literals.append([one_space(trigger.lower())] if trigger else [])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pattern, pa.bool_()), pa.array(literals, pa.list_(pa.string()))], names=["skill_id", "trigger", "pattern", "literals"])
 
 
 def _try_triggers(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        skills, triggers = shared.value
-        tried, everywhere, by_literal = [], [], {}
-        for k, trigger in enumerate(triggers):
-            try:
-                tried.append(re.compile(trigger, re.IGNORECASE))
-                literal = required_literal(trigger)
-            except re.error:
-                tried.append(None)
-                literal = trigger.lower()
-            if literal:
-                by_literal.setdefault(literal, []).append(k)
+        skills, triggers, pattern, literals = shared.value
+        everywhere, by_literal, automaton = [], {}, ahocorasick.Automaton()
+        for k, held in enumerate(literals):
+            if held:
+                by_literal.setdefault(max(held, key=len), []).append(k)
             else:
                 everywhere.append(k)
-        automaton = ahocorasick.Automaton()
-        for literal, which in by_literal.items():
-            automaton.add_word(literal, which)
+        for literal in {x for held in literals for x in held}:
+            automaton.add_word(literal, literal)
         automaton.make_automaton()
+        tried = {}
         for batch in batches:
             hit, of = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 low = text.lower()
-                near = {k for _, which in automaton.iter(text.translate(_ALIKE).lower()) for k in which} if by_literal else set()
-                for k in sorted(near.union(everywhere)):
-                    if tried[k].search(text) if tried[k] is not None else triggers[k].lower() in low:
+                found = {x for _, x in automaton.iter(one_space(low if text.isascii() else text.translate(_ALIKE).lower()))} if by_literal else set()
+                near = [k for x in found for k in by_literal.get(x, ()) if found.issuperset(literals[k])]
+                for k in [*near, *everywhere]:
+                    if pattern[k] and k not in tried:
+                        tried[k] = re.compile(triggers[k], re.IGNORECASE)
+                    if tried[k].search(text) if pattern[k] else triggers[k].lower() in low:
                         hit.append(k)
                         of.append(i)
             yield pa.RecordBatch.from_arrays([skills.take(pa.array(hit, pa.int64())).combine_chunks(), batch.column(0).take(pa.array(of, pa.int64()))], names=["skill_id", "utterance_id"])
