@@ -18,12 +18,14 @@ pair, and the partial overlaps are summed per pair and held against the threshol
 
 Large groups. Where at most ``DIRECT_GROUP`` documents meet on a shingle, their pairs are counted by that join. In larger
 groups each member is counted with the first one; where these put all members into one component, nothing is
-left to compare. Members of any other group meet once more, with the frequencies among these members as the order: copies
+left to compare. The other groups whose first ones are in one component are taken together where that is fewer pairs than
+those of each group. Up to ``BLOCK_GROUP`` members are then dealt into blocks of bounded size, and each pair of blocks is one
+small task that sums the partial overlaps of its documents as products of incidence matrices, fragment by fragment, and
+returns the links that join what is not in one component yet. So no task holds a whole group, and the pairs of a large group are never rows.
+
+Members of groups beyond that meet once more, with the frequencies among these members as the order: copies
 that were each edited too much to link share no shingle so rare. There up to ``SMALL_GROUP`` are paired. Of a group that is still large, pairs with its leader come
-first; where these put all members into one component, nothing is left to compare. The members of any other
-such group are dealt into blocks of bounded size, and each pair of blocks is one small task that sums the partial
-overlaps of its documents as products of incidence matrices, fragment by fragment, and returns a spanning
-forest of the links. So no task holds a whole group, and the pairs of a large group are never rows.
+first; what these leave in several components is dealt into blocks, whatever its size.
 
 Copies (equal sets) are one node throughout.
 """
@@ -51,6 +53,8 @@ SIGNATURE_BITS = 2048
 COUNT_FRAGMENTS = 8
 #: Documents that meet on a shingle in the first round and are paired at once; in the second round, among members of larger groups.
 DIRECT_GROUP, SMALL_GROUP = 64, 64
+#: Members of a group that go into blocks without another round; nodes and shingles of a block.
+BLOCK_GROUP = 4096
 BLOCK_NODES = 128
 BLOCK_SHINGLES = 150_000
 _U = np.uint64
@@ -268,18 +272,54 @@ def _prefixes(segments: DataFrame, threshold: Fraction) -> DataFrame:
     return shown.where("x.df > 1").select("x.key", "node", (4 * F.col("n") + 2 + (F.col("at") < length(2 * t.numerator, t.numerator + t.denominator)).cast("long")).alias("role"))
 
 
-def links_of_large(segments: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
-    """a, b: links that connect what is connected among the members of large groups. segments, nodes: theirs."""
+def settled(large: DataFrame, maps: list[DataFrame], rows: DataFrame, nodes: DataFrame, threshold: Fraction, k: int, shared=None, parity: bool = True) -> list[DataFrame]:
+    """The maps and further ones, once all members of large groups (key, node, members, leader) have met that the maps leave in several components.
+
+    The leaders' pairs are in the maps. rows, nodes: as in ``sets_of``; parity: whether the nodes' signatures are those of ``signatures``.
+    """
+    groups = durable(mixed_groups(large, maps))
+    if groups.isEmpty():
+        return maps
+    some = durable(groups.select("node").distinct())
+    segments = durable(sets_of(some, nodes, rows, k, shared).join(some, "node", "left_semi"))
+    few, many = groups.where(F.col("members") <= BLOCK_GROUP), groups.where(F.col("members") > BLOCK_GROUP)
+    if not few.isEmpty():
+        maps = connected_further(maps, durable(_links_in_blocks(few, segments, threshold)))
+    if many.isEmpty():
+        return maps
+    again = durable(segments.join(many.select("node").distinct(), "node", "left_semi"))
+    return _met_again(again, nodes if parity else durable(parity_signatures(again)), threshold, maps)
+
+
+def _met_again(segments: DataFrame, nodes: DataFrame, threshold: Fraction, maps: list[DataFrame]) -> list[DataFrame]:
+    """The maps and further ones, once the sets of ``segments`` have met in the order of the frequencies among them."""
     keys = durable(_prefixes(segments, threshold))
     counted = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")), "key")
     large = durable(counted.where(F.col("members") > SMALL_GROUP).select("key", "node", "members", "leader"))
     led = large.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     pairs = _pairs_in_groups(counted.where(F.col("members") <= SMALL_GROUP), threshold).unionByName(led).distinct()
-    links = durable(pairs_that_link(durable(_not_too_different(pairs, nodes, threshold)), segments, threshold))
+    maps = connected_further(maps, durable(pairs_that_link(durable(_not_too_different(pairs, nodes, threshold)), segments, threshold)))
     if large.isEmpty():
-        return links
-    still = durable(still_mixed(large, connected_further([], links)))
-    return links if still.isEmpty() else links.unionByName(_links_in_blocks(still, segments, threshold))
+        return maps
+    groups = durable(mixed_groups(large, maps))
+    return maps if groups.isEmpty() else connected_further(maps, durable(_links_in_blocks(groups, segments, threshold)))
+
+
+def mixed_groups(large: DataFrame, maps: list[DataFrame]) -> DataFrame:
+    """key, node, members, root: the groups of ``large`` (key, node, members, leader) with members of several components, as few as cover them.
+
+    Groups whose leaders are in one component are one group where its pairs are no more than those of all of them; a larger
+    group compares more, never less.
+    """
+    still = durable(still_mixed(large, maps))
+    ends = still.select("node").distinct()
+    root = durable(rooted(ends, maps))
+    of = still.join(root.select(F.col("node").alias("leader"), F.col("root").alias("whole")), "leader")
+    together = of.groupBy("whole", "node").agg(F.lit(1).alias("one")).groupBy("whole").agg(F.count(F.lit(1)).alias("all"))
+    apart = of.groupBy("whole", "key", "members").agg(F.lit(1).alias("one")).groupBy("whole").agg(F.sum(F.col("members") * F.col("members")).alias("squares"))
+    fewer = together.join(apart, "whole").select("whole", "all", (F.col("all") * F.col("all") <= F.col("squares")).alias("joined"))
+    met = of.join(fewer, "whole").select(F.when(F.col("joined"), F.col("whole")).otherwise(F.col("key")).alias("key"), "node", F.when(F.col("joined"), F.col("all")).otherwise(F.col("members")).alias("members"))
+    return met.groupBy("key", "node").agg(F.max("members").alias("members")).join(root, "node")
 
 
 def parity_signatures(segments: DataFrame) -> DataFrame:
@@ -297,13 +337,13 @@ def parity_signatures(segments: DataFrame) -> DataFrame:
 
 
 def _links_in_blocks(groups: DataFrame, segments: DataFrame, threshold: Fraction) -> DataFrame:
-    """a, b: links that connect what is connected within each group. groups: key, node, members (how many nodes the key has)."""
+    """a, b: links that connect what is connected within each group and not of one root. groups: key, node, members (how many nodes the key has), root."""
     whole = segments.groupBy("node", "n").agg(F.collect_list(F.struct("f", "part")).alias("parts"))
     rows = durable(whole.join(groups, "node"))
     sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.max("members") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "n", "parts")
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "n", "parts")
     return met.groupBy("key", "i", "j").applyInArrow(_block_links(threshold), "a long, b long")
 
 
@@ -313,12 +353,13 @@ def _block_links(threshold: Fraction):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         nodes, n = table.column("node").to_numpy(), table.column("n").to_numpy()
+        _, first, root = np.unique(table.column("root").to_numpy(), return_index=True, return_inverse=True)
         rows = table.column("parts").combine_chunks()
         each = rows.flatten()
         seat_of = np.repeat(np.arange(len(nodes)), np.diff(rows.offsets.to_numpy()))
         fragment, parts = each.field("f").to_numpy(), each.field("part")
         both = np.zeros((len(nodes), len(nodes)), dtype=np.float32)
-        for f in range(COUNT_FRAGMENTS):  # the partial overlaps of each fragment, summed per pair
+        for f in range(COUNT_FRAGMENTS if len(first) > 1 else 0):  # the partial overlaps of each fragment, summed per pair
             mine = np.flatnonzero(fragment == f)
             if not len(mine):
                 continue
@@ -330,12 +371,11 @@ def _block_links(threshold: Fraction):
             part = np.zeros((len(nodes), int(seat[-1]) + 1), dtype=np.float32)
             part[owner[again], seat[column[again]]] = 1
             both += part @ part.T
-        linked = t.denominator * both >= t.numerator * (n[:, None] + n[None, :] - both)
-        np.fill_diagonal(linked, True)
+        linked = (t.denominator * both >= t.numerator * (n[:, None] + n[None, :] - both)) | (root[:, None] == root[None, :])
         label, before = np.arange(len(nodes)), None
         while before is None or (label != before).any():
             before, label = label, np.where(linked, label[None, :], len(nodes)).min(axis=1)
-        tied = label != np.arange(len(nodes))
+        tied = first[label[first] != first]  # one link for each root that another one takes in
         return pa.table({"a": nodes[label[tied]], "b": nodes[tied]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return run
@@ -399,14 +439,12 @@ def linked_rows(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int = SHING
     found = durable(pairs.unionByName(hot).distinct())  # a pair; or a member of a large group, twice, and the group's key
 
     large = found.where("a = b").select("key", F.col("a").alias("node"))
-    led = large.join(large.groupBy("key").agg(F.min("node").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b"))
+    large = large.join(large.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")), "key")
+    led = large.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     pairs = durable(_not_too_different(found.where("a <> b").select("a", "b").unionByName(led).distinct(), nodes, t))
     maps = connected_further([], durable(pairs_that_link(pairs, pair_sets(pairs, nodes, rows, k, shared), t)))
     if not large.isEmpty():
-        still = durable(still_mixed(large, maps).select("node").distinct())
-        if not still.isEmpty():
-            segments = durable(sets_of(still, nodes, rows, k, shared).join(still, "node", "left_semi"))
-            maps = connected_further(maps, durable(links_of_large(segments, nodes, t)))
+        maps = settled(large, maps, rows, nodes, t, k, shared)
     return with_component(signed, nodes, maps)
 
 

@@ -12,7 +12,7 @@ some key. At a similarity of 0.85 a pair lies beyond it with a probability of 1.
 Confirming. Pairs within the distance are held against the threshold on their full sets. Where more than ``SMALL_GROUP``
 documents meet on a key, each is compared with the group's first one; if that puts all of them into one component, nothing is
 left to compare. The members of all other large groups meet once more by exact prefixes of their sets, rare shingles first
-(``fragment_join.links_of_large``), which is exact and never makes the pairs of a group.
+(``fragment_join.settled``), which is exact and never makes the pairs of a group.
 
 Copies (equal sets) are one node throughout.
 """
@@ -137,13 +137,9 @@ def linked_rows(docs: DataFrame, threshold: Fraction = THRESHOLD, k: int = SHING
     pairs = durable(_near(durable(small.unionByName(led).distinct()), nodes, t))
     maps = connected_further([], durable(fragment_join.pairs_that_link(pairs, fragment_join.pair_sets(pairs, nodes, rows, k), t)))
 
-    large = met.where(F.col("members") > SMALL_GROUP).select("key")
+    large = met.where(F.col("members") > SMALL_GROUP)
     if not large.isEmpty():
-        still = durable(fragment_join.still_mixed(keys.join(large, "key"), maps).select("node").distinct())
-        if not still.isEmpty():
-            segments = durable(fragment_join.sets_of(still, nodes, rows, k).join(still, "node", "left_semi"))
-            mine = durable(fragment_join.parity_signatures(segments))
-            maps = connected_further(maps, durable(fragment_join.links_of_large(segments, mine, t)))
+        maps = fragment_join.settled(keys.join(large, "key"), maps, rows, nodes, t, k, parity=False)
     return fragment_join.with_component(signed, nodes, maps)
 
 
