@@ -25,6 +25,9 @@ GENESIS = "GENESIS"
 AUTO_CHECKPOINT = 64
 #: Levels of a tree between two writes to the shared folder.
 CUT_EVERY = 8
+#: Nodes of a level that one row holds where paths and new nodes are found.
+PART_BITS = 8
+PART = 1 << PART_BITS
 #: Fixed: the keys of an audit entry's JSON, in order; nulls are written.
 ENTRY_KEYS = ("id", "category", "action", "actor", "actorDetail", "subjectKind", "subjectId", "turnId", "sessionId", "profileId", "detail", "createdAt")
 
@@ -108,20 +111,71 @@ def merkle_roots(leaves: DataFrame) -> DataFrame:
     return merkle_levels(leaves)[-1].select("chain", F.col("hash").alias("root")).join(leaves.groupBy("chain").agg(F.count(F.lit(1)).alias("leaf_count")), "chain")
 
 
+def _parts(level: DataFrame) -> DataFrame:
+    """chain, part, h: the hashes of each aligned stretch of PART nodes of a level (chain, idx, hash), in order."""
+    return level.groupBy("chain", F.expr(f"shiftright(idx, {PART_BITS})").alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"]).alias("h"))
+
+
+def _levels_in(h: Column) -> Column:
+    """The nodes of a stretch at heights 0 to PART_BITS; an odd node is paired with itself."""
+    up = lambda nodes: F.transform(F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / 2).cast("int")), lambda i: merkle_parent(F.get(nodes, 2 * i), F.coalesce(F.get(nodes, 2 * i + 1), F.get(nodes, 2 * i))))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(PART_BITS)), F.array(h), lambda levels, _: F.concat(levels, F.array(up(F.element_at(levels, -1)))))
+
+
+def _paths(parts: DataFrame, steps: str) -> DataFrame:
+    """The rows of parts (h, levels, ...) once for each node, with its place ``j`` in the part, hash, siblings and was_right; steps: how far up, by j and m (nodes of the part)."""
+    sibling = "coalesce(get(levels[k], cast(shiftright(j, k) ^ 1 as int)), levels[k][shiftright(j, k)])"
+    heights = f"slice(sequence(0, {PART_BITS - 1}), 1, cast({steps} as int))"
+    each = f"transform(h, (x, j) -> named_struct('j', j, 'hash', x, 'siblings', transform({heights}, k -> {sibling}), 'was_right', transform({heights}, k -> shiftright(j, k) % 2 = 1)))"
+    others = [c for c in parts.columns if c not in ("h", "levels")]
+    return parts.select(*others, F.expr(f"inline({each})"))
+
+
+#: Steps to the root of a tree in one part; other parts, and a full first one, go to the part's own root.
+_TO_ROOT = f"CASE WHEN part = 0 AND m < {PART} THEN ceil(log2(m)) ELSE {PART_BITS} END"
+
+
+def _with_levels(parts: DataFrame) -> DataFrame:
+    return parts.withColumn("m", F.size("h")).withColumn("levels", _levels_in(F.col("h")))
+
+
+def _of_parts(parts: DataFrame, wanted: DataFrame | None, above: DataFrame | None, more: list[str]) -> DataFrame:
+    """The parts that hold wanted leaves, with their levels and what is known of their roots: above (chain, idx, siblings, was_right, and ``more`` columns)."""
+    if wanted is not None:
+        parts = parts.join(wanted.groupBy("chain", F.expr(f"shiftright(idx, {PART_BITS})").alias("part")).agg(F.collect_set("idx").alias("asked")), ["chain", "part"])
+    if above is not None:
+        known = above.select("chain", F.col("idx").alias("part"), F.col("siblings").alias("further"), F.col("was_right").alias("further_right"), *[F.col(c).alias(f"of_{c}") for c in more])
+        return _with_levels(parts.join(known, ["chain", "part"], "left"))
+    none = {"further": "array<string>", "further_right": "array<boolean>"} | {f"of_{c}": "string" for c in more}
+    return _with_levels(parts.withColumns({c: F.lit(None).cast(kind) for c, kind in none.items()}))
+
+
+def _whole_paths(parts: DataFrame, steps: str, wanted: DataFrame | None, *more: Column) -> DataFrame:
+    """chain, idx, hash, siblings, was_right and more: inside the part, and on from its root."""
+    paths = _paths(parts, steps).withColumn("idx", F.col("part") * PART + F.col("j"))
+    if wanted is not None:
+        paths = paths.where(F.array_contains("asked", F.col("idx")))
+    both = lambda x, further, kind: F.concat(x, F.coalesce(further, F.array().cast(kind)))
+    return paths.select("chain", "idx", "hash", both("siblings", "further", "array<string>").alias("siblings"), both("was_right", "further_right", "array<boolean>").alias("was_right"), *more)
+
+
+def prove_all(leaves: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """chain, idx, hash, siblings, was_right, root: the audit paths of all leaves, or of wanted ones (chain, idx).
+
+    Stretches of PART leaves are a row each, in which their paths are found; the stretches' roots are the leaves of the next tree. So a leaf
+    is shuffled once, whatever the height, and paths are not.
+    """
+    parts = _parts(leaves)
+    # A full first part may be the whole chain; then the next tree is its root alone.
+    above = durable(_with_levels(parts).where(f"part > 0 OR m = {PART}").select("chain", F.col("part").alias("idx"), F.expr("element_at(levels, -1)[0]").alias("hash")))
+    met = _of_parts(parts, wanted, None if above.isEmpty() else prove_all(above), ["root"])
+    own = F.expr(f"levels[cast({_TO_ROOT} as int)][0]")
+    return _whole_paths(met.withColumn("root", F.coalesce("of_root", own)), _TO_ROOT, wanted, F.col("root"))
+
+
 def prove_inclusion(leaves: DataFrame, wanted: DataFrame) -> DataFrame:
-    """chain, idx, hash, siblings, was_right: audit paths of wanted leaves (chain, idx), one join a level."""
-    levels = merkle_levels(leaves)
-    sizes = leaves.groupBy("chain").agg(F.count(F.lit(1)).alias("n"))
-    path = wanted.join(leaves, ["chain", "idx"]).join(sizes, "chain").select("chain", "idx", "hash", F.col("idx").alias("at"), "n", F.array().cast("array<string>").alias("siblings"), F.array().cast("array<boolean>").alias("was_right"))
-    for level in levels[:-1]:
-        right = F.col("at") % 2 == 1
-        mate = F.when(right, F.col("at") - 1).otherwise(F.least(F.col("at") + 1, F.col("n") - 1))
-        path = path.withColumn("mate", mate).join(level.select("chain", F.col("idx").alias("mate"), F.col("hash").alias("sibling")), ["chain", "mate"], "left")
-        live = F.col("n") > 1
-        path = path.select("chain", "idx", "hash", F.floor(F.col("at") / 2).alias("at"), F.ceil(F.col("n") / 2).alias("n"),
-                           F.when(live, F.concat("siblings", F.array("sibling"))).otherwise(F.col("siblings")).alias("siblings"),
-                           F.when(live, F.concat("was_right", F.array(right))).otherwise(F.col("was_right")).alias("was_right"))
-    return path.select("chain", "idx", "hash", "siblings", "was_right")
+    """chain, idx, hash, siblings, was_right: audit paths of wanted leaves (chain, idx)."""
+    return prove_all(leaves, wanted).drop("root")
 
 
 def verify_inclusion(leaf: Column, siblings: Column, was_right: Column, root: Column) -> Column:
@@ -209,16 +263,45 @@ def _anchor_hash(raw: str) -> str | None:
     return anchor(entry)["anchorHash"] if isinstance(entry, dict) else None
 
 
-def prove_in_mountains(leaves: DataFrame, wanted: DataFrame) -> DataFrame:
-    """chain, idx, hash, siblings, was_right, peak, peaks: a path inside the leaf's peak, and all peaks from the lowest."""
-    peaks = mountain_peaks(leaves)
-    spans = peaks.select("chain", "height", "from_idx", "to_idx", F.col("hash").alias("peak"))
-    inside = lambda df: df.join(spans, "chain").where((F.col("idx") >= F.col("from_idx")) & (F.col("idx") <= F.col("to_idx")))
-    trees = inside(leaves).select(F.struct("chain", "from_idx").alias("chain"), (F.col("idx") - F.col("from_idx")).alias("idx"), "hash")
-    asked = inside(wanted.select("chain", "idx")).select(F.struct("chain", "from_idx").alias("chain"), (F.col("idx") - F.col("from_idx")).alias("idx"))
-    paths = prove_inclusion(trees, asked).select("chain.chain", "chain.from_idx", (F.col("idx") + F.col("chain.from_idx")).alias("idx"), "hash", "siblings", "was_right")
+def prove_all_in_mountains(leaves: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """chain, idx, hash, siblings, was_right, peak, peaks, root: a path inside the leaf's peak, all peaks from the lowest, and what they bag to; of all leaves, or of wanted ones (chain, idx).
+
+    A peak of height PART_BITS or more is made of whole stretches, which are the leaves of the next range; a lower one lies in the chain's last, partial stretch.
+    """
+    parts = _parts(leaves)
+    above, peaks = _mountains_above(parts, 0)
     every = peaks.groupBy("chain").agg(F.transform(F.array_sort(F.collect_list(F.struct("height", "hash"))), lambda p: p["hash"]).alias("peaks"))
-    return paths.join(spans.select("chain", "from_idx", "peak"), ["chain", "from_idx"]).join(every, "chain").drop("from_idx")
+    root = F.aggregate(F.slice("peaks", 2, F.size("peaks")), F.col("peaks")[0], lambda acc, p: merkle_parent(acc, p))
+    met = parts.join(durable(every.withColumn("root", root)), "chain")
+    return _mountain_paths(met, wanted, above, F.col("peaks"), F.col("root"))
+
+
+def _mountains_above(parts: DataFrame, height: int) -> tuple[DataFrame | None, DataFrame]:
+    """The paths of the full parts' roots in their ranges, if there are any, and all peaks (chain, height, hash); the parts' leaves are nodes of ``height``."""
+    raised = _with_levels(parts)
+    bits = f"filter(sequence(0, {PART_BITS - 1}), k -> shiftright(m, k) % 2 = 1)"
+    low = f"transform({bits}, k -> named_struct('height', k + {height}, 'hash', levels[k][2 * shiftright(m, k + 1)]))"
+    peaks = durable(raised.where(f"m < {PART}").select("chain", F.expr(f"inline({low})")))
+    full = durable(raised.where(f"m = {PART}").select("chain", F.col("part").alias("idx"), F.expr("element_at(levels, -1)[0]").alias("hash")))
+    if full.isEmpty():
+        return None, peaks
+    higher = _parts(full)
+    above, more = _mountains_above(higher, height + PART_BITS)
+    return _mountain_paths(higher, None, above), peaks.unionByName(more)
+
+
+def _mountain_paths(parts: DataFrame, wanted: DataFrame | None, above: DataFrame | None, *more: Column) -> DataFrame:
+    met = _of_parts(parts, wanted, above, ["peak"])
+    # The leaf's peak is as high as the highest bit in which its place and the number of leaves differ.
+    steps = f"CASE WHEN m = {PART} THEN {PART_BITS} ELSE floor(log2(j ^ m)) END"
+    low = F.expr(f"transform(sequence(0, {PART_BITS - 1}), k -> get(levels[k], cast(2 * shiftright(m, k + 1) as int)))")
+    peak = F.coalesce("of_peak", F.get("low", F.size(F.col("siblings"))))
+    return _whole_paths(met.withColumn("low", low), steps, wanted, peak.alias("peak"), *more)
+
+
+def prove_in_mountains(leaves: DataFrame, wanted: DataFrame) -> DataFrame:
+    """chain, idx, hash, siblings, was_right, peak, peaks of wanted leaves (chain, idx); see ``prove_all_in_mountains``."""
+    return prove_all_in_mountains(leaves, wanted).drop("root")
 
 
 def verify_in_mountains(leaf: Column, siblings: Column, was_right: Column, peak: Column, peaks: Column, root: Column) -> Column:
