@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import checkpoint_link, merkle_parent
 from ..materialise import durable
-from .chains import AUTO_CHECKPOINT, CUT_EVERY
+from .chains import AUTO_CHECKPOINT, PART, PART_BITS
 from .ordered import counted_upto, numbered
 
 
@@ -29,24 +29,37 @@ def cover(prefixes: DataFrame, size: str = "leaf_count") -> DataFrame:
 def append_leaves(peaks: DataFrame, leaves: DataFrame) -> DataFrame:
     """The new nodes (chain, height, place, hash), leaves included. peaks: chain, height, place, hash of what is stored; leaves: chain, seq, hash.
 
-    Leaves go on behind those the peaks cover, in the order of seq. Each level is one group-by over the new nodes and the stored
-    peak of that height, so the work grows with the new leaves.
+    Leaves go on behind those the peaks cover, in the order of seq. Stretches of PART nodes are a row each, in which the nodes above them are
+    found together with the stored peaks of those heights; whole stretches are the leaves of the next round. So a leaf is shuffled once
+    whatever the height, and the work grows with the new leaves. What is returned is written already.
     """
     sizes = peaks.groupBy("chain").agg(F.sum(F.expr("shiftleft(1L, height)")).alias("stored"))
     new = numbered(leaves, ["chain"], "seq", "nth").join(sizes, "chain", "left")
-    level = durable(new.select("chain", (F.coalesce("stored", F.lit(0)) + F.col("nth")).alias("place"), "hash"))
-    most, height, out = level.agg(F.max("place")).first()[0], 0, []
-    while most is not None and most >> height:
-        out.append(level.withColumn("height", F.lit(height)))
-        old = peaks.where(F.col("height") == height).select("chain", "place", "hash")
-        pairs = level.unionByName(old).groupBy("chain", F.expr("shiftright(place, 1)").alias("place")).agg(F.count(F.lit(1)).alias("n"), F.min_by("hash", "place").alias("l"), F.max_by("hash", "place").alias("r"))
-        # Two stored peaks are never of one height, so each pair has a new node.
-        level, height = pairs.where("n = 2").select("chain", "place", merkle_parent(F.col("l"), F.col("r")).alias("hash")), height + 1
-        if height % CUT_EVERY == 0:
-            level = durable(level)
-    if most is not None:
-        out.append(level.withColumn("height", F.lit(height)))
-    return reduce(DataFrame.unionByName, out or [level.withColumn("height", F.lit(0))]).select("chain", "height", "place", "hash")
+    level, height, out = new.select("chain", (F.coalesce("stored", F.lit(0)) + F.col("nth")).alias("place"), "hash"), 0, []
+    while True:
+        nodes = durable(_nodes_above(level, peaks, height))
+        height += PART_BITS
+        out.append(nodes.where(F.col("height") < height))
+        level = nodes.where(F.col("height") == height).select("chain", "place", "hash")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+
+
+def _nodes_above(level: DataFrame, peaks: DataFrame, height: int) -> DataFrame:
+    """chain, height, place, hash: the new nodes (chain, place, hash) of ``height`` and those over them, up to PART_BITS higher."""
+    here = level.select("chain", F.expr(f"shiftright(place, {PART_BITS})").alias("part"), F.lit(-1).alias("k"), "place", "hash")
+    k = F.col("height") - height
+    old = peaks.where((k >= 0) & (k < PART_BITS)).select("chain", F.call_function("shiftright", F.col("place"), PART_BITS - k).alias("part"), k.cast("int").alias("k"), "place", "hash")
+    parts = here.unionByName(old).groupBy("chain", "part").agg(
+        F.array_sort(F.collect_list(F.when(F.col("k") < 0, F.struct("place", "hash")))).alias("new"), F.map_from_entries(F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "hash")))).alias("old")
+    )
+    # A level's new nodes stand side by side; where the first is a right one, its left one is a stored peak.
+    pairs = "transform(slice(sequence(0, {last}), 1, cast(size(both) div 2 as int)), i -> sha2(concat(both[2 * i], both[2 * i + 1]), 256))".format(last=PART // 2 - 1)
+    up = f"""named_struct('s', shiftright(element_at(levels, -1).s, 1), 'h', element_at(transform(array(
+        CASE WHEN element_at(levels, -1).s % 2 = 1 AND size(element_at(levels, -1).h) > 0 THEN concat(array(old[k]), element_at(levels, -1).h) ELSE element_at(levels, -1).h END), both -> {pairs}), 1))"""
+    levels = f"aggregate(sequence(0, {PART_BITS - 1}), array(named_struct('s', new[0].place, 'h', new.hash)), (levels, k) -> concat(levels, array({up})))"
+    nodes = f"flatten(transform({levels}, (l, k) -> transform(l.h, (x, i) -> named_struct('height', k + {height}, 'place', l.s + i, 'hash', x))))"
+    return parts.where("size(new) > 0").select("chain", F.expr(f"inline({nodes})"))
 
 
 def peaks_after(peaks: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -63,7 +76,7 @@ def sync(peaks: DataFrame, entries: DataFrame, last_seq: DataFrame | None = None
     if last_seq is not None:
         done = last_seq.select("chain", F.col("seq").alias("done"))
         entries = entries.join(done, "chain", "left").where(F.col("done").isNull() | (F.col("seq") > F.col("done"))).drop("done")
-    nodes = durable(append_leaves(peaks, entries))
+    nodes = append_leaves(peaks, entries)
     return nodes, durable(peaks_after(peaks, nodes))
 
 
