@@ -18,7 +18,8 @@ pair, and the partial overlaps are summed per pair and held against the threshol
 
 Large groups. Where at most ``DIRECT_GROUP`` documents meet on a shingle, their pairs are counted by that join. In larger
 groups each member is counted with the first one; where these put all members into one component, nothing is
-left to compare. The other groups whose first ones are in one component are taken together where that is fewer pairs than
+left to compare. Of the other groups' members only those stay that may still link: where too many of a set's shingles are in no other
+member of any of these groups, it reaches the threshold with none. Groups whose first ones are in one component are taken together where that is fewer pairs than
 those of each group. Up to ``BLOCK_GROUP`` members are then dealt into blocks of bounded size, and each pair of blocks is one
 small task that sums the partial overlaps of its documents as products of incidence matrices, fragment by fragment, and
 returns the links that join what is not in one component yet. So no task holds a whole group, and the pairs of a large group are never rows.
@@ -273,15 +274,19 @@ def _prefixes(segments: DataFrame, threshold: Fraction) -> DataFrame:
 
 
 def settled(large: DataFrame, maps: list[DataFrame], rows: DataFrame, nodes: DataFrame, threshold: Fraction, k: int, shared=None, parity: bool = True) -> list[DataFrame]:
-    """The maps and further ones, once all members of large groups (key, node, members, leader) have met that the maps leave in several components.
+    """The maps and further ones, once all members of large groups (key, node) have met that the maps leave in several components.
 
     The leaders' pairs are in the maps. rows, nodes: as in ``sets_of``; parity: whether the nodes' signatures are those of ``signatures``.
     """
-    groups = durable(mixed_groups(large, maps))
-    if groups.isEmpty():
+    still = durable(still_mixed(large, maps).select("key", "node"))
+    if still.isEmpty():
         return maps
-    some = durable(groups.select("node").distinct())
+    some = durable(still.select("node").distinct())
     segments = durable(sets_of(some, nodes, rows, k, shared).join(some, "node", "left_semi"))
+    able = durable(still.join(may_link_any(segments, threshold), "node", "left_semi"))
+    groups = durable(mixed_groups(able, maps))
+    if groups.isEmpty():
+        return maps
     few, many = groups.where(F.col("members") <= BLOCK_GROUP), groups.where(F.col("members") > BLOCK_GROUP)
     if not few.isEmpty():
         maps = connected_further(maps, durable(_links_in_blocks(few, segments, threshold)))
@@ -291,6 +296,15 @@ def settled(large: DataFrame, maps: list[DataFrame], rows: DataFrame, nodes: Dat
     return _met_again(again, nodes if parity else durable(parity_signatures(again)), threshold, maps)
 
 
+def may_link_any(segments: DataFrame, threshold: Fraction) -> DataFrame:
+    """node: those of ``segments`` that share enough shingles with all others together to link with one of them."""
+    held = segments.select("node", F.explode("part").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("node"))
+    alone = held.where("held = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))  # the one node that holds them
+    met = segments.select("node", "n").distinct().join(alone, "node", "left")
+    t = threshold
+    return met.where(t.denominator * (F.col("n") - F.coalesce("alone", F.lit(0))) >= t.numerator * F.col("n")).select("node")
+
+
 def _met_again(segments: DataFrame, nodes: DataFrame, threshold: Fraction, maps: list[DataFrame]) -> list[DataFrame]:
     """The maps and further ones, once the sets of ``segments`` have met in the order of the frequencies among them."""
     keys = durable(_prefixes(segments, threshold))
@@ -306,20 +320,22 @@ def _met_again(segments: DataFrame, nodes: DataFrame, threshold: Fraction, maps:
 
 
 def mixed_groups(large: DataFrame, maps: list[DataFrame]) -> DataFrame:
-    """key, node, members, root: the groups of ``large`` (key, node, members, leader) with members of several components, as few as cover them.
+    """key, node, members, root: the groups of ``large`` (key, node) with members of several components, as few as cover them.
 
-    Groups whose leaders are in one component are one group where its pairs are no more than those of all of them; a larger
-    group compares more, never less.
+    Groups whose leaders (smallest nodes) are in one component are one group where its pairs are no more than those of all of them; a larger
+    group compares more, never less. A leader's component is looked up once for each group and for each node that it leads, not
+    for each member of each group.
     """
     still = durable(still_mixed(large, maps))
-    ends = still.select("node").distinct()
-    root = durable(rooted(ends, maps))
-    of = still.join(root.select(F.col("node").alias("leader"), F.col("root").alias("whole")), "leader")
-    together = of.groupBy("whole", "node").agg(F.lit(1).alias("one")).groupBy("whole").agg(F.count(F.lit(1)).alias("all"))
-    apart = of.groupBy("whole", "key", "members").agg(F.lit(1).alias("one")).groupBy("whole").agg(F.sum(F.col("members") * F.col("members")).alias("squares"))
-    fewer = together.join(apart, "whole").select("whole", "all", (F.col("all") * F.col("all") <= F.col("squares")).alias("joined"))
-    met = of.join(fewer, "whole").select(F.when(F.col("joined"), F.col("whole")).otherwise(F.col("key")).alias("key"), "node", F.when(F.col("joined"), F.col("all")).otherwise(F.col("members")).alias("members"))
-    return met.groupBy("key", "node").agg(F.max("members").alias("members")).join(root, "node")
+    root = durable(rooted(still.select("node").distinct(), maps))
+    whole = root.select(F.col("node").alias("leader"), F.col("root").alias("whole"))
+    keys = durable(still.groupBy("key", "leader", "members").agg(F.lit(1).alias("one")).join(whole, "leader"))  # one row a group
+    together = durable(still.select("leader", "node").distinct().join(whole, "leader").select("whole", "node").distinct())
+    apart = keys.groupBy("whole").agg(F.sum(F.col("members") * F.col("members")).alias("squares"))
+    fewer = durable(together.groupBy("whole").agg(F.count(F.lit(1)).alias("all")).join(apart, "whole").select("whole", "all", (F.col("all") * F.col("all") <= F.col("squares")).alias("joined")))
+    of_whole = together.join(fewer.where("joined"), "whole").select(F.col("whole").alias("key"), "node", F.col("all").alias("members"))
+    alone = keys.join(fewer.where("NOT joined"), "whole", "left_semi").select("key")
+    return of_whole.unionByName(still.join(alone, "key", "left_semi").select("key", "node", "members")).join(root, "node")
 
 
 def parity_signatures(segments: DataFrame) -> DataFrame:
@@ -392,9 +408,9 @@ def with_component(signed: DataFrame, nodes: DataFrame, maps: list[DataFrame]) -
 
 
 def still_mixed(large: DataFrame, maps: list[DataFrame]) -> DataFrame:
-    """The rows of ``large`` (key, node) whose group has members of several components."""
-    spread = rooted(large.select("key", "node"), maps).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return large.join(spread.select("key"), "key", "left_semi")
+    """key, node, members, leader: the rows of ``large`` (key, node) whose group has members of several components, its size and smallest node."""
+    of_key = rooted(large.select("key", "node"), maps).groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return large.select("key", "node").join(of_key.where("low <> high").select("key", "members", "leader"), "key")
 
 
 def signed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
