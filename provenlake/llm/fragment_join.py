@@ -58,6 +58,8 @@ DIRECT_GROUP, SMALL_GROUP = 64, 64
 BLOCK_GROUP = 4096
 BLOCK_NODES = 128
 BLOCK_SHINGLES = 150_000
+#: Shingles whose holders one task counts, about.
+STRETCH_SHINGLES = 1 << 20
 _U = np.uint64
 
 
@@ -297,14 +299,45 @@ def settled(large: DataFrame, maps: list[DataFrame], rows: DataFrame, nodes: Dat
 
 
 def may_link_any(segments: DataFrame, threshold: Fraction) -> DataFrame:
-    """node: those of ``segments`` that share enough shingles with all others together to link with one of them."""
-    held = segments.select("node", F.explode("part").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("node"))
-    alone = held.where("held = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))  # the one node that holds them
+    """node: those of ``segments`` that share enough shingles with all others together to link with one of them.
+
+    Shingles are dealt by stretches of their hashes, as lists: each task of ``segments`` gives one row for each batch and stretch, in
+    which what several sets hold stands once, without them. So a shingle is never a row, and a very common one is as many entries as there are batches.
+    """
+    total = segments.agg(F.sum(F.size("part"))).first()[0] or 0
+    held = segments.select("node", "part").mapInArrow(_held(-(-total // STRETCH_SHINGLES)), "stretch int, shingle array<long>, node array<long>, shared array<long>")
+    alone = held.groupBy("stretch").applyInArrow(_held_alone, "node long, alone long").groupBy("node").agg(F.sum("alone").alias("alone"))
     met = segments.select("node", "n").distinct().join(alone, "node", "left")
     t = threshold
     return met.where(t.denominator * (F.col("n") - F.coalesce("alone", F.lit(0))) >= t.numerator * F.col("n")).select("node")
 
 
+def _held(stretches: int):
+    """node, part -> stretch, shingle and node (what one set of the batch holds, and which), shared (what several hold)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column(1)
+            node = np.repeat(batch.column(0).to_numpy(), np.diff(parts.offsets.to_numpy()))
+            g, at, times = np.unique(parts.flatten().to_numpy().view(np.uint64), return_index=True, return_counts=True)
+            stretch, one = ((g >> _U(32)) * _U(stretches) >> _U(32)).astype(np.int64), times == 1
+            counts, shared = (np.bincount(stretch[x], minlength=stretches) for x in (one, ~one))
+            rows = [pa.array(np.arange(stretches, dtype=np.int32)), lists_of(g[one], counts), lists_of(node[at[one]], counts), lists_of(g[~one], shared)]
+            yield pa.RecordBatch.from_arrays(rows, names=["stretch", "shingle", "node", "shared"])
+
+    return run
+
+
+def _held_alone(table: pa.Table) -> pa.Table:
+    """One stretch, as ``_held`` gives it -> node, alone (how many of these shingles only this set holds)."""
+    table = table.combine_chunks()
+    shingles, nodes, shared = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("shingle", "node", "shared"))
+    _, at, times = np.unique(shingles, return_index=True, return_counts=True)
+    once = at[times == 1]
+    node, alone = np.unique(nodes[once[~np.isin(shingles[once], shared)]], return_counts=True)
+    return pa.table({"node": node, "alone": alone.astype(np.int64)})
+
+
 def _met_again(segments: DataFrame, nodes: DataFrame, threshold: Fraction, maps: list[DataFrame]) -> list[DataFrame]:
     """The maps and further ones, once the sets of ``segments`` have met in the order of the frequencies among them."""
     keys = durable(_prefixes(segments, threshold))
