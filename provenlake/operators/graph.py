@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache, reduce
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +16,10 @@ from pyspark.sql import functions as F
 from ..materialise import durable
 
 _PARSER = re._parser
-#: Triggers that go out to the tasks at a time.
+#: Triggers without a literal that go out to the tasks at a time, and patterns that a task keeps compiled.
 TRIGGER_BLOCK = 20_000
+#: Characters of a key at most; words of 64 bits in the table of keys at most; characters that are searched at once; places found that are sent on at once.
+KEY_CHARS, MOST_WORDS, CHARS_AT_ONCE, PLACES_AT_ONCE = 32, 1 << 21, 1 << 17, 1 << 20
 CALLS = ("calls", "references")
 
 
@@ -57,39 +63,58 @@ def match_triggers(skills: DataFrame, utterances: DataFrame, block: int = TRIGGE
     """skill_id, utterance_id: triggers that fit as a pattern, without regard to case, or as plain text where they are no pattern.
 
     skills: skill_id, trigger; utterances: utterance_id, text. Each trigger has literals that any match must hold, where it has any at
-    all; they are read once. The literals of a block of triggers make one automaton, which finds in one pass over an utterance the few triggers worth
-    trying, those with all their literals in it; only these are compiled. Triggers without a literal are tried everywhere. Both tables may grow: triggers go out in
-    blocks of ``block``, one scan of the utterances each.
+    all; they are read once, and the longest, KEY_CHARS of it at most, is the trigger's key. The tasks find the keys in the utterances by
+    a table of bits, whose chance hits find no trigger when keys and triggers are joined; so the work grows with the utterances and with what is found in them, not
+    with the product of both tables. Where the key says all that the trigger says, nothing else is tried; other triggers are tried on the texts that hold
+    their keys. Triggers without a literal are tried everywhere: they go out in blocks of ``block``, one scan of the utterances each.
     """
+    spark = skills.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = skills.where("trigger IS NOT NULL").select("skill_id", "trigger").distinct()
-    read = rows.select("skill_id", "trigger", F.lit(True).alias("pattern"), F.array(F.lit("")).alias("literals"))
-    # Reading costs far more than a row's size tells: as many tasks as a shuffle has.
-    rows = durable(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_read_triggers, read.schema))
-    n = -(-rows.count() // block)
+    read = rows.select("skill_id", "trigger", F.lit(True).alias("pattern"), F.array(F.lit("")).alias("literals"), F.lit(None).cast("string").alias("key"), F.lit(True).alias("whole"))
+    # Reading triggers and searching texts cost far more than a row's size tells: as many tasks as a shuffle has.
+    rows = durable(rows.repartition(parts).mapInArrow(_read_triggers, read.schema))
+    texts = utterances.where("text IS NOT NULL").select("utterance_id", "text").repartition(parts)
     schema = rows.select("skill_id").crossJoin(utterances.select("utterance_id").limit(0)).schema
-    sc, texts, out = rows.sparkSession.sparkContext, utterances.where("text IS NOT NULL").select("utterance_id", "text"), None
+    n_all, n_keys, lengths = rows.agg(F.count(F.lit(1)), F.count("key"), F.collect_set(F.length("key"))).first()
+    out = [spark.createDataFrame([], schema)]
+    if n_keys:
+        held = texts.mapInArrow(_find_keys(_key_table(rows, n_keys), sorted(lengths)), texts.select(F.lit("").alias("key"), F.array("utterance_id").alias("ids")).schema)
+        met = lambda some: rows.where(some).join(held, "key").withColumn("utterance_id", F.explode("ids"))
+        out.append(met("whole").select("skill_id", "utterance_id"))
+        near = met("NOT whole").select("skill_id", "trigger", "pattern", "literals", "utterance_id").distinct().alias("near")
+        near = near.join(texts.alias("t"), F.col("near.utterance_id").eqNullSafe(F.col("t.utterance_id"))).select("skill_id", "t.utterance_id", "trigger", "pattern", "literals", "text")
+        out.append(near.mapInArrow(_try_near, schema))
+    n = -(-(n_all - n_keys) // block)
     for b in range(n):
-        part = rows.where(F.pmod(F.xxhash64("trigger"), F.lit(n)) == b).toArrow()
-        one = texts.mapInArrow(_try_triggers(sc.broadcast((part.column("skill_id"), *(part.column(c).to_pylist() for c in ("trigger", "pattern", "literals"))))), schema)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else rows.sparkSession.createDataFrame([], schema)
+        part = rows.where("key IS NULL").where(F.pmod(F.xxhash64("trigger"), F.lit(n)) == b).select("skill_id", "trigger").toArrow()
+        out.append(texts.mapInArrow(_try_everywhere(spark.sparkContext.broadcast((part.column(0), part.column(1).to_pylist()))), schema))
+    return reduce(DataFrame.unionByName, out)
 
 
 #: Letters outside ASCII that match an ASCII letter without regard to case.
-_ALIKE = str.maketrans({"\u017f": "s", "\u212a": "k", "\u0130": "i", "\u0131": "i"})
+_ALIKE = {"\u017f": "s", "\u212a": "k", "\u0130": "i", "\u0131": "i"}
 
 
-def required_literals(pattern: str) -> list[str]:
-    """The runs of ASCII characters, in lower case, that every match of a pattern holds, in order; white space of any length and kind is one space in them."""
-    runs = [""]
-    for op, what in _PARSER.parse(pattern, re.IGNORECASE):
+def _runs(pattern: str) -> tuple[list[str], bool]:
+    """The runs of required_literals, and whether the pattern says no more than that its one run is held."""
+    parsed = _PARSER.parse(pattern, re.IGNORECASE)
+    runs, whole = [""], parsed.state.flags == re.IGNORECASE | re.UNICODE
+    for op, what in parsed:
         if op is _PARSER.LITERAL and what < 128:
             runs[-1] += chr(what).lower()
+            whole = whole and not chr(what).isspace()
         elif (op, what) == _SPACE or (op is _PARSER.MAX_REPEAT and what[0] > 0 and list(what[2]) == [_SPACE]):
+            whole = whole and op is _PARSER.MAX_REPEAT and tuple(what[:2]) == (1, _PARSER.MAXREPEAT) and not runs[-1].endswith(" ")
             runs[-1] += " "
         else:
             runs.append("")
-    return [one_space(run) for run in runs if run]
+    return [one_space(run) for run in runs if run], whole and len(runs) == 1 and runs != [""]
+
+
+def required_literals(pattern: str) -> list[str]:
+    """The runs of ASCII characters, in lower case, that every match of a pattern holds, in order; white space of any length and kind is one space in them."""
+    return _runs(pattern)[0]
 
 
 #: A white-space class, as the parser reads it.
@@ -97,7 +122,15 @@ _SPACE = _PARSER.parse(r"\s")[0]
 
 
 def one_space(text: str) -> str:
-    return re.sub(r"\s+", " ", text)
+    return " ".join(f"x{text}x".split())[1:-1]
+
+
+def _levelled(text: str) -> str:
+    """A text as literals are looked up in it."""
+    if not text.isascii():
+        for letter, like in _ALIKE.items():
+            text = text.replace(letter, like)
+    return one_space(text.lower())
 
 
 def required_literal(pattern: str) -> str:
@@ -106,49 +139,147 @@ def required_literal(pattern: str) -> str:
 
 
 def _read_triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """skill_id, trigger -> skill_id, trigger, pattern (whether it is one), literals."""
+    """skill_id, trigger -> skill_id, trigger, pattern (whether it is one), literals, key (null without a literal), whole (whether a text that holds the key fits)."""
     for batch in batches:
-        pattern, literals = [], []
+        pattern, literals, key, whole = [], [], [], []
         for trigger in batch.column(1).to_pylist():
             try:
-                held = required_literals(trigger)
+                held, all_said = _runs(trigger)
                 if "(?<" in trigger:  # what the parser alone doesn't refuse
                     re.compile(trigger, re.IGNORECASE)
                 pattern.append(True)
-                literals.append(held)
-            except re.error:
+            except re.error:  # it has a sign of ASCII at least
+                held, all_said = [one_space(run) for run in re.findall(r"[\x00-\x7f]+", trigger.lower())], False
                 pattern.append(False)
-                literals.append([one_space(trigger.lower())] if trigger else [])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pattern, pa.bool_()), pa.array(literals, pa.list_(pa.string()))], names=["skill_id", "trigger", "pattern", "literals"])
+            longest = max(held, key=len, default=None)
+            literals.append(held)
+            key.append(longest and longest[:KEY_CHARS])
+            whole.append(all_said and len(longest) <= KEY_CHARS)
+        columns = [*batch.columns, pa.array(pattern, pa.bool_()), pa.array(literals, pa.list_(pa.string())), pa.array(key, pa.string()), pa.array(whole, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=["skill_id", "trigger", "pattern", "literals", "key", "whole"])
+
+
+#: An odd base of hashes of 64 bits, what undoes it, and a factor that spreads them; four bits of a word, or fewer where some are equal, for each value of 16 bits.
+_BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+_UNDO = pow(_BASE, -1, 1 << 64)
+_FOUR_BITS = np.bitwise_or.reduce([np.uint64(1) << (np.arange(1 << 16, dtype=np.uint64) * _SPREAD >> np.uint64(k) & np.uint64(63)) for k in (24, 34, 44, 54)])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
+
+
+class _Hashes:
+    """Hashes of the runs of characters in a text: the sum of each character times a power of its place, from the run's start."""
+
+    def __init__(self, text: str):
+        n = len(text)
+        self.sums, self.undo = np.zeros(n + 1, np.uint64), _powers(_UNDO, n)
+        np.cumsum(np.frombuffer(text.encode("utf-32-le"), np.uint32) * _powers(_BASE, n)[:n], out=self.sums[1:])
+
+    def runs(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+        x = (self.sums[end] - self.sums[start]) * self.undo[start]
+        x ^= x >> np.uint64(32)
+        x *= _SPREAD
+        return x ^ x >> np.uint64(32)
+
+
+def _key_table(rows: DataFrame, n_keys: int):
+    """A broadcast table of the keys: four bits in one of MOST_WORDS words at most for each of them. A full table costs speed only."""
+    width = min(max((n_keys // 2).bit_length(), 10), (MOST_WORDS - 1).bit_length())
+    words = rows.where("key IS NOT NULL").select("key").distinct().mapInArrow(_key_words(width), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << width, np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return rows.sparkSession.sparkContext.broadcast(table)
+
+
+def _key_words(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            end = np.cumsum([len(k) for k in keys], dtype=np.int64)
+            x = _Hashes("".join(keys)).runs(np.concatenate((end[:0], [0], end[:-1])), end)
+            yield pa.RecordBatch.from_arrays([pa.array((x >> np.uint64(64 - width)).astype(np.int64)), pa.array(_FOUR_BITS[x & np.uint64(0xFFFF)].view(np.int64))], names=["word", "bits"])
+
+    return run
+
+
+def _find_keys(shared, lengths: list[int]):
+    """utterance_id, text -> key, ids: for what the table takes for keys, the utterances that hold it, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        shift = np.uint64(64 - (len(table) - 1).bit_length())
+        for batch in batches:
+            held, places = defaultdict(list), 0
+            for rows, starts, text in _joined(batch.column(1)):
+                hashes = _Hashes(text)
+                for n in lengths:
+                    x = hashes.runs(slice(None, -n), slice(n, None))
+                    bits = _FOUR_BITS[x & np.uint64(0xFFFF)]
+                    at = np.flatnonzero(table[x >> shift] & bits == bits)
+                    places += len(at)
+                    # Rows of a key come in order, as all its places have one length.
+                    for i, row in zip(at.tolist(), rows[np.searchsorted(starts, at, "right") - 1].tolist(), strict=True):
+                        of = held[text[i : i + n]]
+                        if not of or of[-1] != row:
+                            of.append(row)
+                if places >= PLACES_AT_ONCE:
+                    yield _listed(held, batch.column(0))
+                    held, places = defaultdict(list), 0
+            yield _listed(held, batch.column(0))
+
+    return run
+
+
+def _joined(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
+    """Rows, where each starts, and their texts as one, CHARS_AT_ONCE at a time, with a sign between them that no key holds."""
+    rows, starts, texts, n = [], [], [], 0
+    for row, text in enumerate(column.to_pylist()):
+        text = _levelled(text)
+        rows.append(row)
+        starts.append(n)
+        texts.append(text)
+        n += len(text) + 1
+        if n >= CHARS_AT_ONCE:
+            yield np.array(rows), np.array(starts), "\uffff".join(texts)
+            rows, starts, texts, n = [], [], [], 0
+    if rows:
+        yield np.array(rows), np.array(starts), "\uffff".join(texts)
+
+
+def _listed(held: dict[str, list[int]], ids: pa.Array) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, held.values())], dtype=np.int32)
+    found = ids.take(pa.array(chain.from_iterable(held.values()), pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.ListArray.from_arrays(pa.array(ends), found)], names=["key", "ids"])
+
+
+def _try_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """skill_id, utterance_id, trigger, pattern, literals, text -> skill_id, utterance_id, of those that fit."""
+    compiled = lru_cache(TRIGGER_BLOCK)(lambda trigger: re.compile(trigger, re.IGNORECASE))
+    last = levelled = None
+    for batch in batches:
+        hit = []
+        for i, (trigger, pattern, literals, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)):
+            if text != last:
+                last, levelled = text, _levelled(text)
+            if all(x in levelled for x in literals) and (compiled(trigger).search(text) if pattern else trigger.lower() in text.lower()):
+                hit.append(i)
+        yield batch.select([0, 1]).take(pa.array(hit, pa.int64()))
+
 
+def _try_everywhere(shared):
+    """Triggers without a literal; each is a pattern."""
 
-def _try_triggers(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        skills, triggers, pattern, literals = shared.value
-        everywhere, by_literal, automaton = [], {}, ahocorasick.Automaton()
-        for k, held in enumerate(literals):
-            if held:
-                by_literal.setdefault(max(held, key=len), []).append(k)
-            else:
-                everywhere.append(k)
-        for literal in {x for held in literals for x in held}:
-            automaton.add_word(literal, literal)
-        automaton.make_automaton()
-        tried = {}
+        skills, triggers = shared.value
+        compiled = [re.compile(trigger, re.IGNORECASE) for trigger in triggers]
         for batch in batches:
             hit, of = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                low = text.lower()
-                found = {x for _, x in automaton.iter(one_space(low if text.isascii() else text.translate(_ALIKE).lower()))} if by_literal else set()
-                near = [k for x in found for k in by_literal.get(x, ()) if found.issuperset(literals[k])]
-                for k in [*near, *everywhere]:
-                    if pattern[k] and k not in tried:
-                        tried[k] = re.compile(triggers[k], re.IGNORECASE)
-                    if tried[k].search(text) if pattern[k] else triggers[k].lower() in low:
-                        hit.append(k)
-                        of.append(i)
+                found = [k for k, trigger in enumerate(compiled) if trigger.search(text)]
+                hit += found
+                of += [i] * len(found)
             yield pa.RecordBatch.from_arrays([skills.take(pa.array(hit, pa.int64())).combine_chunks(), batch.column(0).take(pa.array(of, pa.int64()))], names=["skill_id", "utterance_id"])
 
     return run
