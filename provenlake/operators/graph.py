@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +18,8 @@ _PARSER = re._parser
 TRIGGER_BLOCK = 20_000
 #: Characters of a key at most; words of 64 bits in the table of keys at most; characters that are searched at once; places found that are sent on at once.
 KEY_CHARS, MOST_WORDS, CHARS_AT_ONCE, PLACES_AT_ONCE = 32, 1 << 21, 1 << 17, 1 << 20
+#: Lengths of the beginnings of keys that are in the table as well, so that longer keys are looked up in few places.
+BEGINNINGS = (6, 8, 11, 14, 18, 24)
 CALLS = ("calls", "references")
 
 
@@ -186,7 +186,7 @@ class _Hashes:
 
 def _key_table(rows: DataFrame, n_keys: int):
     """A broadcast table of the keys: four bits in one of MOST_WORDS words at most for each of them. A full table costs speed only."""
-    width = min(max((n_keys // 2).bit_length(), 10), (MOST_WORDS - 1).bit_length())
+    width = min(max(n_keys.bit_length(), 10), (MOST_WORDS - 1).bit_length())
     words = rows.where("key IS NOT NULL").select("key").distinct().mapInArrow(_key_words(width), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(1 << width, np.uint64)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
@@ -194,11 +194,14 @@ def _key_table(rows: DataFrame, n_keys: int):
 
 
 def _key_words(width: int):
+    """key -> word, bits: of each key and, by other hashes, of its beginnings."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            end = np.cumsum([len(k) for k in keys], dtype=np.int64)
-            x = _Hashes("".join(keys)).runs(np.concatenate((end[:0], [0], end[:-1])), end)
+            n = np.array([len(k) for k in keys], np.int64)
+            start, hashes = np.cumsum(n) - n, _Hashes("".join(keys))
+            x = np.concatenate([hashes.runs(start, start + n), *(~hashes.runs(start[n >= k], start[n >= k] + k) for k in BEGINNINGS)])
             yield pa.RecordBatch.from_arrays([pa.array((x >> np.uint64(64 - width)).astype(np.int64)), pa.array(_FOUR_BITS[x & np.uint64(0xFFFF)].view(np.int64))], names=["word", "bits"])
 
     return run
@@ -210,24 +213,32 @@ def _find_keys(shared, lengths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         shift = np.uint64(64 - (len(table) - 1).bit_length())
+
+        def known(x: np.ndarray) -> np.ndarray:
+            bits = _FOUR_BITS[x & np.uint64(0xFFFF)]
+            return np.flatnonzero(table[x >> shift] & bits == bits)
+
         for batch in batches:
-            held, places = defaultdict(list), 0
+            keys, of = [], [np.empty(0, np.int64)]
             for rows, starts, text in _joined(batch.column(1)):
-                hashes = _Hashes(text)
-                for n in lengths:
-                    x = hashes.runs(slice(None, -n), slice(n, None))
-                    bits = _FOUR_BITS[x & np.uint64(0xFFFF)]
-                    at = np.flatnonzero(table[x >> shift] & bits == bits)
-                    places += len(at)
-                    # Rows of a key come in order, as all its places have one length.
-                    for i, row in zip(at.tolist(), rows[np.searchsorted(starts, at, "right") - 1].tolist(), strict=True):
-                        of = held[text[i : i + n]]
-                        if not of or of[-1] != row:
-                            of.append(row)
-                if places >= PLACES_AT_ONCE:
-                    yield _listed(held, batch.column(0))
-                    held, places = defaultdict(list), 0
-            yield _listed(held, batch.column(0))
+                hashes, places = _Hashes(text), None  # all of them
+                for n in sorted({*lengths, *(k for k in BEGINNINGS if k <= lengths[-1])}):
+                    if places is None:
+                        x = hashes.runs(slice(None, max(len(text) + 1 - n, 0)), slice(n, None))
+                    else:
+                        places = places[: np.searchsorted(places, len(text) - n, "right")]
+                        x = hashes.runs(places, places + n)
+                    if n in BEGINNINGS:  # longer keys can be only where one begins
+                        at = known(~x)
+                        places, x = at if places is None else places[at], x[at]
+                    at = known(x)
+                    at = at if places is None else places[at]
+                    keys += [text[i : i + n] for i in at.tolist()]
+                    of.append(rows[np.searchsorted(starts, at, "right") - 1])
+                if len(keys) >= PLACES_AT_ONCE:
+                    yield _listed(keys, np.concatenate(of), batch.column(0))
+                    keys, of = [], of[:1]
+            yield _listed(keys, np.concatenate(of), batch.column(0))
 
     return run
 
@@ -248,10 +259,12 @@ def _joined(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
         yield np.array(rows), np.array(starts), "\uffff".join(texts)
 
 
-def _listed(held: dict[str, list[int]], ids: pa.Array) -> pa.RecordBatch:
-    ends = np.cumsum([0, *map(len, held.values())], dtype=np.int32)
-    found = ids.take(pa.array(chain.from_iterable(held.values()), pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.ListArray.from_arrays(pa.array(ends), found)], names=["key", "ids"])
+def _listed(keys: list[str], rows: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+    """key, ids: the ids of the rows of each key, each row once."""
+    coded = pa.array(keys, pa.string()).dictionary_encode()
+    pairs = np.unique(coded.indices.to_numpy().astype(np.int64) << 32 | rows)
+    ends = np.concatenate(([0], np.cumsum(np.bincount(pairs >> 32, minlength=len(coded.dictionary)))))
+    return pa.RecordBatch.from_arrays([coded.dictionary, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.take(pa.array(pairs & 0xFFFFFFFF)))], names=["key", "ids"])
 
 
 def _try_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,7 +59,8 @@ def test_keys_are_found_in_pieces(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(100, 140), pa.int64()), pa.array(texts)], names=["utterance_id", "text"])
     keys = {"a", "b c", "abab", "ca"}
     want = Counter((k, 100 + i) for i, t in enumerate(texts) for k in keys if k in " ".join(f"|{t}|".split())[1:-1])
-    for chars, places in ((1 << 17, 1 << 20), (9, 1), (1, 30)):
+    for chars, places, beginnings in ((1 << 17, 1 << 20, (2, 3)), (9, 1, (1, 4)), (1, 30, (3,)), (50, 50, ()), (50, 50, (1, 2, 3, 4, 5))):
+        monkeypatch.setattr(graph, "BEGINNINGS", beginnings)
         monkeypatch.setattr(graph, "CHARS_AT_ONCE", chars)
         monkeypatch.setattr(graph, "PLACES_AT_ONCE", places)
         words = next(graph._key_words(10)(iter([pa.RecordBatch.from_arrays([pa.array(sorted(keys))], names=["key"])])))
