@@ -219,8 +219,12 @@ def _find_keys(shared, lengths: list[int]):
             return np.flatnonzero(table[x >> shift] & bits == bits)
 
         for batch in batches:
-            keys, of = [], [np.empty(0, np.int64)]
+            keys, of, last = [], [np.empty(0, np.int64)], None
             for rows, starts, text in _joined(batch.column(1)):
+                if len(keys) >= PLACES_AT_ONCE and rows[0] != last:
+                    yield _listed(keys, np.concatenate(of), batch.column(0))
+                    keys, of = [], of[:1]
+                last = rows[-1]
                 hashes, places = _Hashes(text), None  # all of them
                 for n in sorted({*lengths, *(k for k in BEGINNINGS if k <= lengths[-1])}):
                     if places is None:
@@ -235,26 +239,28 @@ def _find_keys(shared, lengths: list[int]):
                     at = at if places is None else places[at]
                     keys += [text[i : i + n] for i in at.tolist()]
                     of.append(rows[np.searchsorted(starts, at, "right") - 1])
-                if len(keys) >= PLACES_AT_ONCE:
-                    yield _listed(keys, np.concatenate(of), batch.column(0))
-                    keys, of = [], of[:1]
             yield _listed(keys, np.concatenate(of), batch.column(0))
 
     return run
 
 
 def _joined(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
-    """Rows, where each starts, and their texts as one, CHARS_AT_ONCE at a time, with a sign between them that no key holds."""
+    """Rows, where each starts, and their texts as one, CHARS_AT_ONCE at a time, with a sign between them that no key holds.
+
+    Longer texts come in parts that overlap by what a key may hold, each with its row.
+    """
     rows, starts, texts, n = [], [], [], 0
     for row, text in enumerate(column.to_pylist()):
         text = _levelled(text)
-        rows.append(row)
-        starts.append(n)
-        texts.append(text)
-        n += len(text) + 1
-        if n >= CHARS_AT_ONCE:
-            yield np.array(rows), np.array(starts), "\uffff".join(texts)
-            rows, starts, texts, n = [], [], [], 0
+        for at in range(0, max(len(text) - KEY_CHARS + 1, 1), CHARS_AT_ONCE):
+            part = text[at : at + CHARS_AT_ONCE + KEY_CHARS - 1]
+            rows.append(row)
+            starts.append(n)
+            texts.append(part)
+            n += len(part) + 1
+            if n >= CHARS_AT_ONCE:
+                yield np.array(rows), np.array(starts), "\uffff".join(texts)
+                rows, starts, texts, n = [], [], [], 0
     if rows:
         yield np.array(rows), np.array(starts), "\uffff".join(texts)
 

@@ -53,9 +53,10 @@ def test_triggers_of_awkward_shapes(spark):
 
 
 def test_keys_are_found_in_pieces(monkeypatch):
-    """Each key once in each text, wherever a piece of the texts or of what was found ends."""
+    """Each key once in each text, wherever a piece of the texts, of a long one, or of what was found ends."""
+    monkeypatch.setattr(graph, "KEY_CHARS", 4)
     rng = random.Random(3)
-    texts = ["".join(rng.choices("ab c", k=rng.randint(0, 12))) for _ in range(40)]
+    texts = ["".join(rng.choices("ab c", k=rng.choice([*range(12), 60]))) for _ in range(40)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(100, 140), pa.int64()), pa.array(texts)], names=["utterance_id", "text"])
     keys = {"a", "b c", "abab", "ca"}
     want = Counter((k, 100 + i) for i, t in enumerate(texts) for k in keys if k in " ".join(f"|{t}|".split())[1:-1])
